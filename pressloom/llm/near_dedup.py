@@ -136,26 +136,32 @@ def _similar(percent: int):
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs of one bucket, in different components, that are near by signature."""
+    """From rows sorted by key: pairs of one bucket, in different components, that are near by signature.
+
+    A pair that shares several buckets comes from the first of them only.
+    """
     held: list[pa.RecordBatch] = []
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, ident, root = (table.column(c).to_numpy() for c in ("key", "id", "root"))
         sig = _unpack(table.column("sig"))
+        every = chunk_keys(sig)
         index, step = np.arange(len(key)), 0
         while len(index):
             step += 1
             index = index[index + step < len(key)]
             index = index[key[index] == key[index + step]]
-            for part in np.array_split(index, len(index) // 100_000 + 1):
+            for part in np.array_split(index, len(index) // 20_000 + 1):
                 other = part + step
                 apart = root[part] != root[other]
                 part, other = part[apart], other[apart]
                 near = (sig[part] != sig[other]).sum(axis=1) <= RADIUS
-                a, b = ident[part[near]], ident[other[near]]
+                part, other = part[near], other[near]
+                shared = every[part] == every[other]
+                once = every[part, np.argmax(shared, axis=1)].view(np.int64) == key[part]
+                a, b = ident[part[once]], ident[other[once]]
                 if len(a):
-                    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                    yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     for batch in batches:
         key = batch.column("key").to_numpy()
