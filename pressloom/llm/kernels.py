@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(which: str, n: int) -> np.ndarray:
     if len(_powers[which]) < n:
         base = BASE if which == "up" else pow(BASE, -1, 2**64)
-        steps = np.full(1 << max(20, (n - 1).bit_length()), base, U)
+        steps = np.full(1 << max(18, (n - 1).bit_length()), base, U)
         steps[0] = 1
         _powers[which] = np.cumprod(steps, dtype=U)
     return _powers[which][:n]
@@ -56,7 +56,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def blocks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, offsets) for runs of texts of about `size` bytes; one longer text is a block alone."""
     if not len(column):
         return

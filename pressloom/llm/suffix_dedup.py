@@ -20,7 +20,7 @@ from . import anchored, kernels as K
 from .tables import settle, width
 
 WINDOW, ANCHOR = 400, 32
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def suffix_array(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
