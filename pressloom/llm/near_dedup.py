@@ -8,7 +8,8 @@ with a probability of about 3 in a million; every candidate is then confirmed on
 
 Buckets never become all their pairs. Equal word sequences are one node. In each bucket the least
 document is compared with the rest; what that links is united; only members of a bucket that are still in
-different components are compared further, with their signatures, in blocks.
+different components are compared further, in blocks: by signature, and, where that leaves a partner, by
+counting common shingles. Only links that unite two components are given out.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .anchored import whole_groups
 from .tables import settle, width
 
 SHINGLE, PERCENT = 5, 85
 POSITIONS, BITS, RADIUS, CHUNKS = 64, 16, 24, 13
+#: A larger group is split into parts of so many; every two of its parts meet, so no pair is missed.
+MEMBERS = 4_000
 _rng = np.random.default_rng(64_16)
 STEP = _rng.integers(1, 2**62, POSITIONS, dtype=np.int64).astype(K.U) * K.U(2) + K.U(1)
 SHIFT = _rng.integers(1, 2**62, POSITIONS, dtype=np.int64).astype(K.U)
@@ -136,46 +140,68 @@ def _similar(percent: int):
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs of one bucket, in different components, that are near by signature.
+    """From rows sorted by bucket `a`: the members that have a partner in it, near by signature, of another component.
 
-    A pair that shares several buckets comes from the first of them only.
+    A pair that shares several buckets counts in the first of them only. Pairs are not given out.
     """
-    held: list[pa.RecordBatch] = []
-
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, ident, root = (table.column(c).to_numpy() for c in ("key", "id", "root"))
+    for table in whole_groups(batches, 1 << 20):
+        key, root = (table.column(c).to_numpy() for c in ("a", "root"))
         sig = _unpack(table.column("sig"))
-        every = chunk_keys(sig)
+        every, asks = chunk_keys(sig), np.zeros(len(key), bool)
         index, step = np.arange(len(key)), 0
         while len(index):
             step += 1
             index = index[index + step < len(key)]
             index = index[key[index] == key[index + step]]
             for part in np.array_split(index, len(index) // 20_000 + 1):
-                other = part + step
-                apart = root[part] != root[other]
-                part, other = part[apart], other[apart]
-                near = (sig[part] != sig[other]).sum(axis=1) <= RADIUS
-                part, other = part[near], other[near]
-                shared = every[part] == every[other]
-                once = every[part, np.argmax(shared, axis=1)].view(np.int64) == key[part]
-                a, b = ident[part[once]], ident[other[once]]
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                part = part[root[part] != root[part + step]]
+                part = part[(sig[part] != sig[part + step]).sum(axis=1) <= RADIUS]
+                first = np.argmax(every[part] == every[part + step], axis=1)
+                part = part[every[part, first].view(np.int64) == key[part]]
+                asks[part] = asks[part + step] = True
+        yield table.select(["a", "id", "root"]).filter(pa.array(asks)).combine_chunks().to_batches()[0] if asks.any() else pa.RecordBatch.from_pydict({"a": key[:0], "id": key[:0], "root": key[:0]})
 
-    for batch in batches:
-        key = batch.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if cut:
-            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        if len(key) > cut:
-            if held and held[-1].column("key")[0].as_py() != key[cut]:
-                yield from pairs(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(cut))
-    if held:
-        yield from pairs(pa.Table.from_batches(held))
+
+def _linked(percent: int):
+    """From rows sorted by group `a`: links between members of different components, as many as unite them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 1 << 22):
+            key, ident, root = (table.column(c).to_numpy() for c in ("a", "id", "root"))
+            data, at = K.text_bytes(table.column("set"))
+            code, at = data.view(K.U), at // 8
+            found: list[tuple[int, int]] = []
+            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            for low, high in zip(edges, edges[1:]):
+                found += _unite(code[at[low] : at[high]], at[low : high + 1] - at[low], ident[low:high], root[low:high], percent)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _unite(code: np.ndarray, at: np.ndarray, ident: np.ndarray, root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of a group that unite its components. Each member's common shingles with all others are counted
+    at once, from the postings of its shingles."""
+    n, size = len(ident), np.diff(at)
+    _, term = np.unique(code, return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(term, kind="stable")
+    first = np.concatenate(([0], np.cumsum(np.bincount(term))))
+    posting = owner[order]
+    label = np.unique(root, return_inverse=True)[1]
+    out = []
+    for x in range(n - 1):
+        mine = term[at[x] : at[x + 1]]
+        length = first[mine + 1] - first[mine]
+        spot = np.repeat(first[mine] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        both = np.bincount(posting[spot], minlength=n)
+        hit = np.flatnonzero((100 * both >= percent * (size[x] + size - both)) & (label != label[x]))
+        for y in hit:
+            if label[y] != label[x]:
+                out.append((int(ident[x]), int(ident[y])))
+                label[label == label[y]] = label[x]
+    return out
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -236,9 +262,13 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     roots = settle(connected(first))
     placed = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    across = placed.join(mixed, "key").join(sigs, "id").select("key", "id", "root", "sig")
-    across = across.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
-    second = confirmed(across.join(star, ["a", "b"], "left_anti"))
+    across = placed.join(mixed, "key").join(sigs, "id").select(F.col("key").alias("a"), "id", "root", "sig")
+    asking = settle(across.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_across, "a long, id long, root long").distinct())
+    parts = asking.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / MEMBERS)).alias("parts"))
+    own = asking.join(parts, "a").withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select(F.xxhash64("a", F.least("own", "other"), F.greatest("own", "other")).alias("a"), "id", "root")
+    second = met.join(sets, "id").repartition(n, "a").sortWithinPartitions("a").mapInArrow(_linked(percent), "a long, b long")
     roots = connected(first.union(second))
     label = settle(nodes.select("f1", "f2", "id").join(roots, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("root")))
     found = base.join(label, ["f1", "f2"], "left")
