@@ -24,7 +24,10 @@ from .suffix_dedup import SPANS, _span_rows
 from .tables import settle, width
 
 WINDOW, ANCHOR = 13, 5
-SHARD = 1 << 18
+#: Bytes of fragments that a task holds at once, and phrases in one automaton (about 100 MB).
+SHARD, PHRASES = 1 << 18, 20_000
+#: Anchors with more differing fragments are settled by the hash of every window: the exact way for the rest.
+MOST_KINDS = 20_000
 
 
 def _cut(window: int, size: int):
@@ -62,24 +65,29 @@ def _matches(window: int):
             doc, th, low = (table.column(c).to_pylist() for c in ("doc", "th", "low"))
             texts = [x.decode("utf-8", "replace").split(" ") for x in table.column("words").to_pylist()]
             owner: dict[str, int] = {}
+            recurring: set[str] = set()
             for d, words in zip(doc, texts):
                 for i in range(len(words) - window + 1):
                     phrase = f" {' '.join(words[i : i + window])} "
-                    if d < owner.get(phrase, d + 1):
-                        owner[phrase] = d
-            if not owner:
-                continue
-            shard = ahocorasick.Automaton()
-            for phrase, d in owner.items():
-                shard.add_word(phrase, d)
-            shard.make_automaton()
+                    other = owner.setdefault(phrase, d)
+                    if other != d:
+                        recurring.add(phrase)
+                        owner[phrase] = min(other, d)
+            confirmed = sorted(recurring)
+            del recurring
             out: list[tuple] = []
-            for d, t, base, words in zip(doc, th, low, texts):
-                spaces = np.cumsum([len(x) + 1 for x in words])
-                for last, first_doc in shard.iter(f" {' '.join(words)} "):
-                    if first_doc < d:
-                        stop = int(np.searchsorted(spaces, last)) + 1
-                        out.append((d, t, base + stop - window, base + stop))
+            for at in range(0, len(confirmed), PHRASES):
+                shard = ahocorasick.Automaton()
+                for phrase in confirmed[at : at + PHRASES]:
+                    shard.add_word(phrase, owner[phrase])
+                shard.make_automaton()
+                for d, t, base, words in zip(doc, th, low, texts):
+                    spaces = None
+                    for last, first_doc in shard.iter(f" {' '.join(words)} "):
+                        if first_doc < d:
+                            spaces = np.cumsum([len(x) + 1 for x in words]) if spaces is None else spaces
+                            stop = int(np.searchsorted(spaces, last)) + 1
+                            out.append((d, t, base + stop - window, base + stop))
             if out:
                 yield _span_rows(*(np.array(x, np.int64) for x in zip(*out)))
 
@@ -135,7 +143,7 @@ def passage_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) ->
     asked = seen.where("not settled")
     lists = anchored.per_text(asked, "a", "fh", "pos")
     pieces = settle(texts.join(lists, ["__doc", "__th"]).mapInArrow(_cut(window, size), "a long, fh long, doc long, th long, low int, words binary"))
-    large = pieces.groupBy("a").count().where(F.col("count") > anchored.MOST_KINDS).select("a")
+    large = pieces.groupBy("a").count().where(F.col("count") > MOST_KINDS).select("a")
     small = pieces.join(large, "a", "left_anti").repartition(n, "a").sortWithinPartitions("a").mapInArrow(_matches(window), SPANS)
     codes = pieces.join(large, "a", "left_semi").mapInArrow(_windows(window), "code long, doc long, th long, start int")
     owners = codes.groupBy("code").agg(F.min("doc").alias("owner"))
