@@ -1,0 +1 @@
+"""The live feed as a stream."""
