@@ -64,8 +64,8 @@ def word_units(data: np.ndarray, at: np.ndarray, size: int):
 
 
 def per_text(rows: DataFrame, *values: str | Column) -> DataFrame:
-    """The rows of each text (doc, th) as one list `found`; no longer than the text itself."""
-    return rows.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct(*values)).alias("found"))
+    """The rows of each text (doc, th) as one list `__spans`; no longer than the text itself."""
+    return rows.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct(*values)).alias("__spans"))
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:

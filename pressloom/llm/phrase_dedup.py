@@ -31,11 +31,11 @@ MOST_KINDS = 20_000
 
 
 def _cut(window: int, size: int):
-    """The words of each fragment listed in `found`, joined by one space."""
+    """The words of each fragment listed in `__spans`, joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = anchored.lists(batch.column("found"))
+            rows, found = anchored.lists(batch.column("__spans"))
             pos, all_a, all_fh = (found.field(c).to_numpy() for c in ("pos", "a", "fh"))
             ids = {c: batch.column(f"__{c}").to_numpy() for c in ("doc", "th")}
             for first, last, data, at in K.blocks(batch.column("text")):
@@ -152,14 +152,14 @@ def passage_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) ->
 
 
 def marked(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
-    """`docs` with __doc, __th and `found`: the spans of words to remove from each text (null: none)."""
+    """`docs` with __doc, __th and `__spans`: the spans of words to remove from each text (null: none)."""
     spans = settle(passage_spans(docs, window, size))
     return anchored.keyed(docs).join(anchored.per_text(spans, "start", "stop"), ["__doc", "__th"], "left")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, found = anchored.lists(batch.column("found"))
+        rows, found = anchored.lists(batch.column("__spans"))
         starts, stops = found.field("start").to_numpy(), found.field("stop").to_numpy()
         for first, last, data, at in K.blocks(batch.column("text")):
             w = K.Words(data, at)
@@ -180,4 +180,4 @@ def digests(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
     Rows without a doc_id are smaller than none and greater than none: they lose and take nothing. Rows that
     repeat a doc_id are one document's, each judged by its own text.
     """
-    return marked(docs, window, size).select("doc_id", "text", "found").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked(docs, window, size).select("doc_id", "text", "__spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")

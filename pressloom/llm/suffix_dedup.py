@@ -112,12 +112,12 @@ def maximal_repeats(data: np.ndarray, at: np.ndarray, group: np.ndarray, least:
 
 
 def _cut(window: int, size: int):
-    """Fragments of texts around their anchors, as listed in `found`."""
+    """Fragments of texts around their anchors, as listed in `__spans`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = K.text_bytes(batch.column("text"))
-            rows, found = anchored.lists(batch.column("found"))
+            rows, found = anchored.lists(batch.column("__spans"))
             text = np.repeat(np.arange(batch.num_rows), np.diff(rows))
             low, high = anchored.fragment(at[text] + found.field("pos").to_numpy(), at[text], at[text + 1], window, size)
             for part in np.array_split(np.arange(len(text)), len(text) // 4096 + 1):
@@ -209,7 +209,7 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> D
 
 
 def marked(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
-    """`docs` with the columns __doc, __th and `found`: the spans to remove in each text (null: none)."""
+    """`docs` with the columns __doc, __th and `__spans`: the spans to remove in each text (null: none)."""
     spans = settle(repeat_spans(docs, window, size).distinct())
     return anchored.keyed(docs).join(anchored.per_text(spans, "start", "stop"), ["__doc", "__th"], "left")
 
@@ -217,7 +217,7 @@ def marked(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFra
 def _removed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The bytes of each text, and which of them to remove."""
     data, at = K.text_bytes(batch.column("text"))
-    rows, found = anchored.lists(batch.column("found"))
+    rows, found = anchored.lists(batch.column("__spans"))
     start, stop = found.field("start").to_numpy(), found.field("stop").to_numpy()
     for i in range(batch.num_rows):
         n, own = at[i + 1] - at[i], slice(rows[i], rows[i + 1])
@@ -241,7 +241,7 @@ def digests(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
     A string of `window` bytes that starts at two places anywhere goes at both; rows that repeat a document
     count as two documents.
     """
-    return marked(docs, window, size).select("doc_id", "text", "found").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(docs, window, size).select("doc_id", "text", "__spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +254,11 @@ def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole = np.logical_and.reduceat(gone, first)
                 data = data[~np.repeat(whole, np.diff(np.append(first, len(data))))]
             texts.append(None if null else data.tobytes().decode("utf-8", "replace"))
-        yield batch.drop_columns(["found"]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        yield batch.drop_columns(["__spans"]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
 def stripped(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
     """`docs`, its columns kept, with repeats removed from the texts and n_chars, if there, counted anew."""
-    found = marked(docs, window, size).select(*[F.col(f"`{c}`") for c in docs.columns], "found")
+    found = marked(docs, window, size).select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
     out = found.mapInArrow(_kept_texts, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
