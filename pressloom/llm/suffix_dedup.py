@@ -188,12 +188,46 @@ def _windows(window: int):
     return run
 
 
+def _settled_here(window: int, size: int):
+    """Of equal fragments in a batch one row goes on, with their number; the spans of all are settled at once.
+
+    Spans (a is null) are united per text, so that neither a text that repeats itself nor a group of copies
+    sends a row for each occurrence.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, fh, doc, th, pos = (batch.column(c).to_numpy() for c in ("a", "fh", "doc", "th", "pos"))
+            order = np.lexsort((pos, th, doc, fh, a))
+            new = np.ones(len(a), bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (fh[order][1:] != fh[order][:-1])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(a)))
+            one = order[first]
+            several = order[np.repeat(count, count) > 1]
+            several = several[np.lexsort((pos[several], th[several], doc[several]))]
+            start, stop = np.maximum(0, pos[several] - (window - size)), pos[several] + window
+            apart = np.ones(len(several), bool)
+            apart[1:] = (doc[several][1:] != doc[several][:-1]) | (th[several][1:] != th[several][:-1]) | (start[1:] > stop[:-1])
+            head = np.flatnonzero(apart)
+            tail = np.append(head[1:], len(several))[: len(head)] - 1
+            none = np.zeros(len(head), np.int64)
+            columns = [np.concatenate(x) for x in ((a[one], none), (fh[one], none), (doc[one], doc[several][head]), (th[one], th[several][head]), (pos[one], start[head]), (count, none), (np.zeros(len(one), np.int32), stop[tail]))]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+            mask = np.arange(len(one) + len(head)) >= len(one)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(k.to_pandas_dtype()), k, mask=mask if i == 0 else None) for i, (x, k) in enumerate(zip(columns, kinds))], ["a", "fh", "doc", "th", "pos", "n", "stop"])
+
+    return run
+
+
 def repeat_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
     """(doc, th, start, stop): byte spans that repeats of `window` bytes or more cover; they may overlap."""
     n = width(docs.sparkSession)
     texts = anchored.keyed(docs).select("__doc", "__th", "text").where(F.octet_length("text") >= window)
-    rows = settle(texts.mapInArrow(anchored.find(anchored.byte_units, window, size), anchored.ROWS))
-    kinds = settle(rows.groupBy("a", "fh").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("one")))
+    find, here = anchored.find(anchored.byte_units, window, size), _settled_here(window, size)
+    found = settle(texts.mapInArrow(lambda batches: here(find(batches)), anchored.ROWS + ", n long, stop int"))
+    rows, own = found.where("a is not null"), found.where("a is null").select("doc", "th", F.col("pos").alias("start"), "stop")
+    kinds = settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("one")))
     same = rows.join(kinds.where("n > 1").select("a", "fh"), ["a", "fh"], "left_semi")
     same = same.select("doc", "th", F.greatest(F.lit(0), F.col("pos") - (window - size)).alias("start"), (F.col("pos") + window).alias("stop"))
     mixed = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -205,7 +239,7 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> D
     codes = pieces.join(large, "a", "left_semi").mapInArrow(_windows(window), "code long, doc long, th long, start int").distinct()
     twice = codes.groupBy("code").count().where("count > 1").select("code")
     rest = codes.join(twice, "code", "left_semi").select("doc", "th", "start", (F.col("start") + window).alias("stop"))
-    return same.union(small).union(rest)
+    return own.union(same).union(small).union(rest)
 
 
 def marked(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
