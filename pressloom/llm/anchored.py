@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 ROWS = "a long, fh long, doc long, th long, pos int"
-#: An anchor with more different fragments than this is settled by the hash of every window instead, in
-#: rows that Spark deals out evenly; no task holds the texts of such a group together.
-MOST_KINDS = 2_000
+#: A group of more segments is settled in its task by the hash of every window, not by a suffix array; a group of
+#: more than MOST_HELD fragments (about 15 MB) isn't brought together at all: its windows are dealt out by hash.
+MOST_KINDS, MOST_HELD = 1_000, 20_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -150,22 +150,55 @@ def _span_rows(doc, th, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc", "th", "start", "stop"])
 
 
+def _places(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where whole windows start, and the segment that each is in."""
+    counts = np.maximum(0, np.diff(at) - window + 1)
+    seg = np.repeat(np.arange(len(counts)), counts)
+    return at[seg] + np.arange(len(seg)) - (np.cumsum(counts) - counts)[seg], seg
+
+
+def duplicated(data: np.ndarray, at: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """Which bytes lie in a window whose hash is found twice in its group."""
+    start, seg = _places(at, window)
+    code = K.spans(K.prefix(data), start, start + window) ^ K.mix(group[seg].astype(K.U))
+    order = np.argsort(code)
+    same = code[order][1:] == code[order][:-1]
+    twice = start[order[np.append(same, False) | np.append(False, same)]] if len(order) else start
+    return K.covered(len(data), twice, twice + window)
+
+
+def _runs_within(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of true values that end where a segment does."""
+    edge = np.zeros(len(mask) + 1, bool)
+    edge[at] = True
+    before, after = np.append(False, mask[:-1]), np.append(mask[1:], False)
+    return np.flatnonzero(mask & (~before | edge[:-1])), np.flatnonzero(mask & (~after | edge[1:])) + 1
+
+
 def _repeats(window: int):
-    """All occurrences of the maximal repeats within each group."""
+    """All occurrences of the maximal repeats within each group.
+
+    Bytes outside windows whose hash is found twice can't be in a repeat, so suffix arrays are built over the
+    rest. Groups of more than anchored.MOST_KINDS segments are settled by those hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in anchored.whole_groups(batches, BLOCK):
             data, at, group, doc, th, low = _segments(table)
-            first, stop = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
-            for length, places in maximal_repeats(data, at, group, window):
-                np.maximum.at(stop, places, places + length)
-            first = np.flatnonzero(stop)
-            if len(first):
-                hit = K.covered(len(data), first, stop[first])
-                edge = np.zeros(len(data) + 1, bool)
-                edge[at] = True
-                inner = np.concatenate(([False], hit[:-1])) & ~edge[:-1]
-                start, end = np.flatnonzero(hit & ~inner), np.flatnonzero(hit & ~np.append((hit & inner)[1:], False)) + 1
+            hit = duplicated(data, at, group, window)
+            large = np.bincount(group)[group] > anchored.MOST_KINDS
+            start, end = _runs_within(hit & ~np.repeat(large, np.diff(at)), at)
+            if len(start):
+                inside = np.searchsorted(at, start, "right") - 1
+                own = np.concatenate(([0], np.cumsum(end - start)))
+                rest = K.covered(len(data), start, end)
+                stop = np.zeros(own[-1] + 1, np.int64)
+                for length, places in maximal_repeats(data[rest], own, group[inside], window):
+                    np.maximum.at(stop, places, places + length)
+                first = np.flatnonzero(stop)
+                hit[rest] = K.covered(own[-1], first, stop[first])
+            start, end = _runs_within(hit, at)
+            if len(start):
                 seg = np.searchsorted(at, start, "right") - 1
                 yield _span_rows(doc[seg], th[seg], low[seg] + start - at[seg], low[seg] + end - at[seg])
 
@@ -178,10 +211,9 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in K.blocks(batch.column("piece")):
-                counts = np.maximum(0, np.diff(at) - window + 1)
-                seg = np.repeat(np.arange(last - first), counts)
-                start = np.arange(len(seg)) - (np.cumsum(counts) - counts)[seg]
-                code = K.spans(K.prefix(data), at[seg] + start, at[seg] + start + window)
+                place, seg = _places(at, window)
+                start = place - at[seg]
+                code = K.spans(K.prefix(data), place, place + window)
                 ids = [batch.column(c).to_numpy()[first:last][seg] for c in ("doc", "th", "low")]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (K.i64(code), ids[0], ids[1], (ids[2] + start).astype(np.int32))], ["code", "doc", "th", "start"])
 
@@ -234,7 +266,7 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> D
     asked = kinds.join(mixed, "a").select("a", "kinds", "one.*")
     lists = anchored.per_text(asked, "a", "pos")
     pieces = settle(texts.join(lists, ["__doc", "__th"]).mapInArrow(_cut(window, size), "a long, doc long, th long, low int, piece binary"))
-    large = mixed.where(F.col("kinds") > anchored.MOST_KINDS).select("a")
+    large = mixed.where(F.col("kinds") > anchored.MOST_HELD).select("a")
     small = pieces.join(large, "a", "left_anti").repartition(n, "a").sortWithinPartitions("a", "doc", "th", "low", F.length("piece")).mapInArrow(_repeats(window), SPANS)
     codes = pieces.join(large, "a", "left_semi").mapInArrow(_windows(window), "code long, doc long, th long, start int").distinct()
     twice = codes.groupBy("code").count().where("count > 1").select("code")

@@ -129,8 +129,9 @@ def test_suffix_dedup(docs, texts, empty, monkeypatch):
                 gone[k : k + 400] = True
         spans = int(gone[:1].sum() + (np.diff(gone.astype(int)) == 1).sum())
         want.append((len(b), int(gone.sum()), spans, sha(np.frombuffer(b, np.uint8)[~gone].tobytes())))
-    for kinds in (anchored.MOST_KINDS, 2):
+    for kinds, held in ((anchored.MOST_KINDS, anchored.MOST_HELD), (2, anchored.MOST_HELD), (2, 2)):
         monkeypatch.setattr(anchored, "MOST_KINDS", kinds)
+        monkeypatch.setattr(anchored, "MOST_HELD", held)
         got = rows_of(suffix_dedup.digests(docs))
         assert [tuple(got[i])[1:] for i in range(len(texts))] == want
     out = suffix_dedup.stripped(docs)
