@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import serving, texts
+from ..operators import serving, texts, triage
 from . import oracle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(serving, name, None) or getattr(texts, name) for name in oracle.SQL}
+    found = {name: next(getattr(m, name) for m in (serving, texts, triage) if hasattr(m, name)) for name in oracle.SQL}
+    return found | {"triage_labels": triage.triage_labels}  # greedy clusters, which SQL can't express
 
 
 def oracle_sql() -> dict[str, str]:

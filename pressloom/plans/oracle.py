@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+from ..functions import vocabulary as V
+from ..functions.scoring import SPACE
 from ..functions.text import BASE, MARKED
 from ..operators.texts import STOP
-from ..sources.tables import COMPANIES, TEMPLATES
+from ..operators.triage import STATES, STEPS
+from ..sources.tables import COMPANIES, EVENT_KINDS, SOURCE_DOMAINS, SOURCE_KINDS, SOURCE_NAMES, TEMPLATES
 
 _list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 FEED = "feed AS (SELECT event_id AS id, ts, value AS priority, event_type AS section, event_id AS article_id, user_id || '|' || event_type AS event_key, user_id, max(ts) OVER () AS as_of FROM events)"
 ARTICLES = """articles AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'live' WHEN 'O' THEN 'draft' ELSE 'archived' END AS status,
   CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 101 END AS score, o_orderdate AS published, starts_with(o_orderpriority, '1') AS pinned, o_orderkey % 20 AS pin_place, o_custkey AS source_id, max(o_orderdate) OVER () AS as_of FROM orders)"""
 HEADLINES = f"""h AS (SELECT event_id AS id, replace({_list(TEMPLATES)}[json_extract(props, '$.k')::BIGINT % {len(TEMPLATES)} + 1], '{{company}}', {_list(COMPANIES)}[user_id % {len(COMPANIES)} + 1]) AS title,
-  ts AS published, event_type AS source_kind, value AS score, user_id FROM events)"""
+  ts AS published, event_type AS source_kind, value AS score, user_id, json_extract(props, '$.k')::BIGINT AS k FROM events)"""
 PLAIN = f"trim(regexp_replace(translate(lower(title), '{MARKED}', '{BASE}'), '[^a-z0-9æøå]+', ' ', 'g'))"
 TOKENS = f"list_filter(string_split({PLAIN}, ' '), lambda x: length(x) >= 3 AND NOT list_contains({_list(STOP)}, x))"
 DISTINCT = f"list_filter({TOKENS}, lambda x, i: list_position({TOKENS}, x) = i)"
+_pick = lambda xs, n: f"{_list(xs)}[{n} % {len(xs)} + 1]"
+RADAR = f"""{HEADLINES}, r AS (SELECT id, title || ' ' AS text, published, score, k * 37 % 100 AS attention, k * 53 % 100 AS numbers, {_pick(SOURCE_NAMES, "user_id")} AS name, {_pick(SOURCE_KINDS, "user_id")} AS kind,
+  regexp_replace({_pick(SOURCE_DOMAINS, "user_id")}, '^www[.]', '') AS domain, {_pick(EVENT_KINDS, "k")} AS type, (epoch(max(published) OVER ()) - epoch(published)) / 3600 AS age FROM h)"""
+
+
+def _hit(pattern: str, text: str = "text") -> str:
+    quoted = pattern.replace(r"\s", SPACE).replace("'", "''")
+    return f"regexp_matches({text}, '(?i){quoted}')"
+
+
+def _hits(patterns: list[str]) -> str:
+    return "(" + " + ".join(f"{_hit(p)}::INT" for p in patterns) + ")"
+
+
+TRIAGE_COUNTS = ", ".join(f"{_hits(getattr(V, f'TRIAGE_{x}'))} AS {y}" for x, y in (
+    ("CORPORATE_FINANCE", "corporate"), ("MARKET_MACRO", "macro"), ("MAJOR_COMPANY", "company"), ("MAJOR_FIGURE", "figure"), ("BASIC_FINANCE", "basic"), ("MARKET_MOVE", "move"), ("ATTENTION", "alert"), ("NOISE", "noise"),
+))
+AUDIENCE = f"""a AS (SELECT *, {_hit(V.AUDIENCE_NORWEGIAN)} AS norwegian, {_hit(V.AUDIENCE_GLOBAL)} AS global, {_hit(V.AUDIENCE_EVENT)} OR list_contains({_list(V.CONCRETE_TYPES)}, type) AS concrete, {_hit(V.AUDIENCE_NOISE)} AS advert FROM r),
+  b AS (SELECT *, NOT advert AND concrete AND (norwegian OR global) AS eligible FROM a), c AS (SELECT *, CASE WHEN NOT eligible THEN 0 WHEN norwegian THEN 90 ELSE 70 END AS audience_score FROM b)"""
 TITLE = "regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"
 DOMAIN = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '')"
 
@@ -78,4 +100,26 @@ SQL = {
     "quote_evidence": r"""WITH b AS (SELECT item_id, trim(regexp_extract(text, '^([^.]{12,}\.)', 1)) AS quote FROM benchmark) SELECT item_id, (SELECT count(*) FROM documents WHERE contains(text, quote)) AS documents FROM b WHERE quote <> ''""",
     "source_quality": "SELECT source, count(*) AS documents, count(quality) AS labelled, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, sum(n_chars)::BIGINT AS chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "exact_copies": "SELECT sha256(text) AS text_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "relevance_filter": f"""WITH {RADAR}, x AS (SELECT id, name, text, {_hits(V.STRONG)} AS strong, {_hits(V.COMPANY)} AS company, {_hits(V.ATTENTION)} AS alert, {_hits(V.BROAD)} AS broad, {_hits(V.NOISE)} AS noise FROM r)
+  SELECT id, CASE WHEN trim(text) = '' THEN false WHEN {_hit("E24 – Aksjetips", "name")} OR company >= 1 AND (strong >= 1 OR alert >= 1) OR strong >= 2 OR strong >= 1 AND (noise = 0 OR broad >= 1) THEN true
+  WHEN {_hit("GDELT|Google News", "name")} THEN (strong >= 1 OR broad >= 1 OR company >= 1 AND alert >= 1) AND noise = 0
+  WHEN {_hit("CNBC|Yahoo Finance|Financial Times|WSJ|Economist", "name")} THEN (strong >= 1 OR company >= 1 OR alert >= 1 OR broad >= 2) AND noise = 0
+  WHEN {_hit("Federal Reserve|ECB", "name")} THEN strong >= 1 OR broad >= 1
+  WHEN {_hit("E24 – Børs og finans|E24 – Makro og politikk|Dagens Næringsliv", "name")} THEN broad >= 2 AND noise = 0 ELSE false END AS relevant FROM x""",
+    "audience_assess": f"WITH {RADAR}, {AUDIENCE} SELECT id, eligible, norwegian, global, concrete, audience_score AS score FROM c",
+    "triage_priority": f"""WITH {RADAR}, x AS (SELECT id, text, name, age, {TRIAGE_COUNTS}, CASE WHEN contains(kind, 'official') THEN 22 WHEN list_contains({_list(V.TRUSTED_DOMAINS)}, domain) THEN 18
+  WHEN kind = 'global-rss' THEN 14 WHEN kind = 'rss' THEN 11 WHEN kind = 'news-index' THEN 8 WHEN kind = 'news-aggregator' THEN 4 ELSE 6 END AS rank FROM r),
+  y AS (SELECT *, greatest(0, least(100, floor(rank + greatest(0, 10 - greatest(0, age) * 0.5::DOUBLE) + (least(42, 24 * corporate) + least(36, 22 * macro) + CASE WHEN company > 0 THEN 24 ELSE 0 END + CASE WHEN figure > 0 THEN 20 ELSE 0 END
+  + least(16, 8 * basic) + CASE WHEN move > 0 THEN 18 ELSE 0 END + least(14, 8 * alert) - least(70, 45 * noise)) + 0.5::DOUBLE)))::BIGINT AS priority, {_hit(V.FINANCE_DESK, "name")} AS desk FROM x),
+  z AS (SELECT *, corporate > 0 OR macro > 0 OR move > 0 OR basic > 0 AND (desk OR rank >= 14) OR figure > 0 AND (desk OR alert > 0) OR company > 0 AND {_hit(V.MONEY_WORDS)} AS explicit_finance FROM y)
+  SELECT id, rank, priority, explicit_finance, noise::BIGINT AS noise, NOT explicit_finance OR noise > 0 AND priority < 45 OR priority < 22 AS dropped FROM z""",
+    "editorial_priority": f"""WITH {RADAR}, {AUDIENCE}, x AS (SELECT *, CASE WHEN contains(kind, 'official') THEN 6 WHEN list_contains({_list(V.SELECTION_DOMAINS)}, domain) THEN 5 WHEN kind = 'global-rss' THEN 4 WHEN kind = 'rss' THEN 3 WHEN kind = 'news-aggregator' THEN 1 ELSE 2 END AS rank FROM c)
+  SELECT id, round(coalesce(score, 0) * 0.35::DOUBLE + attention * 0.15::DOUBLE + numbers * 0.10::DOUBLE + audience_score * 0.30::DOUBLE + greatest(0, 10 - age * 0.55::DOUBLE) + rank * 2.8::DOUBLE, 4) AS editorial_priority FROM x""",
+    "queue_fold": f"""WITH e AS (SELECT *, json_extract(props, '$.k')::BIGINT AS k, max(ts) OVER () AS as_of FROM events), q AS (SELECT user_id AS desk, event_id AS id, {_pick(STATES, "k")} AS state, {_pick(STEPS, "event_id")} AS own, event_id % 2 = 0 AS waiting, k % 5 AS attempts,
+  event_id % 3 = 0 AND epoch(ts) + k * 86400 > epoch(as_of) AS leased, event_id % 4 = 0 AND epoch(ts) + k * 86400 > epoch(as_of) AS later, event_id % 5 = 0 AND event_id IN (SELECT o_orderkey FROM orders) AS made FROM e),
+  s AS (SELECT *, CASE WHEN state IN ('selected', 'researching') THEN 'research' WHEN state IN ('ready', 'writing') THEN 'write' WHEN state = 'verifying' OR state = 'review' AND waiting THEN 'verify' WHEN state = 'failed' AND own <> 'other' THEN own END AS step FROM q),
+  t AS (SELECT *, CASE WHEN state = 'blocked' THEN 'blocked' WHEN leased THEN 'busy' WHEN step IS NULL AND state = 'failed' THEN 'failed' WHEN step IS NULL THEN 'none' WHEN attempts >= 3 THEN 'failed' WHEN later THEN 'deferred_' || step ELSE step END AS kind FROM s),
+  u AS (SELECT desk, count(*) FILTER (made) AS drafts, greatest(0, 3 - count(*) FILTER (made)) AS room, coalesce(list(id ORDER BY id) FILTER (kind = 'write'), []) AS ids, count(*) FILTER (kind = 'research') AS r, count(*) FILTER (kind = 'verify') AS verify,
+  count(*) FILTER (kind = 'deferred_research') AS dr, count(*) FILTER (kind = 'deferred_write') AS dw, count(*) FILTER (kind = 'deferred_verify') AS deferred_verify, count(*) FILTER (kind = 'busy') AS busy, count(*) FILTER (kind = 'blocked') AS blocked, count(*) FILTER (kind = 'failed') AS failed FROM t GROUP BY desk)
+  SELECT desk, drafts, CASE WHEN room > 0 THEN r ELSE 0 END AS research, least(room, len(ids)) AS write, verify, CASE WHEN room > 0 THEN dr ELSE 0 END AS deferred_research, CASE WHEN room > 0 THEN dw ELSE 0 END AS deferred_write, deferred_verify, busy, blocked, failed, array_to_string(ids[1:room], ',') AS ids FROM u""",
 }

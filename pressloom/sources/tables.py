@@ -41,11 +41,26 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     title = F.regexp_replace(F.get(F.array(*map(F.lit, TEMPLATES)), (k % len(TEMPLATES)).cast("int")), r"\{company\}", F.get(F.array(*map(F.lit, COMPANIES)), (F.col("user_id") % len(COMPANIES)).cast("int")))
-    return e.select(F.col("event_id").alias("id"), title.alias("title"), F.col("ts").alias("published"), F.col("event_type").alias("source_kind"), F.col("value").alias("score"), F.col("user_id"))
+    return e.select(F.col("event_id").alias("id"), title.alias("title"), F.col("ts").alias("published"), F.col("event_type").alias("source_kind"), F.col("value").alias("score"), F.col("user_id"), k.alias("k"))
+
+
+def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines with a source (name, kind, domain), a type of event and two further scores, made from the event's numbers."""
+    pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (n % len(xs)).cast("int"))
+    user, h = F.col("user_id"), headlines(spark, sf_dir).drop("source_kind")
+    return h.select(
+        "*", pick(SOURCE_NAMES, user).alias("source_name"), pick(SOURCE_KINDS, user).alias("source_kind"), pick(SOURCE_DOMAINS, user).alias("source_domain"),
+        pick(EVENT_KINDS, F.col("k")).alias("candidate_type"), (F.col("k") * 37 % 100).alias("attention"), (F.col("k") * 53 % 100).alias("numbers"),
+    )
 
 
 TEMPLATES = [
     "{company} raised its dividend after record results", "{company} cutting 200 jobs in Oslo", "New chief executive takes over at {company}",
     "Central bank raises key rate to 4.5 percent", "Oil price falls as output grows", "Local football club wins again", "{company} results beat forecasts by 12 percent",
+    "Økonomien bremser og markedet venter rentekutt", "{company} shares surge 12 % after profit warning", "Warren Buffett buys a record stake in Apple", "Best stocks to buy now", "Film, restaurant og ferie: tips før skole", "Norges Bank hever styringsrenten",
 ]
 COMPANIES = ["Nordlys Shipping", "Fjordkraft Energi", "Havbruk Seafood", "Bergtind Bank", "Skogen Papir"]
+SOURCE_NAMES = ["Google News", "CNBC", "ECB", "E24 – Børs og finans", "E24 – Aksjetips", "Dagens Næringsliv", "Local Times"]
+SOURCE_KINDS = ["news-index", "global-rss", "official", "rss", "rss", "fast-news-aggregator", "news-aggregator"]
+SOURCE_DOMAINS = ["reuters.com", "www.dn.no", "example.com", "ssb.no"]
+EVENT_KINDS = ["resultat", "annet", "renter", "sport"]

@@ -13,7 +13,7 @@ def plain(rows, columns):
     return sorted(str([round(float(r[i]), 5) if isinstance(r[i], float) else str(r[i]) for i in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("customer", "nation", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"):
