@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -29,10 +29,28 @@ def joined(title: Column, summary: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit("")))
 
 
-def relevant(text: Column, source_name: Column) -> Column:
-    """Whether an item belongs on a finance desk; the last rules depend on its source."""
-    name, text = F.coalesce(source_name, F.lit("")), F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
-    strong, company, attention, broad, noise = (hits(text, x) for x in (V.STRONG, V.COMPANY, V.ATTENTION, V.BROAD, V.NOISE))
+def with_hits(items: DataFrame, text: Column, groups: dict[str, list[str]]) -> DataFrame:
+    """`items` with __text and, for each group of patterns, its count. Rules refer to counts many times; as columns of
+    a projection of their own they are computed once and the generated code stays small."""
+    return items.withColumn("__text", text).withColumns({f"__{name}": hits(F.col("__text"), patterns) for name, patterns in groups.items()})
+
+
+RELEVANCE = {"strong": V.STRONG, "company": V.COMPANY, "attention": V.ATTENTION, "broad": V.BROAD, "noise": V.NOISE}
+TRIAGE = {
+    "corporate": V.TRIAGE_CORPORATE_FINANCE, "macro": V.TRIAGE_MARKET_MACRO, "company": V.TRIAGE_MAJOR_COMPANY, "figure": V.TRIAGE_MAJOR_FIGURE,
+    "basic": V.TRIAGE_BASIC_FINANCE, "move": V.TRIAGE_MARKET_MOVE, "attention": V.TRIAGE_ATTENTION, "noise": V.TRIAGE_NOISE,
+}
+
+
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
+def relevant(source_name: Column) -> Column:
+    """Whether an item belongs on a finance desk, from the counts of RELEVANCE in its squeezed text (see with_hits);
+    the last rules depend on its source."""
+    name = F.coalesce(source_name, F.lit(""))
+    strong, company, attention, broad, noise = (F.col(f"__{x}") for x in RELEVANCE)
     some = (strong >= 1) | (broad >= 1)
     anywhere = ((company >= 1) & ((strong >= 1) | (attention >= 1))) | (strong >= 2) | ((strong >= 1) & ((noise == 0) | (broad >= 1)))
     by_source = (
@@ -42,7 +60,7 @@ def relevant(text: Column, source_name: Column) -> Column:
         .when(hit(name, "E24 – Børs og finans|E24 – Makro og politikk|Dagens Næringsliv"), (broad >= 2) & (noise == 0))
         .otherwise(False)
     )
-    return F.when(text == "", False).when(hit(name, "E24 – Aksjetips"), True).otherwise(anywhere | by_source)
+    return F.when(F.col("__text") == "", False).when(hit(name, "E24 – Aksjetips"), True).otherwise(anywhere | by_source)
 
 
 def bare_domain(domain: Column) -> Column:
@@ -55,17 +73,17 @@ def triage_rank(kind: Column, domain: Column) -> Column:
     return F.when(kind.contains("official"), 22).when(bare_domain(domain).isin(V.TRUSTED_DOMAINS), 18).otherwise(known)
 
 
-def triage(text: Column, source_name: Column, rank: Column, age_hours: Column) -> tuple[Column, Column, Column]:
-    """Priority (0 to 100), whether the text is about finance explicitly, and how many noise patterns it matches."""
-    count = {x: hits(text, getattr(V, f"TRIAGE_{x}")) for x in ("CORPORATE_FINANCE", "MARKET_MACRO", "MAJOR_COMPANY", "MAJOR_FIGURE", "BASIC_FINANCE", "MARKET_MOVE", "ATTENTION", "NOISE")}
-    corporate, macro, company, figure, basic, move, attention, noise = count.values()
+def triage(source_name: Column, rank: Column, age_hours: Column) -> tuple[Column, Column, Column]:
+    """Priority (0 to 100), whether the text is about finance explicitly, and how many noise patterns it matches:
+    from the counts of TRIAGE (see with_hits)."""
+    corporate, macro, company, figure, basic, move, attention, noise = (F.col(f"__{x}") for x in TRIAGE)
     capped = lambda most, each, n: F.least(F.lit(most), each * n)
     flag = lambda n, worth: F.when(n > 0, worth).otherwise(0)
     words = capped(42, 24, corporate) + capped(36, 22, macro) + flag(company, 24) + flag(figure, 20) + capped(16, 8, basic) + flag(move, 18) + capped(14, 8, attention) - capped(70, 45, noise)
     fresh = F.greatest(F.lit(0.0), 10 - F.greatest(F.lit(0.0), age_hours) * 0.5)
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(rank + fresh + words + 0.5))).cast("long")
     desk = hit(F.coalesce(source_name, F.lit("")), V.FINANCE_DESK)
-    explicit = (corporate > 0) | (macro > 0) | (move > 0) | ((basic > 0) & (desk | (rank >= 14))) | ((figure > 0) & (desk | (attention > 0))) | ((company > 0) & hit(text, V.MONEY_WORDS))
+    explicit = (corporate > 0) | (macro > 0) | (move > 0) | ((basic > 0) & (desk | (rank >= 14))) | ((figure > 0) & (desk | (attention > 0))) | ((company > 0) & hit(F.col("__text"), V.MONEY_WORDS))
     return score, explicit, noise
 
 

@@ -20,8 +20,13 @@ def _text() -> Column:
     return S.joined(F.col("title"), F.lit(None).cast("string"))
 
 
+def judged(items: DataFrame) -> DataFrame:
+    """`items` (title, source_name) with `relevant`."""
+    return S.with_hits(items, S.squeezed(_text()), S.RELEVANCE).select(*[f"`{c}`" for c in items.columns], S.relevant(F.col("source_name")).alias("relevant"))
+
+
 def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
-    return radar(spark, d).select("id", S.relevant(_text(), F.col("source_name")).alias("relevant"))
+    return judged(radar(spark, d)).select("id", "relevant")
 
 
 def audience_assess(spark: SparkSession, d: str) -> DataFrame:
@@ -31,8 +36,9 @@ def audience_assess(spark: SparkSession, d: str) -> DataFrame:
 def triaged(items: DataFrame) -> DataFrame:
     """`items` (title, source_name, source_kind, source_domain, published, as_of) with rank, priority and `dropped`."""
     ranked = items.withColumn("rank", S.triage_rank(F.col("source_kind"), F.col("source_domain")))
-    score, explicit, noise = S.triage(_text(), F.col("source_name"), F.col("rank"), F.coalesce(_age(), F.lit(24.0)))
-    scored = ranked.withColumns({"priority": score, "explicit_finance": explicit, "noise": noise})
+    score, explicit, noise = S.triage(F.col("source_name"), F.col("rank"), F.coalesce(_age(), F.lit(24.0)))
+    counted = S.with_hits(ranked, _text(), S.TRIAGE)
+    scored = counted.select(*[f"`{c}`" for c in ranked.columns], score.alias("priority"), explicit.alias("explicit_finance"), noise.alias("noise"))
     return scored.withColumn("dropped", F.expr("not explicit_finance or (noise > 0 and priority < 45) or priority < 22"))
 
 

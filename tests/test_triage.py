@@ -16,7 +16,8 @@ def test_relevance_and_audience(spark):
     ]
     df = spark.createDataFrame(rows, "title string, source string, relevant boolean, eligible boolean")
     text = S.joined(F.col("title"), F.lit(None).cast("string"))
-    got = df.select("title", "relevant", S.relevant(text, F.col("source")).alias("r"), "eligible", S.audience(text, F.lit(None).cast("string"))["eligible"].alias("e")).collect()
+    judged = triage.judged(df.withColumnRenamed("relevant", "wanted").withColumnRenamed("source", "source_name"))
+    got = judged.select("title", F.col("wanted").alias("relevant"), F.col("relevant").alias("r"), "eligible", S.audience(text, F.lit(None).cast("string"))["eligible"].alias("e")).collect()
     assert [(r.title, r.r, r.e) for r in got] == [(r.title, r.relevant, r.eligible) for r in got]
 
 
