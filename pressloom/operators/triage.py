@@ -54,23 +54,27 @@ def editorial_priority(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", F.round(parts + fresh + S.selection_rank(F.col("source_kind"), F.col("source_domain")) * 2.8, 4).alias("editorial_priority"))
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Give each row of a run, in order, to the cluster with its most similar member, or to a new one."""
-    rows = rows.sort_values("place").reset_index(drop=True)
-    n = len(rows)
-    sets = [set(w) for w in rows["words"]]
+def alike(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Of each two rows: the similarity of their words, and how many they share."""
+    sets = [set(w) for w in words]
     number = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
-    has = np.zeros((n, len(number)), np.int32)
-    for i, words in enumerate(sets):
-        has[i, [number[w] for w in words]] = 1
+    has = np.zeros((len(sets), len(number)), np.int32)
+    for i, own in enumerate(sets):
+        has[i, [number[w] for w in own]] = 1
     size, both = has.sum(axis=1), has @ has.T
     with np.errstate(divide="ignore", invalid="ignore"):
-        alike = np.nan_to_num(np.maximum(both / np.minimum.outer(size, size), both / (np.add.outer(size, size) - both) * 1.35))
+        return np.nan_to_num(np.maximum(both / np.minimum.outer(size, size), both / (np.add.outer(size, size) - both) * 1.35)), both
+
+
+def _fold(rows: pd.DataFrame) -> pd.DataFrame:
+    """Give each row of a run, in order, to the cluster with its most similar member, or to a new one."""
+    rows = rows.sort_values("place").reset_index(drop=True)
+    n, (similar, _) = len(rows), alike(rows["words"])
     when, value = rows["second"].to_numpy(), (rows["priority"] + 1.4 * rows["rank"]).to_numpy()
     cluster, lead = np.empty(n, np.int64), []
     for i in range(n):
         best = np.zeros(len(lead))
-        np.maximum.at(best, cluster[:i], alike[i, :i])
+        np.maximum.at(best, cluster[:i], similar[i, :i])
         c = int(best.argmax()) if lead else -1
         if lead and (best[c] >= 0.70 or (best[c] >= 0.52 and abs(when[i] - when[lead[c]]) <= 24 * 3600)):
             lead[c] = i if value[i] > value[lead[c]] else lead[c]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import vocabulary as V
 from ..functions.scoring import SPACE
 from ..functions.text import BASE, MARKED
+from ..operators.gates import SECTIONS
 from ..operators.texts import STOP
 from ..operators.triage import STATES, STEPS
 from ..sources.tables import COMPANIES, EVENT_KINDS, SOURCE_DOMAINS, SOURCE_KINDS, SOURCE_NAMES, TEMPLATES
@@ -57,6 +58,10 @@ def _escaped(x: str) -> str:
 
 CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:(?i)utm_[a-z]+|fbclid|gclid|cmpid|ref|source)=[^&]*', '\1', 'g'), '[&]+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+$', '')"
 
+_squeezed = lambda text: f"trim(regexp_replace(coalesce({text}, ''), '{SPACE}+', ' ', 'g'))"
+_when = lambda holds, name: f"CASE WHEN {holds} THEN '{name}' END"
+_dated = lambda unknown: f"CASE WHEN {unknown} THEN 'original_date_unverified' WHEN i % 23 = 0 THEN 'original_date_in_future' WHEN i % 40 > 36 THEN 'event_expired' END"
+_proof = lambda n, elsewhere: _when(f"i % 17 = 0 OR {elsewhere} OR length(q{n}) < 12 OR NOT contains(t, q{n})", f"evidence_missing:{n}") + ", " + _when(f"i % 17 = 0 OR {elsewhere} OR i % 4 = 2", f"source_untrusted:{n}")
 SQL = {
     "live_feed_top12": f"WITH {FEED}, {ARTICLES} SELECT f.id, ts, priority, section, article_id, a.score AS article_score FROM feed f LEFT JOIN articles a ON a.id = f.article_id AND a.status = 'live' WHERE ts >= f.as_of - INTERVAL 2 HOUR ORDER BY ts DESC, priority DESC NULLS LAST, f.id DESC LIMIT 12",
     "front_page_rank": f"""WITH {ARTICLES} SELECT id, published, published + INTERVAL 2 HOUR > as_of AS breaking, pinned, CASE WHEN pinned THEN pin_place END AS place,
@@ -122,4 +127,14 @@ SQL = {
   u AS (SELECT desk, count(*) FILTER (made) AS drafts, greatest(0, 3 - count(*) FILTER (made)) AS room, coalesce(list(id ORDER BY id) FILTER (kind = 'write'), []) AS ids, count(*) FILTER (kind = 'research') AS r, count(*) FILTER (kind = 'verify') AS verify,
   count(*) FILTER (kind = 'deferred_research') AS dr, count(*) FILTER (kind = 'deferred_write') AS dw, count(*) FILTER (kind = 'deferred_verify') AS deferred_verify, count(*) FILTER (kind = 'busy') AS busy, count(*) FILTER (kind = 'blocked') AS blocked, count(*) FILTER (kind = 'failed') AS failed FROM t GROUP BY desk)
   SELECT desk, drafts, CASE WHEN room > 0 THEN r ELSE 0 END AS research, least(room, len(ids)) AS write, verify, CASE WHEN room > 0 THEN dr ELSE 0 END AS deferred_research, CASE WHEN room > 0 THEN dw ELSE 0 END AS deferred_write, deferred_verify, busy, blocked, failed, array_to_string(ids[1:room], ',') AS ids FROM u""",
+    "research_gate": f"""WITH d AS (SELECT doc_id AS i, {_squeezed("text")} AS t, {_squeezed("substring(text, 1, 40)")} AS q1, CASE WHEN doc_id % 3 = 0 THEN 'no such words at all' ELSE {_squeezed("substring(text, 10, 30)")} END AS q2, {_squeezed("substring(text, 1, 30)")} AS q3 FROM documents),
+  r AS (SELECT i, list_filter([{_when("i % 10 = 0", "audience_relevance_missing")}, {_when("i % 17 = 0 OR i % 4 = 2", "source_not_verified")}, {_when("i % 13 = 0", "source_is_index")}, {_dated("i % 19 = 0")},
+  {_when("i % 29 = 0", "research_declined")}, {_when("i % 31 = 0", "event_mismatch")}, {_when("i % 37 = 0 OR 50 + i % 50 < 70", "insufficient_facts")},
+  {_proof(1, "false")}, {_proof(2, "false")}, {_proof(3, "i % 5 = 0")}, {_when("i % 7 = 0 OR i % 11 = 0", "headline_evidence_missing")}], lambda x: x IS NOT NULL) AS reasons FROM d)
+  SELECT i AS id, coalesce(array_to_string(reasons, ','), '') AS reasons, len(reasons) = 0 AS passed FROM r""",
+    "publication_gate": f"""WITH r AS (SELECT o_orderkey AS i, list_filter([{_when("i % 43 = 0", "case_version_missing")}, {_when("i % 7 = 0", "research_not_approved")}, {_when("i % 10 = 0", "audience_relevance_missing")}, {_dated("i % 19 = 0 OR i % 9 = 0")},
+  {_when("i % 8 = 0", "verification_required")}, {_when("i % 3 = 0", "article_not_verified")}, {_when("i % 6 = 0 OR i % 21 = 0", "draft_changed")}, {_when("i % 5 = 0", "fact_pack_changed")}], lambda x: x IS NOT NULL) AS reasons FROM orders)
+  SELECT i AS id, coalesce(array_to_string(reasons, ','), '') AS reasons, len(reasons) = 0 AS passed FROM r""",
+    "reply_check": f"""WITH e AS (SELECT *, json_extract(props, '$.k')::BIGINT AS k, event_id % 9 <> 0 AND event_id % 14 <> 0 AND k % 4 <> 3 AND k % 12 <> 0 AS valid FROM events)
+  SELECT event_id AS id, CASE WHEN valid THEN greatest(0, least(100, floor(value - 10 + 0.5)))::BIGINT END AS score, CASE WHEN valid THEN {_list(SECTIONS)}[k % 4 + 1] END AS section, CASE WHEN valid THEN 'because of ' || event_type END AS reason, NOT valid AS deferred FROM e WHERE k % 10 <> 0""",
 }
