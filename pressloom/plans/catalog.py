@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import gates, selection, serving, texts, triage
+from ..sources import feeds
 from . import oracle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name: next(getattr(m, name) for m in (gates, serving, texts, triage) if hasattr(m, name)) for name in oracle.SQL}
+    found = {name: next(getattr(m, name) for m in (feeds, gates, serving, texts, triage) if hasattr(m, name)) for name in oracle.SQL}
     # Greedy clusters and picks depend on order, which SQL can't express.
     return found | {"triage_labels": triage.triage_labels, "diversified_pick": selection.diversified_pick}
 

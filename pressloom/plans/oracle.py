@@ -137,4 +137,6 @@ SQL = {
   SELECT i AS id, coalesce(array_to_string(reasons, ','), '') AS reasons, len(reasons) = 0 AS passed FROM r""",
     "reply_check": f"""WITH e AS (SELECT *, json_extract(props, '$.k')::BIGINT AS k, event_id % 9 <> 0 AND event_id % 14 <> 0 AND k % 4 <> 3 AND k % 12 <> 0 AS valid FROM events)
   SELECT event_id AS id, CASE WHEN valid THEN greatest(0, least(100, floor(value - 10 + 0.5)))::BIGINT END AS score, CASE WHEN valid THEN {_list(SECTIONS)}[k % 4 + 1] END AS section, CASE WHEN valid THEN 'because of ' || event_type END AS reason, NOT valid AS deferred FROM e WHERE k % 10 <> 0""",
+    "feed_round_trip": f"""WITH {HEADLINES}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY published DESC, id DESC) AS n FROM h)
+  SELECT 'feed ' || user_id AS name, n - 1 AS place, title, 'https://www.example.com/a?id=' || id || '&b=1' AS url, 'example.com' AS source_domain, floor(epoch(published))::BIGINT AS second FROM n WHERE n <= 20""",
 }
