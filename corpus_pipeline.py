@@ -12,6 +12,9 @@ from pressloom.llm import decontamination, near_dedup, packing, quality_classifi
 from pressloom.llm.queries import tokenizer_path
 from pressloom.llm.tables import read, settle
 
+#: Passages of over 50 words that repeat go, however few bytes they have.
+PASSAGE = 51
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.kept(docs, read(spark, sf_dir, "labels"))
@@ -22,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.stripped(docs)
+    return suffix_dedup.stripped(docs, words=PASSAGE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from . import anchored, kernels as K
 from .tables import settle, width
 
 WINDOW, ANCHOR = 400, 32
+#: Bytes that stand for a word and its next where repeats are looked for by words.
+CODE = 4
 BLOCK = 1 << 18
 
 
@@ -252,10 +254,48 @@ def _settled_here(window: int, size: int):
     return run
 
 
+def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text as CODE bytes for each two words in a row: n words repeat where CODE * (n - 1) of these bytes do."""
+    for batch in batches:
+        for first, last, data, at in K.blocks(batch.column("text")):
+            w = K.Words(data, at)
+            code = w.grams(2).astype("<u4")
+            ids = [batch.column(c).slice(first, last - first) for c in ("__doc", "__th")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array([code[a : max(a, b - 1)].tobytes() for a, b in zip(w.at, w.at[1:])], pa.binary())], ["__doc", "__th", "text"])
+
+
+def _long_words(window: int, words: int):
+    """Texts in which some `window` bytes hold fewer than `words` words whole, besides one at either edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for _, _, data, at in K.blocks(batch.column("text")):
+                w = K.Words(data, at)
+                for i in range(len(at) - 1):
+                    start = np.concatenate(([at[i] - 1], w.start[w.at[i] : w.at[i + 1]], [at[i + 1]]))
+                    step = min(words + 2, len(start) - 1)
+                    keep.append(bool((start[step:] - start[:-step] > window).any()))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def word_spans(docs: DataFrame, words: int, size: int = ANCHOR) -> DataFrame:
+    """(doc, th, start, stop): spans, counted in words, that repeats of `words` words or more cover; they may overlap."""
+    codes = anchored.keyed(docs).select("__doc", "__th", "text").mapInArrow(_word_codes, "__doc long, __th long, text binary")
+    spans = _spans_in(codes, CODE * (words - 1), size)
+    return spans.select("doc", "th", F.ceil(F.col("start") / CODE).cast("int").alias("start"), (F.floor(F.col("stop") / CODE) + 1).cast("int").alias("stop"))
+
+
 def repeat_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
     """(doc, th, start, stop): byte spans that repeats of `window` bytes or more cover; they may overlap."""
-    n = width(docs.sparkSession)
-    texts = anchored.keyed(docs).select("__doc", "__th", "text").where(F.octet_length("text") >= window)
+    return _spans_in(anchored.keyed(docs).select("__doc", "__th", "text"), window, size)
+
+
+def _spans_in(texts: DataFrame, window: int, size: int) -> DataFrame:
+    n = width(texts.sparkSession)
+    texts = texts.where(F.octet_length("text") >= window)
     find, here = anchored.find(anchored.byte_units, window, size), _settled_here(window, size)
     found = settle(texts.mapInArrow(lambda batches: here(find(batches)), anchored.ROWS + ", n long, stop int"))
     rows, own = found.where("a is not null"), found.where("a is null").select("doc", "th", F.col("pos").alias("start"), "stop")
@@ -285,9 +325,18 @@ def _removed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data, at = K.text_bytes(batch.column("text"))
     rows, found = anchored.lists(batch.column("__spans"))
     start, stop = found.field("start").to_numpy(), found.field("stop").to_numpy()
+    by_words = "__words" in batch.schema.names
+    if by_words:
+        word_rows, found = anchored.lists(batch.column("__words"))
+        first, last = found.field("start").to_numpy(), found.field("stop").to_numpy()
     for i in range(batch.num_rows):
-        n, own = at[i + 1] - at[i], slice(rows[i], rows[i + 1])
-        yield data[at[i] : at[i + 1]], K.covered(n, start[own], np.minimum(stop[own], n)) if rows[i] < rows[i + 1] else np.zeros(n, bool)
+        n, own, text = at[i + 1] - at[i], slice(rows[i], rows[i + 1]), data[at[i] : at[i + 1]]
+        gone = K.covered(n, start[own], np.minimum(stop[own], n)) if rows[i] < rows[i + 1] else np.zeros(n, bool)
+        if by_words and word_rows[i] < word_rows[i + 1]:
+            w, own = K.Words(text, np.array([0, n])), slice(word_rows[i], word_rows[i + 1])
+            low, high = K.runs(K.covered(len(w.start), first[own], np.minimum(last[own], len(w.start))))
+            gone = gone | K.covered(n, w.start[low], w.end[high - 1])
+        yield text, gone
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,11 +369,24 @@ def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole = np.logical_and.reduceat(gone, first)
                 data = data[~np.repeat(whole, np.diff(np.append(first, len(data))))]
             texts.append(None if null else data.tobytes().decode("utf-8", "replace"))
-        yield batch.drop_columns(["__spans"]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        yield batch.drop_columns([c for c in ("__spans", "__words") if c in batch.schema.names]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
-def stripped(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
-    """`docs`, its columns kept, with repeats removed from the texts and n_chars, if there, counted anew."""
-    found = marked(docs, window, size).select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+def stripped(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, words: int | None = None) -> DataFrame:
+    """`docs`, its columns kept, with repeats removed from the texts and n_chars, if there, counted anew.
+
+    With `words`, repeats of so many words go, from the first word to the last, whatever their bytes. Repeats of
+    `window` bytes are then looked for only in texts where such a repeat can hold fewer words: elsewhere
+    it is one of `words` words, and goes but for words cut at its edges.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if words is None:
+        found = marked(docs, window, size).select(*columns, "__spans")
+    else:
+        texts = anchored.keyed(docs).select("__doc", "__th", "text").where(F.octet_length("text") >= window)
+        texts = texts.mapInArrow(_long_words(window, words), "__doc long, __th long, text string")
+        spans = anchored.per_text(settle(_spans_in(texts, window, size).distinct()), "start", "stop")
+        by_words = anchored.per_text(settle(word_spans(docs, words, size).distinct()), "start", "stop").withColumnRenamed("__spans", "__words")
+        found = anchored.keyed(docs).join(spans, ["__doc", "__th"], "left").join(by_words, ["__doc", "__th"], "left").select(*columns, "__spans", "__words")
     out = found.mapInArrow(_kept_texts, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
