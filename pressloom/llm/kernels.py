@@ -106,7 +106,7 @@ class Words:
     def grams(self, n: int) -> np.ndarray:
         """A hash of the n words from each word on; those that cross into the next document mean nothing."""
         out = np.zeros(len(self.code), U)
-        for k in range(n):
+        for k in range(min(n, len(out))):
             out[: len(self.code) - k] += self.code[k:] * TERM_CODE[k]
         return mix(out)
 

@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 
+#: White space in a row on which tiktoken's split rule may run out of stack (it does at a million).
+LONG_SPACE = re.compile(r"(?<!\s)\s{100000}")
+
 
 class Encoder:
     """Text to little-endian 32-bit ids, as tokenizers.Tokenizer.encode(text, add_special_tokens=False) has them.
 
     The file's merges are run by tiktoken, four times as fast, if the file is a plain byte-level BPE whose ids
-    follow its merges; any other file is run by tokenizers itself.
+    follow its merges; any other file, and any text with a very long run of white space, by tokenizers itself.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path, self._tokenizer = path, None
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         ranks = self._ranks(spec)
         if ranks is None:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            self._part = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self._part = self._whole
             self.special = {}
         else:
             import tiktoken
@@ -46,7 +48,16 @@ class Encoder:
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
         return {bytes(byte[c] for c in word): i for word, i in vocab.items() if word not in self.special}
 
+    def _whole(self, text: str) -> list[int]:
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> list[int]:
+        if len(text) >= 100_000 and LONG_SPACE.search(text):
+            return self._whole(text)
         for mark, code in self.special.items():
             if mark in text:
                 parts = text.split(mark)

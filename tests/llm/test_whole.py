@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra int"
@@ -42,3 +43,26 @@ def test_stage_repeats(spark, say):
         assert got[i].n_chars == (None if t is None else len(got[i].text)) and got[i].extra == i
         if want[i] == split[i]:
             assert got[i].text == t
+
+
+def test_few_words(spark):
+    from pressloom.llm import kernels, near_dedup, phrase_dedup
+
+    for n in (1, 2, 3, 4, 5):
+        text = " ".join("pqrst"[:n])
+        w = kernels.Words(*kernels.text_bytes(pa.array([text])))
+        assert len(w.grams(5)) == n
+        if n in (2, 3):
+            df = table(spark, [text])
+            assert [(r.n_shingles, r.kept) for r in near_dedup.components(df).collect()] == [(1, True)]
+            assert [(r.n_words, r.n_removed) for r in phrase_dedup.digests(df).collect()] == [(n, 0)]
+
+
+def test_long_white_space():
+    from pressloom.llm.queries import tokenizer_path
+    from pressloom.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    ours, theirs = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for text in ("a<|endoftext|>" + " " * 1_000_000 + "b", "\n" * 100_000, "c" + "　 " * 50_000, "d" + " " * 99_999 + "e"):
+        assert ours.ids(text) == theirs.encode(text, add_special_tokens=False).ids
