@@ -12,6 +12,8 @@ from pressloom.llm import decontamination, near_dedup, packing, quality_classifi
 from pressloom.llm.queries import tokenizer_path
 from pressloom.llm.tables import read, settle
 
+#: Texts of this similarity in percent, on shingles of five words, or more are near duplicates.
+SIMILAR = 80
 #: Passages of over 50 words that repeat go, however few bytes they have.
 PASSAGE = 51
 
@@ -21,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.deduplicated(docs)
+    return near_dedup.deduplicated(docs, percent=SIMILAR)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

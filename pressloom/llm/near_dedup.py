@@ -1,10 +1,11 @@
 """Near-duplicate components: b-bit MinHash signatures, multi-index Hamming join, exact confirmation.
 
-A signature has POSITIONS minima of BITS bits. Documents whose signatures differ in at most RADIUS positions
-become candidates with certainty: the positions are split into CHUNKS, one of which has at most
-RADIUS // CHUNKS = 1 error, and each chunk is indexed once for each position that may be wrong. At the
-similarity asked for (0.85), a signature differs in 9.6 positions on average, and in more than RADIUS
-with a probability of about 3 in a million; every candidate is then confirmed on full sets of shingles.
+A signature has POSITIONS minima of BITS bits. Documents whose signatures differ in at most `radius` positions
+become candidates with certainty: the positions are split into `chunks`, one of which has at most
+radius // chunks = 1 error, and each chunk is indexed once for each position that may be wrong. Both follow from
+the similarity asked for (see `plan`): at 0.85 a signature differs in 9.6 positions on average, and in more than 24
+with a probability of 2.4 in a million; at 0.80, in more than 28 with 4.2 in a million. Every candidate is then
+confirmed on full sets of shingles.
 
 Buckets never become all their pairs. Equal word sequences are one node. In each bucket the least
 document is compared with the rest; what that links is united; only members of a bucket that are still in
@@ -14,6 +15,7 @@ counting common shingles. Only links that unite two components are given out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,9 @@ from .anchored import whole_groups
 from .tables import settle, width
 
 SHINGLE, PERCENT = 5, 85
-POSITIONS, BITS, RADIUS, CHUNKS = 64, 16, 24, 13
+POSITIONS, BITS = 64, 16
+#: The most that a pair exactly at the threshold may be missed with, and the fewest positions of a chunk.
+MISS, LEAST = 5e-6, 3
 #: A larger group is split into parts of so many; every two of its parts meet, so no pair is missed.
 MEMBERS = 4_000
 _rng = np.random.default_rng(64_16)
@@ -63,12 +67,26 @@ def signatures(code: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def plan(percent: int) -> tuple[int, int]:
+    """(radius, chunks): the least radius that misses a pair at `percent` with a probability of at most MISS, and its chunks.
+
+    A chunk of fewer than LEAST positions would bring most documents together: such a threshold is an error.
+    """
+    p = 1 - percent / 100
+    miss = lambda r: sum(math.comb(POSITIONS, k) * p**k * (1 - p) ** (POSITIONS - k) for k in range(r + 1, POSITIONS + 1))
+    radius = next(r for r in range(POSITIONS + 1) if miss(r) <= MISS)
+    chunks = radius // 2 + 1
+    if not 0 < percent <= 100 or POSITIONS // chunks < LEAST:
+        raise ValueError(f"signatures of {POSITIONS} positions can't carry a similarity of {percent} %")
+    return radius, chunks
+
+
+def chunk_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     """For each signature: each chunk, with each of its positions left out."""
     part = sig.astype(K.U) * SLOT + K.U(1)
     part = K.mix(part * K.U(K.BASE))
     keys = np.empty(part.shape, K.U)
-    for c in np.array_split(np.arange(POSITIONS), CHUNKS):
+    for c in np.array_split(np.arange(POSITIONS), chunks):
         total = part[:, c].sum(axis=1, dtype=K.U)
         for left_out in c:
             keys[:, left_out] = K.mix(total - part[:, left_out] + SLOT[left_out])
@@ -93,10 +111,13 @@ def _fingerprints(size: int):
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sig = _unpack(batch.column("sig"))
-        yield pa.RecordBatch.from_pydict({"key": K.i64(chunk_keys(sig).ravel()), "id": np.repeat(batch.column("id").to_numpy(), POSITIONS)})
+def _keys(chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = _unpack(batch.column("sig"))
+            yield pa.RecordBatch.from_pydict({"key": K.i64(chunk_keys(sig, chunks).ravel()), "id": np.repeat(batch.column("id").to_numpy(), POSITIONS)})
+
+    return run
 
 
 def _unpack(column: pa.Array) -> np.ndarray:
@@ -113,11 +134,15 @@ def _sets(size: int):
     return run
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures differ in at most RADIUS positions."""
-    for batch in batches:
-        far = (_unpack(batch.column("sig_a")) != _unpack(batch.column("sig_b"))).sum(axis=1)
-        yield batch.select(["a", "b"]).filter(pa.array(far <= RADIUS))
+def _near(radius: int):
+    """Pairs whose signatures differ in at most `radius` positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = (_unpack(batch.column("sig_a")) != _unpack(batch.column("sig_b"))).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(far <= radius))
+
+    return run
 
 
 def _similar(percent: int):
@@ -139,27 +164,31 @@ def _similar(percent: int):
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(radius: int, chunks: int):
     """From rows sorted by bucket `a`: the members that have a partner in it, near by signature, of another component.
 
     A pair that shares several buckets counts in the first of them only. Pairs are not given out.
     """
-    for table in whole_groups(batches, 1 << 20):
-        key, root = (table.column(c).to_numpy() for c in ("a", "root"))
-        sig = _unpack(table.column("sig"))
-        every, asks = chunk_keys(sig), np.zeros(len(key), bool)
-        index, step = np.arange(len(key)), 0
-        while len(index):
-            step += 1
-            index = index[index + step < len(key)]
-            index = index[key[index] == key[index + step]]
-            for part in np.array_split(index, len(index) // 20_000 + 1):
-                part = part[root[part] != root[part + step]]
-                part = part[(sig[part] != sig[part + step]).sum(axis=1) <= RADIUS]
-                first = np.argmax(every[part] == every[part + step], axis=1)
-                part = part[every[part, first].view(np.int64) == key[part]]
-                asks[part] = asks[part + step] = True
-        yield table.select(["a", "id", "root"]).filter(pa.array(asks)).combine_chunks().to_batches()[0] if asks.any() else pa.RecordBatch.from_pydict({"a": key[:0], "id": key[:0], "root": key[:0]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 1 << 20):
+            key, root = (table.column(c).to_numpy() for c in ("a", "root"))
+            sig = _unpack(table.column("sig"))
+            every, asks = chunk_keys(sig, chunks), np.zeros(len(key), bool)
+            index, step = np.arange(len(key)), 0
+            while len(index):
+                step += 1
+                index = index[index + step < len(key)]
+                index = index[key[index] == key[index + step]]
+                for part in np.array_split(index, len(index) // 20_000 + 1):
+                    part = part[root[part] != root[part + step]]
+                    part = part[(sig[part] != sig[part + step]).sum(axis=1) <= radius]
+                    first = np.argmax(every[part] == every[part + step], axis=1)
+                    part = part[every[part, first].view(np.int64) == key[part]]
+                    asks[part] = asks[part + step] = True
+            yield table.select(["a", "id", "root"]).filter(pa.array(asks)).combine_chunks().to_batches()[0] if asks.any() else pa.RecordBatch.from_pydict({"a": key[:0], "id": key[:0], "root": key[:0]})
+
+    return run
 
 
 def _linked(percent: int):
@@ -237,12 +266,13 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     Null, empty and wordless texts have no shingles and are linked with nothing. A row without a doc_id is
     linked with nothing and kept, with a null component. Rows that repeat a doc_id are one node.
     """
+    radius, chunks = plan(percent)
     spark = docs.sparkSession
     n = width(spark)
     base = settle(docs.select("doc_id", "text").mapInArrow(_fingerprints(size), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
     nodes = settle(base.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     sigs = nodes.select("id", "sig")
-    keys = sigs.mapInArrow(_keys, "key long, id long").repartition(n, "key")
+    keys = sigs.mapInArrow(_keys(chunks), "key long, id long").repartition(n, "key")
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail")
     members = settle(keys.join(heads, "key").select("key", "head", "id"))
     star = settle(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
@@ -250,7 +280,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     def side(df: DataFrame, name: str, value: str) -> DataFrame:
         return df.select(F.col("id").alias(name), F.col(value).alias(f"{value}_{name}"))
 
-    wanted = settle(star.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").mapInArrow(_near, "a long, b long").distinct())
+    wanted = settle(star.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").mapInArrow(_near(radius), "a long, b long").distinct())
     suspects = members.select("id").distinct()
     sets = settle(docs.select(F.col("doc_id").alias("id"), "text").join(suspects, "id", "left_semi").mapInArrow(_sets(size), "id long, set binary"))
 
@@ -263,7 +293,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     placed = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     across = placed.join(mixed, "key").join(sigs, "id").select(F.col("key").alias("a"), "id", "root", "sig")
-    asking = settle(across.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_across, "a long, id long, root long").distinct())
+    asking = settle(across.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_across(radius, chunks), "a long, id long, root long").distinct())
     parts = asking.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / MEMBERS)).alias("parts"))
     own = asking.join(parts, "a").withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -66,3 +66,26 @@ def test_long_white_space():
     ours, theirs = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     for text in ("a<|endoftext|>" + " " * 1_000_000 + "b", "\n" * 100_000, "c" + "　 " * 50_000, "d" + " " * 99_999 + "e"):
         assert ours.ids(text) == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_stage_near_duplicates(spark):
+    from pressloom.llm import near_dedup
+
+    rng, texts = random.Random(3), []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(400)]
+        texts.append(" ".join(base))
+        # Each changed word, at least five from the next, takes five shingles: 8 of them leave 356 / 436 = 0.817, 10 leave 346 / 446 = 0.776.
+        for changes in (8, 10):
+            copy = list(base)
+            for k in rng.sample(range(10, 390, 8), changes):
+                copy[k] = f"other{group}n{changes}k{k}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(396)} for w in (t.split() for t in texts)]
+    near = [len(sets[i] & sets[i - i % 3]) / len(sets[i] | sets[i - i % 3]) for i in range(len(sets))]
+    assert all((0.8 <= near[i] < 0.85) if i % 3 == 1 else near[i] < 0.8 for i in range(len(sets)) if i % 3)
+    got = corpus_pipeline.near_duplicates(spark, table(spark, texts), "").collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(len(texts)) if i % 3 != 1]
+    assert near_dedup.plan(85) == (24, 13) and near_dedup.plan(80) == (28, 15)
+    with pytest.raises(ValueError):
+        near_dedup.plan(50)
