@@ -40,8 +40,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """One row for each segment: its documents and their lengths, its terms and the postings of each."""
-    return settle(docs.select("doc_id", "text").mapInArrow(_segments, INDEX))
+    """One row for each segment: its number, its documents and their lengths, its terms and the postings of each.
+
+    The number is written with the segment: equal segments (a file read twice, repeated rows) stay apart.
+    """
+    return settle(docs.select("doc_id", "text").mapInArrow(_segments, INDEX).withColumn("segment", F.monotonically_increasing_id()))
 
 
 class Segment:
@@ -163,7 +166,6 @@ def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: in
     Items without words or without an id match nothing. The items go out in blocks of `block`, so what a task
     holds is bounded; the index is read once for each block.
     """
-    index = index.withColumn("segment", F.xxhash64("doc_ids", "positions", "terms"))
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
     held, found = [], None
 
