@@ -41,17 +41,17 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = "allo
     longest as a string wins, then the one with the longer host, then block. Without one: `default`.
     """
     rules = default_rules(pages.sparkSession) if rules is None else rules
-    lengths = [x[0] for x in rules.select(F.length("rule_path")).distinct().orderBy(F.length("rule_path")).limit(1000).collect()]
     digest = lambda host, path: F.sha2(F.concat(host, F.lit("\n"), path), 256)
     known = rules.select(F.translate("rule_host", UPPER, LOWER).alias("rule_host"), "rule_path", F.col("verdict").alias("said"))
     known = known.withColumn("digest", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", F.substring("digest", 1, 8))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
+    # All lengths of rule paths are one row of data, joined to each URL.
+    lengths = rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"))
     different = rows.where("host <> ''").select("host", "path").distinct().withColumn("labels", labels)
-    asked = different.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
-    asked = asked.select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
+    asked = different.join(F.broadcast(lengths), F.lit(True)).select("host", "path", F.explode(suffixes).alias("suffix"), F.filter("lengths", lambda n: n <= F.length("path")).alias("lengths"))
+    asked = asked.select("host", "path", "suffix", F.explode("lengths").alias("n")).withColumn("prefix", F.expr("substring(path, 1, n)")).drop("n")
     asked = asked.withColumn("asked", digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("asked", 1, 8))
     fits = asked.join(known, "short").where("asked = digest")
     rank = F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), F.col("said") == "block", F.concat("rule_host", "rule_path").alias("rule"), "said")

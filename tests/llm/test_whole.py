@@ -104,3 +104,15 @@ def test_decontamination_equal_segments(spark):
     twice = df.where("doc_id = 1").limit(1).coalesce(1)
     got = decontamination.search(decontamination.build_index(twice.union(twice)), bench, block=2)
     assert one.count() == 1 and got.count() == 2
+
+
+def test_urls_many_lengths(spark):
+    from pressloom.llm import url_filter
+
+    rules = spark.createDataFrame([("block", "a.org", "/" + "x" * n) for n in range(0, 1200, 1)] + [("allow", "org", None)], url_filter.RULE_ROW)
+    pages = spark.createDataFrame([(n, "http://b.A.org/" + "x" * n) for n in (0, 998, 1100, 1199, 1500)] + [(-1, "http://b.org/x"), (-2, None)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(pages, rules).collect()}
+    for n in (0, 998, 1100, 1199, 1500):
+        assert got[n].rule == "a.org/" + "x" * min(n, 1199) and got[n].verdict == "block"
+    assert got[-1].rule is None and got[-2].verdict == "allow"
+    assert url_filter.judge(pages, rules.limit(0)).where("verdict = 'allow' and rule is null").count() == 7
