@@ -2,8 +2,8 @@
 
 Two windows can be equal only where their anchors (see kernels.anchors) are, at the same place within them.
 So instead of every window, a text sends one row for each anchor: a hash of the anchor, a hash of the
-fragment that holds all windows with that anchor, and where it is. Equal fragments settle all their windows
-by numbers alone; only differing fragments around a common anchor have their text compared.
+fragment that its windows cover, and where it is. Equal fragments are one from there on; only differing fragments
+around a common anchor have their text compared.
 """
 
 from __future__ import annotations
@@ -17,34 +17,47 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-ROWS = "a long, fh long, doc long, th long, pos int"
-#: A group of more segments is settled in its task by the hash of every window, not by a suffix array; a group of
-#: more than MOST_HELD fragments (about 15 MB) isn't brought together at all: its windows are dealt out by hash.
-MOST_KINDS, MOST_HELD = 1_000, 20_000
+ROWS = "a long, fh long, doc long, th long, pos int, start int, stop int, k0 long, k1 long"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with __doc (the id, null as the least long) and __th (a hash of the text) to find a row by."""
-    return docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__th": F.xxhash64("text")})
+    """doc (the id, null as the least long), th (a hash of the text) and text of each row: what a row is found by."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("th"), "text")
 
 
-def fragment(pos, low, high, window: int, size: int):
-    """The units around the anchor at `pos` that windows with it may hold, within a text at [low, high)."""
-    return np.maximum(low, pos - (window - size)), np.minimum(high, pos + window)
+def half(window: int, size: int) -> int:
+    """Places that an anchor can have in a window, halved."""
+    return (window - size) // 2 + 1
+
+
+def core(pos: np.ndarray, place: np.ndarray, step: int, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What all windows with their anchor (at `pos`) at place * step units or up to step - 1 more have in common."""
+    return pos - place * step, pos - np.minimum((place + 1) * step - 1, window - size) + window
 
 
 def find(units: Callable, window: int, size: int) -> Callable:
-    """For mapInArrow over (__doc, __th, text): the rows of ROWS."""
+    """For mapInArrow over (doc, th, text): the rows of ROWS.
+
+    [start, stop) is what the windows of the anchor at `pos` cover. k0 and k1 hash the cores of windows with the
+    anchor in their first or their second half (null: there is none): equal windows share one of these keys.
+    """
+    step = half(window, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in K.blocks(batch.column("text")):
                 gram, at, span = units(data, at, size)
-                pos = K.anchors(gram, at, window, size)
+                pos, low, high = K.anchors(gram, at, window, size)
                 text = np.searchsorted(at, pos, "right") - 1
-                low, high = fragment(pos, at[text], at[text + 1], window, size)
-                ids = [batch.column(c).to_numpy()[first:last][text] for c in ("__doc", "__th")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (K.i64(gram[pos]), K.i64(span(low, high)), *ids, (pos - at[text]).astype(np.int32))], ["a", "fh", "doc", "th", "pos"])
+                doc, th = (batch.column(c).to_numpy()[first:last][text] for c in ("doc", "th"))
+                here = [(x - at[text]).astype(np.int32) for x in (pos, low, high + window)]
+                columns = [pa.array(x) for x in (K.i64(gram[pos]), K.i64(span(low, high + window)), doc, th, *here)]
+                for place in (0, 1):
+                    some = (pos - high < step) if place == 0 else (pos - low >= step)
+                    key = np.zeros(len(pos), np.int64)
+                    key[some] = K.i64(K.mix(span(*core(pos[some], place, step, window, size)) + K.U(place)))
+                    columns.append(pa.array(key, mask=~some))
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ROWS.split(", ")])
 
     return run
 
@@ -63,9 +76,63 @@ def word_units(data: np.ndarray, at: np.ndarray, size: int):
     return w.grams(size), w.at, lambda low, high: K.spans(sums, low, high)
 
 
-def per_text(rows: DataFrame, *values: str | Column) -> DataFrame:
-    """The rows of each text (doc, th) as one list `__spans`; no longer than the text itself."""
-    return rows.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct(*values)).alias("__spans"))
+def united(batch: pa.RecordBatch, some: np.ndarray) -> pa.RecordBatch:
+    """The spans of `some` rows of ROWS, united for each text, as rows of ROWS and n whose key is null."""
+    doc, th, low, high = (batch.column(c).to_numpy()[some] for c in ("doc", "th", "start", "stop"))
+    order = np.lexsort((low, th, doc))
+    doc, th, low, high = doc[order], th[order], low[order], high[order]
+    apart = np.ones(len(doc), bool)
+    # Spans of one text follow their anchors: none holds another that starts later.
+    apart[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (low[1:] > high[:-1])
+    head = np.flatnonzero(apart)
+    tail = np.append(head[1:], len(doc))[: len(head)] - 1
+    own = {"doc": doc[head], "th": th[head], "start": low[head], "stop": high[tail], "n": np.zeros(len(head), np.int64)}
+    fields = [(x.split()[0], pa.int32() if x.endswith("int") else pa.int64()) for x in (*ROWS.split(", "), "n long")]
+    return pa.RecordBatch.from_arrays([pa.array(own[c], kind) if c in own else pa.nulls(len(head), kind) for c, kind in fields], [c for c, _ in fields])
+
+
+DEALT = "a long, fh long, doc long, th long, pos int, start int, stop int, n long"
+
+
+def dealt(units: Callable, step: int, window: int, size: int) -> Callable:
+    """For mapInArrow over texts with `spans` (pos, start, stop, n): the windows of each fragment in runs with the anchor
+    at `step` places, by the hash of what all such windows share. With a step of 1 that is the window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = lists(batch.column("spans"))
+            own = [found.field(c).to_numpy() for c in ("pos", "start", "stop", "n")]
+            for first, last, data, at in K.blocks(batch.column("text")):
+                _, at, span = units(data, at, size)
+                here = np.arange(rows[first], rows[last])
+                text = np.repeat(np.arange(last - first), np.diff(rows[first : last + 1]))
+                for part in np.array_split(np.arange(len(here)), len(here) // 1024 + 1):
+                    pos, low, high, n = (x[here[part]].astype(np.int64) for x in own)
+                    least, most = (pos - high + window) // step, (pos - low) // step
+                    many = most - least + 1
+                    one = np.repeat(np.arange(len(part)), many)
+                    place = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + least[one]
+                    pos, owner = pos[one], text[part][one]
+                    start, stop = np.maximum(low[one], pos - (place + 1) * step + 1), np.minimum(high[one], pos - place * step + window)
+                    base = at[owner]
+                    left, right = core(pos, place, step, window, size)
+                    key = K.mix(span(base + left, base + right) + place.astype(K.U))
+                    columns = (K.i64(key), K.i64(span(base + start, base + stop)), *(batch.column(c).to_numpy()[first:last][owner] for c in ("doc", "th")))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x.astype(np.int32)) for x in (pos, start, stop)), pa.array(n[one])], [x.split()[0] for x in DEALT.split(", ")])
+
+    return run
+
+
+def halves(window: int, size: int) -> Column:
+    """For F.inline: key and span of the windows with the anchor in their first half, and of the others."""
+    step = half(window, size)
+    run = lambda key, start, stop: F.struct(F.col(key).alias("a"), start.alias("start"), stop.alias("stop"))
+    return F.array(run("k0", F.greatest("start", F.col("pos") - step + 1), F.col("stop")), run("k1", F.col("start"), F.least("stop", F.col("pos") - step + window)))
+
+
+def per_text(rows: DataFrame, *values: str | Column, name: str = "spans") -> DataFrame:
+    """The rows of each text (doc, th) as one list; no longer than the text itself, if `rows` repeats none."""
+    return rows.groupBy("doc", "th").agg(F.collect_list(F.struct(*values)).alias(name))
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:

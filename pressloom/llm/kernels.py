@@ -130,23 +130,27 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(gram: np.ndarray, at: np.ndarray, window: int, size: int) -> np.ndarray:
-    """Positions that hold the least hash (the first of equals) of any whole window of `window` units.
+def anchors(gram: np.ndarray, at: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that hold the least hash (the first of equals) of any whole window of `window` units, and where
+    the first and the last window with that anchor start.
 
     gram[i] hashes the `size` units from i. Equal windows have their anchor at the same place within
     them, so two windows can be equal only where their anchors have the same hash.
     """
     n = len(gram)
+    none = np.empty(0, np.int64)
     if n < window:
-        return np.empty(0, np.int64)
+        return none, none, none
     key = (gram & U(0xFFFFFFFF00000000)) | np.arange(n, dtype=U)
     least = sliding_min(key[: n - size + 1], window - size + 1)
     limit = np.repeat(at[1:], np.diff(at))[: len(least)]
-    least = least[np.arange(len(least)) + window <= limit]
-    if not len(least):
-        return np.empty(0, np.int64)
-    found = (least & U(0xFFFFFFFF)).astype(np.int64)
-    return np.unique(found[np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))])
+    start = np.flatnonzero(np.arange(len(least)) + window <= limit)
+    if not len(start):
+        return none, none, none
+    found = (least[start] & U(0xFFFFFFFF)).astype(np.int64)
+    # The windows of an anchor follow one another: a lower hash that comes in stays until the anchor has gone.
+    new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    return found[new], start[new], start[np.append(new[1:], len(start)) - 1]
 
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:

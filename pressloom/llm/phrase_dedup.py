@@ -1,11 +1,12 @@
 """Removal of word passages that an earlier document has, by sharded Aho-Corasick automata.
 
-Anchors (runs of ANCHOR words) that recur across documents nominate passages. A passage that recurs with all
-its surroundings is settled by its hash. Around the other recurring anchors, the fragments of all documents
-meet in the shard that owns the anchor: the different windows of the fragments, with the least document of
-each, are compiled to an automaton of bounded size, and the shard's fragments stream through it; each match
-that an earlier document owns is an occurrence to remove. Every text is scanned whole; a shard only sees the
-parts of it that hold one of its anchors, which spares streaming all texts through all automata.
+Anchors (runs of ANCHOR words) that recur across documents nominate passages; equal fragments around an anchor are
+one, owned by the least document. Where different documents' fragments share what all windows with the anchor in
+the same half have, they meet in the shard that owns this key: windows found in two documents are confirmed as
+phrases and compiled to automata of bounded size; all fragments of the shard stream through them, the least document
+in which a phrase is met owns it, and every other occurrence goes. A group of more than MOST fragments is dealt anew by
+longer keys, at last by the whole window. Every text is scanned whole for anchors; a shard only sees the
+parts of it that hold one of its keys, which spares streaming all texts through all automata.
 """
 
 from __future__ import annotations
@@ -16,45 +17,46 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchored, kernels as K
-from .suffix_dedup import SPANS, _span_rows
+from .suffix_dedup import SPANS, _span_rows, with_lists
 from .tables import settle, width
 
 WINDOW, ANCHOR = 13, 5
-#: Bytes of fragments that a task holds at once, and phrases in one automaton (about 100 MB).
-SHARD, PHRASES = 1 << 18, 20_000
-#: Anchors with more differing fragments are settled by the hash of every window: the exact way for the rest.
-MOST_KINDS = 20_000
+#: Bytes of fragments that a task holds at once, phrases in one automaton (about 100 MB), fragments of a group in one shard.
+SHARD, PHRASES, MOST = 1 << 18, 20_000, 5_000
 
 
-def _cut(window: int, size: int):
-    """The words of each fragment listed in `__spans`, joined by one space."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found = anchored.lists(batch.column("__spans"))
-            pos, all_a, all_fh = (found.field(c).to_numpy() for c in ("pos", "a", "fh"))
-            ids = {c: batch.column(f"__{c}").to_numpy() for c in ("doc", "th")}
-            for first, last, data, at in K.blocks(batch.column("text")):
-                w = K.Words(data, at)
-                out: dict[str, list] = {"low": [], "words": []}
-                own = np.arange(rows[first], rows[last])
-                text = np.repeat(np.arange(last - first), np.diff(rows[first : last + 1]))
-                low, high = anchored.fragment(w.at[text] + pos[own], w.at[text], w.at[text + 1], window, size)
-                raw = data.tobytes()
-                start, end = w.start, w.end
-                for x, y, t in zip(low, high, text):
-                    out["low"].append(x - w.at[t])
-                    out["words"].append(b" ".join(raw[s:e] for s, e in zip(start[x:y], end[x:y])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(all_a[own]), pa.array(all_fh[own]), pa.array(ids["doc"][first:last][text]), pa.array(ids["th"][first:last][text]), pa.array(out["low"], pa.int32()), pa.array(out["words"], pa.binary())],
-                    ["a", "fh", "doc", "th", "low", "words"],
-                )
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each run of windows listed in `spans`, joined by one space."""
+    for batch in batches:
+        rows, found = anchored.lists(batch.column("spans"))
+        all_a, starts, stops = (found.field(c).to_numpy() for c in ("a", "start", "stop"))
+        ids = {c: batch.column(c).to_numpy() for c in ("doc", "th")}
+        for first, last, data, at in K.blocks(batch.column("text")):
+            w = K.Words(data, at)
+            own = np.arange(rows[first], rows[last])
+            text = np.repeat(np.arange(last - first), np.diff(rows[first : last + 1]))
+            raw, start, end = data.tobytes(), w.start, w.end
+            words = [b" ".join(raw[s:e] for s, e in zip(start[x:y], end[x:y])) for x, y in zip(w.at[text] + starts[own], w.at[text] + stops[own])]
+            columns = (all_a[own], ids["doc"][first:last][text], ids["th"][first:last][text], starts[own])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], ["a", "doc", "th", "low", "words"])
+
+
+def _confirmed(data: np.ndarray, at: np.ndarray, doc: np.ndarray, window: int) -> list[str]:
+    """The different windows that fragments of two documents have."""
+    w = K.Words(data, at)
+    whole = np.flatnonzero(np.arange(len(w.code)) + window <= w.limit())
+    code, whose = w.grams(window)[whole], doc[np.searchsorted(w.at, whole, "right") - 1]
+    order = np.lexsort((whose, code))
+    code, whose = code[order], whose[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))[: len(code)])
+    last = np.append(first[1:], len(code))[: len(first)] - 1
+    some = whole[order[first[whose[last] > whose[first]]]]
+    raw = data.tobytes()
+    return sorted({raw[s:e].decode("utf-8", "replace") for s, e in zip(w.start[some].tolist(), w.end[some + window - 1].tolist())})
 
 
 def _matches(window: int):
@@ -62,106 +64,81 @@ def _matches(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in anchored.whole_groups(batches, SHARD):
-            doc, th, low = (table.column(c).to_pylist() for c in ("doc", "th", "low"))
-            texts = [x.decode("utf-8", "replace").split(" ") for x in table.column("words").to_pylist()]
-            owner: dict[str, int] = {}
-            recurring: set[str] = set()
-            for d, words in zip(doc, texts):
-                for i in range(len(words) - window + 1):
-                    phrase = f" {' '.join(words[i : i + window])} "
-                    other = owner.setdefault(phrase, d)
-                    if other != d:
-                        recurring.add(phrase)
-                        owner[phrase] = min(other, d)
-            confirmed = sorted(recurring)
-            del recurring
-            out: list[tuple] = []
+            doc, th, low = (table.column(c).to_numpy() for c in ("doc", "th", "low"))
+            column = table.column("words").combine_chunks()
+            confirmed = _confirmed(*K.text_bytes(column), doc, window)
+            texts = [f" {x.decode('utf-8', 'replace')} " for x in column.to_pylist()] if confirmed else []
             for at in range(0, len(confirmed), PHRASES):
                 shard = ahocorasick.Automaton()
-                for phrase in confirmed[at : at + PHRASES]:
-                    shard.add_word(phrase, owner[phrase])
+                for number, phrase in enumerate(confirmed[at : at + PHRASES]):
+                    shard.add_word(f" {phrase} ", number)
                 shard.make_automaton()
-                for d, t, base, words in zip(doc, th, low, texts):
-                    spaces = None
-                    for last, first_doc in shard.iter(f" {' '.join(words)} "):
-                        if first_doc < d:
-                            spaces = np.cumsum([len(x) + 1 for x in words]) if spaces is None else spaces
-                            stop = int(np.searchsorted(spaces, last)) + 1
-                            out.append((d, t, base + stop - window, base + stop))
-            if out:
-                yield _span_rows(*(np.array(x, np.int64) for x in zip(*out)))
-
-    return run
-
-
-def _windows(window: int):
-    """A hash and the place of each window of each fragment, for groups that are not brought together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, at in K.blocks(batch.column("words")):
-                w = K.Words(data, at)
-                whole = np.flatnonzero(np.arange(len(w.code)) + window <= w.limit())
-                seg = np.searchsorted(w.at, whole, "right") - 1
-                ids = [batch.column(c).to_numpy()[first:last][seg] for c in ("doc", "th", "low")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (K.i64(w.grams(window)[whole]), ids[0], ids[1], (ids[2] + whole - w.at[seg]).astype(np.int32))], ["code", "doc", "th", "start"])
+                found = np.array([(i, number, last) for i, text in enumerate(texts) for last, number in shard.iter(text)], np.int64).reshape(-1, 3)
+                owner = np.full(PHRASES, np.iinfo(np.int64).max)
+                np.minimum.at(owner, found[:, 1], doc[found[:, 0]])
+                found = found[doc[found[:, 0]] > owner[found[:, 1]]]
+                if not len(found):
+                    continue
+                # A match ends at a blank; the words up to it are counted by the blanks before.
+                stop = np.empty(len(found), np.int64)
+                edges = np.flatnonzero(np.concatenate(([True], found[1:, 0] != found[:-1, 0], [True])))
+                for x, y in zip(edges, edges[1:]):
+                    blanks = np.flatnonzero(np.frombuffer(texts[found[x, 0]].encode("utf-32-le"), "<u4") == 32)
+                    stop[x:y] = np.searchsorted(blanks, found[x:y, 2])
+                which, base = found[:, 0], low[found[:, 0]]
+                yield _span_rows(doc[which], th[which], base + stop - window, base + stop)
 
     return run
 
 
 def _settled_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal fragments in a batch, only the smallest document's have to ask elsewhere.
-
-    The others are settled; they get a key of their own, so that a very common passage sends few rows to the
-    partition that owns its anchor.
-    """
+    """Of equal fragments in a batch, only the smallest document's have to ask elsewhere; the spans of the others
+    (a is null) are united per text, so that a very common passage sends few rows."""
     for batch in batches:
-        a, fh, doc, pos = (batch.column(c).to_numpy() for c in ("a", "fh", "doc", "pos"))
+        a, fh, doc = (batch.column(c).to_numpy() for c in ("a", "fh", "doc"))
         order = np.lexsort((doc, fh, a))
         new = np.ones(len(a), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (fh[order][1:] != fh[order][:-1])
-        least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
-        settled = np.zeros(len(a), bool)
-        settled[order] = doc[order] > least
-        own = K.i64(K.mix(doc.view(K.U) * K.TERM_CODE[0] + pos.astype(K.U)))
-        yield batch.set_column(0, "a", pa.array(np.where(settled, own, a))).append_column("settled", pa.array(settled))
+        later = doc[order] > doc[order][np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+        yield batch.take(pa.array(order[~later])).append_column("n", pa.array(np.ones(int((~later).sum()), np.int64)))
+        yield anchored.united(batch, order[later])
 
 
-def passage_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
+def passage_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): spans of words of each text that windows of smaller documents cover."""
-    n = width(docs.sparkSession)
-    texts = anchored.keyed(docs).select("__doc", "__th", "text").where("doc_id is not null and text is not null")
+    n, step = width(docs.sparkSession), anchored.half(window, size)
+    texts = anchored.keyed(docs.where("doc_id is not null and text is not null"))
     find = anchored.find(anchored.word_units, window, size)
-    rows = texts.mapInArrow(lambda batches: _settled_here(find(batches)), anchored.ROWS + ", settled boolean")
-    by_a, by_fh = Window.partitionBy("a"), Window.partitionBy("a", "fh")
-    seen = rows.repartition(n, "a").withColumns({
-        "first_doc": F.min("doc").over(by_fh), "group_first": F.min("doc").over(by_a), "group_last": F.max("doc").over(by_a), "mixed": F.min("fh").over(by_a) != F.max("fh").over(by_a),
-    })
-    seen = seen.withColumn("settled", F.col("settled") | (F.col("doc") > F.col("first_doc")))
-    seen = settle(seen.where("settled or (mixed and group_first < group_last)").select("a", "fh", "doc", "th", "pos", "settled"))
-    same = seen.where("settled").select("doc", "th", F.greatest(F.lit(0), F.col("pos") - (window - size)).alias("start"), (F.col("pos") + window).alias("stop"))
-    asked = seen.where("not settled")
-    lists = anchored.per_text(asked, "a", "fh", "pos")
-    pieces = settle(texts.join(lists, ["__doc", "__th"]).mapInArrow(_cut(window, size), "a long, fh long, doc long, th long, low int, words binary"))
-    large = pieces.groupBy("a").count().where(F.col("count") > MOST_KINDS).select("a")
-    small = pieces.join(large, "a", "left_anti").repartition(n, "a").sortWithinPartitions("a").mapInArrow(_matches(window), SPANS)
-    codes = pieces.join(large, "a", "left_semi").mapInArrow(_windows(window), "code long, doc long, th long, start int")
-    owners = codes.groupBy("code").agg(F.min("doc").alias("owner"))
-    rest = codes.join(owners, "code").where("owner < doc").select("doc", "th", "start", (F.col("start") + window).alias("stop"))
-    return same.union(small).union(rest)
-
-
-def marked(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
-    """`docs` with __doc, __th and `__spans`: the spans of words to remove from each text (null: none)."""
-    spans = settle(passage_spans(docs, window, size))
-    return anchored.keyed(docs).join(anchored.per_text(spans, "start", "stop"), ["__doc", "__th"], "left")
+    found = settle(texts.mapInArrow(lambda batches: _settled_here(find(batches)), anchored.ROWS + ", n long"))
+    spans = found.where("a is null").select("doc", "th", "start", "stop")
+
+    def owned(rows: DataFrame) -> DataFrame:
+        """`rows` with the least document that has the same fragment."""
+        return rows.join(rows.groupBy("a", "fh").agg(F.min("doc").alias("owner")), ["a", "fh"])
+
+    rows = settle(owned(found.where("a is not null")))
+    sides = rows.where("doc = owner").select("doc", "th", "pos", F.inline(anchored.halves(window, size))).where("a is not null")
+    while True:
+        spans = spans.union(rows.where("doc > owner").select("doc", "th", "start", "stop"))
+        groups = sides.groupBy("a").agg(F.count("*").alias("size"), F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("a", "size")
+        asked = settle(sides.join(groups, "a").distinct())
+        lists = anchored.per_text(asked.where(F.col("size") <= most), "a", "start", "stop")
+        pieces = texts.join(lists, ["doc", "th"]).mapInArrow(_cut, "a long, doc long, th long, low int, words binary")
+        spans = spans.union(pieces.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_matches(window), SPANS))
+        large = asked.where(F.col("size") > most)
+        if step == 1 or large.isEmpty():
+            return spans
+        step = max(1, step // 4)
+        lists = anchored.per_text(large.select("doc", "th", "pos", "start", "stop", F.lit(1).cast("long").alias("n")).distinct(), "pos", "start", "stop", "n")
+        rows = settle(owned(texts.join(lists, ["doc", "th"]).mapInArrow(anchored.dealt(anchored.word_units, step, window, size), anchored.DEALT).distinct()))
+        sides = rows.where("doc = owner").select("a", "doc", "th", "pos", "start", "stop")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, found = anchored.lists(batch.column("__spans"))
+        rows, found = anchored.lists(batch.column("spans"))
         starts, stops = found.field("start").to_numpy(), found.field("stop").to_numpy()
-        for first, last, data, at in K.blocks(batch.column("text")):
+        for first, last, data, at in K.blocks(batch.column("row").field("text")):
             w = K.Words(data, at)
             raw, counts = data.tobytes(), w.counts
             removed, sha = [], []
@@ -171,13 +148,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep = w.at[d] + np.flatnonzero(~gone)
                 removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist())])).hexdigest())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, last - first), "n_words": counts, "n_removed": removed, "kept_sha256": sha})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("row").field("doc_id").slice(first, last - first), "n_words": counts, "n_removed": removed, "kept_sha256": sha})
 
 
-def digests(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row. A null text has no words.
 
     Rows without a doc_id are smaller than none and greater than none: they lose and take nothing. Rows that
     repeat a doc_id are one document's, each judged by its own text.
     """
-    return marked(docs, window, size).select("doc_id", "text", "__spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = with_lists(docs.select("doc_id", "text"), spans=passage_spans(docs, window, size, most))
+    return found.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,9 +1,11 @@
 """Removal of repeated byte strings, by maximal repeats of enhanced suffix arrays.
 
-Anchors bring together the fragments that can share a string of WINDOW bytes. Fragments that are equal as a
-whole are settled by their hash. Where fragments differ around an anchor, an enhanced suffix array is built
-over them in a task; a stack scan of its common-prefix intervals reports, for each interval that can't be
-extended to the left in all its occurrences, the repeat with all its places.
+Anchors bring together the fragments that can share a string of WINDOW bytes: a shared string has its anchor in its
+first or in its second half, so fragments meet by the hash of what is then sure to be common. Equal fragments are one,
+with a count. Over the different fragments of a group an enhanced suffix array is built in a task; a stack scan of
+its common-prefix intervals reports, for each interval that can't be extended to the left in all its occurrences,
+the repeat with all its places. A group of more than MOST fragments is dealt anew by longer keys, at last by the
+whole string, so that no array grows with the corpus.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from .tables import settle, width
 WINDOW, ANCHOR = 400, 32
 #: Bytes that stand for a word and its next where repeats are looked for by words.
 CODE = 4
-BLOCK = 1 << 18
+#: Bytes of small groups that share an array, and the most fragments of a group in one array.
+BLOCK, MOST = 1 << 18, 1_000
 
 
 def suffix_array(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,36 +100,35 @@ def maximal_repeats(data: np.ndarray, at: np.ndarray, group: np.ndarray, least:
     before[at[:-1][np.diff(at) > 0]] = -1 - np.flatnonzero(np.diff(at) > 0)  # at an edge, unlike any other
     before = before[order]
     start, end = K.runs(common >= least)
-    for a, b in zip(start, end):
-        here = before[a : b + 1]
-        if (here[0] >= 0) and (here == here[0]).all():
-            continue  # every occurrence goes on to the left: part of a longer repeat
+    if not len(start):
+        return
+    # Where every occurrence goes on to the left alike, the interval is part of a longer repeat.
+    unlike = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+    diverse = (unlike[end] > unlike[start]) | (before[start] < 0)
+    for a, b in zip(start[diverse].tolist(), end[diverse].tolist()):
         stack: list[tuple[int, int]] = []
-        for i in range(a, b + 1):
-            h, low = (int(common[i]) if i < b else 0), i
+        heights = [*common[a:b].tolist(), 0]
+        for i, h in enumerate(heights, a):
+            low = i
             while stack and stack[-1][0] > h:
                 length, low = stack.pop()
-                seen = before[low : i + 1]
-                if seen[0] < 0 or (seen != seen[0]).any():
+                if unlike[i] > unlike[low] or before[low] < 0:
                     yield length, order[low : i + 1]
             if h and (not stack or stack[-1][0] < h):
                 stack.append((h, low))
 
 
-def _cut(window: int, size: int):
-    """Fragments of texts around their anchors, as listed in `__spans`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = K.text_bytes(batch.column("text"))
-            rows, found = anchored.lists(batch.column("__spans"))
-            text = np.repeat(np.arange(batch.num_rows), np.diff(rows))
-            low, high = anchored.fragment(at[text] + found.field("pos").to_numpy(), at[text], at[text + 1], window, size)
-            for part in np.array_split(np.arange(len(text)), len(text) // 4096 + 1):
-                ids = {c: batch.column(f"__{c}").to_numpy()[text[part]] for c in ("doc", "th")}
-                yield pa.RecordBatch.from_pydict({"a": found.field("a").take(pa.array(part)), **ids, "low": (low - at[text])[part].astype(np.int32), "piece": [data[x:y].tobytes() for x, y in zip(low[part], high[part])]})
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of texts that `spans` lists."""
+    for batch in batches:
+        data, at = K.text_bytes(batch.column("text"))
+        rows, found = anchored.lists(batch.column("spans"))
+        text = np.repeat(np.arange(batch.num_rows), np.diff(rows))
+        low, high = found.field("start").to_numpy(), found.field("stop").to_numpy()
+        for part in np.array_split(np.arange(len(text)), len(text) // 4096 + 1):
+            ids = {c: batch.column(c).to_numpy()[text[part]] for c in ("doc", "th")}
+            base = at[text[part]]
+            yield pa.RecordBatch.from_pydict({"a": found.field("a").take(pa.array(part)), **ids, "low": low[part], "piece": [data[x:y].tobytes() for x, y in zip(base + low[part], base + high[part])]})
 
 
 def _segments(table: pa.Table):
@@ -152,23 +154,6 @@ def _span_rows(doc, th, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc", "th", "start", "stop"])
 
 
-def _places(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where whole windows start, and the segment that each is in."""
-    counts = np.maximum(0, np.diff(at) - window + 1)
-    seg = np.repeat(np.arange(len(counts)), counts)
-    return at[seg] + np.arange(len(seg)) - (np.cumsum(counts) - counts)[seg], seg
-
-
-def duplicated(data: np.ndarray, at: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
-    """Which bytes lie in a window whose hash is found twice in its group."""
-    start, seg = _places(at, window)
-    code = K.spans(K.prefix(data), start, start + window) ^ K.mix(group[seg].astype(K.U))
-    order = np.argsort(code)
-    same = code[order][1:] == code[order][:-1]
-    twice = start[order[np.append(same, False) | np.append(False, same)]] if len(order) else start
-    return K.covered(len(data), twice, twice + window)
-
-
 def _runs_within(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of true values that end where a segment does."""
     edge = np.zeros(len(mask) + 1, bool)
@@ -178,28 +163,16 @@ def _runs_within(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _repeats(window: int):
-    """All occurrences of the maximal repeats within each group.
-
-    Bytes outside windows whose hash is found twice can't be in a repeat, so suffix arrays are built over the
-    rest. Groups of more than anchored.MOST_KINDS segments are settled by those hashes.
-    """
+    """All occurrences of the maximal repeats within each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in anchored.whole_groups(batches, BLOCK):
             data, at, group, doc, th, low = _segments(table)
-            hit = duplicated(data, at, group, window)
-            large = np.bincount(group)[group] > anchored.MOST_KINDS
-            start, end = _runs_within(hit & ~np.repeat(large, np.diff(at)), at)
-            if len(start):
-                inside = np.searchsorted(at, start, "right") - 1
-                own = np.concatenate(([0], np.cumsum(end - start)))
-                rest = K.covered(len(data), start, end)
-                stop = np.zeros(own[-1] + 1, np.int64)
-                for length, places in maximal_repeats(data[rest], own, group[inside], window):
-                    np.maximum.at(stop, places, places + length)
-                first = np.flatnonzero(stop)
-                hit[rest] = K.covered(own[-1], first, stop[first])
-            start, end = _runs_within(hit, at)
+            stop = np.zeros(len(data) + 1, np.int64)
+            for length, places in maximal_repeats(data, at, group, window):
+                np.maximum.at(stop, places, places + length)
+            first = np.flatnonzero(stop)
+            start, end = _runs_within(K.covered(len(data), first, stop[first]), at)
             if len(start):
                 seg = np.searchsorted(at, start, "right") - 1
                 yield _span_rows(doc[seg], th[seg], low[seg] + start - at[seg], low[seg] + end - at[seg])
@@ -207,51 +180,22 @@ def _repeats(window: int):
     return run
 
 
-def _windows(window: int):
-    """A hash and the place of each window of each fragment, for groups that are not brought together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, at in K.blocks(batch.column("piece")):
-                place, seg = _places(at, window)
-                start = place - at[seg]
-                code = K.spans(K.prefix(data), place, place + window)
-                ids = [batch.column(c).to_numpy()[first:last][seg] for c in ("doc", "th", "low")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (K.i64(code), ids[0], ids[1], (ids[2] + start).astype(np.int32))], ["code", "doc", "th", "start"])
-
-    return run
-
-
-def _settled_here(window: int, size: int):
-    """Of equal fragments in a batch one row goes on, with their number; the spans of all are settled at once.
+def _settled_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of equal fragments in a batch one row goes on, with their number; the spans of all are given out at once.
 
     Spans (a is null) are united per text, so that neither a text that repeats itself nor a group of copies
     sends a row for each occurrence.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, fh, doc, th, pos = (batch.column(c).to_numpy() for c in ("a", "fh", "doc", "th", "pos"))
-            order = np.lexsort((pos, th, doc, fh, a))
-            new = np.ones(len(a), bool)
-            new[1:] = (a[order][1:] != a[order][:-1]) | (fh[order][1:] != fh[order][:-1])
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(a)))
-            one = order[first]
-            several = order[np.repeat(count, count) > 1]
-            several = several[np.lexsort((pos[several], th[several], doc[several]))]
-            start, stop = np.maximum(0, pos[several] - (window - size)), pos[several] + window
-            apart = np.ones(len(several), bool)
-            apart[1:] = (doc[several][1:] != doc[several][:-1]) | (th[several][1:] != th[several][:-1]) | (start[1:] > stop[:-1])
-            head = np.flatnonzero(apart)
-            tail = np.append(head[1:], len(several))[: len(head)] - 1
-            none = np.zeros(len(head), np.int64)
-            columns = [np.concatenate(x) for x in ((a[one], none), (fh[one], none), (doc[one], doc[several][head]), (th[one], th[several][head]), (pos[one], start[head]), (count, none), (np.zeros(len(one), np.int32), stop[tail]))]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-            mask = np.arange(len(one) + len(head)) >= len(one)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(k.to_pandas_dtype()), k, mask=mask if i == 0 else None) for i, (x, k) in enumerate(zip(columns, kinds))], ["a", "fh", "doc", "th", "pos", "n", "stop"])
-
-    return run
+    for batch in batches:
+        names = ("a", "fh", "doc", "th", "start", "stop")
+        a, fh, doc, th, low, high = (batch.column(c).to_numpy() for c in names)
+        order = np.lexsort((low, th, doc, fh, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (fh[order][1:] != fh[order][:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(a)))
+        yield batch.take(pa.array(order[first])).append_column("n", pa.array(count))
+        yield anchored.united(batch, order[np.repeat(count, count) > 1])
 
 
 def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +204,8 @@ def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, data, at in K.blocks(batch.column("text")):
             w = K.Words(data, at)
             code = w.grams(2).astype("<u4")
-            ids = [batch.column(c).slice(first, last - first) for c in ("__doc", "__th")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array([code[a : max(a, b - 1)].tobytes() for a, b in zip(w.at, w.at[1:])], pa.binary())], ["__doc", "__th", "text"])
+            ids = [batch.column(c).slice(first, last - first) for c in ("doc", "th")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array([code[a : max(a, b - 1)].tobytes() for a, b in zip(w.at, w.at[1:])], pa.binary())], ["doc", "th", "text"])
 
 
 def _long_words(window: int, words: int):
@@ -281,53 +225,71 @@ def _long_words(window: int, words: int):
     return run
 
 
-def word_spans(docs: DataFrame, words: int, size: int = ANCHOR) -> DataFrame:
+def word_spans(docs: DataFrame, words: int, size: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): spans, counted in words, that repeats of `words` words or more cover; they may overlap."""
-    codes = anchored.keyed(docs).select("__doc", "__th", "text").mapInArrow(_word_codes, "__doc long, __th long, text binary")
-    spans = _spans_in(codes, CODE * (words - 1), size)
+    codes = anchored.keyed(docs).mapInArrow(_word_codes, "doc long, th long, text binary")
+    spans = _spans_in(codes, CODE * (words - 1), size, most)
     return spans.select("doc", "th", F.ceil(F.col("start") / CODE).cast("int").alias("start"), (F.floor(F.col("stop") / CODE) + 1).cast("int").alias("stop"))
 
 
-def repeat_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
+def repeat_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): byte spans that repeats of `window` bytes or more cover; they may overlap."""
-    return _spans_in(anchored.keyed(docs).select("__doc", "__th", "text"), window, size)
+    return _spans_in(anchored.keyed(docs), window, size, most)
 
 
-def _spans_in(texts: DataFrame, window: int, size: int) -> DataFrame:
-    n = width(texts.sparkSession)
+def _spans_in(texts: DataFrame, window: int, size: int, most: int) -> DataFrame:
+    n, step = width(texts.sparkSession), anchored.half(window, size)
     texts = texts.where(F.octet_length("text") >= window)
-    find, here = anchored.find(anchored.byte_units, window, size), _settled_here(window, size)
-    found = settle(texts.mapInArrow(lambda batches: here(find(batches)), anchored.ROWS + ", n long, stop int"))
-    rows, own = found.where("a is not null"), found.where("a is null").select("doc", "th", F.col("pos").alias("start"), "stop")
-    kinds = settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("one")))
-    same = rows.join(kinds.where("n > 1").select("a", "fh"), ["a", "fh"], "left_semi")
-    same = same.select("doc", "th", F.greatest(F.lit(0), F.col("pos") - (window - size)).alias("start"), (F.col("pos") + window).alias("stop"))
-    mixed = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = kinds.join(mixed, "a").select("a", "kinds", "one.*")
-    lists = anchored.per_text(asked, "a", "pos")
-    pieces = settle(texts.join(lists, ["__doc", "__th"]).mapInArrow(_cut(window, size), "a long, doc long, th long, low int, piece binary"))
-    large = mixed.where(F.col("kinds") > anchored.MOST_HELD).select("a")
-    small = pieces.join(large, "a", "left_anti").repartition(n, "a").sortWithinPartitions("a", "doc", "th", "low", F.length("piece")).mapInArrow(_repeats(window), SPANS)
-    codes = pieces.join(large, "a", "left_semi").mapInArrow(_windows(window), "code long, doc long, th long, start int").distinct()
-    twice = codes.groupBy("code").count().where("count > 1").select("code")
-    rest = codes.join(twice, "code", "left_semi").select("doc", "th", "start", (F.col("start") + window).alias("stop"))
-    return own.union(same).union(small).union(rest)
-
-
-def marked(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
-    """`docs` with the columns __doc, __th and `__spans`: the spans to remove in each text (null: none)."""
-    spans = settle(repeat_spans(docs, window, size).distinct())
-    return anchored.keyed(docs).join(anchored.per_text(spans, "start", "stop"), ["__doc", "__th"], "left")
+    find = anchored.find(anchored.byte_units, window, size)
+    found = settle(texts.mapInArrow(lambda batches: _settled_here(find(batches)), anchored.ROWS + ", n long"))
+    rows = found.where("a is not null")
+    spans = found.where("a is null").select("doc", "th", "start", "stop")
+
+    def several(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+        return rows.join(kinds.where("n > 1").select("a", "fh"), ["a", "fh"], "left_semi").select("doc", "th", "start", "stop")
+
+    kinds = settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "pos", "start", "stop", "k0", "k1")).alias("one")))
+    spans = spans.union(several(rows, kinds))
+    sides = kinds.select("n", "one.*").select("n", "doc", "th", "pos", F.inline(anchored.halves(window, size))).where("a is not null")
+    while True:
+        # Where all fragments of a group occur several times, nothing is left to find.
+        groups = sides.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("a", "kinds")
+        asked = settle(sides.join(groups, "a"))
+        lists = anchored.per_text(asked.where(F.col("kinds") <= most), "a", "start", "stop")
+        pieces = texts.join(lists, ["doc", "th"]).mapInArrow(_cut, "a long, doc long, th long, low int, piece binary")
+        spans = spans.union(pieces.repartition(n, "a").sortWithinPartitions("a", "doc", "th", "low", F.length("piece")).mapInArrow(_repeats(window), SPANS))
+        large = asked.where(F.col("kinds") > most)
+        if step == 1 or large.isEmpty():
+            return spans
+        step = max(1, step // 8)
+        lists = anchored.per_text(large.select("doc", "th", "pos", "start", "stop", "n").distinct(), "pos", "start", "stop", "n")
+        rows = settle(texts.join(lists, ["doc", "th"]).mapInArrow(anchored.dealt(anchored.byte_units, step, window, size), anchored.DEALT).distinct())
+        kinds = settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "pos", "start", "stop")).alias("one")))
+        spans = spans.union(several(rows, kinds))
+        sides = kinds.select("a", "n", "one.*")
+
+
+def marked(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST) -> DataFrame:
+    """row (the columns of `docs`) and `spans`: the spans to remove in its text (null: none)."""
+    return with_lists(docs, spans=repeat_spans(docs, window, size, most))
+
+
+def with_lists(docs: DataFrame, **spans: DataFrame) -> DataFrame:
+    """row (all columns of `docs`, so that none of their names can clash), and a list for each of `spans`."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("th"))
+    for name, rows in spans.items():
+        out = out.join(anchored.per_text(settle(rows.distinct()), "start", "stop", name=name), ["doc", "th"], "left")
+    return out.select("row", *spans)
 
 
 def _removed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The bytes of each text, and which of them to remove."""
-    data, at = K.text_bytes(batch.column("text"))
-    rows, found = anchored.lists(batch.column("__spans"))
+    data, at = K.text_bytes(batch.column("row").field("text"))
+    rows, found = anchored.lists(batch.column("spans"))
     start, stop = found.field("start").to_numpy(), found.field("stop").to_numpy()
-    by_words = "__words" in batch.schema.names
+    by_words = "words" in batch.schema.names
     if by_words:
-        word_rows, found = anchored.lists(batch.column("__words"))
+        word_rows, found = anchored.lists(batch.column("words"))
         first, last = found.field("start").to_numpy(), found.field("stop").to_numpy()
     for i in range(batch.num_rows):
         n, own, text = at[i + 1] - at[i], slice(rows[i], rows[i + 1]), data[at[i] : at[i + 1]]
@@ -341,7 +303,7 @@ def _removed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        out: dict[str, list] = {"doc_id": batch.column("row").field("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
         for data, gone in _removed(batch):
             out["n_bytes"].append(len(data))
             out["n_removed"].append(int(gone.sum()))
@@ -350,43 +312,45 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(out)
 
 
-def digests(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row. A null text is empty.
 
     A string of `window` bytes that starts at two places anywhere goes at both; rows that repeat a document
     count as two documents.
     """
-    return marked(docs, window, size).select("doc_id", "text", "__spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = marked(docs.select("doc_id", "text"), window, size, most)
+    return found.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for (data, gone), null in zip(_removed(batch), batch.column("text").is_null().to_pylist()):
-            if gone.any():
-                # A character goes only with all its bytes.
-                first = np.flatnonzero((data & 0xC0) != 0x80)
-                whole = np.logical_and.reduceat(gone, first)
-                data = data[~np.repeat(whole, np.diff(np.append(first, len(data))))]
-            texts.append(None if null else data.tobytes().decode("utf-8", "replace"))
-        yield batch.drop_columns([c for c in ("__spans", "__words") if c in batch.schema.names]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-
-
-def stripped(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, words: int | None = None) -> DataFrame:
+def _kept_texts(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for (data, gone), null in zip(_removed(batch), batch.column("row").field("text").is_null().to_pylist()):
+                if gone.any():
+                    # A character goes only with all its bytes.
+                    first = np.flatnonzero((data & 0xC0) != 0x80)
+                    whole = np.logical_and.reduceat(gone, first)
+                    data = data[~np.repeat(whole, np.diff(np.append(first, len(data))))]
+                texts.append(None if null else data.tobytes().decode("utf-8", "replace"))
+            fields = dict(zip(columns, batch.column("row").flatten())) | {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([fields[c] for c in columns], columns)
+
+    return run
+
+
+def stripped(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, words: int | None = None, most: int = MOST) -> DataFrame:
     """`docs`, its columns kept, with repeats removed from the texts and n_chars, if there, counted anew.
 
     With `words`, repeats of so many words go, from the first word to the last, whatever their bytes. Repeats of
     `window` bytes are then looked for only in texts where such a repeat can hold fewer words: elsewhere
-    it is one of `words` words, and goes but for words cut at its edges.
+    it is one of `words` words, and goes but for words cut at its edges. Null texts stay null; a text that is
+    all repeats becomes empty; rows that repeat an id are each judged by their own text.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     if words is None:
-        found = marked(docs, window, size).select(*columns, "__spans")
+        found = marked(docs, window, size, most)
     else:
-        texts = anchored.keyed(docs).select("__doc", "__th", "text").where(F.octet_length("text") >= window)
-        texts = texts.mapInArrow(_long_words(window, words), "__doc long, __th long, text string")
-        spans = anchored.per_text(settle(_spans_in(texts, window, size).distinct()), "start", "stop")
-        by_words = anchored.per_text(settle(word_spans(docs, words, size).distinct()), "start", "stop").withColumnRenamed("__spans", "__words")
-        found = anchored.keyed(docs).join(spans, ["__doc", "__th"], "left").join(by_words, ["__doc", "__th"], "left").select(*columns, "__spans", "__words")
-    out = found.mapInArrow(_kept_texts, docs.schema)
+        texts = anchored.keyed(docs).where(F.octet_length("text") >= window).mapInArrow(_long_words(window, words), "doc long, th long, text string")
+        found = with_lists(docs, spans=_spans_in(texts, window, size, most), words=word_spans(docs, words, size, most))
+    out = found.mapInArrow(_kept_texts(docs.columns), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pressloom.llm import anchored, decontamination, near_dedup, packing, phrase_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filter
+from pressloom.llm import decontamination, near_dedup, packing, phrase_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filter
 from pressloom.llm.queries import tokenizer_path
 
 WORD, TERM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,7 +100,7 @@ def test_ids_missing_or_repeated(spark):
         assert f(df.selectExpr("*", "string(null) AS source")).count() == 5
 
 
-def test_phrase_dedup(docs, texts, empty, monkeypatch):
+def test_phrase_dedup(docs, texts, empty):
     want, seen = [], {}
     for i, t in enumerate(texts):
         w, gone = re.findall(WORD, t or ""), set()
@@ -109,14 +109,13 @@ def test_phrase_dedup(docs, texts, empty, monkeypatch):
             if seen.setdefault(x, i) < i:
                 gone |= set(range(k, k + 13))
         want.append((len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
-    for kinds in (phrase_dedup.MOST_KINDS, 2):
-        monkeypatch.setattr(phrase_dedup, "MOST_KINDS", kinds)
-        got = rows_of(phrase_dedup.digests(docs))
+    for most in (phrase_dedup.MOST, 3, 1):
+        got = rows_of(phrase_dedup.digests(docs, most=most))
         assert [(got[i].n_words, got[i].n_removed, got[i].kept_sha256) for i in range(len(texts))] == want
     assert phrase_dedup.digests(empty).count() == 0
 
 
-def test_suffix_dedup(docs, texts, empty, monkeypatch):
+def test_suffix_dedup(docs, texts, empty):
     raw, seen = [(t or "").encode() for t in texts], {}
     for b in raw:
         for k in range(len(b) - 399):
@@ -129,10 +128,8 @@ def test_suffix_dedup(docs, texts, empty, monkeypatch):
                 gone[k : k + 400] = True
         spans = int(gone[:1].sum() + (np.diff(gone.astype(int)) == 1).sum())
         want.append((len(b), int(gone.sum()), spans, sha(np.frombuffer(b, np.uint8)[~gone].tobytes())))
-    for kinds, held in ((anchored.MOST_KINDS, anchored.MOST_HELD), (2, anchored.MOST_HELD), (2, 2)):
-        monkeypatch.setattr(anchored, "MOST_KINDS", kinds)
-        monkeypatch.setattr(anchored, "MOST_HELD", held)
-        got = rows_of(suffix_dedup.digests(docs))
+    for most in (suffix_dedup.MOST, 3, 1):
+        got = rows_of(suffix_dedup.digests(docs, most=most))
         assert [tuple(got[i])[1:] for i in range(len(texts))] == want
     out = suffix_dedup.stripped(docs)
     assert out.columns == docs.columns and out.where("n_chars <> length(text) or text like '%�%'").count() == 0
