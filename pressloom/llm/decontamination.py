@@ -1,15 +1,15 @@
-"""Benchmark decontamination over a positional inverted index.
-
-The index is partitioned by documents: each segment covers some documents and lists, for each term, its
-positions. Segments are written to shared storage. Test items come in blocks of bounded size; for each window
-of an item, a segment takes the list of its rarest term, shifts it by the term's place in the window, and
-keeps the starts that the next rarest terms' lists also hold. What is left is an exact phrase match; with
-`slack`, the terms need only be near their place.
+"""Benchmark decontamination over a distributed positional inverted index.
+
+The index is partitioned by documents: each segment covers some documents and holds the postings of each of its terms,
+sorted by position. Windows of the test items are a table too. Terms of windows are counted over all segments; each
+window goes to the segments that hold its rarest term, and to no other. There its terms' lists are intersected,
+the rarest first: the starts that its list implies are looked up in the next list, shifted by that term's
+place in the window, by binary search. What is left is an exact phrase match; with `slack`, the terms need only be
+near their places. Nothing of the documents or the items passes through the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,22 +21,24 @@ from . import kernels as K
 from .tables import settle
 
 WINDOW = 10
-#: Items are searched in blocks of at most so many, so the driver and each task hold a bounded number of texts.
-BLOCK_ITEMS = 20_000
+#: A segment is searched for so many windows at a time; more come in further rows.
+TOGETHER = 20_000
 
-INDEX = "doc_ids binary, lengths binary, terms binary, firsts binary, positions binary, null_ids binary"
+INDEX = "doc_ids array<long>, lengths array<int>, terms array<long>, firsts array<int>, positions binary"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, at in K.blocks(batch.column("text"), 1 << 21):
             w = K.Words(data, at, K.NON_ALNUM, lower=True)
-            order = np.argsort(w.code, kind="stable")
-            code = w.code[order]
+            code = K.i64(w.code)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
             firsts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.empty(0, np.int64)
-            ids = batch.column("doc_id").slice(first, last - first)
-            parts = (ids.fill_null(0).to_numpy().astype("<i8"), w.counts.astype("<i4"), code[firsts], firsts.astype("<i4"), order.astype("<i4"), ids.is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], [x.split()[0] for x in INDEX.split(", ")])
+            ids = batch.column("doc_id").slice(first, last - first).to_pylist()
+            parts = (ids, w.counts.astype(np.int32), code[firsts], firsts.astype(np.int32))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.list_(k)) for x, k in zip(parts, kinds)), pa.array([order.astype("<i4").tobytes()], pa.binary())], [x.split()[0] for x in INDEX.split(", ")])
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -44,173 +46,171 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     The number is written with the segment: equal segments (a file read twice, repeated rows) stay apart.
     """
-    return settle(docs.select("doc_id", "text").mapInArrow(_segments, INDEX).withColumn("segment", F.monotonically_increasing_id()))
+    return settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_segments, INDEX).withColumn("segment", F.monotonically_increasing_id()))
 
 
 class Segment:
-    def __init__(self, row: dict):
-        read = lambda name, kind: np.frombuffer(row[name], kind)
-        self.ids, self.null, self.lengths = read("doc_ids", "<i8"), read("null_ids", bool), read("lengths", "<i4").astype(np.int64)
-        self.terms, self.firsts, self.positions = read("terms", K.U), read("firsts", "<i4").astype(np.int64), read("positions", "<i4")
-        self.at = np.concatenate(([0], np.cumsum(self.lengths)))
+    """The postings of one segment."""
+
+    def __init__(self, lengths: np.ndarray, terms: np.ndarray, firsts: np.ndarray, positions: bytes):
+        self.terms, self.positions = terms, np.frombuffer(positions, "<i4").astype(np.int64)
+        self.firsts = firsts.astype(np.int64)
         self.ends = np.append(self.firsts[1:], len(self.positions))
+        self.at = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        # Lists follow one another in the order of terms, so number * (n + 1) + position is sorted as a whole.
+        self.span = len(self.positions) + 1
+        self.sorted = np.repeat(np.arange(len(terms)), self.ends - self.firsts) * self.span + self.positions
 
-    def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the postings of each term begin, and how many there are."""
+    def number(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term's list, -1 if there is none."""
         if not len(self.terms):
-            return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+            return np.full(terms.shape, -1)
         spot = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        there = self.terms[spot] == terms
-        return self.firsts[spot], np.where(there, self.ends[spot] - self.firsts[spot], 0)
+        return np.where(self.terms[spot] == terms, spot, -1)
 
-    def phrases(self, windows: np.ndarray, sizes: np.ndarray, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position) of each place where a window's terms all stand, each within `slack` of its place.
+    def phrases(self, windows: np.ndarray, sizes: np.ndarray, slack: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, start, document) of each start from which every term of a window stands within `slack` of its place,
+        all in one document. With a slack a start may lie that far before the document or behind its last whole window.
 
-        windows: one row of term hashes for each window; only the first sizes[i] count.
+        windows: one row of terms for each window; only the first sizes[i] count.
         """
-        first, count = self.lists(windows.ravel())
-        first, count = first.reshape(windows.shape), count.reshape(windows.shape)
+        none = np.empty(0, np.int64)
+        if not len(windows) or not len(self.terms):
+            return none, none, none
+        number = self.number(windows)
         used = np.arange(windows.shape[1]) < sizes[:, None]
+        count = np.where(number >= 0, (self.ends - self.firsts)[number], 0)
         count = np.where(used, count, np.iinfo(np.int64).max)
-        live = np.flatnonzero(count.min(axis=1) > 0) if len(windows) else np.empty(0, np.int64)
+        live = np.flatnonzero(count.min(axis=1) > 0)
         by_rarity = np.argsort(count[live], axis=1, kind="stable")
         rarest = by_rarity[:, 0]
         n = count[live, rarest]
-        who = np.repeat(live, n)
         row = np.repeat(np.arange(len(live)), n)
-        inside = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        start = self.positions[first[who, rarest[row]] + inside].astype(np.int64) - rarest[row]
-        doc = np.searchsorted(self.at, start + rarest[row], "right") - 1
-        ok = (start >= self.at[doc]) & (start + sizes[who] <= self.at[doc + 1])
+        who = live[row]
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        found = self.positions[self.firsts[number[who, rarest[row]]] + inside]
+        doc = np.searchsorted(self.at, found, "right") - 1
+        shift = np.tile(np.arange(-slack, slack + 1), len(row))
+        row, who, doc, start = (np.repeat(x, 2 * slack + 1) for x in (row, who, doc, found - rarest[row]))
+        start = start + shift
+        ok = (start >= self.at[doc] - slack) & (start + sizes[who] <= self.at[doc + 1] + slack)
         who, row, start, doc = who[ok], row[ok], start[ok], doc[ok]
-        code = self._codes()
         for k in range(1, windows.shape[1]):
             place = by_rarity[row, k]
-            extra = place >= sizes[who]
-            term = windows[who, place]
-            hit = extra.copy()
-            for off in range(-slack, slack + 1):
-                at = start + place + off
-                near = (at >= self.at[doc]) & (at < self.at[doc + 1])
-                hit[near] |= code[at[near]] == term[near]
+            low = np.maximum(start + place - slack, self.at[doc])
+            high = np.minimum(start + place + slack, self.at[doc + 1] - 1)
+            key = number[who, place] * self.span
+            # The first entry of the list at `low` or behind it is a hit if it isn't behind `high`.
+            spot = np.searchsorted(self.sorted, key + low)
+            following = self.sorted[np.minimum(spot, len(self.sorted) - 1)]
+            hit = (place >= sizes[who]) | ((spot < len(self.sorted)) & (following <= key + high) & (low <= high))
             who, row, start, doc = who[hit], row[hit], start[hit], doc[hit]
-        return who, start
-
-    def _codes(self) -> np.ndarray:
-        """The term at each position: the postings turned over."""
-        out = np.empty(len(self.positions), K.U)
-        out[self.positions] = np.repeat(self.terms, self.ends - self.firsts)
-        return out
-
-
-def item_windows(items: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term hashes of the different windows of all items, their sizes, and (window, item) pairs."""
-    data, at = K.text_bytes(pa.array([x or "" for _, x in items], pa.large_string()))
-    w = K.Words(data, at, K.NON_ALNUM, lower=True)
-    seen: dict[bytes, int] = {}
-    rows, sizes, pairs = [], [], set()
-    for i in range(len(items)):
-        own = w.code[w.at[i] : w.at[i + 1]]
-        for j in range(max(1, len(own) - size + 1) if len(own) else 0):
-            part = own[j : j + size]
-            k = seen.setdefault(part.tobytes(), len(seen))
-            if k == len(rows):
-                rows.append(np.concatenate([part, np.zeros(size - len(part), K.U)]))
-                sizes.append(len(part))
-            pairs.add((k, i))
-    table = np.array(rows, K.U).reshape(-1, size)
-    return table, np.array(sizes, np.int64), np.array(sorted(pairs), np.int64).reshape(-1, 2)
-
-
-HITS = "segment long, row int, doc_id long, n_words long, items array<long>, starts array<int>, stops array<int>"
-
-
-def _search(items: list[tuple], size: int, slack: int):
-    """For each document of each segment: the items found, and the spans of words that they hit."""
-    windows, sizes, pairs = item_windows(items, size)
-    ids = np.array([x for x, _ in items], np.int64)
-    first_pair = np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))
+        if slack:
+            # Several places of the rarest term may imply one start.
+            who, start, doc = np.unique(np.stack([who, start, doc]), axis=1)
+        return who, start, doc
+
+
+def _windows(size: int):
+    """The windows of each item: its terms, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                s = Segment(row)
-                who, start = s.phrases(windows, sizes, slack)
-                doc = np.searchsorted(s.at, start, "right") - 1
-                order = np.argsort(doc, kind="stable")
-                who, start, doc = who[order], start[order], doc[order]
-                edges = np.searchsorted(doc, np.arange(len(s.ids) + 1))
-                out: dict[str, list] = {"items": [], "starts": [], "stops": []}
-                for d in range(len(s.ids)):
-                    own = slice(edges[d], edges[d + 1])
-                    found = np.unique(np.concatenate([ids[pairs[first_pair[x] : first_pair[x + 1], 1]] for x in np.unique(who[own])])) if edges[d] < edges[d + 1] else ids[:0]
-                    hit = K.covered(s.lengths[d], start[own] - s.at[d], np.minimum(s.lengths[d], start[own] - s.at[d] + sizes[who[own]])) if len(found) else np.zeros(0, bool)
-                    a, b = K.runs(hit)
-                    out["items"].append(found.tolist())
-                    out["starts"].append(a.tolist())
-                    out["stops"].append(b.tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(s.ids), row["segment"])), pa.array(np.arange(len(s.ids), dtype=np.int32)), pa.array(s.ids, mask=s.null), pa.array(s.lengths),
-                        pa.array(out["items"], pa.list_(pa.int64())), pa.array(out["starts"], pa.list_(pa.int32())), pa.array(out["stops"], pa.list_(pa.int32())),
-                    ],
-                    ["segment", "row", "doc_id", "n_words", "items", "starts", "stops"],
-                )
+            for first, last, data, at in K.blocks(batch.column("text")):
+                w = K.Words(data, at, K.NON_ALNUM, lower=True)
+                code, item, terms = K.i64(w.code), [], []
+                for i, ident in enumerate(batch.column("item_id").slice(first, last - first).to_pylist()):
+                    own = code[w.at[i] : w.at[i + 1]]
+                    for j in range(max(1, len(own) - size + 1) if len(own) else 0):
+                        item.append(ident)
+                        terms.append(own[j : j + size])
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["item", "terms"])
 
     return run
 
 
-def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, block: int = BLOCK_ITEMS) -> DataFrame:
-    """A row for each indexed document: doc_id, n_words, the items found in it, and the word spans they cover.
+FOUND = "segment long, row int, item long, start int, stop int"
 
-    Items without words or without an id match nothing. The items go out in blocks of `block`, so what a task
-    holds is bounded; the index is read once for each block.
-    """
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
-    held, found = [], None
-
-    def one(part: list[tuple]) -> DataFrame:
-        return index.mapInArrow(_search(part, size, slack), HITS)
-
-    for row in items.toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == block:
-            found = one(held) if found is None else found.union(one(held))
-            held = []
-    if found is None or held:
-        last = one(held)
-        if found is None:
-            return last
-        found = found.union(last)
-    return found.groupBy("segment", "row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"),
-    )
 
+def _search(slack: int):
+    """From segments with `asked`, a list of (item, terms): each place where an item's window is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                flat = {c: part.column(c).flatten().to_numpy() for c in ("lengths", "terms", "firsts")}
+                s = Segment(**flat, positions=part.column("positions")[0].as_py())
+                asked = part.column("asked").flatten()
+                item, terms = asked.field("item").to_numpy(), asked.field("terms")
+                sizes = terms.value_lengths().to_numpy().astype(np.int64)
+                windows = np.zeros((len(sizes), int(sizes.max(initial=1))), np.int64)
+                windows[np.arange(windows.shape[1]) < sizes[:, None]] = terms.flatten().to_numpy()
+                who, start, doc = s.phrases(windows, sizes, slack)
+                low, high = np.maximum(start, s.at[doc]), np.minimum(start + sizes[who], s.at[doc + 1])
+                columns = (np.full(len(who), part.column("segment")[0].as_py()), doc.astype(np.int32), item[who], (low - s.at[doc]).astype(np.int32), (high - s.at[doc]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in FOUND.split(", ")])
+
+    return run
 
-def _hit_count(starts, stops):
+
+def occurrences(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER) -> DataFrame:
+    """(segment, row, item, start, stop): each place, in words of a document, where a window of an item is found.
+
+    Items without words or without an id match nothing. Repeated items and windows are found once. With `slack`,
+    each term may stand that far from its place, and spans are cut at the document's edges.
+    """
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    windows = settle(items.mapInArrow(_windows(size), "item long, terms array<long>").distinct())
+    asked = windows.select(F.explode("terms").alias("term")).distinct()
+    held = index.select("segment", F.posexplode("terms").alias("i", "term"), "firsts", F.octet_length("positions").alias("end"))
+    size_of = F.coalesce(F.get("firsts", F.col("i") + 1), (F.col("end") / 4).cast("int")) - F.get("firsts", F.col("i"))
+    held = settle(held.select("segment", "term", size_of.alias("n")).join(asked, "term", "left_semi"))
+    counts = held.groupBy("term").agg(F.sum("n").alias("n"))
+    # A window with a term that no document has is found nowhere.
+    each = windows.select("terms", F.size(F.array_distinct("terms")).alias("different"), F.explode(F.array_distinct("terms")).alias("term")).distinct()
+    rarest = each.join(counts, "term").groupBy("terms").agg(F.first("different").alias("different"), F.count("*").alias("there"), F.min(F.struct("n", "term"))["term"].alias("term")).where("there = different")
+    there = rarest.select("terms", "term").join(windows, "terms").join(held.select("term", "segment"), "term").select("segment", F.struct("item", "terms").alias("one"))
+    parts = there.groupBy("segment").agg(F.ceil(F.count("*") / together).alias("parts"))
+    lists = there.join(parts, "segment").groupBy("segment", F.pmod(F.xxhash64("one.terms", "one.item"), "parts").alias("part")).agg(F.collect_list("one").alias("asked"))
+    return index.join(lists, "segment").select("segment", "lengths", "terms", "firsts", "positions", "asked").mapInArrow(_search(slack), FOUND)
+
+
+def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER) -> DataFrame:
+    """A row for each indexed document: doc_id, n_words, the items found in it, and the word spans they cover."""
+    found = occurrences(index, benchmark, size, slack, together)
+    # Per document, spans are united before they are listed: as many words as it has bound them.
+    found = found.groupBy("segment", "row").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct(F.col("start").alias("a"), F.col("stop").alias("b"))).alias("spans"))
+    docs = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("row", "one")).select("segment", "row", F.col("one.doc_ids").alias("doc_id"), F.col("one.lengths").cast("long").alias("n_words"))
+    return docs.join(found, ["segment", "row"], "left").select("segment", "row", "doc_id", "n_words", F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
+
+
+def _hit_count(spans):
     """Words in the union of the spans, taken in order of their starts."""
-    spans = F.array_sort(F.arrays_zip(starts.alias("a"), stops.alias("b")))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
     step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["reach"]))).alias("n"), F.greatest(s["reach"], x["b"]).alias("reach"))
-    return F.aggregate(spans, start, step)["n"].cast("long")
+    return F.aggregate(F.array_sort(spans), start, step)["n"].cast("long")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row. A null text has no words."""
-    found = search(build_index(docs), benchmark, size)
+def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row. A null text has no words; rows that
+    repeat a document are judged each by itself. With `slack`, near matches count too."""
+    found = search(build_index(docs), benchmark, size, slack, together)
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
-        "doc_id", "n_words", _hit_count(F.col("starts"), F.col("stops")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", _hit_count(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0) -> DataFrame:
     """`docs`, all columns, without the rows that hold a window of a benchmark item.
 
-    A row is told by its id and its text, so that rows repeating an id are judged each on its own text.
+    A row is told by its text, so that rows repeating an id are judged each on its own. The caller's columns
+    stay in a struct meanwhile: their names can't clash.
     """
-    marked = docs.withColumns({"__th": F.xxhash64("text")})
-    bad = search(build_index(marked.select(F.col("__th").alias("doc_id"), "text").where("text is not null")), benchmark, size).where(F.size("items") > 0)
-    return marked.join(bad.select(F.col("doc_id").alias("__th")).distinct(), "__th", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("th"))
+    index = build_index(docs.select(F.xxhash64("text").alias("doc_id"), "text").where("text is not null"))
+    bad = occurrences(index, benchmark, size, slack).select("segment", "row").distinct()
+    ids = index.select("segment", F.posexplode("doc_ids").alias("row", "th"))
+    return rows.join(ids.join(bad, ["segment", "row"]).select("th").distinct(), "th", "left_anti").select("row.*")

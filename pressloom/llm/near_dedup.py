@@ -165,32 +165,46 @@ def _similar(percent: int):
 
 
 def _across(radius: int, chunks: int):
-    """From rows sorted by bucket `a`: the members that have a partner in it, near by signature, of another component.
+    """From rows sorted by `a`, two parts of a bucket `key`: the members that have a partner in the other part (or in
+    their own, if they are one), near by signature, of another component.
 
     A pair that shares several buckets counts in the first of them only. Pairs are not given out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 1 << 20):
-            key, root = (table.column(c).to_numpy() for c in ("a", "root"))
+            group, key, root, own = (table.column(c).to_numpy() for c in ("a", "key", "root", "own"))
             sig = _unpack(table.column("sig"))
             every, asks = chunk_keys(sig, chunks), np.zeros(len(key), bool)
+            low = np.searchsorted(group, group)
+            apart = own[low] != own[np.searchsorted(group, group, "right") - 1]
             index, step = np.arange(len(key)), 0
             while len(index):
                 step += 1
                 index = index[index + step < len(key)]
-                index = index[key[index] == key[index + step]]
+                index = index[group[index] == group[index + step]]
                 for part in np.array_split(index, len(index) // 20_000 + 1):
-                    part = part[root[part] != root[part + step]]
+                    part = part[(root[part] != root[part + step]) & (~apart[part] | (own[part] != own[part + step]))]
                     part = part[(sig[part] != sig[part + step]).sum(axis=1) <= radius]
                     first = np.argmax(every[part] == every[part + step], axis=1)
                     part = part[every[part, first].view(np.int64) == key[part]]
                     asks[part] = asks[part + step] = True
-            yield table.select(["a", "id", "root"]).filter(pa.array(asks)).combine_chunks().to_batches()[0] if asks.any() else pa.RecordBatch.from_pydict({"a": key[:0], "id": key[:0], "root": key[:0]})
+            yield from table.select(["key", "id", "root"]).filter(pa.array(asks)).to_batches()
 
     return run
 
 
+def met(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """`rows` (key, id, ...) with `a`: each two parts of about `most` rows of a key's meet under an `a` of their own.
+
+    `own` numbers a row's part. A task so holds two parts at once, however many rows have one key.
+    """
+    parts = rows.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).alias("parts"))
+    own = rows.join(parts, key).withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
+    out = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.withColumn("a", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).drop("parts", "other")
+
+
 def _linked(percent: int):
     """From rows sorted by group `a`: links between members of different components, as many as unite them."""
 
@@ -260,7 +274,7 @@ def connected(edges: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
 
 
-def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, members: int = MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of `docs` (doc_id, text; others are ignored).
 
     Null, empty and wordless texts have no shingles and are linked with nothing. A row without a doc_id is
@@ -274,14 +288,14 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     sigs = nodes.select("id", "sig")
     keys = sigs.mapInArrow(_keys(chunks), "key long, id long").repartition(n, "key")
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail")
-    members = settle(keys.join(heads, "key").select("key", "head", "id"))
-    star = settle(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    grouped = settle(keys.join(heads, "key").select("key", "head", "id"))
+    star = settle(grouped.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
 
     def side(df: DataFrame, name: str, value: str) -> DataFrame:
         return df.select(F.col("id").alias(name), F.col(value).alias(f"{value}_{name}"))
 
     wanted = settle(star.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").mapInArrow(_near(radius), "a long, b long").distinct())
-    suspects = members.select("id").distinct()
+    suspects = grouped.select("id").distinct()
     sets = settle(docs.select(F.col("doc_id").alias("id"), "text").join(suspects, "id", "left_semi").mapInArrow(_sets(size), "id long, set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -290,15 +304,11 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     first = settle(confirmed(wanted))
     roots = settle(connected(first))
-    placed = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    placed = grouped.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    across = placed.join(mixed, "key").join(sigs, "id").select(F.col("key").alias("a"), "id", "root", "sig")
-    asking = settle(across.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_across(radius, chunks), "a long, id long, root long").distinct())
-    parts = asking.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / MEMBERS)).alias("parts"))
-    own = asking.join(parts, "a").withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select(F.xxhash64("a", F.least("own", "other"), F.greatest("own", "other")).alias("a"), "id", "root")
-    second = met.join(sets, "id").repartition(n, "a").sortWithinPartitions("a").mapInArrow(_linked(percent), "a long, b long")
+    across = met(placed.join(mixed, "key"), "key", members).join(sigs, "id").select("a", "key", "id", "root", "own", "sig")
+    asking = settle(across.repartition(n, "a").sortWithinPartitions("a", "own").mapInArrow(_across(radius, chunks), "key long, id long, root long").distinct())
+    second = met(asking, "key", members).select("a", "id", "root").join(sets, "id").repartition(n, "a").sortWithinPartitions("a").mapInArrow(_linked(percent), "a long, b long")
     roots = connected(first.union(second))
     label = settle(nodes.select("f1", "f2", "id").join(roots, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("root")))
     found = base.join(label, ["f1", "f2"], "left")
@@ -311,11 +321,10 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
 
     Rows without a doc_id all stay. Of rows that repeat a doc_id, the one with the least text hash stays.
     """
-    gone = components(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    twice = docs.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.min(F.xxhash64("text")).alias("__th")).where("__n > 1 and __id is not null")
-    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    found = left.join(twice, left["doc_id"] == twice["__id"], "left")
-    columns = [found[f"`{c}`"] for c in docs.columns]
-    single = found.where("__n is null").select(columns)
-    several = found.where(F.col("__n").isNotNull() & (F.xxhash64("text") == F.col("__th"))).select(columns)
-    return single.union(several.dropDuplicates(["doc_id"]))
+    gone = components(docs, size, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    # The caller's columns stay in a struct, so that none of their names can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
+    twice = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("th").alias("least")).where("n > 1 and id is not null")
+    found = rows.join(gone, "id", "left_anti").join(twice, "id", "left")
+    single = found.where("n is null").select("row.*")
+    return single.union(found.where("n is not null and th = least").dropDuplicates(["id"]).select("row.*"))

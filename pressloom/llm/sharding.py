@@ -36,7 +36,9 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, source:
     cells = cells.select("stratum", "cell", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("stratum")).alias("total"))
     order = ("draw", "doc_id", "bytes")
     ranked = rows.join(cells, ["stratum", "cell"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("stratum", "cell").orderBy(*order)))
-    ranked = ranked.withColumn("part", (F.col("rank") - 0.5) / F.col("total"))
+    # Each source starts at a place of its own, so that sources with few rows don't all end up in the middle.
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "stratum")), 1, 12), 16, 10).cast("double") / float(2**48)
+    ranked = ranked.withColumn("part", (F.col("rank") - 1 + start) / F.col("total"))
     ranked = ranked.withColumn("slice", F.floor(F.col("part") * ranges))
     slices = ranked.groupBy("slice").agg(F.count("*").alias("n"))
     ahead = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

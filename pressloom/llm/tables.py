@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,23 +22,52 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none (local tests)."""
+    """The folder in spark.checkpoint.dir. Where the session names none: a temporary one, if everything runs on this
+    machine; on a cluster no executor would see it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = tempfile.mkdtemp(prefix="pressloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: The folders written by settle() inside scratch(), innermost last.
+_open: list[list[str]] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: later jobs start there when an executor is lost."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/pressloom-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders in the shared storage, whatever file system it is."""
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is settled inside is deleted at the end, but for paths that are taken out of the list."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        discard(spark, *made)
+
+
 def width(spark: SparkSession) -> int:
     """Number of partitions for an explicit exchange: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -65,7 +65,7 @@ def test_sharding(docs, texts, empty):
     assert sharding.interleaved(empty).count() == 0
 
 
-def test_near_dedup(docs, texts, empty, monkeypatch):
+def test_near_dedup(docs, texts, empty):
     sets = []
     for t in texts:
         w = re.findall(WORD, (t or "").translate(LOWER))
@@ -84,8 +84,7 @@ def test_near_dedup(docs, texts, empty, monkeypatch):
                 root[max(x, y)] = min(x, y)
     want = [(len(s), top(i), top(i) == i) for i, s in enumerate(sets)]
     for members in (near_dedup.MEMBERS, 7):
-        monkeypatch.setattr(near_dedup, "MEMBERS", members)
-        got = rows_of(near_dedup.components(docs))
+        got = rows_of(near_dedup.components(docs, members=members))
         assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(sets))] == want
     kept = near_dedup.deduplicated(docs.union(docs.limit(3)))
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, w in enumerate(want) if w[2]] and kept.columns == docs.columns
@@ -145,8 +144,8 @@ def test_decontamination(spark, docs, texts, empty):
         x = re.findall(TERM, (t or "").translate(LOWER))
         for k in range(max(1, len(x) - 9) if x else 0):
             windows.setdefault(tuple(x[k : k + 10]), set()).add(i)
-    for block in (decontamination.BLOCK_ITEMS, 2):
-        got = rows_of(decontamination.report(docs, bench)) if block > 2 else {r.doc_id: r for r in decontamination.search(decontamination.build_index(docs), bench, block=block).collect()}
+    for together in (decontamination.TOGETHER, 2):
+        got = rows_of(decontamination.report(docs, bench, together=together))
         for i, t in enumerate(texts):
             x, hit, found = re.findall(TERM, (t or "").translate(LOWER)), set(), set()
             for key, ids in windows.items():
@@ -154,11 +153,14 @@ def test_decontamination(spark, docs, texts, empty):
                     if tuple(x[k : k + len(key)]) == key:
                         hit |= set(range(k, k + len(key)))
                         found |= ids
-            if block > 2:
-                assert tuple(got[i])[1:] == (len(x), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit))
-            else:
-                assert (got[i].n_words, set(got[i]["items"])) == (len(x), found)
+            assert tuple(got[i])[1:] == (len(x), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit))
     assert decontamination.report(empty, bench).count() == 0 and decontamination.report(docs, bench.limit(0)).where("contaminated").count() == 0
+    near = {(r.doc_id, x) for r in decontamination.search(decontamination.build_index(docs), bench, slack=2).collect() for x in r["items"]}
+    for i, t in enumerate(texts):
+        x = re.findall(TERM, (t or "").translate(LOWER))
+        for key, ids in windows.items():
+            fit = any(all(key[k] in x[max(0, p + k - 2) : max(0, p + k + 3)] for k in range(len(key))) for p in range(-2, len(x) - len(key) + 3))
+            assert all(((i, item) in near) >= fit for item in ids)
     assert decontamination.clean(docs, bench).count() == decontamination.report(docs, bench).where("not contaminated").count()
 
 
