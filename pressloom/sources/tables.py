@@ -22,6 +22,11 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pick(values: list[str], n: Column) -> Column:
+    """One of `values`, by a number."""
+    return F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+
+
 def with_latest(df: DataFrame, column: str = "ts") -> DataFrame:
     """`df` with `as_of`, the latest `column`: a one-row aggregate, attached to every row."""
     return df.join(F.broadcast(df.agg(F.max(column).alias("as_of"))), F.lit(True))
@@ -46,7 +51,6 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines with a source (name, kind, domain), a type of event and two further scores, made from the event's numbers."""
-    pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (n % len(xs)).cast("int"))
     user, h = F.col("user_id"), headlines(spark, sf_dir).drop("source_kind")
     return h.select(
         "*", pick(SOURCE_NAMES, user).alias("source_name"), pick(SOURCE_KINDS, user).alias("source_kind"), pick(SOURCE_DOMAINS, user).alias("source_domain"),
