@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import clocks, evidence, gates, selection, serving, texts, triage
+from ..operators import clocks, evidence, gates, lists, selection, serving, state, texts, triage
 from ..sources import feeds
-from . import oracle, oracle_evidence
+from . import oracle, oracle_desk, oracle_evidence
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    modules = (clocks, evidence, feeds, gates, serving, texts, triage)
+    modules = (clocks, evidence, feeds, gates, lists, serving, state, texts, triage)
     found = {name: next(getattr(m, name) for m in modules if hasattr(m, name)) for name in oracle_sql()}
     # Greedy clusters and picks depend on order, which SQL can't express.
     return found | {"triage_labels": triage.triage_labels, "diversified_pick": selection.diversified_pick}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | oracle_evidence.SQL
+    return oracle.SQL | oracle_evidence.SQL | oracle_desk.SQL
