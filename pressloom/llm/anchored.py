@@ -91,34 +91,29 @@ def united(batch: pa.RecordBatch, some: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own[c], kind) if c in own else pa.nulls(len(head), kind) for c, kind in fields], [c for c, _ in fields])
 
 
-DEALT = "a long, fh long, doc long, th long, pos int, start int, stop int, n long"
+DEALT = "a long, fh long, doc long, th long, base int, pos int, start int, stop int, n long"
 
 
-def dealt(units: Callable, step: int, window: int, size: int) -> Callable:
-    """For mapInArrow over texts with `spans` (pos, start, stop, n): the windows of each fragment in runs with the anchor
-    at `step` places, by the hash of what all such windows share. With a step of 1 that is the window."""
+def dealt(step: int, window: int, size: int) -> Callable:
+    """For mapInArrow over pieces of texts (doc, th, pos, low, piece, n; `piece` begins at `low`): the windows of each piece
+    in runs with the anchor at `step` places, by the hash of what all such windows share. With a step of 1 that is the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = lists(batch.column("spans"))
-            own = [found.field(c).to_numpy() for c in ("pos", "start", "stop", "n")]
-            for first, last, data, at in K.blocks(batch.column("text")):
-                _, at, span = units(data, at, size)
-                here = np.arange(rows[first], rows[last])
-                text = np.repeat(np.arange(last - first), np.diff(rows[first : last + 1]))
-                for part in np.array_split(np.arange(len(here)), len(here) // 1024 + 1):
-                    pos, low, high, n = (x[here[part]].astype(np.int64) for x in own)
-                    least, most = (pos - high + window) // step, (pos - low) // step
-                    many = most - least + 1
-                    one = np.repeat(np.arange(len(part)), many)
-                    place = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + least[one]
-                    pos, owner = pos[one], text[part][one]
-                    start, stop = np.maximum(low[one], pos - (place + 1) * step + 1), np.minimum(high[one], pos - place * step + window)
-                    base = at[owner]
-                    left, right = core(pos, place, step, window, size)
-                    key = K.mix(span(base + left, base + right) + place.astype(K.U))
-                    columns = (K.i64(key), K.i64(span(base + start, base + stop)), *(batch.column(c).to_numpy()[first:last][owner] for c in ("doc", "th")))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x.astype(np.int32)) for x in (pos, start, stop)), pa.array(n[one])], [x.split()[0] for x in DEALT.split(", ")])
+            for first, last, data, at in K.blocks(batch.column("piece")):
+                _, _, span = byte_units(data, at, size)
+                doc, th, anchor, low, n = (batch.column(c).to_numpy()[first:last] for c in ("doc", "th", "pos", "low", "n"))
+                pos, high = anchor.astype(np.int64) - low, np.diff(at)
+                least, most = np.maximum(0, pos - high + window) // step, pos // step
+                many = most - least + 1
+                one = np.repeat(np.arange(last - first), many)
+                place = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + least[one]
+                start, stop = np.maximum(0, pos[one] - (place + 1) * step + 1), np.minimum(high[one], pos[one] - place * step + window)
+                left, right = core(pos[one], place, step, window, size)
+                key = K.mix(span(at[one] + left, at[one] + right) + place.astype(K.U))
+                columns = [K.i64(key), K.i64(span(at[one] + start, at[one] + stop)), doc[one], th[one], low[one], anchor[one]]
+                columns += [(x + low[one]).astype(np.int32) for x in (start, stop)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, n[one])], [x.split()[0] for x in DEALT.split(", ")])
 
     return run
 
@@ -130,9 +125,9 @@ def halves(window: int, size: int) -> Column:
     return F.array(run("k0", F.greatest("start", F.col("pos") - step + 1), F.col("stop")), run("k1", F.col("start"), F.least("stop", F.col("pos") - step + window)))
 
 
-def per_text(rows: DataFrame, *values: str | Column, name: str = "spans") -> DataFrame:
+def per_text(rows: DataFrame, *values: str | Column, name: str = "spans", keys: tuple[str, ...] = ("doc", "th")) -> DataFrame:
     """The rows of each text (doc, th) as one list; no longer than the text itself, if `rows` repeats none."""
-    return rows.groupBy("doc", "th").agg(F.collect_list(F.struct(*values)).alias(name))
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct(*values)).alias(name))
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:

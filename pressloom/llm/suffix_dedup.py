@@ -118,17 +118,22 @@ def maximal_repeats(data: np.ndarray, at: np.ndarray, group: np.ndarray, least:
                 stack.append((h, low))
 
 
+PIECES = "a long, kinds long, n long, doc long, th long, pos int, low int, piece binary"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of texts that `spans` lists."""
+    """The parts of texts (beginning at `base`) that `spans` lists."""
     for batch in batches:
         data, at = K.text_bytes(batch.column("text"))
         rows, found = anchored.lists(batch.column("spans"))
         text = np.repeat(np.arange(batch.num_rows), np.diff(rows))
+        base = at[text] - batch.column("base").to_numpy()[text]
         low, high = found.field("start").to_numpy(), found.field("stop").to_numpy()
         for part in np.array_split(np.arange(len(text)), len(text) // 4096 + 1):
-            ids = {c: batch.column(c).to_numpy()[text[part]] for c in ("doc", "th")}
-            base = at[text[part]]
-            yield pa.RecordBatch.from_pydict({"a": found.field("a").take(pa.array(part)), **ids, "low": low[part], "piece": [data[x:y].tobytes() for x, y in zip(base + low[part], base + high[part])]})
+            own = {c: found.field(c).take(pa.array(part)) for c in ("a", "kinds", "n", "pos")} | {c: batch.column(c).to_numpy()[text[part]] for c in ("doc", "th")}
+            own |= {"low": low[part], "piece": [data[x:y].tobytes() for x, y in zip(base[part] + low[part], base[part] + high[part])]}
+            names = [x.split()[0] for x in PIECES.split(", ")]
+            yield pa.RecordBatch.from_pydict({c: own[c] for c in names})
 
 
 def _segments(table: pa.Table):
@@ -250,23 +255,26 @@ def _spans_in(texts: DataFrame, window: int, size: int, most: int) -> DataFrame:
 
     kinds = settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "pos", "start", "stop", "k0", "k1")).alias("one")))
     spans = spans.union(several(rows, kinds))
-    sides = kinds.select("n", "one.*").select("n", "doc", "th", "pos", F.inline(anchored.halves(window, size))).where("a is not null")
+    sides = kinds.select("n", "one.*").select("n", "doc", "th", F.lit(0).alias("base"), "pos", F.inline(anchored.halves(window, size))).where("a is not null")
+    held = texts.select("doc", "th", F.lit(0).alias("base"), "text")
     while True:
         # Where all fragments of a group occur several times, nothing is left to find.
         groups = sides.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("a", "kinds")
-        asked = settle(sides.join(groups, "a"))
-        lists = anchored.per_text(asked.where(F.col("kinds") <= most), "a", "start", "stop")
-        pieces = texts.join(lists, ["doc", "th"]).mapInArrow(_cut, "a long, doc long, th long, low int, piece binary")
-        spans = spans.union(pieces.repartition(n, "a").sortWithinPartitions("a", "doc", "th", "low", F.length("piece")).mapInArrow(_repeats(window), SPANS))
-        large = asked.where(F.col("kinds") > most)
+        at = ("doc", "th", "base")
+        lists = anchored.per_text(sides.join(groups, "a"), "a", "kinds", "n", "pos", "start", "stop", keys=at)
+        pieces = settle(held.join(lists, list(at)).mapInArrow(_cut, PIECES))
+        small = pieces.where(F.col("kinds") <= most).select("a", "doc", "th", "low", "piece")
+        spans = spans.union(small.repartition(n, "a").sortWithinPartitions("a", "doc", "th", "low", F.length("piece")).mapInArrow(_repeats(window), SPANS))
+        large = pieces.where(F.col("kinds") > most)
         if step == 1 or large.isEmpty():
             return spans
+        # Only pieces of large groups go on: the texts aren't shuffled again.
         step = max(1, step // 8)
-        lists = anchored.per_text(large.select("doc", "th", "pos", "start", "stop", "n").distinct(), "pos", "start", "stop", "n")
-        rows = settle(texts.join(lists, ["doc", "th"]).mapInArrow(anchored.dealt(anchored.byte_units, step, window, size), anchored.DEALT).distinct())
-        kinds = settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "pos", "start", "stop")).alias("one")))
+        rows = settle(large.mapInArrow(anchored.dealt(step, window, size), anchored.DEALT))
+        kinds = settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "base", "pos", "start", "stop")).alias("one")))
         spans = spans.union(several(rows, kinds))
         sides = kinds.select("a", "n", "one.*")
+        held = large.select("doc", "th", F.col("low").alias("base"), F.col("piece").alias("text"))
 
 
 def marked(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST) -> DataFrame:
