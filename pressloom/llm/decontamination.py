@@ -1,11 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is partitioned by documents: each segment covers some documents and holds the postings of each of its terms,
-sorted by position. Windows of the test items are a table too. Terms of windows are counted over all segments; each
-window goes to the segments that hold its rarest term, and to no other. There its terms' lists are intersected,
-the rarest first: the starts that its list implies are looked up in the next list, shifted by that term's
-place in the window, by binary search. What is left is an exact phrase match; with `slack`, the terms need only be
-near their places. Nothing of the documents or the items passes through the driver.
+sorted by position. Windows of the test items are a table too: up to BROADCAST of them, counted first, are sent to all
+segments; of more, each goes to the segments that hold its rarest term, and to no other. There its terms' lists
+are intersected, the rarest first: the starts that its list implies are looked up in the next list, shifted by that
+term's place in the window, by binary search. What is left is an exact phrase match; with `slack`, the terms need only
+be near their places. Nothing of the documents or the items is collected by the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .tables import settle
 WINDOW = 10
 #: A segment is searched for so many windows at a time; more come in further rows.
 TOGETHER = 20_000
+#: So many windows (some 10 MB) are broadcast at most.
+BROADCAST = 100_000
 
 INDEX = "doc_ids array<long>, lengths array<int>, terms array<long>, firsts array<int>, positions binary"
 
@@ -154,31 +156,41 @@ def _search(slack: int):
     return run
 
 
-def occurrences(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER) -> DataFrame:
-    """(segment, row, item, start, stop): each place, in words of a document, where a window of an item is found.
-
-    Items without words or without an id match nothing. Repeated items and windows are found once. With `slack`,
-    each term may stand that far from its place, and spans are cut at the document's edges.
-    """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    windows = settle(items.mapInArrow(_windows(size), "item long, terms array<long>").distinct())
+def _by_rarest(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(segment, one): each window beside the segments that hold its rarest term. One with a term that no document has is left out."""
     asked = windows.select(F.explode("terms").alias("term")).distinct()
     held = index.select("segment", F.posexplode("terms").alias("i", "term"), "firsts", F.octet_length("positions").alias("end"))
     size_of = F.coalesce(F.get("firsts", F.col("i") + 1), (F.col("end") / 4).cast("int")) - F.get("firsts", F.col("i"))
     held = settle(held.select("segment", "term", size_of.alias("n")).join(asked, "term", "left_semi"))
     counts = held.groupBy("term").agg(F.sum("n").alias("n"))
-    # A window with a term that no document has is found nowhere.
     each = windows.select("terms", F.size(F.array_distinct("terms")).alias("different"), F.explode(F.array_distinct("terms")).alias("term")).distinct()
     rarest = each.join(counts, "term").groupBy("terms").agg(F.first("different").alias("different"), F.count("*").alias("there"), F.min(F.struct("n", "term"))["term"].alias("term")).where("there = different")
-    there = rarest.select("terms", "term").join(windows, "terms").join(held.select("term", "segment"), "term").select("segment", F.struct("item", "terms").alias("one"))
-    parts = there.groupBy("segment").agg(F.ceil(F.count("*") / together).alias("parts"))
-    lists = there.join(parts, "segment").groupBy("segment", F.pmod(F.xxhash64("one.terms", "one.item"), "parts").alias("part")).agg(F.collect_list("one").alias("asked"))
-    return index.join(lists, "segment").select("segment", "lengths", "terms", "firsts", "positions", "asked").mapInArrow(_search(slack), FOUND)
+    return rarest.select("terms", "term").join(windows, "terms").join(held.select("term", "segment"), "term").select("segment", F.struct("item", "terms").alias("one"))
 
 
-def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER) -> DataFrame:
+def occurrences(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER, most: int = BROADCAST) -> DataFrame:
+    """(segment, row, item, start, stop): each place, in words of a document, where a window of an item is found.
+
+    Items without words or without an id match nothing. Repeated items and windows are found once. With `slack`,
+    each term may stand that far from its place, and spans are cut at the document's edges. Up to `most` windows are
+    broadcast; more are joined by their rarest terms. A task holds a segment and `together` windows.
+    """
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    windows = settle(items.mapInArrow(_windows(size), "item long, terms array<long>").distinct())
+    n, part = windows.count(), F.pmod(F.xxhash64("one.terms", "one.item"), F.col("parts"))
+    if n <= most:
+        blocks = windows.select(F.struct("item", "terms").alias("one"), F.lit(-(-n // together) or 1).alias("parts")).groupBy(part.alias("part")).agg(F.collect_list("one").alias("asked"))
+        found = index.join(F.broadcast(blocks), F.lit(True))
+    else:
+        there = _by_rarest(index, windows)
+        parts = there.groupBy("segment").agg(F.ceil(F.count("*") / together).alias("parts"))
+        found = index.join(there.join(parts, "segment").groupBy("segment", part.alias("part")).agg(F.collect_list("one").alias("asked")), "segment")
+    return found.select("segment", "lengths", "terms", "firsts", "positions", "asked").mapInArrow(_search(slack), FOUND)
+
+
+def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER, most: int = BROADCAST) -> DataFrame:
     """A row for each indexed document: doc_id, n_words, the items found in it, and the word spans they cover."""
-    found = occurrences(index, benchmark, size, slack, together)
+    found = occurrences(index, benchmark, size, slack, together, most)
     # Per document, spans are united before they are listed: as many words as it has bound them.
     found = found.groupBy("segment", "row").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct(F.col("start").alias("a"), F.col("stop").alias("b"))).alias("spans"))
     docs = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("row", "one")).select("segment", "row", F.col("one.doc_ids").alias("doc_id"), F.col("one.lengths").cast("long").alias("n_words"))
@@ -192,10 +204,10 @@ def _hit_count(spans):
     return F.aggregate(F.array_sort(spans), start, step)["n"].cast("long")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER, most: int = BROADCAST) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row. A null text has no words; rows that
     repeat a document are judged each by itself. With `slack`, near matches count too."""
-    found = search(build_index(docs), benchmark, size, slack, together)
+    found = search(build_index(docs), benchmark, size, slack, together, most)
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
         "doc_id", "n_words", _hit_count(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -144,8 +144,8 @@ def test_decontamination(spark, docs, texts, empty):
         x = re.findall(TERM, (t or "").translate(LOWER))
         for k in range(max(1, len(x) - 9) if x else 0):
             windows.setdefault(tuple(x[k : k + 10]), set()).add(i)
-    for together in (decontamination.TOGETHER, 2):
-        got = rows_of(decontamination.report(docs, bench, together=together))
+    for together, most in ((decontamination.TOGETHER, decontamination.BROADCAST), (2, decontamination.BROADCAST), (2, 0)):
+        got = rows_of(decontamination.report(docs, bench, together=together, most=most))
         for i, t in enumerate(texts):
             x, hit, found = re.findall(TERM, (t or "").translate(LOWER)), set(), set()
             for key, ids in windows.items():

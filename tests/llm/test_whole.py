@@ -96,13 +96,13 @@ def test_decontamination_equal_segments(spark):
 
     df = spark.createDataFrame([(i, "a b c d e f g h i j k") for i in (1, 1, 1, None)], "doc_id long, text string").repartition(4).union(spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id long, text string"))
     bench = spark.createDataFrame([(i, f"{w} b c d e f g h i j") for i, w in enumerate("axyz")] + [(9, "b c d e f g h i j k")], "item_id long, text string")
-    for together in (decontamination.TOGETHER, 2):
-        got = decontamination.search(decontamination.build_index(df), bench, together=together).collect()
+    for together, most in ((decontamination.TOGETHER, decontamination.BROADCAST), (2, 0)):
+        got = decontamination.search(decontamination.build_index(df), bench, together=together, most=most).collect()
         assert sorted(str(r.doc_id) for r in got) == ["1", "1", "1", "1", "None"]
         assert all(sorted(r["items"]) == [0, 9] for r in got)
     one = decontamination.build_index(df.where("doc_id = 1").limit(1).coalesce(1))
     twice = df.where("doc_id = 1").limit(1).coalesce(1)
-    got = decontamination.search(decontamination.build_index(twice.union(twice)), bench, together=2)
+    got = decontamination.search(decontamination.build_index(twice.union(twice)), bench, together=2, most=0)
     assert one.count() == 1 and got.count() == 2
 
 
