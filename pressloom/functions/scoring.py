@@ -96,6 +96,21 @@ def triage_words(title: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(V.TRIAGE_STOP))
 
 
+def event_words(title: Column) -> Column:
+    """Words of a title for comparing events, in order, after the synonyms of events: not those of triage."""
+    x = F.translate(F.lower(F.coalesce(title, F.lit(""))), MARKED, BASE)
+    for pattern, word in V.EVENT_SYNONYMS:
+        x = F.regexp_replace(x, pattern.replace(r"\b", EDGE), word)
+    words = F.split(F.trim(F.regexp_replace(x, "[^a-z0-9æøå]+", " ")), " ")
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(V.EVENT_STOP))
+
+
+def event_key(known: Column, title: Column, published: Column) -> Column:
+    """The event's key: the one that triage gave, else a hash of the UTC day and the first eight words of events."""
+    day = F.coalesce(F.date_format(published, "yyyy-MM-dd"), F.lit("unknown-day"))
+    return F.coalesce(F.nullif(known, F.lit("")), F.substring(F.sha1(F.concat_ws("|", day, F.array_join(F.slice(event_words(title), 1, 8), "-"))), 1, 18))
+
+
 def audience(text: Column, kind: Column) -> Column:
     """A struct: eligible, norwegian, global, concrete, score."""
     norwegian, wide, noise = hit(text, V.AUDIENCE_NORWEGIAN), hit(text, V.AUDIENCE_GLOBAL), hit(text, V.AUDIENCE_NOISE)

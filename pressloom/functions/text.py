@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 #: Letters with marks and their base letters, as NFKD leaves them (ø and æ stay): fixed values.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 BASE = "aaaaaaceeeeiiiinooooouuuuyy"
-TRACKING = r"(utm_[a-z]+|fbclid|gclid|cmpid|ref|source)"
 
 
 def normalised(text: Column) -> Column:
@@ -47,14 +46,6 @@ def xml_escaped(text: Column) -> Column:
     return text
 
 
-def clean_url(url: Column) -> Column:
-    """The URL without its fragment and tracking parameters."""
-    base = F.regexp_replace(url, "#.*$", "")
-    base = F.regexp_replace(base, rf"(?i)([?&]){TRACKING}=[^&]*", "$1")
-    base = F.regexp_replace(F.regexp_replace(base, "[&]+", "&"), r"[?]&", "?")
-    return F.regexp_replace(base, "[?&]+$", "")
-
-
 def domain(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]*)", 1)), r"^www\.", "")
 

@@ -154,3 +154,23 @@ CONCRETE_TYPES = "resultat oppkjøp kontrakt makro renter markedsbevegelse regul
 #: Desks whose basic finance words count in triage, and money words beside a company.
 FINANCE_DESK = r"Aksjetips|Børs og finans|Dagens Næringsliv|E24|Yahoo Finance|CNBC|WSJ|Financial Times|Reuters|Bloomberg"
 MONEY_WORDS = r"\b(revenue|profit|eps|margin|guidance|shares?|stock|deal|acquisition|earnings|results?)\b"
+
+#: Words of events, rewritten in this order, and words that events are compared without.
+EVENT_SYNONYMS = [
+    (r"bank of japan|\bboj\b", "bankjapan"),
+    (r"federal reserve|\bfed\b|\bfomc\b", "federalreserve"),
+    (r"bank of england|\bboe\b", "bankengland"),
+    (r"european central bank|\becb\b", "ecb"),
+    (r"raises?|raised|hikes?|hiked|lifts?|lifted|hever|hevet|oker|øker", " raise "),
+    (r"cuts?|cutting|senker|senket|kutter|kuttet", " cut "),
+    (r"steps? down|resigns?|resigned|gar av|går av", " resign "),
+    (r"takes? over|succeeds?|overtar|tar over", " succeed "),
+    (r"earnings|quarterly results|results|resultater|kvartalstall", " earnings "),
+    (r"acquisition|takeover|merger|oppkjop|oppkjøp", " deal "),
+    (r"guidance|outlook|forecast|prognose", " guidance "),
+]
+EVENT_STOP = (
+    "the and for with from after into over under about says say new of to in on at as a an is are was were be by "
+    "og for med fra etter over under om til av i på er som en et den det "
+    "shares stock stocks market markets company selskaper aksjen aksjer"
+).split()

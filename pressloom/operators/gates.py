@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import SPACE
-from ..sources.tables import seconds, table
+from ..sources.tables import pick, seconds, table
 
 #: Fixed values of the editorial contract.
 VERSION = "editorial-case-v1"
 TRUSTED = ["primary", "trusted_secondary"]
-SECTIONS = ["Aksjer", "Makro", "Markeder"]
+SECTIONS, DEFAULT_SECTION = ["Markeder", "Økonomi", "Renter", "Selskaper", "Analyse"], "Markeder"
+TYPES = "breaking resultat oppkjøp kontrakt makro renter analytikerraad markedsbevegelse regulatorisk analyse annet".split()
+NEXT_STEPS = ["finn_primarkilde", "krediter_kilden", "overvak", "ignorer"]
 OLDEST_HOURS, EARLY_MINUTES, LEAST_QUOTE, LEAST_CONFIDENCE = 36, 15, 12, 70
 
 
@@ -120,26 +122,31 @@ def publication_reasons(case: Column, article_hash: Column, article_checked: Col
     )
 
 
-def fingerprint(*values: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256)
+def fingerprint(**fields: Column) -> Column:
+    """SHA-256 of the fields as JSON, by name: the order in which they are given doesn't matter, nor do nulls vanish."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(name) for name, c in sorted(fields.items())]), {"ignoreNullFields": "false"}), 256)
 
 
-REPLY = "array<struct<id: bigint, score: double, section: string, reason: string>>"
+REPLY = "array<struct<id: bigint, score: double, section: string, type: string, next_step: string, reason: string, attention: double, numbers: double, credit: boolean>>"
 
 
 def scored_replies(candidates: DataFrame, replies: DataFrame) -> DataFrame:
-    """`candidates` (id) with score, section, reason and `deferred` (no valid reply: to be asked again).
+    """`candidates` (id) with the fields of a scored reply, and `deferred` (no valid reply: to be asked again).
 
-    replies: place, body (a JSON array). A reply counts with a known section, a number and a reason; scores are rounded
-    half up and held to 0 to 100. Bodies that aren't JSON and ids that weren't asked for count as nothing. Of several
-    replies for an id the last one counts.
+    replies: place, body (a JSON array). A reply counts with a known section, type and next step, a number and a reason;
+    scores are rounded half up and held to 0 to 100, those of attention and numbers are 0 if absent. Bodies that aren't JSON and
+    ids that weren't asked for count as nothing. Of several replies for an id the last one counts.
     """
     x = replies.select("place", F.posexplode(F.from_json("body", REPLY)).alias("at", "r")).select("place", "at", "r.*")
     reason = F.substring(_plain(F.col("reason")), 1, 320)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.col("score") + 0.5))).cast("long")
-    valid = x.where(F.col("id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & F.trim("section").isin(SECTIONS) & (reason != ""))
-    last = valid.groupBy("id").agg(F.max_by(F.struct(score.alias("score"), F.trim("section").alias("section"), reason.alias("reason")), F.struct("place", "at")).alias("r"))
-    return candidates.join(last, "id", "left").select(*[candidates[f"`{c}`"] for c in candidates.columns if c != "id"], "id", "r.score", "r.section", "r.reason", F.col("r").isNull().alias("deferred"))
+    held = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), F.floor(c + 0.5))).cast("long")
+    valid = x.where(F.col("id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & F.trim("section").isin(SECTIONS) & F.trim("type").isin(TYPES) & F.trim("next_step").isin(NEXT_STEPS) & (reason != ""))
+    fields = {
+        "score": held(F.col("score")), "section": F.trim("section"), "type": F.trim("type"), "next_step": F.trim("next_step"), "reason": reason,
+        "attention": held(F.coalesce("attention", F.lit(0.0))), "numbers": held(F.coalesce("numbers", F.lit(0.0))), "credit": _true(F.col("credit")),
+    }
+    last = valid.groupBy("id").agg(F.max_by(F.struct(*[c.alias(name) for name, c in fields.items()]), F.struct("place", "at")).alias("r"))
+    return candidates.join(last, "id", "left").select(*[candidates[f"`{c}`"] for c in candidates.columns if c != "id"], "id", *[f"r.{name}" for name in fields], F.col("r").isNull().alias("deferred"))
 
 
 NOW = "2024-01-02 00:00:00"
@@ -167,8 +174,8 @@ def research_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def publication_gate(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("o_orderkey")
-    now_hash = fingerprint(F.col("o_orderpriority"), F.col("o_orderstatus"))
-    old_hash = F.when(i % 6 == 0, fingerprint(F.lit("old"), F.col("o_orderstatus"))).when(i % 21 != 0, now_hash)
+    now_hash = fingerprint(title=F.col("o_orderpriority"), body=F.col("o_orderstatus"))
+    old_hash = F.when(i % 6 == 0, fingerprint(body=F.col("o_orderstatus"), title=F.lit("old"))).when(i % 21 != 0, now_hash)
     case = F.struct(
         F.when(i % 43 != 0, VERSION).alias("version"), (i % 7 != 0).alias("research_passed"), (i % 10 != 0).alias("eligible"), _stamp(i).alias("published"), F.when(i % 9 != 0, "meta").alias("date_kind"),
         (i % 8 != 0).alias("review_passed"), old_hash.alias("draft_hash"), F.when(i % 5 != 0, F.sha2(i.cast("string"), 256)).alias("pack_hash"),
@@ -178,10 +185,14 @@ def publication_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reply_check(spark: SparkSession, d: str) -> DataFrame:
+    """Every event asks; of the replies some are missing, cut off, or wrong in one field."""
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     i, k = F.col("event_id"), F.col("k")
-    section = F.get(F.array(*map(F.lit, [*SECTIONS, "Sport"])), (k % 4).cast("int"))
     reason = F.when(k % 12 == 0, "  ").otherwise(F.concat(F.lit("because  of "), F.col("event_type")))
-    body = F.to_json(F.array(F.struct(i.alias("id"), (F.col("value") - 10).alias("score"), section.alias("section"), reason.alias("reason"))))
-    replies = e.where("event_id % 9 <> 0").select(i.alias("place"), F.when(i % 14 == 0, F.substring(body, 1, 20)).otherwise(body).alias("body"))
-    return scored_replies(e.where("k % 10 <> 0").select(i.alias("id")), replies)
+    reply = F.struct(
+        i.alias("id"), (F.col("value") - 10).alias("score"), pick([*SECTIONS, "Sport"], k).alias("section"), pick([*TYPES, "sport"], i).alias("type"), F.concat(pick([*NEXT_STEPS, "wait"], k), F.lit(" ")).alias("next_step"),
+        reason.alias("reason"), F.when(k % 2 == 0, k * 2.5).alias("attention"), F.when(k % 7 == 0, True).alias("credit"),
+    )
+    body = F.to_json(F.array(reply))
+    replies = e.select(i.alias("place"), F.when(i % 9 == 0, F.lit(None)).when(i % 14 == 0, F.substring(body, 1, 20)).otherwise(body).alias("body"))
+    return scored_replies(e.select(i.alias("id")), replies)

@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.text import tokens
 from ..sources.tables import radar, seconds, with_latest
-from .gates import SECTIONS
-from .texts import STOP
+from .gates import DEFAULT_SECTION, SECTIONS
 from .triage import alike, editorial_priority
 
 #: Fixed values of the selection.
@@ -45,10 +43,10 @@ def _lead_of_each(rows: pd.DataFrame) -> tuple[np.ndarray, list[int]]:
 def _pick(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("place").reset_index(drop=True)
     cluster, lead = _lead_of_each(rows)
-    whole = rows.groupby(cluster).agg(score=("score", "max"), covered=("covered", "any"), size=("id", "size"))
+    whole = rows.groupby(cluster).agg(score=("score", "max"), covered=("covered", "any"), size=("size", "sum"))
     found = rows.loc[lead].reset_index(drop=True).assign(cluster_size=whole["size"].to_numpy(), top=whole["score"].to_numpy(), done=whole["covered"].to_numpy())
     found = found[~found["done"] & found["eligible"] & (found["top"] >= LEAST_SCORE) & ((found["standing"] >= CREDIBLE) | (found["top"] >= SURE_SCORE))]
-    found["section"] = found["section"].fillna(SECTIONS[-1])
+    found["section"] = found["section"].fillna(DEFAULT_SECTION)
     found = found.sort_values("priority", ascending=False, kind="stable").reset_index(drop=True)
     left, taken = found["section"].value_counts().to_dict(), dict.fromkeys(found["section"], 0)
     picks: list[int] = []
@@ -65,15 +63,17 @@ def _pick(rows: pd.DataFrame) -> pd.DataFrame:
 def picked(items: DataFrame) -> DataFrame:
     """The clusters to research of each `run`, best first, at most KEEP.
 
-    items: run, id, title, published, section, score, attention, priority, standing, eligible, covered. A run's best
+    items: run, id, title, published, section, score, attention, priority, standing, eligible, covered, local_size (the items
+    that triage found alike; a cluster's size is their sum). A run's best
     SCAN items are looked at: that limit is part of the operator, so a task holds no more. A null section counts as
     the default one in the pick, and as none in clusters; a null title shares nothing, a null date is near to none.
     """
     best = Window.partitionBy("run").orderBy(F.desc("score"), F.desc_nulls_last("attention"), F.desc_nulls_last("published"), F.desc("id"))
     x = items.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SCAN)
-    words = F.coalesce(tokens(F.col("title"), STOP), F.array().cast("array<string>"))
+    words = F.array_distinct(S.event_words(F.col("title")))
+    size = F.greatest(F.lit(1), F.coalesce("local_size", F.lit(1))).cast("long")
     columns = ["run", "id", "place", "score", "priority", "standing", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("eligible", "covered")]]
-    x = x.select(*columns, "section", words.alias("words"), seconds(F.col("published")).alias("second"))
+    x = x.select(*columns, "section", size.alias("size"), words.alias("words"), seconds(F.col("published")).alias("second"))
     return x.groupBy("run").applyInPandas(_pick, PICKED)
 
 
@@ -84,6 +84,13 @@ def diversified_pick(spark: SparkSession, d: str) -> DataFrame:
     section = F.get(F.array(*map(F.lit, SECTIONS)), (F.col("user_id") % 3).cast("int"))
     own = with_latest(x, "published").select(
         F.to_date("published").alias("run"), "id", "title", "published", section.alias("section"), "score", "attention", S.selection_rank(F.col("source_kind"), F.col("source_domain")).alias("standing"),
-        S.audience(text, F.col("candidate_type"))["eligible"].alias("eligible"), (F.col("id") % 7 == 0).alias("covered"),
+        S.audience(text, F.col("candidate_type"))["eligible"].alias("eligible"), (F.col("id") % 7 == 0).alias("covered"), (F.col("k") % 4).alias("local_size"),
     )
     return picked(own.join(editorial_priority(spark, d).select("id", F.col("editorial_priority").alias("priority")), "id"))
+
+
+def event_group_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Items per event key, where every third item has a key from triage."""
+    x = radar(spark, d)
+    known = F.when(F.col("id") % 3 == 0, F.concat(F.lit("t"), (F.col("user_id") % 20).cast("string")))
+    return x.groupBy(S.event_key(known, F.col("title"), F.col("published")).alias("event_key")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))

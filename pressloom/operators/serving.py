@@ -16,15 +16,24 @@ def live_feed_top12(spark: SparkSession, d: str) -> DataFrame:
 
 
 def front_page_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Live articles: breaking first, then pins by place, then score less two points an hour."""
-    a = with_latest(articles(spark, d), "published").where("status = 'live'")
-    age = F.least(F.lit(100.0), (seconds(F.col("as_of")) - seconds(F.col("published"))) / 3600)
-    ranked = a.select("id", "published", (F.col("published") + F.expr("INTERVAL 2 HOURS") > F.col("as_of")).alias("breaking"), "pinned", F.when(F.col("pinned"), F.col("pin_place")).alias("place"), F.round(F.coalesce("score", F.lit(50)) - 2 * age, 6).alias("rank_score"))
+    """Live articles: breaking first, then pins set by hand by their place, then score less two points an hour since publication,
+    or since creation where that is unknown."""
+    a = articles(spark, d).withColumns({"shown": F.coalesce("published", "created"), "by_hand": F.col("pinned") & (F.coalesce("pinned_by", F.lit("manual")) != "auto")})
+    a = with_latest(a, "created").where("status = 'live'")
+    age = F.least(F.lit(100.0), (seconds(F.col("as_of")) - seconds(F.col("shown"))) / 3600)
+    breaking = F.coalesce(F.col("published") + F.expr("INTERVAL 2 HOURS") > F.col("as_of"), F.lit(False))
+    ranked = a.select("id", "published", breaking.alias("breaking"), F.col("by_hand").alias("pinned"), F.when(F.col("by_hand"), F.col("pin_place")).alias("place"), F.round(F.coalesce("score", F.lit(50)) - 2 * age, 6).alias("rank_score"))
     return ranked.orderBy(F.desc("breaking"), F.desc("pinned"), F.asc_nulls_last("place"), F.desc("rank_score"), F.desc_nulls_last("published"), F.desc("id")).limit(12)
 
 
 def related_top3(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).where("status = 'live' and id <> 8").orderBy(F.desc_nulls_last("score"), F.desc("published"), F.desc("id")).limit(3).select("id", "score", "published")
+    """For each article of the front page the three best others that are live: the best four of all hold them."""
+    live = articles(spark, d).where("status = 'live'")
+    top = live.orderBy(F.desc_nulls_last("score"), F.desc("published"), F.desc("id")).limit(4).select(F.struct(F.coalesce("score", F.lit(-1)).alias("s"), "published", "id").alias("best"))
+    best = top.agg(F.sort_array(F.collect_list("best"), asc=False).alias("best"))
+    others = F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, 3)
+    x = live.select("id").join(F.broadcast(best), F.lit(True)).select("id", F.posexplode(others).alias("place", "b"))
+    return x.select("id", F.col("place").cast("long").alias("place"), F.col("b.id").alias("other"))
 
 
 def breaking_story(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +70,9 @@ def run_progress_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per run (customer): items, published items and different parts, zero where there are none."""
     c, o, l = (table(spark, d, x) for x in ("customer", "orders", "lineitem"))
     items = o.groupBy(F.col("o_custkey").alias("run")).agg(F.count("*").alias("items"), F.count_if(F.col("o_orderstatus") == "F").alias("published"))
-    parts = o.join(l, o.o_orderkey == l.l_orderkey).groupBy(F.col("o_custkey").alias("run")).agg(F.count_distinct("l_partkey").alias("parts"))
+    # Each order's parts are made distinct before the join: a run with very many lines doesn't meet in one task.
+    different = l.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").distinct()
+    parts = o.select("o_orderkey", F.col("o_custkey").alias("run")).join(different, "o_orderkey").select("run", "l_partkey").distinct().groupBy("run").agg(F.count("*").alias("parts"))
     out = c.select(F.col("c_custkey").alias("run")).join(items, "run", "left").join(parts, "run", "left")
     return out.select("run", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("items", "published", "parts")])
 
@@ -80,7 +91,7 @@ def source_list(spark: SparkSession, d: str) -> DataFrame:
 
 def draft_detail(spark: SparkSession, d: str) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    a = articles(spark, d).where("status = 'draft' and id % 50 = 0")
+    a = articles(spark, d).where("status = 'draft'")
     return a.join(c, a.source_id == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left").select("id", "status", F.col("c_name").alias("source"), F.col("n_name").alias("place"))
 
 
@@ -91,10 +102,10 @@ def pulse_slots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feed_trim(spark: SparkSession, d: str) -> DataFrame:
-    """Status of each row of the last day: the first twelve stay live, the rest expire."""
+    """Status of each row of the last day: the first twelve stay live, the rest expire. Only a top-k is sorted."""
     recent = with_latest(feed(spark, d)).where("ts >= as_of - INTERVAL 24 HOURS")
-    rank = F.row_number().over(Window.orderBy(F.desc("ts"), F.desc_nulls_last("priority"), F.desc("id")))
-    return recent.select("id", F.when(rank <= 12, "live").otherwise("expired").alias("status"))
+    first = recent.orderBy(F.desc("ts"), F.desc_nulls_last("priority"), F.desc("id")).limit(12).select("id", F.lit("live").alias("status"))
+    return recent.select("id").join(F.broadcast(first), "id", "left").select("id", F.coalesce("status", F.lit("expired")).alias("status"))
 
 
 def value_change_points(spark: SparkSession, d: str) -> DataFrame:
@@ -127,13 +138,21 @@ def retry_queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def live_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Strong recent headlines, without those in the feed by id, or by key within eight hours before."""
-    h = headlines(spark, d).where("score >= 55 and id % 2 = 0").withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "source_kind"))
-    shown = feed(spark, d).where("id % 3 = 0").select("id", F.col("event_key").alias("key"), F.col("ts").alias("shown"))
-    left = h.join(shown.select("id"), "id", "left_anti")
-    s = shown.select("key", "shown")
-    near = (left["key"] == s["key"]) & (s["shown"] <= left["published"]) & (s["shown"] > left["published"] - F.expr("INTERVAL 8 HOURS"))
-    return left.join(s, near, "left_anti").select("id", "title", "published")
+    """Strong recent headlines, without those in the feed by id, or by key within eight hours before.
+
+    Shown rows (those of errors) and headlines meet by key and stretch of eight hours, so that a key with many rows is spread over time.
+    """
+    stretch = 8 * 3600
+    part = lambda c: F.floor(seconds(F.col(c)) / stretch).cast("long")
+    h = headlines(spark, d).where("score >= 55 and source_kind <> 'error'").withColumn("key", F.col("user_id") % 50)
+    shown = headlines(spark, d).where("source_kind = 'error'").select("id", (F.col("user_id") % 50).alias("key"), F.col("published").alias("shown"))
+    linked = shown.select((F.col("id") + 1).alias("id"))  # an error covers the row behind it, too
+    left = h.join(linked, "id", "left_anti").withColumn("part", part("published"))
+    s = shown.groupBy("key", part("shown").alias("at")).agg(F.min("shown").alias("low"), F.max("shown").alias("high"))
+    # In its own stretch an item asks for any earlier row, in the one before for any within eight hours: the least and the last decide.
+    s = s.select("key", "low", "high", F.explode(F.array(F.col("at"), F.col("at") + 1)).alias("part"), F.col("at"))
+    within = ((F.col("s.at") == F.col("l.part")) & (F.col("low") <= F.col("published"))) | ((F.col("s.at") < F.col("l.part")) & (F.col("high") > F.col("published") - F.expr("INTERVAL 8 HOURS")))
+    return left.alias("l").join(s.alias("s"), (F.col("l.key") == F.col("s.key")) & (F.col("l.part") == F.col("s.part")) & within, "left_anti").select("id", "title", "published")
 
 
 def insert_if_new(spark: SparkSession, d: str) -> DataFrame:

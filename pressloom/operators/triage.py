@@ -116,6 +116,21 @@ def labelled(items: DataFrame, most: int = 500, keep: int = 45) -> DataFrame:
     return found.unionByName(noise)
 
 
+def counted(items: DataFrame, most: int = 500, keep: int = 45) -> DataFrame:
+    """The counters of each run's triage: scanned, relevant, clusters, candidates, duplicates, noise, overflow."""
+    x = labelled(items, most, keep)
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return x.groupBy("run").agg(
+        F.count("*").alias("scanned"), n("candidate", "overflow", "duplicate").alias("relevant"), n("candidate", "overflow").alias("clusters"), n("candidate").alias("candidates"),
+        n("duplicate").alias("duplicates"), n("noise").alias("noise"), n("overflow").alias("overflow"),
+    )
+
+
+def triage_counters(spark: SparkSession, d: str) -> DataFrame:
+    x = radar(spark, d).withColumn("run", F.to_date("published"))
+    return counted(x.withColumn("as_of", F.max("published").over(Window.partitionBy("run"))))
+
+
 def triage_labels(spark: SparkSession, d: str) -> DataFrame:
     """One triage run a day, as of the day's last item."""
     x = radar(spark, d).withColumn("run", F.to_date("published"))
@@ -151,7 +166,7 @@ def queue_fold(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (n % len(xs)).cast("int"))
     ident = F.col("event_id")
     after = lambda every: F.when(ident % every == 0, F.timestamp_seconds(seconds(F.col("ts")) + F.col("k") * 86400).cast("timestamp_ntz"))
-    rows = e.join(o.where("o_orderkey % 5 = 0"), ident == F.col("o_orderkey"), "left").select(
+    rows = e.join(o.where("o_orderstatus = 'P'"), ident == F.col("o_orderkey"), "left").select(
         (F.col("user_id")).alias("desk"), ident.alias("id"), pick(STATES, F.col("k")).alias("state"), pick(STEPS, ident).alias("step"), (ident % 2 == 0).alias("verification_pending"),
         (F.col("k") % 5).alias("attempts"), after(3).alias("lease_until"), after(4).alias("retry_after"), F.when(F.col("o_orderkey").isNotNull(), "draft").alias("article_status"), "as_of",
     )

@@ -12,10 +12,10 @@ from . import oracle, oracle_desk, oracle_evidence
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    modules = (clocks, evidence, feeds, gates, lists, serving, state, texts, triage)
+    modules = (clocks, evidence, feeds, gates, lists, selection, serving, state, texts, triage)
     found = {name: next(getattr(m, name) for m in modules if hasattr(m, name)) for name in oracle_sql()}
     # Greedy clusters and picks depend on order, which SQL can't express.
-    return found | {"triage_labels": triage.triage_labels, "diversified_pick": selection.diversified_pick}
+    return found | {"triage_labels": triage.triage_labels, "triage_counters": triage.triage_counters, "diversified_pick": selection.diversified_pick}
 
 
 def oracle_sql() -> dict[str, str]:

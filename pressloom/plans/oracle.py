@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import vocabulary as V
 from ..functions.scoring import SPACE
 from ..functions.text import BASE, MARKED
-from ..operators.gates import SECTIONS
+from ..operators.gates import NEXT_STEPS, SECTIONS, TYPES
 from ..operators.texts import STOP
 from ..operators.triage import STATES, STEPS
 from ..sources.tables import COMPANIES, EVENT_KINDS, SOURCE_DOMAINS, SOURCE_KINDS, SOURCE_NAMES, TEMPLATES
@@ -58,16 +58,21 @@ def _escaped(x: str) -> str:
 
 CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:(?i)utm_[a-z]+|fbclid|gclid|cmpid|ref|source)=[^&]*', '\1', 'g'), '[&]+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+$', '')"
 
+EVENT_PLAIN = f"translate(lower(title), '{MARKED}', '{BASE}')"
+for _pattern, _word in V.EVENT_SYNONYMS:
+    EVENT_PLAIN = f"regexp_replace({EVENT_PLAIN}, '{_pattern}', '{_word}', 'g')"
+EVENT_WORDS = f"list_filter(string_split(trim(regexp_replace({EVENT_PLAIN}, '[^a-z0-9æøå]+', ' ', 'g')), ' '), lambda x: length(x) >= 3 AND NOT list_contains({_list(V.EVENT_STOP)}, x))"
 _squeezed = lambda text: f"trim(regexp_replace(coalesce({text}, ''), '{SPACE}+', ' ', 'g'))"
 _when = lambda holds, name: f"CASE WHEN {holds} THEN '{name}' END"
 _dated = lambda unknown: f"CASE WHEN {unknown} THEN 'original_date_unverified' WHEN i % 23 = 0 THEN 'original_date_in_future' WHEN i % 40 > 36 THEN 'event_expired' END"
 _proof = lambda n, elsewhere: _when(f"i % 17 = 0 OR {elsewhere} OR length(q{n}) < 12 OR NOT contains(t, q{n})", f"evidence_missing:{n}") + ", " + _when(f"i % 17 = 0 OR {elsewhere} OR i % 4 = 2", f"source_untrusted:{n}")
 SQL = {
     "live_feed_top12": f"WITH {FEED}, {ARTICLES} SELECT f.id, ts, priority, section, article_id, a.score AS article_score FROM feed f LEFT JOIN articles a ON a.id = f.article_id AND a.status = 'live' WHERE ts >= f.as_of - INTERVAL 2 HOUR ORDER BY ts DESC, priority DESC NULLS LAST, f.id DESC LIMIT 12",
-    "front_page_rank": f"""WITH {ARTICLES} SELECT id, published, published + INTERVAL 2 HOUR > as_of AS breaking, pinned, CASE WHEN pinned THEN pin_place END AS place,
-  round(coalesce(score, 50) - 2 * least(100.0::DOUBLE, (epoch(as_of) - epoch(published)) / 3600), 6) AS rank_score FROM articles WHERE status = 'live'
-  ORDER BY breaking DESC, pinned DESC, place ASC NULLS LAST, rank_score DESC, published DESC NULLS LAST, id DESC LIMIT 12""",
-    "related_top3": f"WITH {ARTICLES} SELECT id, score, published FROM articles WHERE status = 'live' AND id <> 8 ORDER BY score DESC NULLS LAST, published DESC, id DESC LIMIT 3",
+    "front_page_rank": f"""WITH {ARTICLES}, p AS (SELECT *, pinned AND id % 3 <> 0 AS by_hand FROM articles) SELECT id, published, published + INTERVAL 2 HOUR > as_of AS breaking, by_hand AS pinned, CASE WHEN by_hand THEN pin_place END AS place,
+  round(coalesce(score, 50) - 2 * least(100.0::DOUBLE, (epoch(as_of) - epoch(published)) / 3600), 6) AS rank_score FROM p WHERE status = 'live'
+  ORDER BY breaking DESC, by_hand DESC, place ASC NULLS LAST, rank_score DESC, published DESC NULLS LAST, id DESC LIMIT 12""",
+    "related_top3": f"""WITH {ARTICLES}, l AS (SELECT * FROM articles WHERE status = 'live'), t AS (SELECT * FROM l ORDER BY score DESC NULLS LAST, published DESC, id DESC LIMIT 4),
+  x AS (SELECT l.id, t.id AS other, row_number() OVER (PARTITION BY l.id ORDER BY t.score DESC NULLS LAST, t.published DESC, t.id DESC) - 1 AS place FROM l JOIN t ON t.id <> l.id) SELECT id, place, other FROM x WHERE place < 3""",
     "breaking_story": f"WITH {ARTICLES} SELECT id, published FROM articles WHERE status = 'live' AND published + INTERVAL 48 HOUR > as_of ORDER BY published DESC, id DESC LIMIT 1",
     "market_board_rank": f"WITH {FEED}, l AS (SELECT user_id AS symbol, ts AS updated, priority AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS k FROM feed) SELECT symbol, updated, value, coalesce(list_position([7, 3, 11, 42], symbol), 99)::BIGINT AS place FROM l WHERE k = 1 ORDER BY place, symbol LIMIT 18",
     "usage_by_step_model": "WITH x AS (SELECT *, max(l_shipdate) OVER () AS as_of FROM lineitem) SELECT l_returnflag AS step, l_linestatus AS model, sum(l_quantity::BIGINT)::BIGINT AS tokens, round(sum(l_extendedprice * l_discount), 2) AS cost, count(*) AS calls FROM x WHERE l_shipdate >= date_trunc('day', as_of) - INTERVAL 365 DAY GROUP BY ALL",
@@ -77,7 +82,7 @@ SQL = {
   (SELECT count(DISTINCT l_partkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS parts FROM customer""",
     "funnel_counts": f"WITH {FEED} SELECT section, count(*) AS seen, count(*) FILTER (priority IS NULL) AS waiting, count(*) FILTER (priority >= 70) AS strong, count(*) FILTER (priority >= 60 AND priority < 70) AS fair, count(DISTINCT user_id) AS users FROM feed GROUP BY section",
     "source_list": f"WITH {ARTICLES} SELECT id, published, c_name AS source FROM (SELECT * FROM articles WHERE status = 'draft' ORDER BY published DESC, id DESC LIMIT 30) LEFT JOIN customer ON c_custkey = source_id",
-    "draft_detail": f"WITH {ARTICLES} SELECT id, status, c_name AS source, n_name AS place FROM articles LEFT JOIN customer ON c_custkey = source_id LEFT JOIN nation ON n_nationkey = c_nationkey WHERE status = 'draft' AND id % 50 = 0",
+    "draft_detail": f"WITH {ARTICLES} SELECT id, status, c_name AS source, n_name AS place FROM articles LEFT JOIN customer ON c_custkey = source_id LEFT JOIN nation ON n_nationkey = c_nationkey WHERE status = 'draft'",
     "pulse_slots": f"WITH {FEED} SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '2000-01-01') AS slot, count(*) AS n, min(id) AS first_id FROM feed GROUP BY 1",
     "feed_trim": f"WITH {FEED} SELECT id, CASE WHEN row_number() OVER (ORDER BY ts DESC, priority DESC NULLS LAST, id DESC) <= 12 THEN 'live' ELSE 'expired' END AS status FROM feed WHERE ts >= as_of - INTERVAL 24 HOUR",
     "value_change_points": f"WITH {FEED}, x AS (SELECT user_id AS symbol, id, ts, priority, lag(priority) OVER (PARTITION BY user_id ORDER BY ts, id) AS before FROM feed) SELECT symbol, id, ts, round(CASE WHEN before = 0 THEN 0.0 ELSE (priority / before - 1) * 100 END, 4) AS change_pct FROM x WHERE before IS NULL OR priority <> before",
@@ -86,8 +91,8 @@ SQL = {
     "retry_queue": """WITH j AS (SELECT event_id, event_type, ts, max(ts) OVER () AS as_of, json_extract(props, '$.k')::BIGINT % 6 AS attempts, json_extract(props, '$.k')::BIGINT % 3 AS state FROM events),
   r AS (SELECT event_id, event_type, attempts, least(300, 30 * attempts) AS wait_s, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place FROM j WHERE attempts < 5 AND state < 2 AND (state = 0 OR epoch(ts) + least(300, 30 * attempts) <= epoch(as_of)))
   SELECT * FROM r WHERE place <= 3""",
-    "live_candidates": f"""WITH {FEED}, {HEADLINES} SELECT id, title, published FROM h WHERE score >= 55 AND id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM feed f WHERE f.id % 3 = 0
-  AND (f.id = h.id OR (f.event_key = h.user_id || '|' || h.source_kind AND f.ts <= h.published AND f.ts > h.published - INTERVAL 8 HOUR)))""",
+    "live_candidates": f"""WITH {HEADLINES}, s AS (SELECT id, user_id % 50 AS key, published AS shown FROM h WHERE source_kind = 'error') SELECT id, title, published FROM h WHERE score >= 55 AND source_kind <> 'error' AND id - 1 NOT IN (SELECT id FROM s)
+  AND NOT EXISTS (SELECT 1 FROM s WHERE s.key = h.user_id % 50 AND s.shown <= h.published AND s.shown > h.published - INTERVAL 8 HOUR)""",
     "insert_if_new": f"WITH {FEED} SELECT event_key, arg_min(id, (ts, id)) AS id FROM feed WHERE event_key NOT IN (SELECT event_key FROM feed WHERE section = 'signup') GROUP BY event_key",
     "upsert_latest": f"WITH {FEED} SELECT event_key, id, priority, ts, writes FROM (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY ts DESC, id DESC) AS k, count(*) OVER (PARTITION BY event_key) AS writes FROM feed) WHERE k = 1",
     "review_blocks": """WITH x AS (SELECT u.conv_id, u.turn, (SELECT count(*) FROM conversations a WHERE a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant') AS n FROM conversations u WHERE u.role = 'user')
@@ -121,7 +126,7 @@ SQL = {
     "editorial_priority": f"""WITH {RADAR}, {AUDIENCE}, x AS (SELECT *, CASE WHEN contains(kind, 'official') THEN 6 WHEN list_contains({_list(V.SELECTION_DOMAINS)}, domain) THEN 5 WHEN kind = 'global-rss' THEN 4 WHEN kind = 'rss' THEN 3 WHEN kind = 'news-aggregator' THEN 1 ELSE 2 END AS rank FROM c)
   SELECT id, round(coalesce(score, 0) * 0.35::DOUBLE + attention * 0.15::DOUBLE + numbers * 0.10::DOUBLE + audience_score * 0.30::DOUBLE + greatest(0, 10 - age * 0.55::DOUBLE) + rank * 2.8::DOUBLE, 4) AS editorial_priority FROM x""",
     "queue_fold": f"""WITH e AS (SELECT *, json_extract(props, '$.k')::BIGINT AS k, max(ts) OVER () AS as_of FROM events), q AS (SELECT user_id AS desk, event_id AS id, {_pick(STATES, "k")} AS state, {_pick(STEPS, "event_id")} AS own, event_id % 2 = 0 AS waiting, k % 5 AS attempts,
-  event_id % 3 = 0 AND epoch(ts) + k * 86400 > epoch(as_of) AS leased, event_id % 4 = 0 AND epoch(ts) + k * 86400 > epoch(as_of) AS later, event_id % 5 = 0 AND event_id IN (SELECT o_orderkey FROM orders) AS made FROM e),
+  event_id % 3 = 0 AND epoch(ts) + k * 86400 > epoch(as_of) AS leased, event_id % 4 = 0 AND epoch(ts) + k * 86400 > epoch(as_of) AS later, event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AS made FROM e),
   s AS (SELECT *, CASE WHEN state IN ('selected', 'researching') THEN 'research' WHEN state IN ('ready', 'writing') THEN 'write' WHEN state = 'verifying' OR state = 'review' AND waiting THEN 'verify' WHEN state = 'failed' AND own <> 'other' THEN own END AS step FROM q),
   t AS (SELECT *, CASE WHEN state = 'blocked' THEN 'blocked' WHEN leased THEN 'busy' WHEN step IS NULL AND state = 'failed' THEN 'failed' WHEN step IS NULL THEN 'none' WHEN attempts >= 3 THEN 'failed' WHEN later THEN 'deferred_' || step ELSE step END AS kind FROM s),
   u AS (SELECT desk, count(*) FILTER (made) AS drafts, greatest(0, 3 - count(*) FILTER (made)) AS room, coalesce(list(id ORDER BY id) FILTER (kind = 'write'), []) AS ids, count(*) FILTER (kind = 'research') AS r, count(*) FILTER (kind = 'verify') AS verify,
@@ -135,8 +140,12 @@ SQL = {
     "publication_gate": f"""WITH r AS (SELECT o_orderkey AS i, list_filter([{_when("i % 43 = 0", "case_version_missing")}, {_when("i % 7 = 0", "research_not_approved")}, {_when("i % 10 = 0", "audience_relevance_missing")}, {_dated("i % 19 = 0 OR i % 9 = 0")},
   {_when("i % 8 = 0", "verification_required")}, {_when("i % 3 = 0", "article_not_verified")}, {_when("i % 6 = 0 OR i % 21 = 0", "draft_changed")}, {_when("i % 5 = 0", "fact_pack_changed")}], lambda x: x IS NOT NULL) AS reasons FROM orders)
   SELECT i AS id, coalesce(array_to_string(reasons, ','), '') AS reasons, len(reasons) = 0 AS passed FROM r""",
-    "reply_check": f"""WITH e AS (SELECT *, json_extract(props, '$.k')::BIGINT AS k, event_id % 9 <> 0 AND event_id % 14 <> 0 AND k % 4 <> 3 AND k % 12 <> 0 AS valid FROM events)
-  SELECT event_id AS id, CASE WHEN valid THEN greatest(0, least(100, floor(value - 10 + 0.5)))::BIGINT END AS score, CASE WHEN valid THEN {_list(SECTIONS)}[k % 4 + 1] END AS section, CASE WHEN valid THEN 'because of ' || event_type END AS reason, NOT valid AS deferred FROM e WHERE k % 10 <> 0""",
+    "reply_check": f"""WITH e AS (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events), v AS (SELECT *, event_id % 9 <> 0 AND event_id % 14 <> 0 AND k % 6 <> 5 AND event_id % 12 <> 11 AND k % 5 <> 4 AND k % 12 <> 0 AS valid FROM e)
+  SELECT event_id AS id, CASE WHEN valid THEN greatest(0, least(100, floor(value - 10 + 0.5)))::BIGINT END AS score, CASE WHEN valid THEN {_pick([*SECTIONS, "Sport"], "k")} END AS section, CASE WHEN valid THEN {_pick([*TYPES, "sport"], "event_id")} END AS type,
+  CASE WHEN valid THEN {_pick([*NEXT_STEPS, "wait"], "k")} END AS next_step, CASE WHEN valid THEN 'because of ' || event_type END AS reason, CASE WHEN valid THEN CASE WHEN k % 2 = 0 THEN least(100, floor(k * 2.5::DOUBLE + 0.5))::BIGINT ELSE 0 END END AS attention,
+  CASE WHEN valid THEN 0 END AS numbers, CASE WHEN valid THEN k % 7 = 0 END AS credit, NOT valid AS deferred FROM v""",
+    "event_group_keys": f"""WITH {HEADLINES}, x AS (SELECT id, CASE WHEN id % 3 = 0 THEN 't' || (user_id % 20) ELSE substr(sha1(strftime(published, '%Y-%m-%d') || '|' || array_to_string(({EVENT_WORDS})[1:8], '-')), 1, 18) END AS event_key FROM h)
+  SELECT event_key, count(*) AS n, min(id) AS first_id FROM x GROUP BY 1""",
     "feed_round_trip": f"""WITH {HEADLINES}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY published DESC, id DESC) AS n FROM h)
   SELECT 'feed ' || user_id AS name, n - 1 AS place, title, 'https://www.example.com/a?id=' || id || '&b=1' AS url, 'example.com' AS source_domain, floor(epoch(published))::BIGINT AS second FROM n WHERE n <= 20""",
 }

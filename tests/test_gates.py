@@ -60,12 +60,19 @@ def test_review(spark):
 
 
 def test_replies(spark):
+    rest = '"type":"makro","next_step":"overvak"'
     replies = [
-        (1, '[{"id":1,"score":120.2,"section":"Makro","reason":" a  b "},{"id":2,"score":49.5,"section":"Sport","reason":"x"}]'),
-        (2, '[{"id":3,"score":49.5,"section":"Aksjer","reason":"x"},{"id":3,"score":-4,"section":"Aksjer","reason":"y"},{"id":99,"score":1,"section":"Aksjer","reason":"z"}]'),
-        (3, "not json"), (4, None), (5, '[{"id":4,"section":"Makro","reason":"x"}]'), (6, '[{"id":5,"score":1,"section":"Makro","reason":"  "}]'),
+        (1, f'[{{"id":1,"score":120.2,"section":"Renter","reason":" a  b ","attention":44.5,"credit":true,{rest}}},{{"id":2,"score":49.5,"section":"Sport","reason":"x",{rest}}}]'),
+        (2, f'[{{"id":3,"score":49.5,"section":"Analyse","reason":"x",{rest}}},{{"id":3,"score":-4,"section":"Analyse","reason":"y",{rest}}},{{"id":99,"score":1,"section":"Analyse","reason":"z",{rest}}}]'),
+        (3, "not json"), (4, None), (5, f'[{{"id":4,"section":"Renter","reason":"x",{rest}}}]'), (6, f'[{{"id":5,"score":1,"section":"Renter","reason":"  ",{rest}}}]'),
+        (7, '[{"id":6,"score":1,"section":"Renter","reason":"x","type":"makro","next_step":"vent"}]'), (8, '[{"id":6,"score":1,"section":"Renter","reason":"x","type":"sport","next_step":"overvak"}]'),
     ]
     asked = spark.createDataFrame([(i,) for i in range(1, 7)], "id long")
     got = gates.scored_replies(asked, spark.createDataFrame(replies, "place int, body string")).collect()
-    assert {r.id: (r.score, r.section, r.reason) for r in got if not r.deferred} == {1: (100, "Makro", "a b"), 3: (0, "Aksjer", "y")}
+    assert {r.id: (r.score, r.section, r.reason, r.attention, r.numbers, r.credit) for r in got if not r.deferred} == {1: (100, "Renter", "a b", 45, 0, True), 3: (0, "Analyse", "y", 0, 0, False)}
     assert {r.id for r in got if r.deferred} == {2, 4, 5, 6}
+
+
+def test_fingerprint(spark):
+    one = spark.range(1).select(gates.fingerprint(b=F.lit(1), a=F.lit(None).cast("string")).alias("x"), gates.fingerprint(a=F.lit(None).cast("string"), b=F.lit(1)).alias("y"), gates.fingerprint(b=F.lit(1)).alias("z")).first()
+    assert one.x == one.y != one.z

@@ -3,12 +3,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from pressloom.functions.text import tokens
+from pressloom.functions.scoring import event_words
 from pressloom.operators import selection
-from pressloom.operators.texts import STOP
 
 DAY = dt.datetime(2024, 5, 1, 12)
-SCHEMA = "run date, id long, title string, published timestamp_ntz, section string, score double, attention long, priority double, standing int, eligible boolean, covered boolean"
+SCHEMA = "run date, id long, title string, published timestamp_ntz, section string, score double, attention long, priority double, standing int, eligible boolean, covered boolean, local_size int"
 
 
 def items(spark, seed, n=150):
@@ -16,7 +15,7 @@ def items(spark, seed, n=150):
     words = ["equinor", "dividend", "record", "profit", "oil", "falls", "nvidia", "guidance", "shares", "bank", "rente", "salmon", "strike", "merger"]
     rows = [
         (DAY.date() + dt.timedelta(days=run), i, " ".join(r.sample(words, 4)) if i % 13 else None, DAY + dt.timedelta(hours=r.randrange(60)) if i % 11 else None, r.choice(["Aksjer", "Makro", None, "Aksjer"]),
-         float(r.randrange(55, 100)), r.choice([1, 2, None]), float(r.randrange(20, 90)), r.randrange(1, 7), r.random() < 0.8, r.random() < 0.1)
+         float(r.randrange(55, 100)), r.choice([1, 2, None]), float(r.randrange(20, 90)), r.randrange(1, 7), r.random() < 0.8, r.random() < 0.1, r.choice([None, 0, 1, 5]))
         for run in (0, 1) for i in range(n)
     ]
     return spark.createDataFrame(rows, SCHEMA)
@@ -49,7 +48,7 @@ def plain_pick(rows):
     for c in clusters:
         top = max(m["score"] for m in c["rows"])
         if c["lead"]["eligible"] and not any(m["covered"] for m in c["rows"]) and top >= 70 and (c["lead"]["standing"] >= 3 or top >= 92):
-            left.append((c["lead"], c["lead"]["section"] or "Markeder", len(c["rows"])))
+            left.append((c["lead"], c["lead"]["section"] or "Markeder", sum(max(1, m["local_size"] or 1) for m in c["rows"])))
     left.sort(key=lambda x: -x[0]["priority"])
     picks = []
     for x in left:
@@ -63,7 +62,7 @@ def plain_pick(rows):
 def test_pick_equals_brute_force(spark):
     for seed in (1, 2, 3):
         df = items(spark, seed)
-        rows = [r.asDict() | {"words": set(r.words or ())} for r in df.withColumn("words", tokens(F.col("title"), STOP)).collect()]
+        rows = [r.asDict() | {"words": set(r.words or ())} for r in df.withColumn("words", event_words(F.col("title"))).collect()]
         got = selection.picked(df).collect()
         for run in {r["run"] for r in rows}:
             mine = [r for r in rows if r["run"] == run]
