@@ -1,12 +1,12 @@
 """Removal of word passages that an earlier document has, by sharded Aho-Corasick automata.
 
 Anchors (runs of ANCHOR words) that recur across documents nominate passages; equal fragments around an anchor are
-one, owned by the least document. Where different documents' fragments share what all windows with the anchor in
-the same half have, they meet in the shard that owns this key: windows found in two documents are confirmed as
-phrases and compiled to automata of bounded size; all fragments of the shard stream through them, the least document
-in which a phrase is met owns it, and every other occurrence goes. A group of more than MOST fragments is dealt anew by
-longer keys, at last by the whole window. Every text is scanned whole for anchors; a shard only sees the
-parts of it that hold one of its keys, which spares streaming all texts through all automata.
+one, owned by the least document. Different fragments of several documents meet in the shard that owns their anchor:
+windows found in two documents are confirmed as phrases and compiled to automata of bounded size; all fragments of the
+shard stream through them, the least document in which a phrase is met owns it, and every other occurrence goes.
+Fragments of an anchor with more than MOST of them are cut to single windows, of which equal ones are one again.
+Every text is scanned whole for anchors; a shard only sees the parts of it that hold one of its anchors, which spares
+streaming all texts through all automata.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchored, kernels as K
@@ -33,7 +33,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each run of windows listed in `spans`, joined by one space."""
     for batch in batches:
         rows, found = anchored.lists(batch.column("spans"))
-        all_a, starts, stops = (found.field(c).to_numpy() for c in ("a", "start", "stop"))
+        all_a, at_words = found.field("a").to_numpy(), found.field("at").to_numpy()
+        starts, stops = _start(at_words), _stop(at_words)
         ids = {c: batch.column(c).to_numpy() for c in ("doc", "th")}
         for first, last, data, at in K.blocks(batch.column("text")):
             w = K.Words(data, at)
@@ -41,7 +42,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = np.repeat(np.arange(last - first), np.diff(rows[first : last + 1]))
             raw, start, end = data.tobytes(), w.start, w.end
             words = [b" ".join(raw[s:e] for s, e in zip(start[x:y], end[x:y])) for x, y in zip(w.at[text] + starts[own], w.at[text] + stops[own])]
-            columns = (all_a[own], ids["doc"][first:last][text], ids["th"][first:last][text], starts[own])
+            columns = (all_a[own], ids["doc"][first:last][text], ids["th"][first:last][text], starts[own].astype(np.int32))
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], ["a", "doc", "th", "low", "words"])
 
 
@@ -91,47 +92,73 @@ def _matches(window: int):
     return run
 
 
+ROWS = "a long, fh long, doc long, th long, at long, settled boolean"
+
+
+def _start(at):
+    """`at` holds a run of words: its start, and its length in the low bits (a column or an array)."""
+    return at // 1024
+
+
+def _stop(at):
+    return at // 1024 + at % 1024
+
+
 def _settled_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal fragments in a batch, only the smallest document's have to ask elsewhere; the spans of the others
-    (a is null) are united per text, so that a very common passage sends few rows."""
+    """Of equal fragments in a batch, only the smallest document's have to ask elsewhere.
+
+    The others are settled; they get a key of their own, so that a very common passage sends few rows to the
+    partition that owns its anchor.
+    """
     for batch in batches:
-        a, fh, doc = (batch.column(c).to_numpy() for c in ("a", "fh", "doc"))
+        a, fh, doc, pos, low, high = (batch.column(c).to_numpy() for c in ("a", "fh", "doc", "pos", "start", "stop"))
         order = np.lexsort((doc, fh, a))
         new = np.ones(len(a), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (fh[order][1:] != fh[order][:-1])
-        later = doc[order] > doc[order][np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
-        yield batch.take(pa.array(order[~later])).append_column("n", pa.array(np.ones(int((~later).sum()), np.int64)))
-        yield anchored.united(batch, order[later])
+        least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+        settled = np.zeros(len(a), bool)
+        settled[order] = doc[order] > least
+        own = K.i64(K.mix(doc.view(K.U) * K.TERM_CODE[0] + pos.astype(K.U)))
+        columns = (np.where(settled, own, a), fh, doc, batch.column("th").to_numpy(), low.astype(np.int64) * 1024 + (high - low), settled)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in ROWS.split(", ")])
+
+
+def _windows(window: int):
+    """A hash and the place of each window of each fragment, for anchors with very many fragments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, at in K.blocks(batch.column("words")):
+                w = K.Words(data, at)
+                whole = np.flatnonzero(np.arange(len(w.code)) + window <= w.limit())
+                seg = np.searchsorted(w.at, whole, "right") - 1
+                doc, th, low = (batch.column(c).to_numpy()[first:last][seg] for c in ("doc", "th", "low"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (K.i64(w.grams(window)[whole]), doc, th, (low + whole - w.at[seg]).astype(np.int32))], ["code", "doc", "th", "start"])
+
+    return run
 
 
 def passage_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): spans of words of each text that windows of smaller documents cover."""
-    n, step = width(docs.sparkSession), anchored.half(window, size)
+    n = width(docs.sparkSession)
     texts = anchored.keyed(docs.where("doc_id is not null and text is not null"))
     find = anchored.find(anchored.word_units, window, size)
-    found = settle(texts.mapInArrow(lambda batches: _settled_here(find(batches)), anchored.ROWS + ", n long"))
-    spans = found.where("a is null").select("doc", "th", "start", "stop")
-
-    def owned(rows: DataFrame) -> DataFrame:
-        """`rows` with the least document that has the same fragment."""
-        return rows.join(rows.groupBy("a", "fh").agg(F.min("doc").alias("owner")), ["a", "fh"])
-
-    rows = settle(owned(found.where("a is not null")))
-    sides = rows.where("doc = owner").select("doc", "th", "pos", F.inline(anchored.halves(window, size))).where("a is not null")
-    while True:
-        spans = spans.union(rows.where("doc > owner").select("doc", "th", "start", "stop"))
-        groups = sides.groupBy("a").agg(F.count("*").alias("size"), F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("a", "size")
-        asked = settle(sides.join(groups, "a").distinct())
-        lists = anchored.per_text(asked.where(F.col("size") <= most), "a", "start", "stop")
-        pieces = texts.join(lists, ["doc", "th"]).mapInArrow(_cut, "a long, doc long, th long, low int, words binary")
-        spans = spans.union(pieces.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_matches(window), SPANS))
-        large = asked.where(F.col("size") > most)
-        if step == 1 or large.isEmpty():
-            return spans
-        step = max(1, step // 4)
-        lists = anchored.per_text(large.select("doc", "th", "pos", "start", "stop", F.lit(1).cast("long").alias("n")).distinct(), "pos", "start", "stop", "n")
-        rows = settle(owned(texts.join(lists, ["doc", "th"]).mapInArrow(anchored.dealt(anchored.word_units, step, window, size), anchored.DEALT).distinct()))
-        sides = rows.where("doc = owner").select("a", "doc", "th", "pos", "start", "stop")
+    rows = texts.mapInArrow(lambda batches: _settled_here(find(batches)), ROWS)
+    by_a, by_fh = Window.partitionBy("a"), Window.partitionBy("a", "fh")
+    seen = rows.repartition(n, "a").withColumns({
+        "first_doc": F.min("doc").over(by_fh), "group_first": F.min("doc").over(by_a), "group_last": F.max("doc").over(by_a), "mixed": F.min("fh").over(by_a) != F.max("fh").over(by_a),
+    })
+    seen = seen.withColumn("settled", F.col("settled") | (F.col("doc") > F.col("first_doc")))
+    seen = settle(seen.where("settled or (mixed and group_first < group_last)").select("a", "fh", "doc", "th", "at", "settled"))
+    spans = seen.where("settled").select("doc", "th", F.expr("int(at div 1024)").alias("start"), F.expr("int(at div 1024 + at % 1024)").alias("stop"))
+    lists = anchored.per_text(seen.where("not settled").select("a", "doc", "th", "at").distinct(), "a", "at")
+    pieces = settle(texts.join(lists, ["doc", "th"]).mapInArrow(_cut, "a long, doc long, th long, low int, words binary"))
+    large = pieces.groupBy("a").count().where(F.col("count") > most).select("a")
+    small = pieces.join(large, "a", "left_anti").repartition(n, "a").sortWithinPartitions("a").mapInArrow(_matches(window), SPANS)
+    codes = pieces.join(large, "a", "left_semi").mapInArrow(_windows(window), "code long, doc long, th long, start int")
+    owners = codes.groupBy("code").agg(F.min("doc").alias("owner"))
+    rest = codes.join(owners, "code").where("owner < doc").select("doc", "th", "start", (F.col("start") + window).alias("stop"))
+    return spans.union(small).union(rest)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
