@@ -31,8 +31,9 @@ def joined(title: Column, summary: Column) -> Column:
 
 def with_hits(items: DataFrame, text: Column, groups: dict[str, list[str]]) -> DataFrame:
     """`items` with __text and, for each group of patterns, its count. Rules refer to counts many times; as columns of
-    a projection of their own they are computed once and the generated code stays small."""
-    return items.withColumn("__text", text).withColumns({f"__{name}": hits(F.col("__text"), patterns) for name, patterns in groups.items()})
+    a projection of their own they are computed once and the generated code stays small. The text comes out of a generator,
+    so that a later filter on the rules doesn't repeat its expression for every pattern."""
+    return items.select("*", F.explode(F.array(text)).alias("__text")).withColumns({f"__{name}": hits(F.col("__text"), patterns) for name, patterns in groups.items()})
 
 
 RELEVANCE = {"strong": V.STRONG, "company": V.COMPANY, "attention": V.ATTENTION, "broad": V.BROAD, "noise": V.NOISE}

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import clocks, drafting, evidence, gates, lists, selection, serving, state, texts, triage
-from ..sources import feeds
+from ..sources import catalogue, feeds
 from . import oracle, oracle_desk, oracle_drafting, oracle_evidence
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    modules = (clocks, drafting, evidence, feeds, gates, lists, selection, serving, state, texts, triage)
+    modules = (catalogue, clocks, drafting, evidence, feeds, gates, lists, selection, serving, state, texts, triage)
     found = {name: next(getattr(m, name) for m in modules if hasattr(m, name)) for name in oracle_sql()}
     # Greedy clusters and picks depend on order, which SQL can't express.
     return found | {"triage_labels": triage.triage_labels, "triage_counters": triage.triage_counters, "diversified_pick": selection.diversified_pick}

@@ -6,7 +6,7 @@ from ..functions import vocabulary as V
 from ..operators.lists import BOARD, LIVE_TYPES, MODEL, STATUS_ORDER
 from ..operators.state import EDIT_SECTIONS
 from ..sources.tables import EVENT_KINDS, SOURCE_DOMAINS
-from .oracle import ARTICLES, FEED, HEADLINES, _hits, _list, _pick
+from .oracle import ARTICLES, FEED, HEADLINES, RADAR, _hit, _hits, _list, _pick
 
 K = "json_extract(props, '$.k')::BIGINT"
 RI = f"""{HEADLINES}, ri0 AS (SELECT *, k * 37 % 100 AS attention, k * 53 % 100 AS numbers, {_pick(EVENT_KINDS, "k")} AS type, regexp_replace({_pick(SOURCE_DOMAINS, "user_id")}, '^www[.]', '') AS domain,
@@ -80,4 +80,9 @@ SQL = {
   coalesce(event_key IN (SELECT event_key FROM ri WHERE event_key IS NOT NULL AND list_contains({_list(V.SELECTION_DOMAINS)}, domain)), false) AS has_trusted_source
   FROM ri WHERE triage = 'candidate' AND model = '{MODEL}' AND ai_score >= 60 AND published >= as_of - INTERVAL 20 DAY AND NOT EXISTS (SELECT 1 FROM cs WHERE (cs.id = ri.id OR cs.event_key = ri.event_key) AND cs.run IS DISTINCT FROM ri.run)
   AND NOT EXISTS (SELECT 1 FROM recent WHERE recent.event_key = ri.event_key)""",
+    "source_stats": f"""WITH {RADAR}, w AS (SELECT r.*, event_type, row_number() OVER (PARTITION BY name ORDER BY published DESC, id DESC) AS n FROM r JOIN events ON event_id = id), x AS (SELECT name, event_type, {_hits(V.STRONG)} AS strong, {_hits(V.COMPANY)} AS company, {_hits(V.ATTENTION)} AS alert, {_hits(V.BROAD)} AS broad, {_hits(V.NOISE)} AS noise FROM w WHERE n <= 80),
+  y AS (SELECT *, CASE WHEN {_hit("E24 – Aksjetips", "name")} OR company >= 1 AND (strong >= 1 OR alert >= 1) OR strong >= 2 OR strong >= 1 AND (noise = 0 OR broad >= 1) THEN true WHEN {_hit("GDELT|Google News", "name")} THEN (strong >= 1 OR broad >= 1 OR company >= 1 AND alert >= 1) AND noise = 0
+  WHEN {_hit("CNBC|Yahoo Finance|Financial Times|WSJ|Economist", "name")} THEN (strong >= 1 OR company >= 1 OR alert >= 1 OR broad >= 2) AND noise = 0 WHEN {_hit("E24 – Børs og finans|E24 – Makro og politikk|Dagens Næringsliv", "name")} THEN broad >= 2 AND noise = 0 ELSE false END AS relevant FROM x)
+  SELECT name, count(*) FILTER (relevant AND name <> 'ECB') AS seen, count(*) FILTER (relevant AND name <> 'ECB' AND event_type <> 'view') AS inserted, CASE WHEN name = 'ECB' THEN 'ECB: HTTP 500' END AS error FROM y GROUP BY name""",
+    "live_sources": "SELECT * FROM (VALUES ('rss', 3, 2), ('official-rss', 2, 2), ('fast-news-aggregator', 2, 2), ('global-rss', 3, 2), ('news-index', 2, 2)) AS t(kind, n, hours)",
 }

@@ -38,6 +38,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("id"), status.alias("status"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") % 101).alias("score"), F.col("o_orderdate").alias("published"),
         F.col("o_orderpriority").startswith("1").alias("pinned"), (F.col("o_orderkey") % 20).alias("pin_place"), F.col("o_custkey").alias("source_id"), F.col("o_totalprice").alias("price"),
+        F.col("o_orderdate").alias("created"), F.when(F.col("o_orderkey") % 3 == 0, "auto").when(F.col("o_orderkey") % 3 == 1, "manual").alias("pinned_by"),
     )
 
 

@@ -1,16 +1,91 @@
-"""The bounded live feed kept by a stream: each micro-batch is merged and the first rows are kept.
+"""Streams of the desk: items accepted in time and once, events shown once in eight hours, the bounded live view, revisions, stages.
 
 A global ranking can't run inside a stream, so foreachBatch recomputes the small view (rows of the last two
-hours, twelve at most) from the old view and the new rows; a batch that comes again changes nothing.
+hours, twelve at most) from the old view and the new rows; a batch that comes again changes nothing. Every version is written
+under the number of its batch, so a batch that runs again after a failure replaces what it wrote.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-LIMIT = 12
+#: Rows of the view, new rows a batch, hours that an event stays shown, minutes ahead and hours of age that are accepted.
+LIMIT, NEW_ROWS, SHOWN_HOURS, EARLY_MINUTES, AGE_HOURS = 12, 4, 8, 15, 18
+
+
+def accepted(rows: DataFrame, late: str = "2 hours", clock: str = "seen") -> DataFrame:
+    """Streaming `rows` (id, published, `clock`: both timestamps) not older than AGE_HOURS nor far ahead when seen, each id once.
+
+    A row without a date is taken as published when it was seen. State is kept as long as `late` rows may come.
+    """
+    age = F.unix_seconds(clock) - F.unix_seconds("published")
+    fine = rows.where(F.col("published").isNull() | age.between(-EARLY_MINUTES * 60, AGE_HOURS * 3600))
+    return fine.withColumn("event_time", F.coalesce("published", clock)).withWatermark("event_time", late).dropDuplicatesWithinWatermark(["id"])
+
+
+def _once(hours: int):
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "id"])
+        keep, last = [], None
+        for at, shown in zip(rows["ts"], rows["shown"]):
+            fine = shown or last is None or (at - last).total_seconds() >= hours * 3600
+            keep.append(fine and not shown)
+            last = at if fine else last
+        return rows[keep].drop(columns="shown")
+
+    return run
+
+
+def first_of_event(shown: DataFrame, batch: DataFrame, hours: int = SHOWN_HOURS) -> DataFrame:
+    """Rows of `batch` (id, ts, event_key, ...) to show: in order of time, not within `hours` of the last one of their event.
+
+    `shown`: rows shown before, of the same columns. The order within an event decides, so each event's rows are folded together;
+    only shown rows of the batch's own span are looked at. Rows without a key are all shown.
+    """
+    span = batch.agg(F.min("ts").alias("low"))
+    old = shown.join(F.broadcast(span), F.lit(True)).where(F.col("ts") > F.col("low") - F.expr(f"INTERVAL {hours} HOURS")).drop("low")
+    rows = old.withColumn("shown", F.lit(True)).unionByName(batch.withColumn("shown", F.lit(False))).where("event_key is not null")
+    folded = rows.groupBy("event_key").applyInPandas(_once(hours), batch.select(*[c for c in rows.columns if c != "shown"]).schema)
+    return folded.select(*batch.columns).unionByName(batch.where("event_key is null"))
+
+
+def show_events(spark: SparkSession, rows: DataFrame, folder: str, checkpoint: str, quota: int | None = None) -> StreamingQuery:
+    """Start appending to `folder` the rows of streaming `rows` (id, ts, event_key, priority, ...) that are to be shown, `quota` a batch
+    at most (the best by priority, then time)."""
+    schema = rows.schema
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        before = [f"{folder}/b={n}" for n in range(epoch)]
+        shown = spark.read.schema(schema).parquet(*before) if before else spark.createDataFrame([], schema)
+        new = first_of_event(shown, batch.join(shown.select("id"), "id", "left_anti").select(*batch.columns).dropDuplicates(["id"]))
+        new = new if quota is None else new.orderBy(F.desc_nulls_last("priority"), F.desc("ts"), F.desc("id")).limit(quota)
+        new.write.mode("overwrite").parquet(f"{folder}/b={epoch}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(log: DataFrame) -> DataFrame:
+    """The latest revision of each event from an append-only log (event, revision, stage, body)."""
+    return log.groupBy("event").agg(F.max_by(F.struct("revision", "stage", "body"), "revision").alias("x")).select("event", "x.*")
+
+
+def run_stages(spark: SparkSession, folder: str, stages: list[tuple[str, Callable[[DataFrame | None], DataFrame]]]) -> list[str]:
+    """Run `stages` one after the other, each on its predecessor's output; one whose output is complete in `folder` isn't run again.
+    Returns the names of those that ran."""
+    ran, rows = [], None
+    for name, stage in stages:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            stage(rows).write.mode("overwrite").parquet(f"{folder}/{name}")
+            ran.append(name)
+        rows = spark.read.parquet(f"{folder}/{name}")
+    return ran
 
 
 def merged(view: DataFrame, batch: DataFrame, limit: int = LIMIT) -> DataFrame:
