@@ -57,15 +57,24 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """What is settled inside is deleted at the end, but for paths that are taken out of the list."""
+def noted() -> Iterator[list[str]]:
+    """The paths of what is settled inside; nothing is deleted."""
     made: list[str] = []
     _open.append(made)
     try:
         yield made
     finally:
         _open.remove(made)
-        discard(spark, *made)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is settled inside is deleted at the end, but for paths that are taken out of the list."""
+    with noted() as made:
+        try:
+            yield made
+        finally:
+            discard(spark, *made)
 
 
 def width(spark: SparkSession) -> int:
