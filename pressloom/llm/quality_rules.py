@@ -73,6 +73,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the other counts."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the other counts.
+
+    Null, empty and wordless texts have no words, so they fail; a row without an id is judged like any other; rows that repeat
+    one another are each judged; other columns are ignored.
+    """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passed())
