@@ -78,4 +78,54 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hi
 FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN it ON it.doc_id = w.doc_id
 """
 
-ORACLES = {"op2_near_dedup": NEAR, "op3_url_filter": URLS, "op4_quality_rules": _rules(), "op5_phrase_dedup": PHRASES, "op6_decontamination": LEAKS}
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII string, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda y: ascii(y)::BIGINT)), lambda c, b: {bits}), 4294967295::BIGINT)"
+
+
+#: Levels that the SQL of the manifest has for a tree: enough for 8 ** 8 leaves.
+_HEIGHT = 8
+
+
+def _tree(name: str) -> list[str]:
+    """CTEs from {name}0 (g, i, d) on: at each level the nodes, with what is left and right of them in their run, and the run's digest."""
+    out = []
+    for k in range(_HEIGHT):
+        run = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND"
+        out.append(f"{name}{k}s AS (SELECT *, coalesce(string_agg(d, '') OVER ({run} 1 PRECEDING), '') AS l, coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r, count(*) OVER (PARTITION BY g) AS n FROM {name}{k})")
+        out.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {name}{k}s WHERE n > 1 GROUP BY g, i // 8)")
+    out.append(f"{name}top AS ({' UNION ALL '.join(f'SELECT g, d FROM {name}{k}s WHERE n = 1' for k in range(_HEIGHT))})")
+    return out
+
+
+def _manifest() -> str:
+    part = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR END"
+    leaf = lambda text: f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def path(name: str, tree: str, at: str) -> tuple[str, str]:
+        """A list of [left, right] of the levels of a path, and the joins that give it."""
+        arms = ", ".join(f"CASE WHEN j{k}.n > 1 THEN [j{k}.l, j{k}.r] END" for k in range(_HEIGHT))
+        joins = " ".join(f"LEFT JOIN {name}{k}s AS j{k} ON j{k}.g IS NOT DISTINCT FROM {tree} AND j{k}.i = {at} // {8**k} AND j{k}.n > 1" for k in range(_HEIGHT))
+        return f"list_filter([{arms}], lambda y: y IS NOT NULL)", joins
+
+    low, low_joins = path("t", "a.g", "a.i")
+    high, high_joins = path("c", "0", "c.i")
+    ctes = [
+        f"f AS (SELECT doc_id, lang AS g, {leaf('text')} AS d, CASE WHEN {crc32('doc_id::VARCHAR')} % 3 = 0 THEN {leaf(lower)} END AS t FROM documents)",
+        "a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i FROM f)",
+        "t0 AS (SELECT g, i, d FROM a)", *_tree("t"),
+        "c AS (SELECT g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, d FROM ttop)",
+        "c0 AS (SELECT 0 AS g, i, d FROM c)", *_tree("c"),
+        f"p AS (SELECT doc_id, a.g, a.d AS leaf, coalesce(a.t, a.d) AS x, {low} AS low FROM a {low_joins})",
+        f"h AS (SELECT c.g, c.d AS subroot, {high} AS high FROM c {high_joins})",
+        "z AS (SELECT doc_id, leaf, subroot, x, list_concat(low, high) AS path FROM p JOIN h ON h.g IS NOT DISTINCT FROM p.g)",
+        "y AS (SELECT *, list_reduce(list_concat([[x]], path), lambda v, s: [sha256(s[1] || v[1] || s[2])])[1] AS folded_root, array_to_string(flatten(path), '') AS siblings FROM z)",
+    ]
+    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, leaf, subroot, ctop.d AS root, sha256(siblings) AS proof_sha256, folded_root, folded_root = ctop.d AS verified FROM y, ctop"
+
+
+ORACLES = {"op2_near_dedup": NEAR, "op3_url_filter": URLS, "op4_quality_rules": _rules(), "op5_phrase_dedup": PHRASES, "op6_decontamination": LEAKS, "op11_merkle_manifest": _manifest()}
