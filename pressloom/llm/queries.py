@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, merkle, near_dedup, packing, phrase_dedup, quality_classifier, quality_rules, sharding, sql, suffix_dedup, token_counts, url_filter
+from . import conversation_trie, decontamination, language_id, merkle, near_dedup, packing, phrase_dedup, quality_classifier, quality_rules, sharding, sql, suffix_dedup, token_counts, url_filter
 from .tables import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": lambda s, d: packing.pieces(read(s, d, "documents"), tokenizer_path()),
         "op10_quality_classifier": lambda s, d: quality_classifier.select(read(s, d, "documents"), read(s, d, "labels")),
         "op11_merkle_manifest": lambda s, d: merkle.verified(read(s, d, "documents")),
+        "op12_language_id": lambda s, d: language_id.report(read(s, d, "documents")),
+        "op13_conversation_trie": lambda s, d: conversation_trie.trie(read(s, d, "conversations")),
     }
 
 

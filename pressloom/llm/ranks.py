@@ -31,8 +31,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "__part", "__run", "__place"])
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:
-    """`df` (settled) with `name`, each row's position from 0 within its group, in the given order, nulls first.
+def ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `df` (all, if none are given), settled, with `name`: each row's position from 0 within its group, in
+    the given order, nulls first.
 
     Rows are sorted in ranges, whose runs of one group are numbered where they lie. A range starts within at most one
     group, so the counts to add are at most one for each range: that many rows are broadcast. Rows that tie in `order` may
@@ -40,11 +41,12 @@ def ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str
     """
     keyed = df.withColumn("__group", F.to_json(F.struct(*group)) if group else F.lit("")).withColumn("__salt", F.monotonically_increasing_id())
     by = [*[F.col(x).asc_nulls_first() for x in group], *[F.col(x).asc_nulls_first() if isinstance(x, str) else x for x in order], F.col("__salt")]
-    dealt = keyed.repartitionByRange(*by).sortWithinPartitions(*by)
+    kept = df.columns if keep is None else keep
+    dealt = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select(*kept, "__group")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
     rows = settle(dealt.mapInArrow(_numbered, f"{schema}, __part int, __run long, __place long"))
     counts = rows.groupBy("__group", "__part").agg(F.count("*").alias("n"), F.min("__run").alias("run"))
     before = F.sum("n").over(Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.withColumn("__start", before).where("__start > 0 and run = 0").select("__part", F.lit(0).cast("long").alias("__run"), "__start")
     placed = rows.join(F.broadcast(starts), ["__part", "__run"], "left").withColumn(name, F.col("__place") + F.coalesce("__start", F.lit(0)))
-    return placed.select(*df.columns, name)
+    return placed.select(*kept, name)

@@ -128,4 +128,18 @@ def _manifest() -> str:
     return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, leaf, subroot, ctop.d AS root, sha256(siblings) AS proof_sha256, folded_root, folded_root = ctop.d AS verified FROM y, ctop"
 
 
-ORACLES = {"op2_near_dedup": NEAR, "op3_url_filter": URLS, "op4_quality_rules": _rules(), "op5_phrase_dedup": PHRASES, "op6_decontamination": LEAKS, "op11_merkle_manifest": _manifest()}
+TRIE = f"""
+WITH t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, ({crc32('conv_id::VARCHAR')} % 6)::BIGINT AS h FROM t),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS n, d, turns[1:d] AS prefix FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+node AS (SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = d AS leaf, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(prefix[d].t) END AS own FROM p GROUP BY d, prefix),
+up AS (SELECT x.d, x.prefix, k, x.prefix[1:k] AS above, leaf, own FROM node x, LATERAL (SELECT unnest(range(0, x.d + 1)) AS k)),
+below AS (SELECT k AS d, above AS prefix, count(*) FILTER (WHERE up.d = k + 1) AS n_children, count(*) FILTER (WHERE leaf) AS n_leaves, sum(own) AS saved FROM up GROUP BY k, above)
+SELECT n.conv_id, n.d::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM node n JOIN below b ON b.d = n.d AND b.prefix = n.prefix LEFT JOIN node m ON m.d = n.d - 1 AND m.prefix = n.prefix[1:n.d - 1]
+"""
+
+
+ORACLES = {"op2_near_dedup": NEAR, "op3_url_filter": URLS, "op4_quality_rules": _rules(), "op5_phrase_dedup": PHRASES, "op6_decontamination": LEAKS, "op11_merkle_manifest": _manifest(), "op13_conversation_trie": TRIE}
