@@ -173,7 +173,7 @@ def manifest(docs: DataFrame) -> Forest:
     text = c["text"].cast("string")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf(**c | {"text": F.translate(text, UPPER, LOWER)}))
     leaves = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), leaf(**c).alias("digest"), tampered.alias("tampered"))
-    placed = ranked(leaves, ["lang"], ["doc_id", "digest"], "at")
+    placed = ranked(settle(leaves), ["lang"], ["doc_id", "digest"], "at")
     return Forest(placed.withColumn("tree", F.to_json(F.struct("lang"))))
 
 
