@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import settle
+from .tables import alone, settle
 
 WINDOW = 10
 #: A segment is searched for so many windows at a time; more come in further rows.
@@ -222,7 +222,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int
     stay in a struct meanwhile: their names can't clash.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("th"))
-    index = build_index(docs.select(F.xxhash64("text").alias("doc_id"), "text").where("text is not null"))
-    bad = occurrences(index, benchmark, size, slack).select("segment", "row").distinct()
-    ids = index.select("segment", F.posexplode("doc_ids").alias("row", "th"))
-    return rows.join(ids.join(bad, ["segment", "row"]).select("th").distinct(), "th", "left_anti").select("row.*")
+
+    def hit() -> DataFrame:
+        index = build_index(docs.select(F.xxhash64("text").alias("doc_id"), "text").where("text is not null"))
+        bad = occurrences(index, benchmark, size, slack).select("segment", "row").distinct()
+        return index.select("segment", F.posexplode("doc_ids").alias("row", "th")).join(bad, ["segment", "row"]).select("th").distinct()
+
+    return rows.join(alone(docs.sparkSession, hit), "th", "left_anti").select("row.*")

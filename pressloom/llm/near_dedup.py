@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .anchored import whole_groups
-from .tables import settle, width
+from .tables import alone, settle, width
 
 SHINGLE, PERCENT = 5, 85
 POSITIONS, BITS = 64, 16
@@ -321,7 +321,7 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
 
     Rows without a doc_id all stay. Of rows that repeat a doc_id, the one with the least text hash stays.
     """
-    gone = components(docs, size, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    gone = alone(docs.sparkSession, lambda: components(docs, size, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct())
     # The caller's columns stay in a struct, so that none of their names can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
     twice = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("th").alias("least")).where("n > 1 and id is not null")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchored, kernels as K
-from .tables import settle, width
+from .tables import alone, settle, width
 
 WINDOW, ANCHOR = 400, 32
 #: Bytes that stand for a word and its next where repeats are looked for by words.
@@ -355,10 +355,12 @@ def stripped(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, words: i
     it is one of `words` words, and goes but for words cut at its edges. Null texts stay null; a text that is
     all repeats becomes empty; rows that repeat an id are each judged by their own text.
     """
+    spark = docs.sparkSession
     if words is None:
         found = marked(docs, window, size, most)
     else:
         texts = anchored.keyed(docs).where(F.octet_length("text") >= window).mapInArrow(_long_words(window, words), "doc long, th long, text string")
-        found = with_lists(docs, spans=_spans_in(texts, window, size, most), words=word_spans(docs, words, size, most))
+        by_bytes, by_words = alone(spark, lambda: _spans_in(texts, window, size, most)), alone(spark, lambda: word_spans(docs, words, size, most))
+        found = with_lists(docs, spans=by_bytes, words=by_words)
     out = found.mapInArrow(_kept_texts(docs.columns), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: The folders written by settle() inside scratch(), innermost last.
-_open: list[list[str]] = []
+#: Where settle() notes the folders that it writes, if it runs inside noted(): each thread and task has its own.
+_notes: ContextVar[list[str] | None] = ContextVar("_notes", default=None)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -42,8 +43,8 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/pressloom-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if (notes := _notes.get()) is not None:
+        notes.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,11 +61,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
 def noted() -> Iterator[list[str]]:
     """The paths of what is settled inside; nothing is deleted."""
     made: list[str] = []
-    _open.append(made)
+    before = _notes.set(made)
     try:
         yield made
     finally:
-        _open.remove(made)
+        _notes.reset(before)
 
 
 @contextmanager
@@ -77,6 +78,16 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             discard(spark, *made)
 
 
+def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, settled. The tables that it settled on its way are deleted: nothing but its result read them."""
+    with scratch(spark) as made:
+        out = settle(make())
+        path = made.pop()
+    if (notes := _notes.get()) is not None:
+        notes.append(path)
+    return out
+
+
 def width(spark: SparkSession) -> int:
     """Number of partitions for an explicit exchange: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

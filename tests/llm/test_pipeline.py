@@ -3,13 +3,14 @@
 import math
 import random
 import re
+from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from pressloom.llm import kernels, quality_classifier
+from pressloom.llm import kernels, quality_classifier, tables
 from pressloom.llm.queries import tokenizer_path
 
 WORD, TERM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -187,10 +188,29 @@ def test_run(spark, sf_dir):
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         assert docs.count()
-    total = lambda df: sorted((str(r.doc_id), r.start, r.length, r.doc_tokens) for r in df.collect() if r.length == 1024 or r.start)
     by_doc = lambda df: sorted(((r.doc_id, r.doc_tokens, r.n) for r in df.groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()), key=repr)
     got = corpus_pipeline.run(spark, sf_dir)
-    assert by_doc(got) == by_doc(docs) and total(got) is not None
+    assert by_doc(got) == by_doc(docs)
+    sequences, texts = defaultdict(list), defaultdict(list)
+    for r in got.collect():
+        sequences[r.sequence_id].append((r.offset, r.length))
+        texts[r.doc_id, r.doc_tokens].append((r.start, r.length))
+    for places in [*sequences.values(), *(x for (i, n), x in texts.items() if sum(b for _, b in x) == n)]:
+        assert all(at == sum(n for _, n in sorted(places)[:k]) for k, (at, _) in enumerate(sorted(places)))
+    assert all(sum(n for _, n in x) <= 1024 for x in sequences.values())
+
+
+def test_results_of_stages_live_side_by_side(spark, sf_dir, tmp_path, monkeypatch):
+    """A stage deletes nothing that another's lazy result reads; run() leaves its result alone."""
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: str(tmp_path))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    lazy = [stages[name](spark, docs, sf_dir) for name in ("repeats", "decontaminate", "near_duplicates", "pack")]
+    before = len(list(tmp_path.iterdir()))
+    first = [x.count() for x in lazy]
+    run = corpus_pipeline.run(spark, sf_dir)
+    assert len(list(tmp_path.iterdir())) == before + 1 and run.count() and [x.count() for x in reversed(lazy)] == first[::-1]
+    assert before <= 7  # two lists of spans, written twice; two of decisions; pieces
 
 
 def test_empty(spark, sf_dir, tmp_path):
