@@ -1,19 +1,17 @@
 """The corpus pipeline: select, deduplicate, strip repeats, decontaminate and pack `documents`.
 
 Every stage takes (spark, docs, sf_dir) and all that its predecessor kept. All but the last return the columns
-of documents.
+of documents. A stage settles what it decides and deletes the tables that led to it, as no one else has seen them; what
+its result reads is the caller's to delete, as run() does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pressloom.llm import decontamination, near_dedup, packing, quality_classifier, suffix_dedup
 from pressloom.llm.queries import tokenizer_path
-from pressloom.llm.tables import discard, noted, read, scratch, settle
+from pressloom.llm.tables import read, scratch, settle
 
 #: Texts of this similarity in percent, on shingles of five words, or more are near duplicates.
 SIMILAR = 80
@@ -21,56 +19,29 @@ SIMILAR = 80
 PASSAGE = 51
 
 
-#: Intermediate tables of the stages called so far.
-_left: list[str] = []
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def tidy(stage: Stage) -> Stage:
-    """The stage, which first deletes the intermediate tables of earlier ones: its `docs` are written, so none is needed any more.
-    If `docs` still reads one of them (stages chained without writing), they stay."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _left and not any(path in file for file in docs.inputFiles() for path in _left):
-            discard(spark, *_left)
-            _left.clear()
-        with noted() as made:
-            out = stage(spark, docs, sf_dir)
-        _left.extend(made)
-        return out
-
-    return run
-
-
-@tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling against the labels keeps. Texts without words, null ones too, go; rows that tie
     at the cut stay; without labels all others stay."""
     return quality_classifier.kept(docs, read(spark, sf_dir, "labels"))
 
 
-@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group. Texts without words and rows without an id all stay; of rows that
     repeat an id one stays."""
     return near_dedup.deduplicated(docs, percent=SIMILAR)
 
 
-@tidy
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat. A null text stays null, one that only repeats becomes empty; rows
     that repeat an id are each judged by their own text."""
     return suffix_dedup.stripped(docs, words=PASSAGE)
 
 
-@tidy
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item. Null and empty texts stay; items without text or id match nothing."""
     return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
-@tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows. A null or empty text is one token, the end; each row is a document, repeats too."""
     return packing.pieces(docs, tokenizer_path())
@@ -88,6 +59,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with scratch(spark) as made:
             docs = settle(stage(spark, docs, sf_dir))
             made[:], held = [*made[:-1], *held], made[-1:]
-    discard(spark, *_left)
-    _left.clear()
     return docs
