@@ -2,44 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import phrases as P
 from . import vocabulary as V
+from .phrases import EDGE, SPACE
 from .text import BASE, MARKED
 
-#: A word boundary between ASCII word characters and all others, whatever the JVM takes `\b` for.
-EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-SPACE = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-
-
-def hit(text: Column, pattern: str) -> Column:
-    return text.rlike("(?iu)" + pattern.replace(r"\b", EDGE).replace(r"\s", SPACE))
-
-
-def hits(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns the text matches at least once."""
-    return reduce(add, [hit(text, p).cast("int") for p in patterns])
-
 
 def joined(title: Column, summary: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit("")))
 
 
-def with_hits(items: DataFrame, text: Column, groups: dict[str, list[str]]) -> DataFrame:
-    """`items` with __text and, for each group of patterns, its count. Rules refer to counts many times; as columns of
-    a projection of their own they are computed once and the generated code stays small. The text comes out of a generator,
-    so that a later filter on the rules doesn't repeat its expression for every pattern."""
-    return items.select("*", F.explode(F.array(text)).alias("__text")).withColumns({f"__{name}": hits(F.col("__text"), patterns) for name, patterns in groups.items()})
-
-
 RELEVANCE = {"strong": V.STRONG, "company": V.COMPANY, "attention": V.ATTENTION, "broad": V.BROAD, "noise": V.NOISE}
 TRIAGE = {
     "corporate": V.TRIAGE_CORPORATE_FINANCE, "macro": V.TRIAGE_MARKET_MACRO, "company": V.TRIAGE_MAJOR_COMPANY, "figure": V.TRIAGE_MAJOR_FIGURE,
-    "basic": V.TRIAGE_BASIC_FINANCE, "move": V.TRIAGE_MARKET_MOVE, "attention": V.TRIAGE_ATTENTION, "noise": V.TRIAGE_NOISE,
+    "basic": V.TRIAGE_BASIC_FINANCE, "move": V.TRIAGE_MARKET_MOVE, "attention": V.TRIAGE_ATTENTION, "noise": V.TRIAGE_NOISE, "money": [V.MONEY_WORDS],
 }
 
 
@@ -48,20 +27,20 @@ def squeezed(text: Column) -> Column:
 
 
 def relevant(source_name: Column) -> Column:
-    """Whether an item belongs on a finance desk, from the counts of RELEVANCE in its squeezed text (see with_hits);
+    """Whether an item belongs on a finance desk, from the counts of RELEVANCE in its squeezed text (see phrases.with_counts);
     the last rules depend on its source."""
     name = F.coalesce(source_name, F.lit(""))
     strong, company, attention, broad, noise = (F.col(f"__{x}") for x in RELEVANCE)
     some = (strong >= 1) | (broad >= 1)
     anywhere = ((company >= 1) & ((strong >= 1) | (attention >= 1))) | (strong >= 2) | ((strong >= 1) & ((noise == 0) | (broad >= 1)))
     by_source = (
-        F.when(hit(name, "GDELT|Google News"), (some | ((company >= 1) & (attention >= 1))) & (noise == 0))
-        .when(hit(name, "CNBC|Yahoo Finance|Financial Times|WSJ|Economist"), ((strong >= 1) | (company >= 1) | (attention >= 1) | (broad >= 2)) & (noise == 0))
-        .when(hit(name, "Federal Reserve|ECB"), some)
-        .when(hit(name, "E24 – Børs og finans|E24 – Makro og politikk|Dagens Næringsliv"), (broad >= 2) & (noise == 0))
+        F.when(P.names(name, "GDELT|Google News"), (some | ((company >= 1) & (attention >= 1))) & (noise == 0))
+        .when(P.names(name, "CNBC|Yahoo Finance|Financial Times|WSJ|Economist"), ((strong >= 1) | (company >= 1) | (attention >= 1) | (broad >= 2)) & (noise == 0))
+        .when(P.names(name, "Federal Reserve|ECB"), some)
+        .when(P.names(name, "E24 – Børs og finans|E24 – Makro og politikk|Dagens Næringsliv"), (broad >= 2) & (noise == 0))
         .otherwise(False)
     )
-    return F.when(F.col("__text") == "", False).when(hit(name, "E24 – Aksjetips"), True).otherwise(anywhere | by_source)
+    return F.when(F.col("__text") == "", False).when(P.names(name, "E24 – Aksjetips"), True).otherwise(anywhere | by_source)
 
 
 def bare_domain(domain: Column) -> Column:
@@ -76,15 +55,15 @@ def triage_rank(kind: Column, domain: Column) -> Column:
 
 def triage(source_name: Column, rank: Column, age_hours: Column) -> tuple[Column, Column, Column]:
     """Priority (0 to 100), whether the text is about finance explicitly, and how many noise patterns it matches:
-    from the counts of TRIAGE (see with_hits)."""
-    corporate, macro, company, figure, basic, move, attention, noise = (F.col(f"__{x}") for x in TRIAGE)
+    from the counts of TRIAGE (see phrases.with_counts)."""
+    corporate, macro, company, figure, basic, move, attention, noise, money = (F.col(f"__{x}") for x in TRIAGE)
     capped = lambda most, each, n: F.least(F.lit(most), each * n)
     flag = lambda n, worth: F.when(n > 0, worth).otherwise(0)
     words = capped(42, 24, corporate) + capped(36, 22, macro) + flag(company, 24) + flag(figure, 20) + capped(16, 8, basic) + flag(move, 18) + capped(14, 8, attention) - capped(70, 45, noise)
     fresh = F.greatest(F.lit(0.0), 10 - F.greatest(F.lit(0.0), age_hours) * 0.5)
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(rank + fresh + words + 0.5))).cast("long")
-    desk = hit(F.coalesce(source_name, F.lit("")), V.FINANCE_DESK)
-    explicit = (corporate > 0) | (macro > 0) | (move > 0) | ((basic > 0) & (desk | (rank >= 14))) | ((figure > 0) & (desk | (attention > 0))) | ((company > 0) & hit(F.col("__text"), V.MONEY_WORDS))
+    desk = P.names(F.coalesce(source_name, F.lit("")), V.FINANCE_DESK)
+    explicit = (corporate > 0) | (macro > 0) | (move > 0) | ((basic > 0) & (desk | (rank >= 14))) | ((figure > 0) & (desk | (attention > 0))) | ((company > 0) & (money > 0))
     return score, explicit, noise
 
 
@@ -113,12 +92,22 @@ def event_key(known: Column, title: Column, published: Column) -> Column:
 
 
 def audience(text: Column, kind: Column) -> Column:
-    """A struct: eligible, norwegian, global, concrete, score."""
-    norwegian, wide, noise = hit(text, V.AUDIENCE_NORWEGIAN), hit(text, V.AUDIENCE_GLOBAL), hit(text, V.AUDIENCE_NOISE)
-    concrete = hit(text, V.AUDIENCE_EVENT) | F.coalesce(kind.isin(V.CONCRETE_TYPES), F.lit(False))
-    eligible = ~noise & concrete & (norwegian | wide)
-    score = F.when(eligible & norwegian, 90).when(eligible, 70).otherwise(0)
-    return F.struct(eligible.alias("eligible"), norwegian.alias("norwegian"), wide.alias("global"), concrete.alias("concrete"), score.alias("score"))
+    """A struct: eligible, norwegian, global, concrete, score and reason. A null text has no words."""
+    patterns = [V.AUDIENCE_NORWEGIAN, V.AUDIENCE_GLOBAL, V.AUDIENCE_NOISE, V.AUDIENCE_EVENT]
+    known = F.coalesce(kind.isin(V.CONCRETE_TYPES), F.lit(False))
+
+    def judged(own: Column, hits: Column) -> Column:
+        norwegian, wide, noise, event = (P.matched(own, hits, p) for p in patterns)
+        return F.struct(norwegian.alias("norwegian"), wide.alias("global"), noise.alias("noise"), (event | known).alias("concrete"))
+
+    def rated(x: Column) -> Column:
+        fine, reach = ~x["noise"] & x["concrete"], x["norwegian"] | x["global"]
+        score = F.when(fine & x["norwegian"], 90).when(fine & x["global"], 70).otherwise(0)
+        reason = F.when(x["noise"], V.REASON_NOISE).when(~x["concrete"], V.REASON_VAGUE).when(~reach, V.REASON_REACH).when(x["norwegian"], V.REASON_NORWEGIAN).otherwise(V.REASON_GLOBAL)
+        return F.struct((fine & reach).alias("eligible"), x["norwegian"].alias("norwegian"), x["global"].alias("global"), x["concrete"].alias("concrete"), score.alias("score"), reason.alias("reason"))
+
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    return once(once(P.folded(F.coalesce(text, F.lit(""))), lambda own: once(P.found(own, patterns), lambda hits: judged(own, hits))), rated)
 
 
 def selection_rank(kind: Column, domain: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scoring import hit
+from .phrases import hit
 from .text import normalised
 
 #: Hosts of official sources, of trusted papers, and of companies with the words that must stand in the text.

@@ -135,6 +135,13 @@ AUDIENCE_GLOBAL = r"\b(fed|fomc|federal reserve|ecb|esb|brent|opec|oil|olje|gas|
 AUDIENCE_EVENT = r"\b(resultat\w*|earnings|guid\w*|revenue|rate\w*|rent\w*|cut\w*|hik\w*|hever|senker|oppkjøp|acqui\w*|merger|kontrakt\w*|contract\w*|inflasjon|inflation|stiger|faller|surge\w*|plunge\w*|sanction\w*|tariff\w*|toll\w*|billion|milliard\w*|konkurs|bankrupt\w*|payroll\w*)\b"
 AUDIENCE_NOISE = r"\b(sponsored|advertorial|horoscope|horoskop|giveaway|coupon|kupong|best stocks to buy|stocks to buy now)\b"
 
+#: The reasons that the audience test gives.
+REASON_NOISE = "Reklame eller generisk kjøpsliste."
+REASON_VAGUE = "Ingen konkret ny økonomisk hendelse."
+REASON_NORWEGIAN = "Direkte norsk økonomi- eller selskapsrelevans."
+REASON_GLOBAL = "Global hendelse innen markeder norske finanslesere følger."
+REASON_REACH = "Norsk eller vesentlig global publikumsrelevans er ikke dokumentert."
+
 #: Synonyms of triage, applied in this order to lower-cased titles without marks.
 TRIAGE_SYNONYMS = [
     (r"bank of japan|\bboj\b", "bankjapan"),

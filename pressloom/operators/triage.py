@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
+from ..functions import phrases as P
 from ..functions import scoring as S
 from ..sources.tables import radar, seconds, table, with_latest
 
@@ -22,7 +23,7 @@ def _text() -> Column:
 
 def judged(items: DataFrame) -> DataFrame:
     """`items` (title, source_name) with `relevant`."""
-    return S.with_hits(items, S.squeezed(_text()), S.RELEVANCE).select(*[f"`{c}`" for c in items.columns], S.relevant(F.col("source_name")).alias("relevant"))
+    return P.with_counts(items, S.squeezed(_text()), S.RELEVANCE).select(*[f"`{c}`" for c in items.columns], S.relevant(F.col("source_name")).alias("relevant"))
 
 
 def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +38,7 @@ def triaged(items: DataFrame) -> DataFrame:
     """`items` (title, source_name, source_kind, source_domain, published, as_of) with rank, priority and `dropped`."""
     ranked = items.withColumn("rank", S.triage_rank(F.col("source_kind"), F.col("source_domain")))
     score, explicit, noise = S.triage(F.col("source_name"), F.col("rank"), F.coalesce(_age(), F.lit(24.0)))
-    counted = S.with_hits(ranked, _text(), S.TRIAGE)
+    counted = P.with_counts(ranked, _text(), S.TRIAGE)
     scored = counted.select(*[f"`{c}`" for c in ranked.columns], score.alias("priority"), explicit.alias("explicit_finance"), noise.alias("noise"))
     return scored.withColumn("dropped", F.expr("not explicit_finance or (noise > 0 and priority < 45) or priority < 22"))
 

@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import clocks, drafting, evidence, gates, lists, selection, serving, state, texts, triage
+from ..operators import clocks, drafting, evidence, gates, lists, selection, serving, state, texts, thinning, triage
 from ..sources import catalogue, feeds
-from . import oracle, oracle_desk, oracle_drafting, oracle_evidence
+from ..streaming import pulses
+from . import oracle, oracle_desk, oracle_drafting, oracle_evidence, oracle_streams
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    modules = (catalogue, clocks, drafting, evidence, feeds, gates, lists, selection, serving, state, texts, triage)
+    modules = (catalogue, clocks, drafting, evidence, feeds, gates, lists, selection, serving, state, texts, thinning, triage)
     found = {name: next(getattr(m, name) for m in modules if hasattr(m, name)) for name in oracle_sql()}
-    # Greedy clusters and picks depend on order, which SQL can't express.
-    return found | {"triage_labels": triage.triage_labels, "triage_counters": triage.triage_counters, "diversified_pick": selection.diversified_pick}
+    # Greedy clusters, picks and pulses depend on order, which SQL can't express.
+    return found | {"triage_labels": triage.triage_labels, "triage_counters": triage.triage_counters, "diversified_pick": selection.diversified_pick, "live_pulses": pulses.live_pulses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | oracle_evidence.SQL | oracle_desk.SQL | oracle_drafting.SQL
+    return oracle.SQL | oracle_evidence.SQL | oracle_desk.SQL | oracle_drafting.SQL | oracle_streams.SQL

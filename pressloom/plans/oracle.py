@@ -116,7 +116,8 @@ SQL = {
   WHEN {_hit("CNBC|Yahoo Finance|Financial Times|WSJ|Economist", "name")} THEN (strong >= 1 OR company >= 1 OR alert >= 1 OR broad >= 2) AND noise = 0
   WHEN {_hit("Federal Reserve|ECB", "name")} THEN strong >= 1 OR broad >= 1
   WHEN {_hit("E24 – Børs og finans|E24 – Makro og politikk|Dagens Næringsliv", "name")} THEN broad >= 2 AND noise = 0 ELSE false END AS relevant FROM x""",
-    "audience_assess": f"WITH {RADAR}, {AUDIENCE} SELECT id, eligible, norwegian, global, concrete, audience_score AS score FROM c",
+    "audience_assess": f"""WITH {RADAR}, {AUDIENCE} SELECT id, eligible, norwegian, global, concrete, audience_score AS score, CASE WHEN advert THEN '{V.REASON_NOISE}' WHEN NOT concrete THEN '{V.REASON_VAGUE}'
+  WHEN norwegian THEN '{V.REASON_NORWEGIAN}' WHEN global THEN '{V.REASON_GLOBAL}' ELSE '{V.REASON_REACH}' END AS reason FROM c""",
     "triage_priority": f"""WITH {RADAR}, x AS (SELECT id, text, name, age, {TRIAGE_COUNTS}, CASE WHEN contains(kind, 'official') THEN 22 WHEN list_contains({_list(V.TRUSTED_DOMAINS)}, domain) THEN 18
   WHEN kind = 'global-rss' THEN 14 WHEN kind = 'rss' THEN 11 WHEN kind = 'news-index' THEN 8 WHEN kind = 'news-aggregator' THEN 4 ELSE 6 END AS rank FROM r),
   y AS (SELECT *, greatest(0, least(100, floor(rank + greatest(0, 10 - greatest(0, age) * 0.5::DOUBLE) + (least(42, 24 * corporate) + least(36, 22 * macro) + CASE WHEN company > 0 THEN 24 ELSE 0 END + CASE WHEN figure > 0 THEN 20 ELSE 0 END

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import hit
+from ..functions.phrases import hit
 from ..operators.triage import judged
 from .feeds import AGE_HOURS, OF_A_FEED, entries, written
 from .tables import radar

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timing, urls
-from ..functions.scoring import SPACE, hit
+from ..functions.phrases import SPACE, hit
 from ..functions.text import html_plain
 from ..functions.urls import let
 from ..operators.dates import publication

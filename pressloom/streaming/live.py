@@ -1,4 +1,5 @@
-"""Streams of the desk: items accepted in time and once, events shown once in eight hours, the bounded live view, revisions, stages.
+"""Streams of the desk: items accepted in time and once, rows that come too late, the bounded live view, revisions, stages.
+Shown events and quotas are in `pulses`, as keyed state.
 
 A global ranking can't run inside a stream, so foreachBatch recomputes the small view (rows of the last two
 hours, twelve at most) from the old view and the new rows; a batch that comes again changes nothing. Every version is written
@@ -7,6 +8,7 @@ under the number of its batch, so a batch that runs again after a failure replac
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from typing import Any
 
@@ -15,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: Rows of the view, new rows a batch, hours that an event stays shown, minutes ahead and hours of age that are accepted.
-LIMIT, NEW_ROWS, SHOWN_HOURS, EARLY_MINUTES, AGE_HOURS = 12, 4, 8, 15, 18
+#: Rows of the view, hours that an event stays shown, minutes ahead and hours of age that are accepted.
+LIMIT, SHOWN_HOURS, EARLY_MINUTES, AGE_HOURS = 12, 8, 15, 18
 
 
 def accepted(rows: DataFrame, late: str = "2 hours", clock: str = "seen") -> DataFrame:
@@ -30,46 +32,36 @@ def accepted(rows: DataFrame, late: str = "2 hours", clock: str = "seen") -> Dat
 
 
 def _once(hours: int):
+    gap = pd.Timedelta(hours=hours)
+
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "id"])
-        keep, last = [], None
+        there, keep, last = sorted(rows.loc[rows["shown"], "ts"]), [], None
         for at, shown in zip(rows["ts"], rows["shown"]):
-            fine = shown or last is None or (at - last).total_seconds() >= hours * 3600
-            keep.append(fine and not shown)
-            last = at if fine else last
+            i = bisect_left(there, at)
+            near = (i < len(there) and there[i] - at < gap) or (i > 0 and at - there[i - 1] < gap) or (last is not None and at - last < gap)
+            keep.append(not shown and not near)
+            last = at if keep[-1] else last
         return rows[keep].drop(columns="shown")
 
     return run
 
 
 def first_of_event(shown: DataFrame, batch: DataFrame, hours: int = SHOWN_HOURS) -> DataFrame:
-    """Rows of `batch` (id, ts, event_key, ...) to show: in order of time, not within `hours` of the last one of their event.
+    """Rows of `batch` (id, ts, event_key, ...) to show: in order of time, not within `hours` of one of their event that is shown, be it
+    before or, as rows may come late, after them.
 
-    `shown`: rows shown before, of the same columns. The order within an event decides, so each event's rows are folded together;
-    only shown rows of the batch's own span are looked at. Rows without a key are all shown.
+    `shown`: rows shown before, of the same columns; those beside the batch's own times are looked at. The order within an event decides, so each
+    event's rows of one batch are folded together (operators.thinning does whole tables). Rows without a key are all shown.
     """
-    span = batch.agg(F.min("ts").alias("low"))
-    old = shown.join(F.broadcast(span), F.lit(True)).where(F.col("ts") > F.col("low") - F.expr(f"INTERVAL {hours} HOURS")).drop("low")
+    span = batch.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    beside = F.col("ts").between(F.col("low") - F.expr(f"INTERVAL {hours} HOURS"), F.col("high") + F.expr(f"INTERVAL {hours} HOURS"))
+    old = shown.join(F.broadcast(span), F.lit(True)).where(beside).select(*batch.columns)
     rows = old.withColumn("shown", F.lit(True)).unionByName(batch.withColumn("shown", F.lit(False))).where("event_key is not null")
     folded = rows.groupBy("event_key").applyInPandas(_once(hours), batch.select(*[c for c in rows.columns if c != "shown"]).schema)
     return folded.select(*batch.columns).unionByName(batch.where("event_key is null"))
 
 
-def show_events(spark: SparkSession, rows: DataFrame, folder: str, checkpoint: str, quota: int | None = None) -> StreamingQuery:
-    """Start appending to `folder` the rows of streaming `rows` (id, ts, event_key, priority, ...) that are to be shown, `quota` a batch
-    at most (the best by priority, then time)."""
-    schema = rows.schema
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        before = [f"{folder}/b={n}" for n in range(epoch)]
-        shown = spark.read.schema(schema).parquet(*before) if before else spark.createDataFrame([], schema)
-        new = first_of_event(shown, batch.join(shown.select("id"), "id", "left_anti").select(*batch.columns).dropDuplicates(["id"]))
-        new = new if quota is None else new.orderBy(F.desc_nulls_last("priority"), F.desc("ts"), F.desc("id")).limit(quota)
-        new.write.mode("overwrite").parquet(f"{folder}/b={epoch}")
-
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def current(log: DataFrame) -> DataFrame:
     """The latest revision of each event from an append-only log (event, revision, stage, body)."""
     return log.groupBy("event").agg(F.max_by(F.struct("revision", "stage", "body"), "revision").alias("x")).select("event", "x.*")
@@ -96,11 +88,14 @@ def merged(view: DataFrame, batch: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def keep_live(spark: SparkSession, rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Start keeping the view of streaming `rows` (id, ts, priority) in `folder`, one version a batch."""
+    """Start keeping the view of streaming `rows` (id, ts, priority) in `folder`, one version a batch; the last two stay, as
+    a batch that runs again after a failure reads the one before its own."""
     schema = rows.schema
 
     def write(batch: DataFrame, epoch: int) -> None:
         before = spark.read.schema(schema).parquet(f"{folder}/v={epoch - 1}") if epoch else spark.createDataFrame([], schema)
         merged(before, batch).coalesce(1).write.mode("overwrite").parquet(f"{folder}/v={epoch}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v={epoch - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

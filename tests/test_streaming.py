@@ -29,20 +29,6 @@ def test_accepted_items(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 4]
 
 
-def test_events_shown_once(spark, tmp_path):
-    schema = "id long, ts timestamp, event_key string, priority double"
-    start = dt.datetime(2024, 5, 1)
-    batches = [[(1, 0, "a", 1.0), (2, 3, "a", 9.0), (3, 8, "a", 2.0), (4, 1, None, 1.0), (5, 2, None, 1.0)], [(6, 12, "a", 1.0), (7, 17, "a", 1.0), (3, 8, "a", 2.0), (8, 16, "b", 5.0)]]
-    for n, rows in enumerate(batches):
-        spark.createDataFrame([(i, start + dt.timedelta(hours=h), k, p) for i, h, k, p in rows], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        live.show_events(spark, stream, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
-        got = sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/b={n}").collect())
-        assert got == ([1, 3, 4, 5], [7, 8])[n]
-    again = live.first_of_event(spark.createDataFrame([], schema), spark.read.parquet(f"{tmp_path}/in").dropDuplicates(["id"]))
-    assert sorted(r.id for r in again.collect()) == [1, 3, 4, 5, 7, 8]
-
-
 def test_revisions_and_stages(spark, tmp_path):
     log = spark.createDataFrame([(1, 1, "flash", "x"), (1, 2, "enriched", "y"), (2, 1, "flash", "z")], "event int, revision int, stage string, body string")
     assert sorted((r.event, r.stage, r.body) for r in live.current(log).collect()) == [(1, "enriched", "y"), (2, "flash", "z")]
