@@ -10,7 +10,6 @@ so a bucket pads less than one sequence.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -114,12 +113,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     return full.union(dealt.groupBy("bucket").applyInPandas(_packed(length), PIECES))
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
-        yield batch.set_column(3, "ids_crc32", crc)
-
-
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """The pieces of pack(), with the CRC-32 of their ids in place of the ids."""
-    return pack(docs, tokenizer, length).mapInArrow(_summed, PIECES.replace("ids binary", "ids_crc32 long"))
+    return pack(docs, tokenizer, length).withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
