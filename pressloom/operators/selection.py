@@ -10,71 +10,95 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..sources.tables import radar, seconds, with_latest
 from .gates import DEFAULT_SECTION, SECTIONS
-from .triage import alike, editorial_priority
+from .sets import components, name_of, pairs
+from .triage import Likeness, editorial_priority
 
 #: Fixed values of the selection.
 SCAN, KEEP, OF_A_SECTION, LEAST_SCORE, SURE_SCORE, CREDIBLE = 220, 6, 2, 70, 92, 3
 NEAR_SECONDS = 18 * 3600
-PICKED = "run date, id long, place int, section string, priority double, cluster_size long"
-
-
-def _lead_of_each(rows: pd.DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The cluster of each row, in order, and the clusters' representatives: those of the highest priority."""
-    similar, both = alike(rows["words"])
-    second, section, priority = (rows[c].to_numpy() for c in ("second", "section", "priority"))
-    named = rows["section"].notna().to_numpy()
-    cluster, lead = np.empty(len(rows), np.int64), []
-    for i in range(len(rows)):
-        best = np.zeros(len(lead))
-        np.maximum.at(best, cluster[:i], similar[i, :i])
-        r = np.array(lead, np.int64)
-        near = np.abs(second[r] - second[i]) <= NEAR_SECONDS
-        same = (similar[i, r] >= 0.72) | (near & (similar[i, r] >= 0.52)) | (near & named[i] & (section[r] == section[i]) & (both[i, r] >= 3))
-        best = np.where(same, best, 0)
-        c = int(best.argmax()) if best.any() else len(lead)
+PICKED = "run {run}, id long, place int, section string, priority double, cluster_size long"
+CLUSTERS = "run {run}, first int, id long, section string, priority double, standing int, eligible boolean, top double, covered boolean, cluster_size long"
+
+
+def _clusters(rows: pd.DataFrame) -> pd.DataFrame:
+    """Clusters of one component's rows, in order: a row joins, of those whose representative it is the same event as, the cluster
+    with its most similar member."""
+    rows = rows.sort_values("place").reset_index(drop=True)
+    like, cluster, lead = Likeness(), [], []
+    second, section, priority = (rows[c].tolist() for c in ("second", "section", "priority"))
+    for i, key in enumerate(rows["key"]):
+        near = like.add(frozenset(key.split(" ")))
+        best: dict[int, float] = {}
+        for j, (score, _) in near.items():
+            best[cluster[j]] = max(best.get(cluster[j], 0.0), score)
+
+        def same(c: int, i: int = i, near: dict = near) -> bool:
+            score, both = near.get(lead[c], (0.0, 0))
+            close = abs(second[lead[c]] - second[i]) <= NEAR_SECONDS
+            return score >= 0.72 or (close and (score >= 0.52 or (section[i] is not None and section[i] == section[lead[c]] and both >= 3)))
+
+        c = min((c for c in best if same(c)), key=lambda c: (-best[c], c), default=len(lead))
         if c == len(lead):
             lead.append(i)
         elif priority[i] > priority[lead[c]]:
             lead[c] = i
-        cluster[i] = c
-    return cluster, lead
+        cluster.append(c)
+    whole = rows.groupby(cluster).agg(first=("place", "min"), top=("score", "max"), covered=("covered", "any"), cluster_size=("size", "sum"))
+    return rows.loc[lead, ["run", "id", "section", "priority", "standing", "eligible"]].reset_index(drop=True).join(whole.reset_index(drop=True))[[x.split(" ")[0] for x in CLUSTERS.split(", ")]]
+
+
+def event_clusters(items: DataFrame) -> DataFrame:
+    """The clusters of each run's items (run, id, place, title, published, section, score, priority, standing, eligible, covered, size): the
+    representative's columns, the highest score, whether any is covered, the summed size, and `first`, the place of its first row.
+
+    Rows that are the same event share at least 0.52 / 1.35 of the smaller title's words, or three: what doesn't hang together by
+    that is folded apart, so a task holds one component, never a run.
+    """
+    words = F.array_distinct(S.event_words(F.col("title")))
+    x = items.select("run", "id", "place", "score", "priority", "standing", "eligible", "covered", "section", "size", name_of(words).alias("key"), seconds(F.col("published")).alias("second"))
+    named = x.where("key <> ''")
+    sets = named.select("run", "key").distinct().withColumn("words", F.split("key", " "))
+    roots = components(pairs(sets, sets, 0.52 / 1.35, common=3).where("a < b"))
+    held = named.join(roots, ["run", "key"], "left").withColumn("root", F.coalesce("root", "key"))
+    run = dict(x.dtypes)["run"]
+    found = held.groupBy("run", "root").applyInPandas(_clusters, CLUSTERS.format(run=run))
+    alone = x.where("key is null or key = ''").select("run", F.col("place").alias("first"), "id", "section", "priority", "standing", "eligible", F.col("score").alias("top"), "covered", F.col("size").alias("cluster_size"))
+    return found.unionByName(alone)
 
 
 def _pick(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("place").reset_index(drop=True)
-    cluster, lead = _lead_of_each(rows)
-    whole = rows.groupby(cluster).agg(score=("score", "max"), covered=("covered", "any"), size=("size", "sum"))
-    found = rows.loc[lead].reset_index(drop=True).assign(cluster_size=whole["size"].to_numpy(), top=whole["score"].to_numpy(), done=whole["covered"].to_numpy())
-    found = found[~found["done"] & found["eligible"] & (found["top"] >= LEAST_SCORE) & ((found["standing"] >= CREDIBLE) | (found["top"] >= SURE_SCORE))]
-    found["section"] = found["section"].fillna(DEFAULT_SECTION)
-    found = found.sort_values("priority", ascending=False, kind="stable").reset_index(drop=True)
-    left, taken = found["section"].value_counts().to_dict(), dict.fromkeys(found["section"], 0)
+    """The picks of a run, from each section's best clusters and the number that each section has."""
+    rows = rows.sort_values(["priority", "first"], ascending=[False, True]).reset_index(drop=True)
+    left = rows.groupby("section")["many"].first().to_dict()
+    taken = dict.fromkeys(left, 0)
     picks: list[int] = []
-    for i, section in enumerate(found["section"]):
+    for i, section in enumerate(rows["section"]):
         others = sum(n for s, n in left.items() if s != section)
         if len(picks) < KEEP and (taken[section] < OF_A_SECTION or not others):
             picks.append(i)
             taken[section] += 1
             left[section] -= 1
-    out = found.loc[picks]
+    out = rows.loc[picks]
     return out.assign(place=np.arange(1, len(out) + 1, dtype=np.int32))[["run", "id", "place", "section", "priority", "cluster_size"]]
 
 
-def picked(items: DataFrame) -> DataFrame:
+def picked(items: DataFrame, most: int | None = SCAN) -> DataFrame:
     """The clusters to research of each `run`, best first, at most KEEP.
 
     items: run, id, title, published, section, score, attention, priority, standing, eligible, covered, local_size (the items
-    that triage found alike; a cluster's size is their sum). A run's best
-    SCAN items are looked at: that limit is part of the operator, so a task holds no more. A null section counts as
-    the default one in the pick, and as none in clusters; a null title shares nothing, a null date is near to none.
+    that triage found alike; a cluster's size is their sum). A run's best `most` items are looked at, all if that is
+    None. A null section counts as the default one in the pick, and as none in clusters; a null title shares nothing, a null date
+    is near to none. Of a section only the KEEP best clusters can be picked, so a task gets these.
     """
     best = Window.partitionBy("run").orderBy(F.desc("score"), F.desc_nulls_last("attention"), F.desc_nulls_last("published"), F.desc("id"))
-    x = items.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SCAN)
-    words = F.array_distinct(S.event_words(F.col("title")))
+    x = items.withColumn("place", F.row_number().over(best)).where(F.lit(True) if most is None else F.col("place") <= most)
     size = F.greatest(F.lit(1), F.coalesce("local_size", F.lit(1))).cast("long")
-    columns = ["run", "id", "place", "score", "priority", "standing", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("eligible", "covered")]]
-    x = x.select(*columns, "section", size.alias("size"), words.alias("words"), seconds(F.col("published")).alias("second"))
-    return x.groupBy("run").applyInPandas(_pick, PICKED)
+    columns = ["run", "id", "place", "title", "published", "score", "priority", "standing", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("eligible", "covered")]]
+    clusters = event_clusters(x.select(*columns, "section", size.alias("size")))
+    fine = clusters.where((~F.col("covered")) & F.col("eligible") & (F.col("top") >= LEAST_SCORE) & ((F.col("standing") >= CREDIBLE) | (F.col("top") >= SURE_SCORE)))
+    own = Window.partitionBy("run", "section")
+    ranked = fine.withColumn("section", F.coalesce("section", F.lit(DEFAULT_SECTION))).withColumns({"many": F.count("*").over(own), "rank": F.row_number().over(own.orderBy(F.desc("priority"), "first"))})
+    return ranked.where(F.col("rank") <= KEEP).groupBy("run").applyInPandas(_pick, PICKED.format(run=dict(items.dtypes)["run"]))
 
 
 def diversified_pick(spark: SparkSession, d: str) -> DataFrame:

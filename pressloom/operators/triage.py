@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ty
 
 from ..functions import phrases as P
 from ..functions import scoring as S
 from ..sources.tables import radar, seconds, table, with_latest
+from .sets import components, name_of, pairs
 
 
 def _age() -> Column:
@@ -55,55 +54,83 @@ def editorial_priority(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", F.round(parts + fresh + S.selection_rank(F.col("source_kind"), F.col("source_domain")) * 2.8, 4).alias("editorial_priority"))
 
 
-def alike(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Of each two rows: the similarity of their words, and how many they share."""
-    sets = [set(w) for w in words]
-    number = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
-    has = np.zeros((len(sets), len(number)), np.int32)
-    for i, own in enumerate(sets):
-        has[i, [number[w] for w in own]] = 1
-    size, both = has.sum(axis=1), has @ has.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num(np.maximum(both / np.minimum.outer(size, size), both / (np.add.outer(size, size) - both) * 1.35)), both
+class Likeness:
+    """Sets of words in order, and how like each new one is to those before: only sets that share a word are looked at."""
+
+    def __init__(self) -> None:
+        self.sizes: list[int] = []
+        self.holders: dict[str, list[int]] = {}
+
+    def add(self, words: frozenset[str]) -> dict[int, tuple[float, int]]:
+        """(similarity, shared words) of each earlier set that shares a word with this one."""
+        both: dict[int, int] = {}
+        for w in words:
+            for i in self.holders.get(w, ()):
+                both[i] = both.get(i, 0) + 1
+            self.holders.setdefault(w, []).append(len(self.sizes))
+        n = len(words)
+        self.sizes.append(n)
+        return {i: (max(k / min(n, self.sizes[i]), 1.35 * k / (n + self.sizes[i] - k)), k) for i, k in both.items()}
+
+
+CLUSTERED = "run {run}, key string, cluster long, lead long"
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Give each row of a run, in order, to the cluster with its most similar member, or to a new one."""
-    rows = rows.sort_values("place").reset_index(drop=True)
-    n, (similar, _) = len(rows), alike(rows["words"])
-    when, value = rows["second"].to_numpy(), (rows["priority"] + 1.4 * rows["rank"]).to_numpy()
-    cluster, lead = np.empty(n, np.int64), []
-    for i in range(n):
-        best = np.zeros(len(lead))
-        np.maximum.at(best, cluster[:i], similar[i, :i])
-        c = int(best.argmax()) if lead else -1
-        if lead and (best[c] >= 0.70 or (best[c] >= 0.52 and abs(when[i] - when[lead[c]]) <= 24 * 3600)):
-            lead[c] = i if value[i] > value[lead[c]] else lead[c]
-        else:
-            c = len(lead)
-            lead.append(i)
-        cluster[i] = c
-    return rows.assign(cluster=cluster, leads=np.isin(np.arange(n), lead))
-
-
-def clustered(items: DataFrame, most: int = 500) -> DataFrame:
-    """Greedy clusters of each `run`'s newest `most` items: the scan limit is part of the operator, so a task holds no more.
-
-    Adds cluster (by order of creation) and leads (its representative). The result depends on the order: newest
-    first, then the higher id.
+    """Give each set of a component, in order, to the cluster with its most similar member, or to a new one. A set's later
+    rows only take the lead, if they are worth more."""
+    like, sets, cluster, lead, born = Likeness(), {}, [], [], []
+    rows = rows.sort_values("place")
+    for key, second, value, place, ident in zip(*(rows[c] for c in ("key", "second", "value", "place", "id"))):
+        if key not in sets:
+            best: dict[int, float] = {}
+            for i, (score, _) in like.add(frozenset(key.split(" "))).items():
+                best[cluster[i]] = max(best.get(cluster[i], 0.0), score)
+            c = min(best, key=lambda c: (-best[c], c), default=None)
+            if c is None or not (best[c] >= 0.70 or (best[c] >= 0.52 and abs(second - lead[c][0]) <= 24 * 3600)):
+                c = len(lead)
+                lead.append((second, value, ident))
+                born.append(place)
+            sets[key] = c
+            cluster.append(c)
+        c = sets[key]
+        lead[c] = (second, value, ident) if value > lead[c][1] else lead[c]
+    run = rows["run"].iloc[0]
+    return pd.DataFrame([(run, key, born[c], lead[c][2]) for key, c in sets.items()], columns=["run", "key", "cluster", "lead"])
+
+
+def clustered(items: DataFrame) -> DataFrame:
+    """Greedy clusters of each `run`'s items, in the order of their `place`.
+
+    Adds cluster (the place of its first row) and leads (its representative). The result depends on the order, but a row only ever joins
+    a row that is at least 0.52 similar to it, so what doesn't hang together by such pairs is folded apart: a task
+    holds one component's different sets of words, never a run. Copies of a set follow it; of these, only the first of each worth, if it is
+    worth more than all before, can lead.
     """
     words = S.triage_words(F.col("title"))
     x = items.select("run", "id", "title", "source_domain", "published", "rank", "priority", words.alias("words"), F.coalesce(seconds(F.col("published")), F.lit(0.0)).alias("second"), "place")
-    schema = ty.StructType([*x.schema.fields, ty.StructField("cluster", ty.LongType()), ty.StructField("leads", ty.BooleanType())])
-    return x.where(F.col("place") <= most).groupBy("run").applyInPandas(_fold, schema)
-
-
-def labelled(items: DataFrame, most: int = 500, keep: int = 45) -> DataFrame:
-    """Triage of each run: candidate, overflow, duplicate or noise, with the cluster's key, size and representative."""
+    x = x.withColumn("key", name_of(F.col("words")))
+    sets = x.where("key <> ''").groupBy("run", "key").agg(F.first("words").alias("words")).select("run", "key", F.array_distinct("words").alias("words"))
+    # A similarity of 0.52 by containment is so much of the smaller set; by Jaccard it is 0.52 / 1.35 of both, so of the smaller one at least.
+    near = pairs(sets, sets, 0.52 / 1.35).where("a < b")
+    roots = components(near)
+    worth = (F.col("priority") + 1.4 * F.col("rank")).alias("value")
+    first = x.where("key <> ''").select("run", "key", worth, "place", "second", "id").groupBy("run", "key", "value").agg(F.min(F.struct("place", "second", "id")).alias("f")).select("run", "key", "value", "f.*")
+    before = F.max("value").over(Window.partitionBy("run", "key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    leads = first.withColumn("before", before).where("before is null or value > before").drop("before")
+    held = leads.join(roots, ["run", "key"], "left").withColumn("root", F.coalesce("root", "key"))
+    found = held.groupBy("run", "root").applyInPandas(_fold, CLUSTERED.format(run=dict(x.dtypes)["run"]))
+    out = x.join(found, ["run", "key"], "left").withColumns({"cluster": F.coalesce("cluster", F.col("place").cast("long")), "leads": F.coalesce(F.col("lead") == F.col("id"), F.lit(True))})
+    return out.drop("key", "lead")
+
+
+def labelled(items: DataFrame, most: int | None = 500, keep: int = 45) -> DataFrame:
+    """Triage of each run's newest `most` items (all, if that is None): candidate, overflow, duplicate or noise, with the cluster's key, size
+    and representative."""
     newest = Window.partitionBy("run").orderBy(F.desc_nulls_last("published"), F.desc("id"))
-    x = triaged(items.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most))
+    x = triaged(items.withColumn("place", F.row_number().over(newest)).where(F.lit(True) if most is None else F.col("place") <= most))
     noise = x.where("dropped").select("run", "id", F.lit("noise").alias("status"), F.lit(0).cast("long").alias("priority"), F.lit(None).cast("string").alias("event_key"), F.lit(1).cast("long").alias("cluster_size"), F.col("id").alias("representative_id"))
-    c = clustered(x.where("not dropped"), most)
+    c = clustered(x.where("not dropped"))
     whole = Window.partitionBy("run", "cluster")
     domains = F.size(F.collect_set(F.nullif(S.bare_domain(F.col("source_domain")), F.lit(""))).over(whole))
     key = F.substring(F.sha1(F.concat(F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("unknown")), F.lit("|"), F.array_join(F.slice("words", 1, 10), "-"))), 1, 20)
@@ -117,7 +144,7 @@ def labelled(items: DataFrame, most: int = 500, keep: int = 45) -> DataFrame:
     return found.unionByName(noise)
 
 
-def counted(items: DataFrame, most: int = 500, keep: int = 45) -> DataFrame:
+def counted(items: DataFrame, most: int | None = 500, keep: int = 45) -> DataFrame:
     """The counters of each run's triage: scanned, relevant, clusters, candidates, duplicates, noise, overflow."""
     x = labelled(items, most, keep)
     n = lambda *s: F.count_if(F.col("status").isin(*s))

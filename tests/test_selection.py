@@ -72,6 +72,15 @@ def test_pick_equals_brute_force(spark):
             assert [(r.id, r.section, r.cluster_size) for r in sorted((r for r in got if r.run == run), key=lambda r: r.place)] == want
 
 
+def test_no_limit(spark):
+    df = items(spark, 7, n=320)
+    rows = [r.asDict() | {"words": set(r.words or ())} for r in df.withColumn("words", event_words(F.col("title"))).collect()]
+    got = selection.picked(df, most=None).collect()
+    for run in {r["run"] for r in rows}:
+        mine = sorted((r for r in rows if r["run"] == run), key=lambda r: (r["score"], r["attention"] or -1, r["published"] or dt.datetime.min, r["id"]), reverse=True)
+        assert [(r.id, r.section, r.cluster_size) for r in sorted((r for r in got if r.run == run), key=lambda r: r.place)] == plain_pick(mine)
+
+
 def test_nothing_to_pick(spark):
     assert selection.picked(items(spark, 1).where("false")).count() == 0
     assert selection.picked(items(spark, 1).withColumn("eligible", F.lit(None).cast("boolean"))).count() == 0

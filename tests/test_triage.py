@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -72,5 +73,22 @@ def test_labels_equal_brute_force(spark):
                 assert r.priority == (c["top"] if j == c["lead"] else rows[j].priority)
 
 
+def test_no_limit_and_hot_titles(spark):
+    """Clusters of runs above the scan limit, half of all rows copies of few titles, equal the whole fold."""
+    parts = ["equinor", "dividend", "record", "profit", "oil", "price", "falls", "nvidia", "earnings", "norges", "bank", "salmon", "strike"]
+    rng, rows = random.Random(4), []
+    for i in range(900):
+        title = rng.choice(["equinor dividend record", "nvidia earnings falls sharply today"]) if i % 2 else " ".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))
+        rows.append((1 + i % 2 * (i > 600), i, title, DAY + dt.timedelta(minutes=rng.randrange(5000)), "a.com", rng.randint(1, 6), rng.randint(0, 100), i))
+    df = spark.createDataFrame(rows, "run int, id long, title string, published timestamp_ntz, source_domain string, rank int, priority long, place int")
+    got = triage.clustered(df).collect()
+    assert len(got) == 900
+    for run in (1, 2):
+        mine = sorted((r for r in got if r.run == run), key=lambda r: r.place)
+        found = plain_clusters([(r.words, r.second, r.priority + 1.4 * r.rank) for r in mine])
+        want = {mine[j].id: (mine[c["rows"][0]].place, j == c["lead"]) for c in found for j in c["rows"]}
+        assert {r.id: (r.cluster, r.leads) for r in mine} == want
+
+
 def test_no_rows(spark):
     assert triage.labelled(items(spark).where("false")).count() == 0
