@@ -9,7 +9,9 @@ from ..functions import text as T
 from ..functions import timing, urls
 from ..functions.scoring import squeezed
 from ..sources.tables import headlines, pick, seconds, table
+from ..sources.storage import cut
 from .dates import publication
+from .sets import pairs
 
 #: Fixed values of research: words that titles are compared without, and the bounds of each step.
 STOP = (
@@ -57,20 +59,53 @@ def mates(items: DataFrame) -> DataFrame:
     return items.select(F.col("id").alias("item"), "event_key").join(top, "event_key")
 
 
+def newest_at(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """`asked` (key, at, ...) with `last`, the newest row of `rows` (key, at, id) of its key not after `at`, as (at, id), of rows at
+    the same time the least id; null if there is none. Times are in microseconds. A window holds one key's rows of one day; a day
+    without any takes the newest of the days before it."""
+    day = F.expr("at div 86400000000")
+    own = rows.select("key", "at", day.alias("day"), F.struct("at", (-F.col("id")).alias("least")).alias("row"))
+    days = own.groupBy("key", "day").agg(F.max("row").alias("top"))
+    # Days that are asked for stand beside those that have rows, so that each knows the newest of the days before it.
+    known = days.unionByName(asked.select("key", day.alias("day")).distinct().withColumn("top", F.lit(None).cast(dict(days.dtypes)["top"])))
+    each = known.groupBy("key", "day").agg(F.max("top").alias("top"))
+    before = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = each.select("key", "day", F.max("top").over(before).alias("earlier"))
+    columns = [c for c in asked.columns if c not in ("key", "at")]
+    both = asked.select("key", "at", day.alias("day"), F.struct(*columns).alias("ask"), F.lit(None).cast(dict(own.dtypes)["row"]).alias("row"))
+    both = both.unionByName(own.withColumn("ask", F.lit(None).cast(dict(both.dtypes)["ask"])))
+    till = Window.partitionBy("key", "day").orderBy("at", F.col("ask").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("here", F.max("row").over(till)).where("ask is not null").join(earlier, ["key", "day"])
+    return seen.select("key", "at", "ask.*", F.coalesce("here", "earlier").alias("last"))
+
+
+#: Shares of the smaller title's words that are looked for in turn, down to any word at all.
+SHARES = (LEAST_TITLE, 0.34, 0.0)
+
+
 def best_titles(items: DataFrame, raw: DataFrame) -> DataFrame:
     """For each item the raw row of the most similar title, published from BEFORE_DAYS before it to AFTER_DAYS after it.
 
-    Rows meet by a day and a word in common, so titles that share nothing are never compared. Of equally similar titles the
-    newest counts. items: id, title, published; raw: raw_id, raw_title, raw_published.
+    Different sets of words are compared, not rows, and first only those that can share most of the smaller one's
+    words, found by its rare ones; items whose best title is that similar are done, as no other can be more so. Only the
+    rest are compared by commoner words. A row of a matching title in the item's days is found in the order of time. Of equally
+    similar titles the newest counts, then the least id. items: id, title, published; raw: raw_id, raw_title, raw_published.
     """
-    day = lambda c: F.date_diff(F.to_date(c), F.lit("1970-01-01").cast("date"))
-    item_day = day("published")
-    i = items.select("id", "published", words(F.col("title")).alias("w")).withColumn("day", F.explode(F.sequence(item_day - BEFORE_DAYS, item_day + AFTER_DAYS)))
-    r = raw.select("raw_id", "raw_published", words(F.col("raw_title")).alias("v"), day("raw_published").alias("day"))
-    pairs = i.withColumn("word", F.explode("w")).join(r.withColumn("word", F.explode("v")), ["day", "word"])
-    age = seconds(F.col("raw_published")) - seconds(F.col("published"))
-    pairs = pairs.where(age.between(-BEFORE_DAYS * 86400, AFTER_DAYS * 86400)).groupBy("id", "raw_id").agg(F.first("raw_published").alias("at"), F.first(containment(F.col("w"), F.col("v"))).alias("score"))
-    return pairs.groupBy("id").agg(F.max(F.struct("score", "at", (-F.col("raw_id")).alias("least"))).alias("m")).select("id", (-F.col("m.least")).alias("raw_id"), F.round("m.score", 6).alias("score"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    i = cut(items.where("published is not null").select("id", micros("published").alias("t"), F.array_sort(F.array_distinct(words(F.col("title")))).alias("words")).withColumn("key", F.array_join("words", " ")))
+    r = cut(raw.where("raw_published is not null").select(F.col("raw_id").alias("id"), micros("raw_published").alias("at"), F.array_sort(F.array_distinct(words(F.col("raw_title")))).alias("words")).withColumn("key", F.array_join("words", " ")))
+    sets = lambda df: df.where("key <> ''").select(F.lit(0).alias("run"), "key", "words").distinct()
+    day, titles, left, found = 86_400_000_000, sets(r), i.where("key <> ''"), None
+    for share in SHARES:
+        alike = pairs(sets(left), titles, share).select(F.col("a").alias("own"), F.col("b").alias("key"), (F.col("both") / F.col("smaller")).alias("score"))
+        asked = left.select("id", "t", F.col("key").alias("own")).join(alike, "own").select("key", (F.col("t") + AFTER_DAYS * day).alias("at"), "id", "t", "score")
+        near = newest_at(r, asked).where(F.col("last.at") >= F.col("t") - BEFORE_DAYS * day)
+        best = cut(near.groupBy("id").agg(F.max(F.struct("score", "last.at", "last.least")).alias("m")))
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best, "id", "left_anti")
+        if left.isEmpty():
+            break
+    return found.select("id", (-F.col("m.least")).alias("raw_id"), F.round("m.score", 6).alias("score"))
 
 
 def search_scores(items: DataFrame, found: DataFrame) -> DataFrame:
