@@ -48,7 +48,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     The number is written with the segment: equal segments (a file read twice, repeated rows) stay apart.
     """
-    return settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_segments, INDEX).withColumn("segment", F.monotonically_increasing_id()))
+    return settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.frugal(_segments), INDEX).withColumn("segment", F.monotonically_increasing_id()))
 
 
 class Segment:
@@ -185,7 +185,7 @@ def occurrences(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slac
         there = _by_rarest(index, windows)
         parts = there.groupBy("segment").agg(F.ceil(F.count("*") / together).alias("parts"))
         found = index.join(there.join(parts, "segment").groupBy("segment", part.alias("part")).agg(F.collect_list("one").alias("asked")), "segment")
-    return found.select("segment", "lengths", "terms", "firsts", "positions", "asked").mapInArrow(_search(slack), FOUND)
+    return found.select("segment", "lengths", "terms", "firsts", "positions", "asked").mapInArrow(K.frugal(_search(slack)), FOUND)
 
 
 def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0, together: int = TOGETHER, most: int = BROADCAST) -> DataFrame:

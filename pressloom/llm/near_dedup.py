@@ -283,7 +283,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, mem
     radius, chunks = plan(percent)
     spark = docs.sparkSession
     n = width(spark)
-    base = settle(docs.select("doc_id", "text").mapInArrow(_fingerprints(size), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
+    base = settle(docs.select("doc_id", "text").mapInArrow(K.frugal(_fingerprints(size)), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"))
     nodes = settle(base.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     sigs = nodes.select("id", "sig")
     keys = sigs.mapInArrow(_keys(chunks), "key long, id long").repartition(n, "key")
@@ -296,11 +296,11 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, mem
 
     wanted = settle(star.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").mapInArrow(_near(radius), "a long, b long").distinct())
     suspects = grouped.select("id").distinct()
-    sets = settle(docs.select(F.col("doc_id").alias("id"), "text").join(suspects, "id", "left_semi").mapInArrow(_sets(size), "id long, set binary"))
+    sets = settle(docs.select(F.col("doc_id").alias("id"), "text").join(suspects, "id", "left_semi").mapInArrow(K.frugal(_sets(size)), "id long, set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         found = pairs.join(side(sets, "b", "set"), "b").join(side(sets, "a", "set"), "a")
-        return found.mapInArrow(_similar(percent), "a long, b long").distinct()
+        return found.mapInArrow(K.frugal(_similar(percent)), "a long, b long").distinct()
 
     first = settle(confirmed(wanted))
     roots = settle(connected(first))
@@ -308,7 +308,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, mem
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     across = met(placed.join(mixed, "key"), "key", members).join(sigs, "id").select("a", "key", "id", "root", "own", "sig")
     asking = settle(across.repartition(n, "a").sortWithinPartitions("a", "own").mapInArrow(_across(radius, chunks), "key long, id long, root long").distinct())
-    second = met(asking, "key", members).select("a", "id", "root").join(sets, "id").repartition(n, "a").sortWithinPartitions("a").mapInArrow(_linked(percent), "a long, b long")
+    second = met(asking, "key", members).select("a", "id", "root").join(sets, "id").repartition(n, "a").sortWithinPartitions("a").mapInArrow(K.frugal(_linked(percent)), "a long, b long")
     roots = connected(first.union(second))
     label = settle(nodes.select("f1", "f2", "id").join(roots, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("root")))
     found = base.join(label, ["f1", "f2"], "left")

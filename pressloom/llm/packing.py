@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .tables import settle
 from .tokens import Encoder
 
@@ -105,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     """
     buckets = max(1, -(-docs.count() // bucket))
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
-    cut = settle(rows.mapInArrow(_encoded(tokenizer, length, end), ENCODED))
+    cut = settle(rows.mapInArrow(K.frugal(_encoded(tokenizer, length, end)), ENCODED))
     # A piece of full length is a sequence by itself: it takes no part in the exchange.
     whole = F.col("length") == length
     full = cut.where(whole).select("doc_id", "start", "length", "ids", "doc_tokens", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

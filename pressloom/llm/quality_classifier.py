@@ -1,9 +1,11 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed n-grams, one of target text (labelled good) and one of all text, give each
-document the log of their ratio; a Gumbel perturbation and the k largest make a sample without replacement in
-proportion to the ratio. Grams are words, word pairs, and triples of word shapes (case, symbols, repetition).
-The ratio is taken per gram and sharpened, so that length alone neither keeps nor drops a document.
+document the log of their ratio. Grams are words, word pairs, and triples of word shapes (case, symbols, repetition).
+A document's weight is its mean ratio per gram (the geometric mean) to the power SHARPNESS, as if each had that many
+grams: length alone neither keeps nor drops a document. A Gumbel perturbation of the log weights and the k largest make a sample
+without replacement in proportion to the weights. These lie far apart, so few rows change with the seed: where
+k is the number of good documents, the sample is near to the k best.
 """
 
 from __future__ import annotations
@@ -82,11 +84,11 @@ class Model:
                 out[first:last] = np.bincount(doc, weights=self.ratio[bucket], minlength=last - first) / n
         return out
 
-    def keys(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Scores, and the sampling keys: sharpened score plus Gumbel noise drawn from the id."""
+    def keys(self, batch: pa.RecordBatch, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the sampling keys: the log of the weight, which is the sharpened score, plus Gumbel noise drawn from id and seed."""
         score = self.scores(batch.column("text"))
         ids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.int64).view(K.U)
-        u = ((K.mix(K.mix(ids + K.U(SEED)) + K.U(K.BASE)) >> K.U(11)).astype(float) + 0.5) / 2.0**53
+        u = ((K.mix(K.mix(ids + K.U(seed)) + K.U(K.BASE)) >> K.U(11)).astype(float) + 0.5) / 2.0**53
         return score, score * SHARPNESS - np.log(-np.log(u))
 
 
@@ -97,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model:
     rows = use.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most).collect()
     good = spark.sparkContext.broadcast(np.array(sorted(x[0] for x in rows if x[1] > 0), np.int64))
     run = lambda batches: _counts(good.value)(batches)
-    counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, total long, target long")
+    counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.frugal(run), "bucket long, total long, target long")
     total, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for x in counted.groupBy("bucket").agg(F.sum("total"), F.sum("target")).collect():
         total[x[0]], target[x[0]] = x[1], x[2]
@@ -109,17 +111,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model:
     return Model(np.log(p / q), sum(x[1] > 0 for x in rows) / len(rows))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+def scored(docs: DataFrame, model: Model, seed: int = SEED) -> DataFrame:
     """doc_id, score and key of each row; both null where a text has no words."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score, key = held.value.keys(batch)
+            score, key = held.value.keys(batch, seed)
             none = np.isnan(score)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, mask=none), pa.array(key, mask=none)], ["doc_id", "score", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, key double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.frugal(run), "doc_id long, score double, key double")
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -150,14 +152,14 @@ def _cut(found: DataFrame, model: Model, keep: float | None) -> float:
     return kth_largest(found, round(n * share))
 
 
-def select(docs: DataFrame, labels: DataFrame, keep: float | None = None) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, score, key and kept for each row of `docs`.
 
     keep: the share to sample; by default the share of good documents among the labels, plus MARGIN.
     Texts without words are never kept. Rows that tie at the cut (repeats of an id and text) are all kept.
     """
     model = fit(docs, labels)
-    found = settle(scored(docs, model))
+    found = settle(scored(docs, model, seed))
     cut = _cut(found, model, keep)
     return found.withColumn("kept", F.coalesce(F.col("key") >= F.lit(float(cut)), F.lit(False)))
 
@@ -173,4 +175,4 @@ def kept(docs: DataFrame, labels: DataFrame, keep: float | None = None) -> DataF
             _, key = held.value.keys(batch)
             yield batch.filter(pa.array(key >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.frugal(run), docs.schema)

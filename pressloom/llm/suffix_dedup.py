@@ -232,7 +232,7 @@ def _long_words(window: int, words: int):
 
 def word_spans(docs: DataFrame, words: int, size: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): spans, counted in words, that repeats of `words` words or more cover; they may overlap."""
-    codes = anchored.keyed(docs).mapInArrow(_word_codes, "doc long, th long, text binary")
+    codes = anchored.keyed(docs).mapInArrow(K.frugal(_word_codes), "doc long, th long, text binary")
     spans = _spans_in(codes, CODE * (words - 1), size, most)
     return spans.select("doc", "th", F.ceil(F.col("start") / CODE).cast("int").alias("start"), (F.floor(F.col("stop") / CODE) + 1).cast("int").alias("stop"))
 
@@ -246,7 +246,7 @@ def _spans_in(texts: DataFrame, window: int, size: int, most: int) -> DataFrame:
     n, step = width(texts.sparkSession), anchored.half(window, size)
     texts = texts.where(F.octet_length("text") >= window)
     find = anchored.find(anchored.byte_units, window, size)
-    found = settle(texts.mapInArrow(lambda batches: _settled_here(find(batches)), anchored.ROWS + ", n long"))
+    found = settle(texts.mapInArrow(K.frugal(lambda batches: _settled_here(find(batches))), anchored.ROWS + ", n long"))
     rows = found.where("a is not null")
     spans = found.where("a is null").select("doc", "th", "start", "stop")
 
@@ -262,9 +262,9 @@ def _spans_in(texts: DataFrame, window: int, size: int, most: int) -> DataFrame:
         groups = sides.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("a", "kinds")
         at = ("doc", "th", "base")
         lists = anchored.per_text(sides.join(groups, "a"), "a", "kinds", "n", "pos", "start", "stop", keys=at)
-        pieces = settle(held.join(lists, list(at)).mapInArrow(_cut, PIECES))
+        pieces = settle(held.join(lists, list(at)).mapInArrow(K.frugal(_cut), PIECES))
         small = pieces.where(F.col("kinds") <= most).select("a", "doc", "th", "low", "piece")
-        spans = spans.union(small.repartition(n, "a").sortWithinPartitions("a", "doc", "th", "low", F.length("piece")).mapInArrow(_repeats(window), SPANS))
+        spans = spans.union(small.repartition(n, "a").sortWithinPartitions("a", "doc", "th", "low", F.length("piece")).mapInArrow(K.frugal(_repeats(window)), SPANS))
         large = pieces.where(F.col("kinds") > most)
         if step == 1 or large.isEmpty():
             return spans
@@ -362,5 +362,5 @@ def stripped(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, words: i
         texts = anchored.keyed(docs).where(F.octet_length("text") >= window).mapInArrow(_long_words(window, words), "doc long, th long, text string")
         by_bytes, by_words = alone(spark, lambda: _spans_in(texts, window, size, most)), alone(spark, lambda: word_spans(docs, words, size, most))
         found = with_lists(docs, spans=by_bytes, words=by_words)
-    out = found.mapInArrow(_kept_texts(docs.columns), docs.schema)
+    out = found.mapInArrow(K.frugal(_kept_texts(docs.columns)), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
