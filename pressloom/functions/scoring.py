@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import phrases as P
 from . import vocabulary as V
 from .phrases import EDGE, SPACE
-from .text import BASE, MARKED
+from .unicode import base_letters
 
 
 def joined(title: Column, summary: Column) -> Column:
@@ -68,8 +68,8 @@ def triage(source_name: Column, rank: Column, age_hours: Column) -> tuple[Column
 
 
 def triage_words(title: Column) -> Column:
-    """Words of a title for clustering, in order, after synonyms; marks are taken off Latin-1 letters."""
-    x = F.translate(F.lower(F.coalesce(title, F.lit(""))), MARKED, BASE)
+    """Words of a title for clustering, in order, after synonyms, in base letters."""
+    x = base_letters(F.coalesce(title, F.lit("")))
     for pattern, word in V.TRIAGE_SYNONYMS:
         x = F.regexp_replace(x, pattern.replace(r"\b", EDGE), word)
     words = F.split(F.trim(F.regexp_replace(x, "[^a-z0-9æøå]+", " ")), " ")
@@ -78,7 +78,7 @@ def triage_words(title: Column) -> Column:
 
 def event_words(title: Column) -> Column:
     """Words of a title for comparing events, in order, after the synonyms of events: not those of triage."""
-    x = F.translate(F.lower(F.coalesce(title, F.lit(""))), MARKED, BASE)
+    x = base_letters(F.coalesce(title, F.lit("")))
     for pattern, word in V.EVENT_SYNONYMS:
         x = F.regexp_replace(x, pattern.replace(r"\b", EDGE), word)
     words = F.split(F.trim(F.regexp_replace(x, "[^a-z0-9æøå]+", " ")), " ")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and their base letters, as NFKD leaves them (ø and æ stay): fixed values.
+from .unicode import base_letters
+
+#: Latin-1 letters with marks and their base letters, as NFKD leaves them (ø and æ stay): what SQL checks titles by.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 BASE = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def normalised(text: Column) -> Column:
-    plain = F.translate(F.lower(text), MARKED, BASE)
-    return F.trim(F.regexp_replace(plain, r"[^a-z0-9æøå]+", " "))
+    return F.trim(F.regexp_replace(base_letters(text), r"[^a-z0-9æøå]+", " "))
 
 
 def tokens(text: Column, stop: list[str], least: int = 3) -> Column:
@@ -27,7 +28,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def slug(title: Column, most: int = 80) -> Column:
-    plain = F.translate(F.lower(title), MARKED, BASE)
+    plain = base_letters(title)
     plain = F.replace(F.replace(plain, F.lit("æ"), F.lit("ae")), F.lit("ø"), F.lit("o"))
     return F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
 

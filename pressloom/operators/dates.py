@@ -2,49 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.documents import linked_dates
 from ..functions.timing import strict_iso
 from ..functions.urls import let
 
-#: Properties of a page's metadata and types of articles.
+#: Properties of a page's metadata.
 PROPERTY = r"(?i)^(article:published_time|datePublished)$"
-ARTICLE = {"NewsArticle", "Article", "ReportageNewsArticle", "BlogPosting"}
-FOUND = "array<struct<raw: string, kind: string>>"
-
-
-def _dates(value: object) -> Iterator[str]:
-    """datePublished of every article in a JSON-LD value, lists and @graph included."""
-    if isinstance(value, list):
-        for one in value:
-            yield from _dates(one)
-    elif isinstance(value, dict):
-        kinds = value.get("@type")
-        if any(isinstance(k, str) and k in ARTICLE for k in (kinds if isinstance(kinds, list) else [kinds])) and isinstance(value.get("datePublished"), str):
-            yield value["datePublished"]
-        yield from _dates(value.get("@graph"))
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def linked_dates(blocks: pd.Series) -> pd.Series:
-    """From lists of JSON-LD texts, all dates of publication in them; a text that isn't JSON has none. The nesting is free, so no schema fits."""
-
-    def read(texts: list | None) -> list[str]:
-        out: list[str] = []
-        for text in texts if texts is not None else ():
-            try:
-                out += _dates(json.loads(text))
-            except (ValueError, RecursionError):
-                continue
-        return out
-
-    return blocks.map(read)
 
 
 def _meta_dates(html: Column) -> Column:
@@ -65,5 +31,5 @@ def publication(html: Column) -> Column:
     """A struct (at, kind, raw) if all dates that the page states are one instant, else null. Meta elements come before JSON-LD."""
     said = lambda dates, kind: F.transform(dates, lambda d: F.struct(d.alias("raw"), F.lit(kind).alias("kind"), strict_iso(d).alias("at")))
     blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    every = F.filter(F.concat(said(_meta_dates(html), "publication_meta"), said(linked_dates(blocks), "article_jsonld")), lambda x: x["at"].isNotNull())
+    every = F.filter(F.concat(said(_meta_dates(html), "publication_meta"), said(F.flatten(F.transform(blocks, linked_dates)), "article_jsonld")), lambda x: x["at"].isNotNull())
     return let(every, lambda e: F.when(F.size(F.array_distinct(F.transform(e, lambda x: x["at"]))) == 1, F.struct(F.get(e, F.lit(0))["at"].alias("at"), F.get(e, F.lit(0))["kind"].alias("kind"), F.get(e, F.lit(0))["raw"].alias("raw"))))

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.documents import fingerprint
 from ..functions.scoring import SPACE
+from ..functions.unicode import all_normalised
 from ..sources.tables import pick, seconds, table
 
 #: Fixed values of the editorial contract.
@@ -45,28 +47,43 @@ def age_reasons(published: Column, kind: Column, now: Column) -> Column:
     )
 
 
-def _evidence(documents: Column, facts: Column) -> Column:
+def _evidence(documents: Column, facts: Column, texts: Column, quotes: Column) -> Column:
     """For each fact, by its place: whether its quote stands in a fetched document, and whether that may be trusted."""
+    held = F.arrays_zip(documents.alias("document"), texts.alias("text"))
 
-    def one(fact: Column, i: Column) -> Column:
-        found = F.filter(documents, lambda d: _true(d["fetched"] & (d["url"] == fact["source_url"])))
-        source, quote = F.get(found, F.size(found) - 1), _plain(fact["evidence_quote"])
+    def one(x: Column, i: Column) -> Column:
+        found = F.filter(held, lambda d: _true(d["document"]["fetched"] & (d["document"]["url"] == x["fact"]["source_url"])))
+        source, quote = F.get(found, F.size(found) - 1), _plain(x["quote"])
         proven = (F.length(quote) >= LEAST_QUOTE) & F.contains(_plain(source["text"]), quote)
         at = (i + 1).cast("string")
-        return F.array(_reason(~_true(source.isNotNull() & proven), F.concat(F.lit("evidence_missing:"), at)), _reason(~_true(source["role"].isin(TRUSTED)), F.concat(F.lit("source_untrusted:"), at)))
+        return F.array(_reason(~_true(source.isNotNull() & proven), F.concat(F.lit("evidence_missing:"), at)), _reason(~_true(source["document"]["role"].isin(TRUSTED)), F.concat(F.lit("source_untrusted:"), at)))
 
-    return F.flatten(F.transform(facts, one))
+    return F.flatten(F.transform(F.arrays_zip(facts.alias("fact"), quotes.alias("quote")), one))
 
 
-def research_reasons(eligible: Column, documents: Column, pack: Column, now: Column) -> Column:
+def _every_fact(pack: Column) -> Column:
+    return F.concat(F.coalesce(pack["facts"], F.array()), F.coalesce(pack["numbers"], F.array()))
+
+
+def researched(cases: DataFrame, eligible: Column, documents: Column, pack: Column, now: Column) -> DataFrame:
+    """`cases` with `reasons` against each (see research_reasons); quotes are looked for in NFKC, as written and as cited texts may
+    differ in ligatures, widths and composed letters."""
+    texts, quotes = F.transform(F.coalesce(documents, F.array()), lambda d: d["text"]), F.transform(_every_fact(pack), lambda f: f["evidence_quote"])
+    plain = cases.withColumns({"__texts": all_normalised(texts, "NFKC"), "__quotes": all_normalised(quotes, "NFKC")})
+    return plain.withColumn("reasons", research_reasons(eligible, documents, pack, now, F.col("__texts"), F.col("__quotes"))).drop("__texts", "__quotes")
+
+
+def research_reasons(eligible: Column, documents: Column, pack: Column, now: Column, texts: Column | None = None, quotes: Column | None = None) -> Column:
     """Reasons against a researched case.
 
     documents: array of (url, role, document_type, fetched, published, date_kind, text), the main one first.
     pack: can_write, matches_event, confidence, headline_fact, headline_fact_ids, and the arrays facts and numbers of
-    (id, source_url, evidence_quote). Nulls count as absent, absent as not given.
+    (id, source_url, evidence_quote). Nulls count as absent, absent as not given. texts, quotes: the texts of the documents and the quotes
+    of facts and numbers in the form to compare them in; as they are, if not given.
     """
-    main, facts = F.get(documents, 0), F.coalesce(pack["facts"], F.array())
-    every = F.concat(facts, F.coalesce(pack["numbers"], F.array()))
+    main, facts, every = F.get(documents, 0), F.coalesce(pack["facts"], F.array()), _every_fact(pack)
+    texts = F.transform(F.coalesce(documents, F.array()), lambda d: d["text"]) if texts is None else texts
+    quotes = F.transform(every, lambda f: f["evidence_quote"]) if quotes is None else quotes
     ids = F.coalesce(pack["headline_fact_ids"], F.array())
     known = F.transform(facts, lambda f: f["id"])
     return _reasons(
@@ -81,7 +98,7 @@ def research_reasons(eligible: Column, documents: Column, pack: Column, now: Col
             _reason(~_true(pack["matches_event"]), "event_mismatch"),
             _reason((F.coalesce(pack["headline_fact"], F.lit("")) == "") | (F.size(facts) == 0) | (F.coalesce(pack["confidence"], F.lit(0)) < LEAST_CONFIDENCE), "insufficient_facts"),
         ),
-        _evidence(F.coalesce(documents, F.array()), every),
+        _evidence(F.coalesce(documents, F.array()), every, texts, quotes),
         F.array(_reason((F.size(ids) == 0) | (F.size(F.array_except(ids, known)) > 0), "headline_evidence_missing")),
     )
 
@@ -122,11 +139,6 @@ def publication_reasons(case: Column, article_hash: Column, article_checked: Col
     )
 
 
-def fingerprint(**fields: Column) -> Column:
-    """SHA-256 of the fields as JSON, by name: the order in which they are given doesn't matter, nor do nulls vanish."""
-    return F.sha2(F.to_json(F.struct(*[c.alias(name) for name, c in sorted(fields.items())]), {"ignoreNullFields": "false"}), 256)
-
-
 REPLY = "array<struct<id: bigint, score: double, section: string, type: string, next_step: string, reason: string, attention: double, numbers: double, credit: boolean>>"
 
 
@@ -168,8 +180,8 @@ def research_gate(spark: SparkSession, d: str) -> DataFrame:
         F.array(fact("f1", F.substring("text", 1, 40)), fact("f2", F.when(i % 3 == 0, "no such words at all").otherwise(F.substring("text", 10, 30)))).alias("facts"),
         F.array(fact("n1", F.substring("text", 1, 30), F.when(i % 5 == 0, "v").otherwise("u"))).alias("numbers"),
     )
-    reasons = research_reasons(i % 10 != 0, F.array(document), pack, F.lit(NOW).cast("timestamp_ntz"))
-    return table(spark, d, "documents").select(i.alias("id"), F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passed"))
+    found = researched(table(spark, d, "documents"), i % 10 != 0, F.array(document), pack, F.lit(NOW).cast("timestamp_ntz"))
+    return found.select(i.alias("id"), F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("passed"))
 
 
 def publication_gate(spark: SparkSession, d: str) -> DataFrame:

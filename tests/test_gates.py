@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from pressloom.functions import documents
 from pressloom.operators import gates
 
 NOW = dt.datetime(2024, 5, 1, 12)
@@ -76,3 +77,42 @@ def test_replies(spark):
 def test_fingerprint(spark):
     one = spark.range(1).select(gates.fingerprint(b=F.lit(1), a=F.lit(None).cast("string")).alias("x"), gates.fingerprint(a=F.lit(None).cast("string"), b=F.lit(1)).alias("y"), gates.fingerprint(b=F.lit(1)).alias("z")).first()
     assert one.x == one.y != one.z
+
+
+def test_quotes_in_other_forms(spark):
+    """Ligatures, full width and combining marks are no difference between a quote and its source."""
+    schema = "documents array<struct<url: string, role: string, document_type: string, fetched: boolean, published: timestamp, date_kind: string, text: string>>, pack struct<can_write: boolean, matches_event: boolean, confidence: int, headline_fact: string, headline_fact_ids: array<string>, facts: array<struct<id: string, source_url: string, evidence_quote: string>>, numbers: array<struct<id: string, source_url: string, evidence_quote: string>>>"
+    now = dt.datetime(2024, 5, 1, 12)
+    rows = []
+    for text, quote in (("The o\ufb03ce of \uff21cme said so", "office of Acme said"), ("Cafe\u0301 prices rise today", "Caf\u00e9 prices rise"), ("plain words in a row", "plain words in"), ("plain words in a row", "other words in"), (None, "plain words in a row")):
+        rows.append(([("u", "primary", "article", True, now, "meta", text)], (True, True, 90, "x", ["f"], [("f", "u", quote)], None)))
+    df = spark.createDataFrame(rows, schema)
+    got = gates.researched(df, F.lit(True), F.col("documents"), F.col("pack"), F.lit(now).cast("timestamp")).collect()
+    assert [r.reasons for r in got] == [[], [], [], ["evidence_missing:1"], ["evidence_missing:1"]]
+
+
+def test_nested_fingerprints(spark):
+    import hashlib
+    import json
+
+    texts = ['{"b": [1, {"z": null, "y": "æ"}], "a": {"d": true, "c": 2.50}}', '{"a":{"c":2.5,"d":true},"b":[1,{"y":"æ","z":null}]}', '{"a":{"c":2.5,"d":true},"b":[{"y":"æ","z":null},1]}', "[broken", None]
+    got = [r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select(documents.fingerprint_of(F.col("t")).alias("f")).collect()]
+    plain = lambda t: hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert got[0] == got[1] == plain(texts[1]) and got[2] == plain(texts[2]) != got[0] and got[3:] == [None, None]
+
+
+def test_objects_merge(spark):
+    rows = [('{"a":1,"b":{"x":1}}', '{"b":{"y":2},"c":[null]}', '{"a":1,"b":{"y":2},"c":[null]}'), ("null", '{"b":2}', '{"b":2}'), ('{"a":null}', "[1]", '{"a":null}'), (None, None, "{}")]
+    df = spark.createDataFrame(rows, "t string, p string, want string")
+    assert [r.m for r in df.select(documents.merged(F.col("t"), F.col("p")).alias("m")).collect()] == [w for _, _, w in rows]
+    one = df.select(documents.without(F.col("t"), "a", "z").alias("w"), documents.counted(F.lit('{"write": 2}'), F.lit("write")).alias("n"), documents.counted(F.lit("{}"), F.lit("write")).alias("first")).first()
+    assert (one.w, one.n, one.first) == ('{"b":{"x":1}}', '{"write":3}', '{"write":1}')
+
+
+def test_linked_dates_at_any_depth(spark):
+    deep = '{"@type":"Article","datePublished":"in"}'
+    for _ in range(40):
+        deep = '[{"@graph":[[' + deep + "]]}]"
+    texts = [deep, '{"@type":["X","Article"],"datePublished":"a","@graph":{"@type":"BlogPosting","datePublished":"b"}}', '[{"@type":"Person","datePublished":"n"},{"@type":"NewsArticle"},5,null,{"@type":"Article","datePublished":"c"}]', "{bad", None]
+    got = [r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select(documents.linked_dates(F.col("t")).alias("d")).collect()]
+    assert got == [["in"], ["a", "b"], ["c"], [], []]
