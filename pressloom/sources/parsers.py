@@ -58,13 +58,14 @@ def observations(body: Column) -> Column:
 
 
 def exchange_rates(bodies: DataFrame) -> DataFrame:
-    """The latest rate of each currency (currency, body) and its change in percent from the one before; without one: 0."""
+    """The latest rate of each currency (currency, body, ...) and its change in percent from the one before; without one: 0. Other columns stay."""
     values = observations(F.col("body"))
     unit = F.try_element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), F.col("currency"))
-    x = bodies.select("currency", values.alias("v"), F.coalesce(unit, F.lit(1)).alias("unit")).where("size(v) > 0")
+    rest = [c for c in bodies.columns if c not in ("currency", "body")]
+    x = bodies.select(*rest, "currency", values.alias("v"), F.coalesce(unit, F.lit(1)).alias("unit")).where("size(v) > 0")
     latest = F.element_at("v", -1) / F.col("unit")
     before = F.coalesce(F.try_element_at("v", F.lit(-2)), F.element_at("v", -1)) / F.col("unit")
-    return x.select(F.concat("currency", F.lit("NOK")).alias("symbol"), latest.alias("value"), F.when(before == 0, 0.0).otherwise((latest / before - 1) * 100).alias("change_pct"))
+    return x.select(*rest, F.concat("currency", F.lit("NOK")).alias("symbol"), latest.alias("value"), F.when(before == 0, 0.0).otherwise((latest / before - 1) * 100).alias("change_pct"))
 
 
 def page_rate(html: Column) -> Column:
@@ -85,13 +86,14 @@ def policy_rate(bodies: DataFrame) -> DataFrame:
 
 
 def quotes(bodies: DataFrame) -> DataFrame:
-    """(symbol, value, change_pct, error) from chart documents (symbol, body): a symbol that can't be read keeps its row, with an error."""
+    """(symbol, value, change_pct, error) from chart documents (symbol, body, ...): other columns stay; a symbol that can't be read keeps its row, with an error."""
     meta = F.get(F.from_json("body", CHART)["chart"]["result"], 0)["meta"]
-    x = bodies.select("symbol", meta.alias("m"))
+    rest = [c for c in bodies.columns if c not in ("symbol", "body")]
+    x = bodies.select(*rest, "symbol", meta.alias("m"))
     now, before = F.col("m.regularMarketPrice"), F.coalesce("m.chartPreviousClose", "m.previousClose")
     change = F.when(before.isNull() | (before == 0), 0.0).otherwise((now / before - 1) * 100)
     error = F.when(F.col("m").isNull(), "no market data").when(now.isNull(), "no valid price")
-    return x.select("symbol", now.alias("value"), F.when(now.isNotNull(), change).alias("change_pct"), error.alias("error"))
+    return x.select(*rest, "symbol", now.alias("value"), F.when(now.isNotNull(), change).alias("change_pct"), error.alias("error"))
 
 
 def table_date(text: Column) -> Column:
