@@ -229,10 +229,10 @@ def source_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's main source: its searches and the titles of raw items are those of source_search and title_range_match."""
     x = items(spark, d)
-    searched = x.where("id % 11 = 0").select("id", F.lit("https://www.ssb.no/found/1").alias("url"))
-    raw = x.where("id % 5 = 0").select("id", F.lit("https://newsweb.no/message/2").alias("url"), (F.col("id") % 10 / 10).alias("score"))
-    return chosen(x, mates(x), searched, raw)
+    raw = title_range_match(spark, d).join(x.select(F.col("id").alias("raw_id"), "url"), "raw_id")
+    return chosen(x, mates(x), source_search(spark, d), raw.select("id", "url", "score"))
 
 
 def supporting_sources(spark: SparkSession, d: str) -> DataFrame:

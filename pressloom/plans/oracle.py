@@ -147,6 +147,6 @@ SQL = {
   CASE WHEN valid THEN 0 END AS numbers, CASE WHEN valid THEN k % 7 = 0 END AS credit, NOT valid AS deferred FROM v""",
     "event_group_keys": f"""WITH {HEADLINES}, x AS (SELECT id, CASE WHEN id % 3 = 0 THEN 't' || (user_id % 20) ELSE substr(sha1(strftime(published, '%Y-%m-%d') || '|' || array_to_string(({EVENT_WORDS})[1:8], '-')), 1, 18) END AS event_key FROM h)
   SELECT event_key, count(*) AS n, min(id) AS first_id FROM x GROUP BY 1""",
-    "feed_round_trip": f"""WITH {HEADLINES}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY published DESC, id DESC) AS n FROM h)
-  SELECT 'feed ' || user_id AS name, n - 1 AS place, title, 'https://www.example.com/a?id=' || id || '&b=1' AS url, 'example.com' AS source_domain, floor(epoch(published))::BIGINT AS second FROM n WHERE n <= 20""",
+    "feed_round_trip": f"""WITH {HEADLINES}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, published::DATE ORDER BY published DESC, id DESC) AS n, max(published) OVER () AS as_of FROM h)
+  SELECT 'feed ' || user_id || ' ' || published::DATE AS name, n - 1 AS place, title, 'https://www.example.com/a?id=' || id || '&b=1' AS url, 'example.com' AS source_domain, floor(epoch(published))::BIGINT AS second FROM n WHERE epoch(as_of) - floor(epoch(published)) <= 240 * 3600""",
 }

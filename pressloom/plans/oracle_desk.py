@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import vocabulary as V
 from ..operators.lists import BOARD, LIVE_TYPES, MODEL, STATUS_ORDER
 from ..operators.state import EDIT_SECTIONS
+from ..sources.catalogue import FEEDS, INDEX_QUERIES, LIVE_FEEDS, LIVE_QUERIES
+from ..sources.feeds import AGE_HOURS
 from ..sources.tables import EVENT_KINDS, SOURCE_DOMAINS
 from .oracle import ARTICLES, FEED, HEADLINES, RADAR, _hit, _hits, _list, _pick
 
@@ -18,6 +22,23 @@ STATES = f"""CASE WHEN triage = 'candidate' AND model IS NOT DISTINCT FROM '{MOD
 COVERED = "id IN (SELECT id FROM articles WHERE status IN ('draft', 'live'))"
 _maps = lambda r, w, v: f"array_to_string(list_sort(list_filter([CASE WHEN {r} > 0 THEN 'research=' || ({r}) END, CASE WHEN {w} > 0 THEN 'write=' || ({w}) END, CASE WHEN {v} > 0 THEN 'verify=' || ({v}) END], lambda x: x IS NOT NULL)), ',')"
 
+
+def _round(live: bool) -> str:
+    """A round a day: items in order in their body, of indexes the first 60, of feeds those young enough, then the first 80 relevant ones."""
+    given = [(n, k, 2 if live else h or AGE_HOURS) for n, _, k, h in FEEDS if not live or re.search(LIVE_FEEDS, n)] + [(n, "news-index", 10**6) for n, _, _ in INDEX_QUERIES if not live or re.search(LIVE_QUERIES, n)]
+    names = _list([x[0] for x in (*FEEDS, *INDEX_QUERIES)])
+    rows = ", ".join(f"('{n}', '{k}', {h})" for n, k, h in given)
+    return f"""WITH {RADAR}, s(name, kind, hours) AS (VALUES {rows}), i AS (SELECT r.* EXCLUDE (name, kind), {names}[user_id % {len(FEEDS) + len(INDEX_QUERIES)} + 1] AS name, event_type, published::DATE AS day FROM r JOIN events ON event_id = id),
+  w AS (SELECT i.*, s.kind, row_number() OVER (PARTITION BY name, day ORDER BY published DESC, id DESC) AS n, hours FROM i JOIN s USING (name)),
+  x AS (SELECT *, {_hits(V.STRONG)} AS strong, {_hits(V.COMPANY)} AS company, {_hits(V.ATTENTION)} AS alert, {_hits(V.BROAD)} AS broad, {_hits(V.NOISE)} AS noise FROM w WHERE CASE WHEN kind = 'news-index' THEN n <= 60 ELSE epoch(day + 1) - floor(epoch(published)) <= hours * 3600 END),
+  y AS (SELECT *, CASE WHEN {_hit("E24 – Aksjetips", "name")} OR company >= 1 AND (strong >= 1 OR alert >= 1) OR strong >= 2 OR strong >= 1 AND (noise = 0 OR broad >= 1) THEN true WHEN {_hit("GDELT|Google News", "name")} THEN (strong >= 1 OR broad >= 1 OR company >= 1 AND alert >= 1) AND noise = 0
+  WHEN {_hit("CNBC|Yahoo Finance|Financial Times|WSJ|Economist", "name")} THEN (strong >= 1 OR company >= 1 OR alert >= 1 OR broad >= 2) AND noise = 0 WHEN {_hit("Federal Reserve|ECB", "name")} THEN strong >= 1 OR broad >= 1
+  WHEN {_hit("E24 – Børs og finans|E24 – Makro og politikk|Dagens Næringsliv", "name")} THEN broad >= 2 AND noise = 0 ELSE false END AS relevant FROM x),
+  z AS (SELECT *, row_number() OVER (PARTITION BY name, day ORDER BY n) AS place FROM y WHERE relevant AND name NOT LIKE 'ECB%'),
+  c AS (SELECT name, count(*) AS seen, count(*) FILTER (event_type <> 'view') AS inserted FROM z WHERE place <= 80 GROUP BY name)
+  SELECT DISTINCT w.name, w.kind, coalesce(seen, 0) AS seen, coalesce(inserted, 0) AS inserted, CASE WHEN w.name LIKE 'ECB%' THEN 'empty' END AS error FROM w LEFT JOIN c USING (name)"""
+
+
 SQL = {
     "insert_composite": "SELECT l_suppkey, l_orderkey, min(l_linenumber) AS line, count(*) AS asked FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_returnflag = 'R' AND o.l_suppkey = l.l_suppkey AND o.l_orderkey = l.l_orderkey) GROUP BY ALL",
     "slot_jobs": """WITH r AS (SELECT event_type AS kind, date_trunc('hour', ts)::TIMESTAMP AS slot, props, event_id, ts, max(ts) OVER () AS as_of FROM events), o AS (SELECT kind, slot, 'old ' || min(event_id) AS payload FROM r WHERE ts < as_of - INTERVAL 1 DAY GROUP BY ALL),
@@ -80,9 +101,6 @@ SQL = {
   coalesce(event_key IN (SELECT event_key FROM ri WHERE event_key IS NOT NULL AND list_contains({_list(V.SELECTION_DOMAINS)}, domain)), false) AS has_trusted_source
   FROM ri WHERE triage = 'candidate' AND model = '{MODEL}' AND ai_score >= 60 AND published >= as_of - INTERVAL 20 DAY AND NOT EXISTS (SELECT 1 FROM cs WHERE (cs.id = ri.id OR cs.event_key = ri.event_key) AND cs.run IS DISTINCT FROM ri.run)
   AND NOT EXISTS (SELECT 1 FROM recent WHERE recent.event_key = ri.event_key)""",
-    "source_stats": f"""WITH {RADAR}, w AS (SELECT r.*, event_type, row_number() OVER (PARTITION BY name ORDER BY published DESC, id DESC) AS n FROM r JOIN events ON event_id = id), x AS (SELECT name, event_type, {_hits(V.STRONG)} AS strong, {_hits(V.COMPANY)} AS company, {_hits(V.ATTENTION)} AS alert, {_hits(V.BROAD)} AS broad, {_hits(V.NOISE)} AS noise FROM w WHERE n <= 80),
-  y AS (SELECT *, CASE WHEN {_hit("E24 – Aksjetips", "name")} OR company >= 1 AND (strong >= 1 OR alert >= 1) OR strong >= 2 OR strong >= 1 AND (noise = 0 OR broad >= 1) THEN true WHEN {_hit("GDELT|Google News", "name")} THEN (strong >= 1 OR broad >= 1 OR company >= 1 AND alert >= 1) AND noise = 0
-  WHEN {_hit("CNBC|Yahoo Finance|Financial Times|WSJ|Economist", "name")} THEN (strong >= 1 OR company >= 1 OR alert >= 1 OR broad >= 2) AND noise = 0 WHEN {_hit("E24 – Børs og finans|E24 – Makro og politikk|Dagens Næringsliv", "name")} THEN broad >= 2 AND noise = 0 ELSE false END AS relevant FROM x)
-  SELECT name, count(*) FILTER (relevant AND name <> 'ECB') AS seen, count(*) FILTER (relevant AND name <> 'ECB' AND event_type <> 'view') AS inserted, CASE WHEN name = 'ECB' THEN 'ECB: HTTP 500' END AS error FROM y GROUP BY name""",
-    "live_sources": "SELECT * FROM (VALUES ('rss', 3, 2), ('official-rss', 2, 2), ('fast-news-aggregator', 2, 2), ('global-rss', 3, 2), ('news-index', 2, 2)) AS t(kind, n, hours)",
+    "source_stats": _round(False),
+    "live_sources": _round(True),
 }

@@ -22,6 +22,6 @@ SQL = {
   SELECT id, CASE WHEN ok THEN 'ok' WHEN again THEN 'again' ELSE 'failed' END AS outcome, CASE WHEN again THEN (w * pow(2, a))::BIGINT END AS wait_ms, CASE WHEN again THEN least(8000, floor(3000 * (1 + (a + 1) * 0.35::DOUBLE) + 0.5))::BIGINT END AS next_tokens FROM z""",
     "text_parts": rf"""WITH x AS (SELECT doc_id AS id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM documents WHERE text IS NOT NULL)
   SELECT id, len(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '')) AS paragraphs, 1 AS links, sha256('Se kilden og «{QUOTE}», ' || text) AS plain_sha256, '{QUOTE}' AS quote,
-  1 + len(regexp_extract_all(substring(text, 1, 2000), '[.!?]\s+[A-ZÆØÅ–]')) AS sentences, len(list_distinct(list_transform(regexp_extract_all(text, '\d+(?:[,.]\d+)?'), lambda n: replace(n, ',', '.')::DOUBLE))) AS numbers,
+  1 + len(regexp_extract_all(text, '[.!?]\s+[A-ZÆØÅ–]')) AS sentences, len(list_distinct(list_transform(regexp_extract_all(text, '\d+(?:[,.]\d+)?'), lambda n: replace(n, ',', '.')::DOUBLE))) AS numbers,
   length(substring(trim(regexp_replace(repeat(text, 4), '\s+', ' ', 'g')), 1, 1800)) AS window_chars FROM x""",
 }

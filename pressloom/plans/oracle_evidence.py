@@ -32,6 +32,13 @@ _clean = lambda q: f"scheme || host || CASE WHEN pi = 6 THEN '/a/b?{q}' ELSE pat
 _plural = lambda n, one, more: f"{n} || CASE WHEN {n} = 1 THEN ' {one} siden' ELSE ' {more} siden' END"
 _no = lambda x, digits: f"translate(format('{{:,.{digits}f}}', {x}), ',.-', ' ,−')"
 LOCAL = "(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Oslo')"
+_RANGE = f"""WITH {HEADLINES}, t AS (SELECT DISTINCT title, {_words('title')} AS w FROM h), p AS (SELECT a.title AS one, b.title AS two, len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) AS score FROM t a, t b WHERE len(list_intersect(a.w, b.w)) > 0),
+  c AS (SELECT i.id, r.id AS raw_id, r.published, p.score FROM h i JOIN h r ON r.source_kind = 'error' AND r.published BETWEEN i.published - INTERVAL 4 DAY AND i.published + INTERVAL 2 DAY JOIN p ON p.one = i.title AND p.two = r.title WHERE i.source_kind = 'click')
+  SELECT id, arg_max(raw_id, (score, published, -raw_id)) AS raw_id, round(max(score), 6) AS score FROM c GROUP BY id"""
+_SEARCH = f"""WITH {ITEMS}, f AS (SELECT id - 1 AS id, url, title, is_index, url_role, official_host, company_path, brand FROM it UNION ALL SELECT id - 2, url, title, is_index, url_role, official_host, company_path, brand FROM it),
+  w AS (SELECT it.id, f.* EXCLUDE (id), {_words("concat_ws(' ', it.title, it.summary)")} AS w, {_words('f.title')} AS v, replace({PLAIN % "concat_ws(' ', it.title, it.summary)"}, ' ', '') AS compact FROM it JOIN f ON f.id = it.id WHERE f.url_role = 'primary' AND NOT f.is_index),
+  s AS (SELECT *, {CONTAINED} AS likeness FROM w), u AS (SELECT id, url, max(round(likeness + 1.2 + CASE WHEN official_host THEN 0.4 ELSE 0 END + CASE WHEN company_path THEN 0.35 ELSE 0 END, 6)) AS score FROM s WHERE contains(compact, brand) OR likeness >= 0.25 GROUP BY id, url)
+  SELECT id, arg_max(url, (score, url)) AS url, max(score)::DOUBLE AS score FROM u GROUP BY id"""
 
 SQL = {
     "canonical_urls": f"WITH {ITEMS} SELECT id, CASE WHEN si < 4 THEN {_clean('a=1&b=2')} END AS canonical, {_clean('b=2&a=1')} AS cleaned, brand, is_index, specific, official_host, company_path FROM it",
@@ -43,16 +50,11 @@ SQL = {
     "strict_dates": """WITH x AS (SELECT event_id AS id, event_id % 33 AS d, ts FROM events)
   SELECT id, CASE WHEN id % 4 <> 3 AND d BETWEEN 1 AND day(last_day(ts)) THEN (epoch(date_trunc('month', ts)) + (d - 1) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + CASE WHEN id % 2 = 0 THEN second(ts) ELSE 0 END - [0, 7200, -19800][id % 4 + 1])::BIGINT END AS second FROM x""",
     "cluster_mates": f"WITH {ITEMS}, {MATES} SELECT item, rank, mate, url, role, method FROM mates",
-    "title_range_match": f"""WITH {HEADLINES}, t AS (SELECT DISTINCT title, {_words('title')} AS w FROM h), p AS (SELECT a.title AS one, b.title AS two, len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) AS score FROM t a, t b WHERE len(list_intersect(a.w, b.w)) > 0),
-  c AS (SELECT i.id, r.id AS raw_id, r.published, p.score FROM h i JOIN h r ON r.source_kind = 'error' AND r.published BETWEEN i.published - INTERVAL 4 DAY AND i.published + INTERVAL 2 DAY JOIN p ON p.one = i.title AND p.two = r.title WHERE i.source_kind = 'click')
-  SELECT id, arg_max(raw_id, (score, published, -raw_id)) AS raw_id, round(max(score), 6) AS score FROM c GROUP BY id""",
-    "source_search": f"""WITH {ITEMS}, f AS (SELECT id - 1 AS id, url, title, is_index, url_role, official_host, company_path, brand FROM it UNION ALL SELECT id - 2, url, title, is_index, url_role, official_host, company_path, brand FROM it),
-  w AS (SELECT it.id, f.* EXCLUDE (id), {_words("concat_ws(' ', it.title, it.summary)")} AS w, {_words('f.title')} AS v, replace({PLAIN % "concat_ws(' ', it.title, it.summary)"}, ' ', '') AS compact FROM it JOIN f ON f.id = it.id WHERE f.url_role = 'primary' AND NOT f.is_index),
-  s AS (SELECT *, {CONTAINED} AS likeness FROM w), u AS (SELECT id, url, max(round(likeness + 1.2 + CASE WHEN official_host THEN 0.4 ELSE 0 END + CASE WHEN company_path THEN 0.35 ELSE 0 END, 6)) AS score FROM s WHERE contains(compact, brand) OR likeness >= 0.25 GROUP BY id, url)
-  SELECT id, arg_max(url, (score, url)) AS url, max(score)::DOUBLE AS score FROM u GROUP BY id""",
+    "title_range_match": _RANGE,
+    "source_search": _SEARCH,
     "source_chain": f"""WITH {ITEMS}, {MATES}, c AS (SELECT id, 0 AS prio, url, 'primary' AS role FROM it WHERE specific AND NOT is_index
-  UNION ALL SELECT item, 1, arg_min(url, (rank, url)), 'primary' FROM mates WHERE role = 'primary' AND NOT is_index GROUP BY item UNION ALL SELECT id, 2, 'https://www.ssb.no/found/1', 'primary' FROM it WHERE id % 11 = 0
-  UNION ALL SELECT id, 3, 'https://newsweb.no/message/2', 'primary' FROM it WHERE id % 5 = 0 AND id % 10 >= 6.5 UNION ALL SELECT item, 4, arg_min(url, (rank, url)), 'trusted_secondary' FROM mates WHERE role = 'trusted_secondary' GROUP BY item
+  UNION ALL SELECT item, 1, arg_min(url, (rank, url)), 'primary' FROM mates WHERE role = 'primary' AND NOT is_index GROUP BY item UNION ALL SELECT id, 2, url, 'primary' FROM ({_SEARCH})
+  UNION ALL SELECT t.id, 3, it.url, 'primary' FROM ({_RANGE}) t JOIN it ON it.id = t.raw_id WHERE t.score >= 0.65 AND it.specific UNION ALL SELECT item, 4, arg_min(url, (rank, url)), 'trusted_secondary' FROM mates WHERE role = 'trusted_secondary' GROUP BY item
   UNION ALL SELECT id, 5, url, 'trusted_secondary' FROM it WHERE role = 'trusted_secondary') SELECT id, {_list(CHAIN)}[min(prio) + 1] AS method, arg_min(url, prio) AS url, arg_min(role, prio) AS role FROM c GROUP BY id""",
     "supporting_sources": f"""WITH {ITEMS}, {MATES}, tx AS (SELECT url, min(id) * 7 % 90 AS chars FROM it GROUP BY url), mn AS (SELECT item, url AS main FROM mates WHERE rank = 1),
   o AS (SELECT m.item, m.rank, m.url, row_number() OVER (PARTITION BY m.item ORDER BY m.rank) AS tried FROM mates m LEFT JOIN mn USING (item) WHERE main IS NULL OR url <> main),

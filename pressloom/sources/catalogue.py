@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.phrases import hit
 from ..operators.triage import judged
+from . import bodies
 from .feeds import AGE_HOURS, OF_A_FEED, entries, written
-from .tables import radar
+from .parsers import index_articles
+from .storage import shared
+from .tables import pick, radar, table
 
 #: Name, address, kind and most hours of age (none: AGE_HOURS) of each feed.
 FEEDS = [
@@ -37,6 +42,7 @@ INDEX_QUERIES = [
     ('GDELT – selskapsbegivenheter og store penger', '24h', '("quarterly results" OR earnings OR "profit warning" OR acquisition OR takeover OR merger OR bankruptcy OR restructuring OR IPO OR "capital raise" OR "job cuts") (company OR shares OR stock OR investors OR billion)'),
     ('GDELT – globale markeder, råvarer og krypto', '12h', '(Brent OR oil OR OPEC OR gold OR copper OR Bitcoin OR Ethereum OR "S&P 500" OR Nasdaq OR "Stoxx 600") (surge OR plunge OR rally OR selloff OR record OR market OR price OR supply OR demand)'),
 ]
+#: Names of the live desk's feeds and queries, and its hours.
 LIVE_FEEDS = "Dagens Næringsliv|E24 – Børs|E24 – Makro|Federal Reserve|ECB|CNBC|Financial Times|WSJ|Fast global finance desks|Fast Norway finance"
 LIVE_QUERIES, LIVE_HOURS = "makro og sentralbanker|markeder, råvarer og krypto", 2
 
@@ -54,35 +60,68 @@ def index_queries(spark: SparkSession, live: bool = False) -> DataFrame:
     return x.where(hit(F.col("name"), LIVE_QUERIES)).withColumn("timespan", F.lit(f"{LIVE_HOURS}h")) if live else x
 
 
-def round_stats(bodies: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New items and, per source, what a round over `bodies` (name, kind, max_age_hours, as_of, body, error) saw and brought.
+def sources(spark: SparkSession, live: bool = False) -> DataFrame:
+    """name, kind and max_age_hours of feeds and index queries; an index's own time span is part of what it is asked for."""
+    return feeds(spark, live).select("name", "kind", "max_age_hours").unionByName(index_queries(spark, live).select("name", F.lit("news-index").alias("kind"), F.lit(None).cast("int").alias("max_age_hours")))
+
+
+def round_items(fetched: DataFrame) -> DataFrame:
+    """The relevant items of `fetched` bodies (name, kind, max_age_hours, as_of, body): feeds and article indexes, the first OF_A_FEED of each body."""
+    index = F.col("kind") == "news-index"
+    read = entries(fetched.where(~index)).unionByName(index_articles(fetched.where(index)), allowMissingColumns=True)
+    first = F.row_number().over(Window.partitionBy("name", "as_of").orderBy("place"))
+    return judged(read).where("relevant").withColumn("n", first).where(F.col("n") <= OF_A_FEED).drop("n", "relevant")
+
 
-    An item counts if it is relevant, the first OF_A_FEED of each feed; it is new if no row of `existing` (external_id) and no
-    item before it has its address and title. A source whose fetch failed keeps its row, with the error.
+def round_stats(fetched: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New items and, per source, what rounds over `fetched` bodies (name, kind, max_age_hours, as_of, body, error) saw and brought.
+
+    An item is new if no row of `existing` (external_id) and no item before it, in an earlier round or of a source or place before, has
+    its address and title. A source keeps its row if none of its bodies could be read, with the error.
     """
-    read = judged(entries(bodies.where("error is null"))).where("relevant")
-    read = read.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("place"))).where(F.col("n") <= OF_A_FEED)
+    read = round_items(fetched.where("error is null").drop("error"))
     keyed = read.withColumn("external_id", F.substring(F.sha2(F.concat_ws("|", "url", "title"), 256), 1, 48))
-    first = F.row_number().over(Window.partitionBy("external_id").orderBy("name", "place"))
+    first = F.row_number().over(Window.partitionBy("external_id").orderBy("as_of", "name", "place"))
     known = existing.select("external_id", F.lit(True).alias("known")).distinct()
     keyed = keyed.withColumn("first", first).join(known, "external_id", "left").withColumn("new", (F.col("first") == 1) & F.col("known").isNull())
     per_source = keyed.groupBy("name").agg(F.count("*").alias("seen"), F.count_if("new").alias("inserted"))
-    stats = bodies.select("name", "error").join(per_source, "name", "left")
-    return keyed.where("new").drop("n", "first", "known", "new"), stats.select("name", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("inserted", F.lit(0)).alias("inserted"), "error")
+    stats = fetched.groupBy("name", "kind").agg(F.max("error").alias("error")).join(per_source, "name", "left")
+    return keyed.where("new").drop("first", "known", "new"), stats.select("name", "kind", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("inserted", F.lit(0)).alias("inserted"), "error")
 
 
-def source_stats(spark: SparkSession, d: str) -> DataFrame:
-    """A round over feeds written from events, one for each source, where views are known already; one source fails."""
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's headline as an item of one of the sources, by its user."""
+    names = [x[0] for x in (*FEEDS, *INDEX_QUERIES)]
     url = F.concat(F.lit("https://www.example.com/a?id="), F.col("id").cast("string"))
-    items = radar(spark, d).select(F.col("source_name").alias("name"), "id", "title", url.alias("url"), "published")
-    known = items.join(spark.read.parquet(f"{d}/events.parquet").where("event_type = 'view'").select(F.col("event_id").alias("id")), "id")
+    return radar(spark, d).select(pick(names, F.col("user_id")).alias("name"), "id", "title", url.alias("url"), "published", F.to_date("published").cast("string").alias("day"), "user_id")
+
+
+def written_bodies(items: DataFrame) -> DataFrame:
+    """(name, day, body): an RSS document of each feed's items of a day, or a JSON index of a query's; one source's are empty."""
+    index = F.col("name").startswith("GDELT")
+    rss = written(items.where(~index), "name", "day").withColumn("body", F.when(F.col("name").startswith("ECB"), "").otherwise(F.col("body")))
+    article = F.struct("url", "title", F.date_format("published", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"))
+    listed = F.reverse(F.array_sort(F.collect_list(F.struct("published", "id", article.alias("article")))))
+    found = items.where(index).groupBy("name", "day").agg(listed.alias("x")).select("name", "day", F.to_json(F.struct(F.transform("x", lambda r: r["article"]).alias("articles"))).alias("body"))
+    return rss.unionByName(found)
+
+
+def _round(spark: SparkSession, d: str, live: bool) -> DataFrame:
+    items = _items(spark, d)
+    known = items.join(table(spark, d, "events").where("event_type = 'view'").select(F.col("event_id").alias("id")), "id")
     existing = known.select(F.substring(F.sha2(F.concat_ws("|", "url", "title"), 256), 1, 48).alias("external_id"))
-    bodies = written(items).select("name", "body", F.lit("rss").alias("kind"), F.lit(24 * 365 * 1000).alias("max_age_hours"), F.lit("2030-01-01").cast("timestamp").alias("as_of"), F.when(F.col("name") == "ECB", "ECB: HTTP 500").alias("error"))
-    return round_stats(bodies, existing)[1]
+    folder = f"{shared(spark)}/bodies-{uuid.uuid4().hex}"
+    bodies.write(written_bodies(items), folder, "name", "day")
+    fetched = bodies.read(spark, folder).select(F.col("keys.name").alias("name"), (F.to_date("keys.day") + F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("as_of"), "body", "error")
+    return round_stats(fetched.join(F.broadcast(sources(spark, live)), "name"), existing)[1]
+
+
+def source_stats(spark: SparkSession, d: str) -> DataFrame:
+    """A round at the end of each day over all sources, whose bodies are written to a folder and fetched from there; views are known
+    already, and one source has only empty bodies."""
+    return _round(spark, d, live=False)
 
 
 def live_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The live desk's feeds and queries by kind."""
-    f = feeds(spark, live=True).select("kind", "max_age_hours")
-    q = index_queries(spark, live=True).select(F.lit("news-index").alias("kind"), F.regexp_extract("timespan", r"^(\d+)", 1).cast("int").alias("max_age_hours"))
-    return f.union(q).groupBy("kind").agg(F.count("*").alias("n"), F.max("max_age_hours").alias("hours"))
+    """The same for the live desk's sources: fewer of them, and only the last two hours of each day from feeds."""
+    return _round(spark, d, live=True)

@@ -37,13 +37,14 @@ def index_date(text: Column) -> Column:
 
 
 def index_articles(bodies: DataFrame) -> DataFrame:
-    """The articles of JSON indexes (name, body): at most INDEX_ROWS of each, as radar items."""
+    """The articles of JSON indexes (name, body, ...): at most INDEX_ROWS of each, as radar items. Other columns stay."""
     a = F.slice(F.from_json("body", INDEX)["articles"], 1, INDEX_ROWS)
-    x = bodies.select("name", F.posexplode(a).alias("place", "a")).select("name", "place", "a.*")
+    rest = [c for c in bodies.columns if c != "body"]
+    x = bodies.select(*rest, F.posexplode(a).alias("place", "a")).select(*rest, "place", "a.*")
     some = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
     domain = some(F.col("domain"))
     return x.select(
-        F.coalesce(F.concat("name", F.lit(" · "), domain), F.col("name")).alias("source_name"), F.lit("news-index").alias("source_kind"), F.coalesce(domain, urls.host(F.col("url"))).alias("source_domain"),
+        *rest, F.coalesce(F.concat("name", F.lit(" · "), domain), F.col("name")).alias("source_name"), F.lit("news-index").alias("source_kind"), F.coalesce(domain, urls.host(F.col("url"))).alias("source_domain"),
         bare(F.coalesce("title", F.lit(""))).alias("title"), F.concat_ws(" · ", some(F.col("sourcecountry")), some(F.col("language"))).alias("summary"), urls.cleaned(F.coalesce("url", F.lit(""))).alias("url"),
         some(F.col("socialimage")).alias("image_url"), index_date(F.col("seendate")).alias("published"), "place",
     ).where("title <> '' and url <> ''")
