@@ -1,8 +1,8 @@
 """URL rules by hashed host-suffix and path-prefix expressions, in DataFrame operations only.
 
-A URL is expanded into one expression for each host suffix (at a dot) and each path prefix of a length that
-some rule has. Expressions meet rules in an equi-join on four bytes of their SHA-256; the whole digest
-confirms, and the longest rule wins.
+A URL is expanded into one expression for each host suffix (at a dot) that some rule has, and for each path prefix of a length that
+a rule of that host has. Suffixes and expressions meet rules in equi-joins on four bytes of their SHA-256; the whole
+digest confirms, and the longest rule wins.
 """
 
 from __future__ import annotations
@@ -47,11 +47,12 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = "allo
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
-    # All lengths of rule paths are one row of data, joined to each URL.
-    lengths = rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    # Which lengths of path are asked for is up to the suffix: those that its own rules have.
+    by_host = known.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"), F.first(F.substring(F.sha2("rule_host", 256), 1, 8)).alias("short"))
     different = rows.where("host <> ''").select("host", "path").distinct().withColumn("labels", labels)
-    asked = different.join(F.broadcast(lengths), F.lit(True)).select("host", "path", F.explode(suffixes).alias("suffix"), F.filter("lengths", lambda n: n <= F.length("path")).alias("lengths"))
-    asked = asked.select("host", "path", "suffix", F.explode("lengths").alias("n")).withColumn("prefix", F.expr("substring(path, 1, n)")).drop("n")
+    asked = different.select("host", "path", F.explode(suffixes).alias("suffix")).withColumn("short", F.substring(F.sha2("suffix", 256), 1, 8))
+    asked = asked.join(by_host, "short").where("suffix = rule_host").select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    asked = asked.withColumn("prefix", F.expr("substring(path, 1, n)")).drop("n")
     asked = asked.withColumn("asked", digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("asked", 1, 8))
     fits = asked.join(known, "short").where("asked = digest")
     rank = F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), F.col("said") == "block", F.concat("rule_host", "rule_path").alias("rule"), "said")
