@@ -30,7 +30,7 @@ OFFICIAL_HOST = r"(^|\.)gov(\.|$)|(^|\.)europa\.eu$|(^|\.)(ssb|norges-bank|finan
 COMPANY_PATH = r"/(investor|news|press|media|releases?|announcements?|reports?|results?)|/ir/"
 INDEX_PATH = r"fomccalendars|/index\.(html?|aspx)$|/mpr_\d{4}/?$|/(news|newsroom|press|investors?|investor-relations)/?$|^/$"
 DECISION = r"^https://www\.norges-bank\.no/(?i:aktuelt/nyheter/pressemeldinger)/20\d{2}/20\d{2}-\d{2}-\d{2}-(?i:rente)/(#.*)?$"
-URL = r"^\s*([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:@\s]+)(?::(\d*))?([^?#\s]*)(?:\?([^#]*))?(?:#.*)?$"
+URL = r"^\s*([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]/?#\s]*\]|[^/?#:@\s]+)(?::(\d*))?([^?#\s]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

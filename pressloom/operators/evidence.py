@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import timing, urls
 from ..functions.scoring import squeezed
+from ..functions.standard_urls import in_standard_form
 from ..sources.tables import headlines, pick, seconds, table
 from ..sources.storage import cut
 from .dates import publication
@@ -177,6 +178,18 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("id", urls.canonical(u).alias("canonical"), urls.cleaned(u).alias("cleaned"), urls.brand(u).alias("brand"), urls.is_index(u).alias("is_index"), urls.is_specific(u).alias("specific"), urls.is_official_host(u).alias("official_host"), urls.has_company_path(u).alias("company_path"))
 
 
+def standard_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses in other spellings than the standard one, the form they come to, and the rules on it."""
+    i = F.col("event_id")
+    spelt = [
+        F.concat(F.lit("HTTPS://WWW.Example.NO:443/a/../b/./"), i), F.concat(F.lit(" http://0x7f.1/%41 é?q='"), i), F.concat(F.lit("https:\\\\Bücher.example\\x#"), i),
+        F.concat(F.lit("http://[2001:DB8:0:0::"), F.hex(i % 65536), F.lit("]:80")), F.concat(F.lit("https://a.no/x?utm_source=1&b=2&a="), i), F.concat(F.lit("http://a b.no/"), i), F.concat(F.lit("https://u:p@a.no/"), i),
+    ]
+    url = F.coalesce(*[F.when(i % len(spelt) == n, u) for n, u in enumerate(spelt)])
+    x = table(spark, d, "events").select(i.alias("id"), in_standard_form(url).alias("standard"))
+    return x.select("id", "standard", urls.canonical(F.col("standard")).alias("canonical"), urls.host(F.col("standard")).alias("host"))
+
+
 def source_role(spark: SparkSession, d: str) -> DataFrame:
     r = urls.role(F.col("url"), F.concat_ws(" ", "title", "summary"))
     x = sourced(items(spark, d)).withColumn("r", r)

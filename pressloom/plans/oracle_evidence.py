@@ -49,6 +49,11 @@ SQL = {
   SELECT id, CASE WHEN known THEN floor(epoch(ts))::BIGINT END AS second, CASE WHEN known THEN CASE WHEN m = 5 THEN 'article_jsonld' ELSE 'publication_meta' END END AS kind, CASE WHEN known THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS raw FROM x""",
     "strict_dates": """WITH x AS (SELECT event_id AS id, event_id % 33 AS d, ts FROM events)
   SELECT id, CASE WHEN id % 4 <> 3 AND d BETWEEN 1 AND day(last_day(ts)) THEN (epoch(date_trunc('month', ts)) + (d - 1) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + CASE WHEN id % 2 = 0 THEN second(ts) ELSE 0 END - [0, 7200, -19800][id % 4 + 1])::BIGINT END AS second FROM x""",
+    "standard_forms": """WITH x AS (SELECT event_id AS id, event_id % 7 AS c, CASE WHEN event_id % 65536 = 0 THEN '' ELSE lower(to_hex(event_id % 65536)) END AS h FROM events),
+  y AS (SELECT *, CASE c WHEN 0 THEN 'https://www.example.no/b/' || id WHEN 1 THEN 'http://127.0.0.1/%41%20%C3%A9?q=%27' || id WHEN 2 THEN 'https://xn--bcher-kva.example/x#' || id WHEN 3 THEN 'http://[2001:db8::' || h || ']/'
+  WHEN 4 THEN 'https://a.no/x?utm_source=1&b=2&a=' || id WHEN 6 THEN 'https://u:p@a.no/' || id END AS standard FROM x)
+  SELECT id, standard, CASE c WHEN 2 THEN 'https://xn--bcher-kva.example/x' WHEN 4 THEN 'https://a.no/x?a=' || id || '&b=2' WHEN 6 THEN NULL WHEN 1 THEN 'http://127.0.0.1/%41%20%C3%A9?q=%27' || id ELSE standard END AS canonical,
+  CASE c WHEN 0 THEN 'example.no' WHEN 1 THEN '127.0.0.1' WHEN 2 THEN 'xn--bcher-kva.example' WHEN 3 THEN '[2001:db8::' || h || ']' WHEN 4 THEN 'a.no' WHEN 6 THEN 'a.no' ELSE '' END AS host FROM y""",
     "cluster_mates": f"WITH {ITEMS}, {MATES} SELECT item, rank, mate, url, role, method FROM mates",
     "title_range_match": _RANGE,
     "source_search": _SEARCH,
