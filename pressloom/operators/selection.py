@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..sources.tables import radar, seconds, with_latest
+from ..sources.tables import articles, radar, seconds, with_latest
 from .gates import DEFAULT_SECTION, SECTIONS
+from . import lists
+from .lists import selection_candidates
 from .sets import components, name_of, pairs
-from .triage import Likeness, editorial_priority
+from .triage import Likeness, editorial, editorial_priority
 
 #: Fixed values of the selection.
 SCAN, KEEP, OF_A_SECTION, LEAST_SCORE, SURE_SCORE, CREDIBLE = 220, 6, 2, 70, 92, 3
@@ -113,6 +115,22 @@ def diversified_pick(spark: SparkSession, d: str) -> DataFrame:
     return picked(own.join(editorial_priority(spark, d).select("id", F.col("editorial_priority").alias("priority")), "id"))
 
 
+def scoring_round(spark: SparkSession, d: str) -> DataFrame:
+    """The selection of every run: its candidates (selection_candidates), their clusters, and the picks with rank, score, size and event key.
+    As every event has an article by its number, only pinned live ones cover a story here."""
+    pinned = articles(spark, d).where("status = 'live' and pinned").select("id", F.lit(True).alias("covered"))
+    found = selection_candidates(spark, d).select("id", "has_trusted_source").join(pinned, "id", "left")
+    x = with_latest(lists.items(spark, d), "published").join(found, "id")
+    own = S.selection_rank(F.col("source_kind"), F.col("source_domain"))
+    standing = F.when(F.lower("source_kind").contains("official"), own).when(F.col("has_trusted_source"), 5).otherwise(own)
+    section = F.get(F.array(*map(F.lit, SECTIONS)), (F.col("user_id") % 3).cast("int"))
+    rows = x.withColumns({"section": section, "standing": standing, "eligible": S.audience(S.joined(F.col("title"), F.lit(None).cast("string")), F.col("candidate_type"))["eligible"], "score": F.col("ai_score"), "priority": editorial(standing)})
+    rows = rows.withColumn("local_size", F.col("cluster_size"))
+    picks = picked(rows.select("run", "id", "title", "published", "section", "score", "attention", "priority", "standing", "eligible", "covered", "local_size"), most=None)
+    keys = x.select("id", S.event_key(F.col("event_key"), F.col("title"), F.col("published")).alias("event_key"), F.col("title").alias("event_title"))
+    return picks.join(keys, "id").select("run", "id", F.col("place").alias("rank"), F.round("priority", 1).alias("priority"), "cluster_size", "event_key", "event_title")
+
+
 def event_group_keys(spark: SparkSession, d: str) -> DataFrame:
     """Items per event key, where every third item has a key from triage."""
     x = radar(spark, d)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..sources.tables import articles, feed, headlines, pick, seconds, table, with_latest
+from .changes import updated
 from .triage import judged
 
 #: Fixed values.
@@ -25,15 +26,6 @@ def get_or_create(rows: DataFrame, existing: DataFrame, keys: list[str]) -> Data
     return held.select(*keys, F.when(F.col("there"), F.col("old")).otherwise(F.col("new.payload")).alias("payload"), F.col("there").isNull().alias("created"))
 
 
-def updated(base: DataFrame, changes: DataFrame, key: str, columns: list[str], reset: dict[str, Column] | None = None) -> DataFrame:
-    """`base` after a bulk update: rows of `changes` replace `columns` (nulls too) and reset others; the rest stays as it is."""
-    new = changes.select(key, F.struct(*columns).alias("__new"))
-    x = base.join(new, key, "left")
-    hit = F.col("__new").isNotNull()
-    set_ = {c: F.when(hit, F.col(f"__new.{c}")).otherwise(F.col(c)) for c in columns} | {c: F.when(hit, v).otherwise(F.col(c)) for c, v in (reset or {}).items()}
-    return x.select(*[set_.get(c, F.col(c)).alias(c) for c in base.columns])
-
-
 def expired(rows: DataFrame) -> DataFrame:
     """The feed after three expiries: its item too old or without a date, its own time too old, rank beyond LIVE_ROWS.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import phrases as P
 from ..functions import scoring as S
 from ..sources.tables import radar, seconds, table, with_latest
+from . import lists
+from .changes import updated
 from .sets import components, name_of, pairs
 
 
@@ -46,12 +48,17 @@ def triage_priority(spark: SparkSession, d: str) -> DataFrame:
     return triaged(with_latest(radar(spark, d), "published")).select("id", "rank", "priority", "explicit_finance", F.col("noise").cast("long").alias("noise"), "dropped")
 
 
+def editorial(standing: Column) -> Column:
+    """The weighted selection score of an item of `standing`: score, attention, numbers, audience, freshness and the source's rank."""
+    fresh = F.greatest(F.lit(0.0), 10 - F.greatest(F.lit(0.0), F.coalesce(_age(), F.lit(24.0))) * 0.55)
+    known = lambda c: F.coalesce(c, F.lit(0))
+    parts = known("score") * 0.35 + known("attention") * 0.15 + known("numbers") * 0.10 + S.audience(_text(), F.col("candidate_type"))["score"] * 0.30
+    return parts + fresh + standing * 2.8
+
+
 def editorial_priority(spark: SparkSession, d: str) -> DataFrame:
-    """The weighted selection score: score, attention, numbers, audience, freshness and the source's standing."""
     x = with_latest(radar(spark, d), "published")
-    fresh = F.greatest(F.lit(0.0), 10 - _age() * 0.55)
-    parts = F.coalesce("score", F.lit(0.0)) * 0.35 + F.col("attention") * 0.15 + F.col("numbers") * 0.10 + S.audience(_text(), F.col("candidate_type"))["score"] * 0.30
-    return x.select("id", F.round(parts + fresh + S.selection_rank(F.col("source_kind"), F.col("source_domain")) * 2.8, 4).alias("editorial_priority"))
+    return x.select("id", F.round(editorial(S.selection_rank(F.col("source_kind"), F.col("source_domain"))), 4).alias("editorial_priority"))
 
 
 class Likeness:
@@ -144,6 +151,27 @@ def labelled(items: DataFrame, most: int | None = 500, keep: int = 45) -> DataFr
     return found.unionByName(noise)
 
 
+#: Fixed value: hours that a candidate stays one, and that triage looks back.
+WINDOW_HOURS = 36
+TRIAGED = {"triage": "status", "priority": "priority", "local_key": "event_key", "cluster_size": "cluster_size", "representative": "representative_id"}
+
+
+def triage_run(items: DataFrame, model: str, most: int | None = 500, keep: int = 45) -> DataFrame:
+    """`items` after one triage: candidates that are too old expire; of the last WINDOW_HOURS the rows that `model` hasn't scored are
+    clustered and labelled, and what their last attempts left is reset.
+
+    items: id, title, source_name, source_kind, source_domain, published, discovered, ai_score, model, attempts, retry_after, triaged_at, as_of, and
+    the columns of TRIAGED. All other rows stay as they are.
+    """
+    when = F.coalesce("published", "discovered")
+    oldest = F.col("as_of") - F.expr(f"INTERVAL {WINDOW_HOURS} HOURS")
+    aged = items.withColumn("triage", F.when((F.col("triage") == "candidate") & (when < oldest), "expired").otherwise(F.col("triage")))
+    scan = items.where((when >= oldest) & (F.col("ai_score").isNull() | ~F.col("model").eqNullSafe(model)))
+    scan = scan.select("id", "title", "source_name", "source_kind", "source_domain", "published", "as_of", F.lit(1).alias("run"))
+    found = labelled(scan, most, keep).select("id", *(F.col(v).alias(k) for k, v in TRIAGED.items())).withColumn("priority", F.col("priority").cast("long"))
+    return updated(aged, found, "id", list(TRIAGED), {"attempts": F.lit(0), "retry_after": F.lit(None), "triaged_at": F.col("as_of")})
+
+
 def counted(items: DataFrame, most: int | None = 500, keep: int = 45) -> DataFrame:
     """The counters of each run's triage: scanned, relevant, clusters, candidates, duplicates, noise, overflow."""
     x = labelled(items, most, keep)
@@ -159,6 +187,15 @@ def triage_counters(spark: SparkSession, d: str) -> DataFrame:
     return counted(x.withColumn("as_of", F.max("published").over(Window.partitionBy("run"))))
 
 
+def triage_round(spark: SparkSession, d: str) -> DataFrame:
+    """One triage of all items at the time of the latest, without a limit of rows."""
+    x = with_latest(lists.items(spark, d), "published").withColumns({
+        "discovered": F.col("published"), "attempts": (F.col("k") % 4).cast("int"), "triaged_at": F.lit(None).cast("timestamp_ntz"), "local_key": F.col("event_key"), "cluster_size": F.col("cluster_size").cast("long"),
+        "representative": F.col("id"), "priority": F.col("priority").cast("long"),
+    })
+    return triage_run(x, lists.MODEL, most=None).select("id", *TRIAGED, "attempts", "retry_after", "triaged_at")
+
+
 def triage_labels(spark: SparkSession, d: str) -> DataFrame:
     """One triage run a day, as of the day's last item."""
     x = radar(spark, d).withColumn("run", F.to_date("published"))

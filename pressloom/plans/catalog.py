@@ -16,7 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     modules = (catalogue, clocks, drafting, evidence, feeds, gates, lists, readings, selection, serving, state, texts, thinning, triage)
     found = {name: next(getattr(m, name) for m in modules if hasattr(m, name)) for name in oracle_sql()}
     # Greedy clusters, picks and pulses depend on order, which SQL can't express.
-    return found | {"triage_labels": triage.triage_labels, "triage_counters": triage.triage_counters, "diversified_pick": selection.diversified_pick, "live_pulses": pulses.live_pulses}
+    return found | {"triage_labels": triage.triage_labels, "triage_counters": triage.triage_counters, "diversified_pick": selection.diversified_pick, "live_pulses": pulses.live_pulses, "triage_round": triage.triage_round, "scoring_round": selection.scoring_round}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,11 @@ import random
 from pyspark.sql import functions as F
 
 from pressloom.functions.scoring import event_words
-from pressloom.operators import selection
+from pressloom.functions import scoring as S
+from pressloom.functions import vocabulary as V
+from pressloom.operators import lists, selection
+from pressloom.operators.gates import SECTIONS
+from pressloom.sources.tables import articles
 
 DAY = dt.datetime(2024, 5, 1, 12)
 SCHEMA = "run date, id long, title string, published timestamp_ntz, section string, score double, attention long, priority double, standing int, eligible boolean, covered boolean, local_size int"
@@ -81,6 +85,31 @@ def test_no_limit(spark):
         assert [(r.id, r.section, r.cluster_size) for r in sorted((r for r in got if r.run == run), key=lambda r: r.place)] == plain_pick(mine)
 
 
+def test_scoring_round(spark):
+    """Candidates, clusters and picks of whole runs over small tables."""
+    d = "/root/testdata/sf0.01"
+    found = {r.id: r for r in lists.selection_candidates(spark, d).collect()}
+    pinned = {r.id for r in articles(spark, d).where("status = 'live' and pinned").collect()}
+    x = [r.asDict() | {"words": set(r.words or ())} for r in lists.items(spark, d).withColumn("words", event_words(F.col("title"))).collect() if r.id in found]
+    got = selection.scoring_round(spark, d).collect()
+    rank = {"global-rss": 4, "rss": 3, "news-aggregator": 1}
+    score = {r.id: r.a for r in lists.items(spark, d).select("id", S.audience(S.joined(F.col("title"), F.lit(None).cast("string")), F.col("candidate_type")).alias("a")).collect()}
+    latest = max(r.published for r in lists.items(spark, d).select("published").collect())
+    for r in x:
+        c, domain = found[r["id"]], (r["source_domain"] or "").removeprefix("www.")
+        r["standing"] = 6 if "official" in r["source_kind"] else 5 if c.has_trusted_source or domain in V.SELECTION_DOMAINS else rank.get(r["source_kind"], 2)
+        age = (latest - r["published"]).total_seconds() / 3600
+        r["section"], r["eligible"], r["covered"], r["score"], r["local_size"] = SECTIONS[r["user_id"] % 3], score[r["id"]].eligible, r["id"] in pinned, r["ai_score"], r["cluster_size"]
+        r["priority"] = (r["ai_score"] or 0) * 0.35 + r["attention"] * 0.15 + r["numbers"] * 0.10 + score[r["id"]].score * 0.30 + max(0, 10 - age * 0.55) + r["standing"] * 2.8
+    wanted = 0
+    for run in {r["run"] for r in x}:
+        mine = sorted((r for r in x if r["run"] == run), key=lambda r: (r["score"], r["attention"] or -1, r["published"], r["id"]), reverse=True)
+        want = plain_pick(mine)
+        wanted += len(want)
+        assert [(r.id, r.cluster_size) for r in sorted((r for r in got if r.run == run), key=lambda r: r["rank"])] == [(i, n) for i, _, n in want]
+    assert wanted and len(got) == wanted
+
+
 def test_nothing_to_pick(spark):
     assert selection.picked(items(spark, 1).where("false")).count() == 0
     assert selection.picked(items(spark, 1).withColumn("eligible", F.lit(None).cast("boolean"))).count() == 0

@@ -92,3 +92,22 @@ def test_no_limit_and_hot_titles(spark):
 
 def test_no_rows(spark):
     assert triage.labelled(items(spark).where("false")).count() == 0
+
+
+def test_triage_run_changes_what_it_should(spark):
+    df = items(spark).where("run = 2").drop("run").withColumns({
+        "discovered": F.col("published"), "ai_score": F.when(F.col("id") % 5 == 0, F.lit(50.0)), "model": F.when(F.col("id") % 5 == 0, "m"), "triage": F.when(F.col("id") % 2 == 0, "candidate").otherwise("noise"), "priority": F.lit(7).cast("long"), "local_key": F.lit("old"),
+        "cluster_size": F.lit(9).cast("long"), "representative": F.lit(-1).cast("long"), "attempts": F.lit(3), "retry_after": F.col("published"), "triaged_at": F.lit(None).cast("timestamp_ntz"),
+    })
+    out = {r.id: r for r in triage.triage_run(df, "m", keep=5).collect()}
+    edge = DAY + dt.timedelta(hours=60 - triage.WINDOW_HOURS)
+    fresh = items(spark).where("run = 2").where((F.col("published") >= F.lit(edge)) & F.expr("id % 5 <> 0"))
+    want = {r.id: r for r in triage.labelled(fresh, keep=5).collect()}
+    assert len(out) == 120 and 20 < len(want) < 100
+    for i, r in out.items():
+        if i in want:
+            w = want[i]
+            assert (r.triage, r.priority, r.local_key, r.cluster_size, r.representative, r.attempts, r.retry_after) == (w.status, w.priority, w.event_key, w.cluster_size, w.representative_id, 0, None) and r.triaged_at == r.as_of
+        else:
+            old = r.published < edge and i % 2 == 0
+            assert (r.triage, r.priority, r.local_key, r.attempts, r.triaged_at) == ("expired" if old else "candidate" if i % 2 == 0 else "noise", 7, "old", 3, None)
