@@ -69,8 +69,8 @@ def guarded_changes(spark: SparkSession, d: str) -> DataFrame:
 
 def failed(cases: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cases (id, state, revision, step, token, lease_until, retry_after, last_error) after errors (id, token, step, message, at), and the rows of the log: only
-    the holder of a case's token changes it, and only what it changed is logged."""
-    held = errors.select("id", "token", F.struct("step", F.substring("message", 1, 800).alias("message"), "at").alias("e"))
+    the holder of a case's token changes it, and only what it changed is logged; of several errors the last one counts."""
+    held = errors.groupBy("id", "token").agg(F.max(F.struct("at", "step", F.substring("message", 1, 800).alias("message"))).alias("e"))
     x = cases.join(held, ["id", "token"], "left")
     hit = F.col("e").isNotNull()
     log = x.where(hit).select(F.col("id").alias("case_id"), "revision", "e.step", F.lit("failed").alias("status"), F.to_json(F.struct(F.col("e.message").alias("error"))).alias("details"))
