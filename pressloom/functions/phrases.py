@@ -187,4 +187,5 @@ def with_counts(items: DataFrame, text: Column, groups: dict[str, list[str]]) ->
 
 def names(text: Column, pattern: str) -> Column:
     """Whether `text` has one of the names of a pattern that only lists names, in any case."""
-    return reduce(or_, [F.contains(folded(text), F.lit(x.lower())) for x in pattern.split("|")])
+    some = lambda t: reduce(or_, [F.contains(t, F.lit(x.lower())) for x in pattern.split("|")])
+    return F.element_at(F.transform(F.array(folded(text)), some), 1)

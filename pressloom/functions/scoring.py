@@ -23,7 +23,9 @@ TRIAGE = {
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """`text` with single blanks for white space of any kind; most texts have no other."""
+    plain = text.rlike(r"^[\x21-\x7E]+(?: [\x21-\x7E]+)*$")
+    return F.when(plain, text).otherwise(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")))
 
 
 def relevant(source_name: Column) -> Column:

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from .unicode import base_letters
 
-#: Latin-1 letters with marks and their base letters, as NFKD leaves them (ø and æ stay): what SQL checks titles by.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-BASE = "aaaaaaceeeeiiiinooooouuuuyy"
-
 
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(base_letters(text), r"[^a-z0-9æøå]+", " "))

@@ -50,13 +50,20 @@ def _runs(codes: list[int]) -> str:
     return "[" + "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in runs) + "]"
 
 
+#: Latin-1 letters with marks and their base letters (ø and æ stay): what most texts beyond ASCII are made of.
+MARKED, BASE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+_LATIN = r"^[\x00-\x7F\x{c0}-\x{ff}]*$"
+
+
 def base_letters(text: Column) -> Column:
     """`text` in lower case, decomposed, without marks: letters and digits as words compare them, other characters as they are."""
     one, base, more = tables()
     plain = F.translate(F.regexp_replace(F.lower(text), _runs(list(MARKS)), ""), one, base)
-    names = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+    # One string, so that the plan holds one literal.
+    names = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in more.items())), F.lit("\x01"), F.lit("\x02"))
     spelt = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
-    return F.when(plain.rlike(_runs(sorted(map(ord, more)))), spelt(plain)).otherwise(plain)
+    whole = F.when(plain.rlike(_runs(sorted(map(ord, more)))), spelt(plain)).otherwise(plain)
+    return F.when(text.rlike(_LATIN), F.translate(F.lower(text), MARKED, BASE)).otherwise(whole)
 
 
 def _normal(form: str):

@@ -115,13 +115,15 @@ def search_scores(items: DataFrame, found: DataFrame) -> DataFrame:
     items: id, title, summary; found: id, url, hit_title. Pages that only list others don't count; a page of a company
     that the item doesn't name needs a similar title.
     """
-    x = found.join(items, "id").withColumns({"r": urls.role(F.col("url"), F.concat_ws(" ", "title", "summary")), "text": F.concat_ws(" ", "title", "summary")})
-    x = x.where((F.col("r.role") == "primary") & ~urls.is_index(F.col("url")))
+    # What a page's address alone decides is asked once for each address.
+    pages = found.select("url").distinct().withColumns({"is_index": urls.is_index(F.col("url")), "page": F.struct(urls.is_official_host(F.col("url")).alias("official"), urls.has_company_path(F.col("url")).alias("company"), urls.brand(F.col("url")).alias("brand"))})
+    x = found.join(pages.where("not is_index"), "url").join(items, "id").withColumn("text", F.concat_ws(" ", "title", "summary")).withColumn("r", urls.role(F.col("url"), F.col("text")))
+    x = x.where(F.col("r.role") == "primary")
     likeness = containment(words(F.col("text")), words(F.col("hit_title")))
     compact = F.replace(T.normalised(F.col("text")), F.lit(" "), F.lit(""))
-    x = x.withColumns({"likeness": likeness, "named": F.contains(compact, urls.brand(F.col("url")))}).where("named or likeness >= 0.25")
+    x = x.withColumns({"likeness": likeness, "named": F.contains(compact, F.col("page.brand"))}).where("named or likeness >= 0.25")
     extra = lambda c, n: F.when(c, n).otherwise(0.0)
-    score = F.col("likeness") + F.when(F.col("r.quality") == "official", 1.2).otherwise(1.0) + extra(urls.is_official_host(F.col("url")), 0.4) + extra(urls.has_company_path(F.col("url")), 0.35)
+    score = F.col("likeness") + F.when(F.col("r.quality") == "official", 1.2).otherwise(1.0) + extra(F.col("page.official"), 0.4) + extra(F.col("page.company"), 0.35)
     score = score + extra(F.size(T.quoted(F.col("summary"))) > 0, 0.25)
     per_url = x.groupBy("id", "url").agg(F.max(F.round(score, 6)).alias("score"))
     return per_url.groupBy("id").agg(F.max_by("url", F.struct("score", "url")).alias("url"), F.max("score").alias("score"))
@@ -234,18 +236,21 @@ def title_range_match(spark: SparkSession, d: str) -> DataFrame:
     return best_titles(h.where("source_kind = 'click'"), raw)
 
 
-def source_search(spark: SparkSession, d: str) -> DataFrame:
-    """Each item's search finds the next event's page and the one after it."""
-    x = items(spark, d)
+def _searched(x: DataFrame) -> DataFrame:
     found = x.select(F.explode(F.array(F.col("id") - 1, F.col("id") - 2)).alias("id"), "url", F.col("title").alias("hit_title"))
     return search_scores(x.select("id", "title", "summary"), found)
 
 
+def source_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's search finds the next event's page and the one after it."""
+    return _searched(items(spark, d))
+
+
 def source_chain(spark: SparkSession, d: str) -> DataFrame:
     """Each item's main source: its searches and the titles of raw items are those of source_search and title_range_match."""
-    x = items(spark, d)
+    x = cut(items(spark, d))
     raw = title_range_match(spark, d).join(x.select(F.col("id").alias("raw_id"), "url"), "raw_id")
-    return chosen(x, mates(x), source_search(spark, d), raw.select("id", "url", "score"))
+    return chosen(x, cut(mates(x)), _searched(x), raw.select("id", "url", "score"))
 
 
 def supporting_sources(spark: SparkSession, d: str) -> DataFrame:

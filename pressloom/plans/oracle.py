@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import vocabulary as V
 from ..functions.scoring import SPACE
-from ..functions.text import BASE, MARKED
+from ..functions.unicode import BASE, MARKED
 from ..operators.gates import NEXT_STEPS, SECTIONS, TYPES
 from ..operators.texts import STOP
 from ..operators.triage import STATES, STEPS

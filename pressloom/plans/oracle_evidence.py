@@ -4,7 +4,7 @@ each part is stated here by hand."""
 from __future__ import annotations
 
 from ..functions import timing as T
-from ..functions.text import BASE, MARKED
+from ..functions.unicode import BASE, MARKED
 from ..operators.clocks import SYMBOLS
 from ..operators.evidence import CHAIN, HOSTS, PATHS, SCHEMES, STOP
 from .oracle import HEADLINES, _list

@@ -12,7 +12,7 @@ from ..operators.triage import judged
 from . import bodies
 from .feeds import AGE_HOURS, OF_A_FEED, entries, written
 from .parsers import index_articles
-from .storage import shared
+from .storage import cut, shared
 from .tables import pick, radar, table
 
 #: Name, address, kind and most hours of age (none: AGE_HOURS) of each feed.
@@ -112,7 +112,8 @@ def _round(spark: SparkSession, d: str, live: bool) -> DataFrame:
     existing = known.select(F.substring(F.sha2(F.concat_ws("|", "url", "title"), 256), 1, 48).alias("external_id"))
     folder = f"{shared(spark)}/bodies-{uuid.uuid4().hex}"
     bodies.write(written_bodies(items), folder, "name", "day")
-    fetched = bodies.read(spark, folder).select(F.col("keys.name").alias("name"), (F.to_date("keys.day") + F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("as_of"), "body", "error")
+    # Fetched once: feeds, indexes and errors are read from what was kept.
+    fetched = cut(bodies.read(spark, folder)).select(F.col("keys.name").alias("name"), (F.to_date("keys.day") + F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("as_of"), "body", "error")
     return round_stats(fetched.join(F.broadcast(sources(spark, live)), "name"), existing)[1]
 
 
