@@ -24,8 +24,9 @@ TRIAGE = {
 
 def squeezed(text: Column) -> Column:
     """`text` with single blanks for white space of any kind; most texts have no other."""
-    plain = text.rlike(r"^[\x21-\x7E]+(?: [\x21-\x7E]+)*$")
-    return F.when(plain, text).otherwise(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")))
+    # Sought by what it lacks: the JVM's matcher recurses for each turn of a repeated group, so that a long text ends its stack.
+    other = text.rlike(r"[^\x20-\x7E]|  |^ | $")
+    return F.when(~other, text).otherwise(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")))
 
 
 def relevant(source_name: Column) -> Column:
