@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import phrases as P
 from . import vocabulary as V
-from .phrases import EDGE, SPACE
+from .phrases import EDGE, SPACE, UNEVEN
 from .unicode import base_letters
 
 
@@ -26,7 +26,7 @@ def squeezed(text: Column) -> Column:
     """`text` with single blanks for white space of any kind; most texts have no other."""
     # Sought by what it lacks: the JVM's matcher recurses for each turn of a repeated group, so that a long text ends its stack.
     other = text.rlike(r"[^\x20-\x7E]|  |^ | $")
-    return F.when(~other, text).otherwise(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")))
+    return F.when(~other, text).otherwise(F.trim(F.regexp_replace(text, UNEVEN, " ")))
 
 
 def relevant(source_name: Column) -> Column:
