@@ -91,11 +91,18 @@ def quoted(text: Column) -> Column:
 
 def window_of(text: Column, title: Column, most: int = 18_000, before: int = 3_500) -> Column:
     """`text` on one line; of a longer one the part around the first of the title's long words that it has."""
-    line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     words = F.slice(F.filter(F.split(normalised(F.coalesce(title, F.lit(""))), " "), lambda w: F.length(w) > 4), 1, 5)
-    at = F.filter(F.transform(words, lambda w: F.position(w, F.lower(line))), lambda n: n > 0)
-    start = F.greatest(F.lit(1), F.coalesce(F.get(at, F.lit(0)), F.lit(1)) - before)
-    return F.when(F.length(line) <= most, line).otherwise(line.substr(start.cast("int"), F.lit(most)))
+
+    def around(line: Column, low: Column) -> Column:
+        at = F.filter(F.transform(words, lambda w: F.position(w, low)), lambda n: n > 0)
+        start = F.greatest(F.lit(1), F.coalesce(F.get(at, F.lit(0)), F.lit(1)) - before)
+        return line.substr(start.cast("int"), F.lit(most))
+
+    def held(line: Column) -> Column:
+        return F.when(F.length(line) <= most, line).otherwise(F.get(F.transform(F.array(F.lower(line)), lambda low: around(line, low)), 0))
+
+    # A lambda's argument is computed once, however often its body uses it.
+    return F.get(F.transform(F.array(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))), held), 0)
 
 
 def sentences(text: Column) -> Column:

@@ -22,3 +22,13 @@ def test_drafts_of_long_and_absent_texts(spark, tmp_path):
     assert sorted(rows) == [1, 13]
     assert rows[1].paragraphs == 2 and rows[1].analysis_chars == drafting.ANALYSIS and rows[1].words == 30_002 + 84 and not rows[1].passed
     assert rows[13].paragraphs == 0 and rows[13].words == 0
+
+
+def test_window_holds_its_line_once(spark):
+    """The line of a text stands in the plan once, and is the part around the title's first long word."""
+    from pressloom.functions import text as T
+
+    parts = ["ord  \t om\nalt ", "x " * 50 + "uventet  slutt", None, " \n"]
+    x = spark.createDataFrame([(i, t) for i, t in enumerate(parts)], "i int, t string").select("i", T.window_of(F.col("t"), F.lit("en uventet tittel"), 20, 6).alias("w"))
+    assert [r.w for r in x.orderBy("i").collect()] == ["ord om alt", ("x " * 50 + "uventet slutt")[100 - 6 :][:20], "", ""]
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(coalesce(t") == 1
