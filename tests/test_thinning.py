@@ -44,3 +44,15 @@ def test_late_rows_look_both_ways(spark):
     shown = spark.createDataFrame([(1, at(8), "a"), (2, at(40), "a")], SCHEMA)
     batch = spark.createDataFrame([(3, at(5), "a"), (4, at(16), "a"), (5, at(20), "a"), (6, at(33), "a"), (7, at(0), "a"), (8, at(5), "b")], SCHEMA)
     assert sorted(r.id for r in live.first_of_event(shown, batch).collect()) == [4, 7, 8]
+
+
+def test_many_rows_of_a_span_gaps_and_times_before_1970(spark):
+    """Thousands of rows in one span are read once each, and blocks are entered behind gaps of any length."""
+    rng, start = random.Random(5), dt.datetime(1969, 12, 20)
+    at = [0, *(rng.randrange(0, 24 * 60 * 60) for _ in range(3000)), *(rng.randrange(0, 13 * 86_400) for _ in range(300)), *(rng.randrange(20 * 86_400, 24 * 86_400) for _ in range(300)), 29 * 86_400]
+    rows = [(i, start + dt.timedelta(seconds=s), rng.choice(["a", "b"])) for i, s in enumerate(at)]
+    kept = thinning.thinned(spark.createDataFrame(rows, SCHEMA), 8)
+    assert sorted(r.id for r in kept.collect()) == fold(rows, 8)
+    times = spark.createDataFrame([("a", 1), ("a", 9)], "key string, t long")
+    # A frame that ends with its group is read again for every row: time would grow with the square.
+    assert "unboundedfollowing" not in thinning.following(times, 4)._jdf.queryExecution().optimizedPlan().toString().lower()
