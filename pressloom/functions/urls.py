@@ -74,19 +74,20 @@ def canonical(url: Column) -> Column:
         query = F.array_join(F.transform(order, lambda x: x["pair"]), "&")
         return F.when(u["scheme"].isin("http", "https") & (u["user"] == ""), _rebuilt(u, query))
 
-    return let(parts(url), one)
+    return let(url, lambda address: let(parts(address), one))
 
 
 def cleaned(url: Column) -> Column:
     """The URL without fragment and tracking parameters, in its order; anything that isn't a URL only trimmed."""
 
-    def one(u: Column) -> Column:
+    def one(u: Column, address: Column) -> Column:
         every = _pairs(u["query"])
         kept = F.filter(every, lambda p: ~_key(p).rlike("(?i)^(utm_|fbclid$|gclid$|cmpid$|ref$|source$)"))
         query = F.when(F.size(kept) == F.size(every), u["query"]).otherwise(F.array_join(F.transform(kept, _written), "&"))
-        return F.coalesce(_rebuilt(u, query), F.trim(url))
+        return F.coalesce(_rebuilt(u, query), F.trim(address))
 
-    return let(parts(url), one)
+    # parts() asks for the address eight times: what makes it is computed once.
+    return let(url, lambda address: let(parts(address), lambda u: one(u, address)))
 
 
 def host(url: Column, bare: bool = True) -> Column:
@@ -110,7 +111,7 @@ def role(url: Column, text: Column) -> Column:
             .when(own, as_is("primary", "corporate_official")).otherwise(as_is("unknown", "unknown"))
         )
 
-    return let(parts(url), one)
+    return let(url, lambda address: let(parts(address), one))
 
 
 def paper(url: Column) -> Column:

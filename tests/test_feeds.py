@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from pressloom.functions.urls import canonical, cleaned, role
 from pressloom.sources import feeds as S
 
 RSS = """<rss><channel><title>Desk</title>
@@ -41,3 +42,11 @@ def test_references(spark):
     texts = ["&#65;b", "&#x1F600;", "&#;", "a&#99999999;", "&#55296;", "&amp;#65;", "", None, "plain"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", S.decoded(F.col("t")).alias("d")).orderBy("i").collect()
     assert [r.d for r in got] == ["Ab", "😀", "&#;", "a&#99999999;", "&#55296;", "A", "", None, "plain"]
+
+
+def test_an_address_is_made_once(spark):
+    """What makes an address isn't computed again for each of its parts."""
+    made = F.concat(F.col("url"), F.lit("#MADE"))
+    x = spark.createDataFrame([(" https://a.no/x?utm_source=1&b=2",), ("no url ",), (None,)], "url string").select("url", cleaned(made).alias("c"), canonical(made).alias("k"), role(made, F.col("url")).alias("r"))
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("MADE") <= 3
+    assert [(r.c, r.k, r.r.role) for r in x.collect()] == [("https://a.no/x?b=2", "https://a.no/x?b=2", "unknown"), ("no url #MADE", None, "unknown"), (None, None, "unknown")]
