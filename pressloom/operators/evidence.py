@@ -48,16 +48,29 @@ def sourced(items: DataFrame) -> DataFrame:
     }).drop("source")
 
 
-def mates(items: DataFrame) -> DataFrame:
-    """(item, place, url, ...): for each item the sources of its event: known papers first, then by score and time, MATES rows looked at.
+def leading(items: DataFrame) -> DataFrame:
+    """(event_key, rank, url, role, quality, method, mate): the sources of each event: known papers first, then by score and time, MATES rows
+    looked at.
 
     items: id, event_key, url, title, summary, score, published. Each event is ranked once, not once for each item.
     """
     best = Window.partitionBy("event_key").orderBy(F.when(urls.paper(F.col("url")).isNotNull(), 0).otherwise(1), F.desc_nulls_last("score"), F.desc_nulls_last("published"), "id")
     top = sourced(items.where("event_key is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MATES)).where("role is not null and url <> ''")
     first = Window.partitionBy("event_key", "url").orderBy("rank")
-    top = top.withColumn("again", F.row_number().over(first)).where("again = 1").select("event_key", "rank", "url", "role", "quality", "method", F.col("id").alias("mate"))
-    return items.select(F.col("id").alias("item"), "event_key").join(top, "event_key")
+    return top.withColumn("again", F.row_number().over(first)).where("again = 1").select("event_key", "rank", "url", "role", "quality", "method", F.col("id").alias("mate"))
+
+
+def handed(items: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` (event_key, ...) of its event for each item, as (event_key, item, ...). An event's rows travel as one, so a join holds
+    no more than one row for each event, however many items it has; items are sorted, never broadcast, as small as their file may look."""
+    columns = [c for c in rows.columns if c != "event_key"]
+    held = rows.groupBy("event_key").agg(F.collect_list(F.struct(*columns)).alias("held"))
+    return items.select(F.col("id").alias("item"), "event_key").join(held.hint("merge"), "event_key").select("event_key", "item", F.inline("held"))
+
+
+def mates(items: DataFrame) -> DataFrame:
+    """(event_key, item, rank, url, ...): for each item the sources of its event, see leading()."""
+    return handed(items, leading(items))
 
 
 def newest_at(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -147,15 +160,16 @@ def chosen(items: DataFrame, mates_: DataFrame, searched: DataFrame, raw_best: D
     return every.groupBy("id").agg(F.min(F.struct("prio", "method", "url", "role")).alias("c")).select("id", "c.method", "c.url", "c.role")
 
 
-def supporting(mates_: DataFrame, main: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, place, url): up to KEPT of the first TRIED other sources of an event whose text has LEAST_TEXT characters.
+def supporting(sources: DataFrame, main: DataFrame, texts: DataFrame) -> DataFrame:
+    """(event_key, place, url): up to KEPT of the first TRIED other sources of an event whose text has LEAST_TEXT characters.
 
-    main: id, url of the main source; texts: url, chars.
+    sources: from leading(); main: event_key, url of the main source; texts: url, chars. What an event's sources support is decided once for
+    the event; handed() gives it to its items.
     """
-    x = mates_.select(F.col("item").alias("id"), "rank", "url").join(main.select("id", F.col("url").alias("main")), "id", "left").where("main is null or url <> main")
-    by = Window.partitionBy("id").orderBy("rank")
+    x = sources.select("event_key", "rank", "url").join(main.select("event_key", F.col("url").alias("main")), "event_key", "left").where("main is null or url <> main")
+    by = Window.partitionBy("event_key").orderBy("rank")
     x = x.withColumn("tried", F.row_number().over(by)).where(F.col("tried") <= TRIED).join(texts, "url").where(F.col("chars") >= LEAST_TEXT)
-    return x.withColumn("place", F.row_number().over(by)).where(F.col("place") <= KEPT).select("id", "place", "url")
+    return x.withColumn("place", F.row_number().over(by)).where(F.col("place") <= KEPT).select("event_key", "place", "url")
 
 
 # Queries: items made from events, with URLs of hosts of every kind.
@@ -254,8 +268,8 @@ def source_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supporting_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's other sources than the first of its event."""
     x = items(spark, d)
-    m = mates(x)
+    sources = cut(leading(x))
     texts = x.groupBy("url").agg(F.min("id").alias("i")).select("url", (F.col("i") * 7 % 90).alias("chars"))
-    return supporting(m, m.where("rank = 1").select(F.col("item").alias("id"), "url"), texts)
-
+    return handed(x, supporting(sources, sources.where("rank = 1"), texts)).select(F.col("item").alias("id"), "place", "url")
