@@ -38,11 +38,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def parts(url: Column) -> Column:
-    """A struct: scheme and host in lower case, user, port, path (/ if empty), query; null for anything that isn't a URL."""
+def _fields(url: Column) -> dict[str, Column]:
     part = lambda i: F.regexp_extract(url, URL, i)
     path = F.when(part(5) == "", "/").otherwise(part(5))
-    return F.when(url.rlike(URL), F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("user"), F.lower(part(3)).alias("host"), part(4).alias("port"), path.alias("path"), part(6).alias("query")))
+    return {"scheme": F.lower(part(1)), "user": part(2), "host": F.lower(part(3)), "port": part(4), "path": path, "query": part(6)}
+
+
+def parts(url: Column) -> Column:
+    """A struct: scheme and host in lower case, user, port, path (/ if empty), query; null for anything that isn't a URL."""
+    return F.when(url.rlike(URL), F.struct(*[c.alias(name) for name, c in _fields(url).items()]))
+
+
+def part(url: Column, name: str) -> Column:
+    """One field of parts(), without the others."""
+    return F.when(url.rlike(URL), _fields(url)[name])
 
 
 def _rebuilt(u: Column, query: Column) -> Column:
@@ -91,7 +100,7 @@ def cleaned(url: Column) -> Column:
 
 
 def host(url: Column, bare: bool = True) -> Column:
-    h = F.coalesce(parts(url)["host"], F.lit(""))
+    h = F.lower(F.coalesce(F.regexp_extract(url, URL, 3), F.lit("")))  # never empty in a URL
     return F.regexp_replace(h, r"^www\.", "") if bare else h
 
 
@@ -122,22 +131,22 @@ def paper(url: Column) -> Column:
 
 def is_index(url: Column) -> Column:
     """Whether the page only lists others; what isn't a URL counts as such."""
-    return F.coalesce(parts(url)["path"].rlike(f"(?i){INDEX_PATH}"), F.lit(True))
+    return F.coalesce(part(url, "path").rlike(f"(?i){INDEX_PATH}"), F.lit(True))
 
 
 def is_specific(url: Column) -> Column:
     """An official host; on the exchange's own site only company news."""
-    p = parts(url)
-    h = F.regexp_replace(p["host"], r"^www\.", "")
-    return F.coalesce(h.isin(OFFICIAL) & ((p["host"] != "live.euronext.com") | p["path"].rlike("(?i)/company-news/")), F.lit(False))
+    news = part(url, "path").rlike("(?i)/company-news/")
+    fine = lambda h: F.regexp_replace(h, r"^www\.", "").isin(OFFICIAL) & ((h != "live.euronext.com") | news)
+    return F.coalesce(let(part(url, "host"), fine), F.lit(False))
 
 
 def is_official_host(url: Column) -> Column:
-    return F.coalesce(parts(url)["host"].rlike(f"(?i){OFFICIAL_HOST}"), F.lit(False))
+    return F.coalesce(part(url, "host").rlike(f"(?i){OFFICIAL_HOST}"), F.lit(False))
 
 
 def has_company_path(url: Column) -> Column:
-    return F.coalesce(parts(url)["path"].rlike(f"(?i){COMPANY_PATH}"), F.lit(False))
+    return F.coalesce(part(url, "path").rlike(f"(?i){COMPANY_PATH}"), F.lit(False))
 
 
 def is_decision(url: Column) -> Column:

@@ -130,34 +130,38 @@ def search_scores(items: DataFrame, found: DataFrame) -> DataFrame:
     """
     # What a page's address alone decides is asked once for each address.
     pages = found.select("url").distinct().withColumns({"is_index": urls.is_index(F.col("url")), "page": F.struct(urls.is_official_host(F.col("url")).alias("official"), urls.has_company_path(F.col("url")).alias("company"), urls.brand(F.col("url")).alias("brand"))})
-    x = found.join(pages.where("not is_index"), "url").join(items, "id").withColumn("text", F.concat_ws(" ", "title", "summary")).withColumn("r", urls.role(F.col("url"), F.col("text")))
-    x = x.where(F.col("r.role") == "primary")
-    likeness = containment(words(F.col("text")), words(F.col("hit_title")))
-    compact = F.replace(T.normalised(F.col("text")), F.lit(" "), F.lit(""))
-    x = x.withColumns({"likeness": likeness, "named": F.contains(compact, F.col("page.brand"))}).where("named or likeness >= 0.25")
+    # What an item's own text gives is worked out once for the item, and kept by generators: no later rule or filter repeats it.
+    text, once = F.concat_ws(" ", "title", "summary"), lambda value: F.explode(F.array(value))
+    compact = F.replace(T.normalised(text), F.lit(" "), F.lit(""))
+    asked = items.select("id", text.alias("text"), F.inline(F.array(F.struct(words(text).alias("own"), compact.alias("compact"), (F.size(T.quoted(F.col("summary"))) > 0).alias("quotes")))))
+    x = found.join(pages.where("not is_index"), "url").join(asked, "id").select("*", once(urls.role(F.col("url"), F.col("text"))).alias("r"))
+    x = x.where(F.col("r.role") == "primary").select("*", once(words(F.col("hit_title"))).alias("hit"))
+    likeness = containment(F.col("own"), F.col("hit"))
+    x = x.withColumns({"likeness": likeness, "named": F.contains(F.col("compact"), F.col("page.brand"))}).where("named or likeness >= 0.25")
     extra = lambda c, n: F.when(c, n).otherwise(0.0)
     score = F.col("likeness") + F.when(F.col("r.quality") == "official", 1.2).otherwise(1.0) + extra(F.col("page.official"), 0.4) + extra(F.col("page.company"), 0.35)
-    score = score + extra(F.size(T.quoted(F.col("summary"))) > 0, 0.25)
+    score = score + extra(F.col("quotes"), 0.25)
     per_url = x.groupBy("id", "url").agg(F.max(F.round(score, 6)).alias("score"))
     return per_url.groupBy("id").agg(F.max_by("url", F.struct("score", "url")).alias("url"), F.max("score").alias("score"))
 
 
-def chosen(items: DataFrame, mates_: DataFrame, searched: DataFrame, raw_best: DataFrame) -> DataFrame:
+def chosen(items: DataFrame, sources: DataFrame, searched: DataFrame, raw_best: DataFrame) -> DataFrame:
     """(id, method, url, role): the first of CHAIN that gives a source; no row where none does.
 
-    mates_: from mates(); searched: id, url; raw_best: id, url, score.
+    items: see leading(); sources: from leading(items); searched: id, url; raw_best: id, url, score.
     """
-    step = lambda df, prio, role: df.select("id", F.lit(prio).alias("prio"), F.lit(CHAIN[prio]).alias("method"), "url", F.lit(role).alias("role"))
-    mate = lambda role: mates_.where((F.col("role") == role) & (~urls.is_index(F.col("url")) if role == "primary" else F.lit(True))).groupBy(F.col("item").alias("id")).agg(F.min_by("url", F.struct("rank", "url")).alias("url"))
-    own = items.where(urls.is_specific(F.col("url")) & ~urls.is_index(F.col("url"))).select("id", "url")
-    fallback = sourced(items).where("role = 'trusted_secondary'").select("id", "url")
-    raw = raw_best.where((F.col("score") >= LEAST_TITLE) & urls.is_specific(F.col("url"))).select("id", "url")
-    steps = [(own, "primary"), (mate("primary"), "primary"), (searched.select("id", "url"), "primary"), (raw, "primary"), (mate("trusted_secondary"), "trusted_secondary"), (fallback, "trusted_secondary")]
-    every = None
-    for prio, (df, role) in enumerate(steps):
-        one = step(df, prio, role)
-        every = one if every is None else every.union(one)
-    return every.groupBy("id").agg(F.min(F.struct("prio", "method", "url", "role")).alias("c")).select("id", "c.method", "c.url", "c.role")
+    roles = ("primary", "primary", "primary", "primary", "trusted_secondary", "trusted_secondary")
+    step = lambda prio, url: F.struct(F.lit(prio).alias("prio"), F.lit(CHAIN[prio]).alias("method"), url.alias("url"), F.lit(roles[prio]).alias("role"))
+    given = lambda prio, url, holds=None: F.when(url.isNotNull() if holds is None else holds, step(prio, url))
+    u = F.col("url")
+    primary, secondary = (F.col("role") == "primary") & ~urls.is_index(u), F.col("role") == "trusted_secondary"
+    # An event gives at most two sources to its items, which are asked for all that they and their event know in one row.
+    events = sources.groupBy("event_key").agg(F.min_by(F.when(primary, u), F.when(primary, F.struct("rank", "url"))).alias("primary"), F.min_by(F.when(secondary, u), F.when(secondary, F.struct("rank", "url"))).alias("secondary"))
+    mates_ = items.select("id", "event_key").join(events.hint("merge"), "event_key").select("id", F.coalesce(given(1, F.col("primary")), given(4, F.col("secondary"))).alias("c"))
+    own = sourced(items).select("id", F.coalesce(given(0, u, urls.is_specific(u) & ~urls.is_index(u)), given(5, u, F.col("role") == "trusted_secondary")).alias("c"))
+    raw = raw_best.where((F.col("score") >= LEAST_TITLE) & urls.is_specific(u)).select("id", step(3, u).alias("c"))
+    every = own.unionByName(mates_).unionByName(searched.select("id", step(2, u).alias("c"))).unionByName(raw).where("c is not null")
+    return every.groupBy("id").agg(F.min("c").alias("c")).select("id", "c.method", "c.url", "c.role")
 
 
 def supporting(sources: DataFrame, main: DataFrame, texts: DataFrame) -> DataFrame:
@@ -264,7 +268,7 @@ def source_chain(spark: SparkSession, d: str) -> DataFrame:
     """Each item's main source: its searches and the titles of raw items are those of source_search and title_range_match."""
     x = cut(items(spark, d))
     raw = title_range_match(spark, d).join(x.select(F.col("id").alias("raw_id"), "url"), "raw_id")
-    return chosen(x, cut(mates(x)), _searched(x), raw.select("id", "url", "score"))
+    return chosen(x, leading(x), _searched(x), raw.select("id", "url", "score"))
 
 
 def supporting_sources(spark: SparkSession, d: str) -> DataFrame:

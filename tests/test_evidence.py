@@ -34,3 +34,11 @@ def test_supporting_is_decided_for_events(spark):
         urls = [r.url for r in sorted(held.where(F.col("event_key") == event).collect(), key=lambda r: r["rank"])]
         kept = [u for u in urls[1:4] if "dn.no" not in u][:2]
         assert [r.url for r in got.where(F.col("event_key") == event).orderBy("place").collect()] == kept
+
+
+def test_a_search_reads_each_text_once(spark):
+    items = spark.createDataFrame([(1, "Statistics of the quarter", TEXT)], "id long, title string, summary string")
+    found = spark.createDataFrame([(1, "https://www.ssb.no/c", "Statistics of the quarter")], "id long, url string, hit_title string")
+    got = evidence.search_scores(items, found)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9æøå]+") <= 4
+    assert [(r.id, r.url, r.score) for r in got.collect()] == [(1, "https://www.ssb.no/c", 2.6)]
