@@ -94,7 +94,8 @@ def searches(items: DataFrame) -> DataFrame:
     items: id, title, summary. An item of fewer than LEAST_TERMS words isn't searched for."""
     terms = F.slice(words(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))), 1, TERMS)
     quoted = F.transform(T.quoted(F.col("summary")), lambda q: F.concat(F.lit('"'), F.replace(q, F.lit('"'), F.lit("")), F.lit('"')))
-    x = items.select("id", terms.alias("terms"), quoted.alias("quoted")).where(F.size("terms") >= LEAST_TERMS)
+    # One generator makes both, so that the filter and the queries don't work them out again.
+    x = items.select("id", F.inline(F.array(F.struct(terms.alias("terms"), quoted.alias("quoted"))))).where(F.size("terms") >= LEAST_TERMS)
     every = F.slice(F.concat(F.array(F.array_join(F.slice("terms", 1, FIRST_TERMS), " ")), F.coalesce("quoted", F.array().cast("array<string>"))), 1, SEARCHES)
     return x.select("id", F.posexplode(every).alias("place", "query")).select("id", F.col("place").cast("long").alias("place"), "query")
 

@@ -37,3 +37,9 @@ def test_searches_and_costs(spark):
     df = spark.createDataFrame(calls, "ts timestamp_ntz, hit long, miss long, prompt long, output long")
     cost = lambda t: [round(r[0] * 1e6, 6) for r in df.select(desk.call_cost(*map(F.col, df.columns), t)).collect()]
     assert cost("radar") == [round(2 * (2.2 + 132 + 19.8), 6), 198.0, 1980.0] and cost("raw") == [round(2 * (0.3 + 30 + 6), 6), 45.0, 600.0]
+
+
+def test_words_of_a_search_are_made_once(spark):
+    x = desk.searches(spark.createDataFrame([(1, "Norway raises rates", None), (2, "Rates", "")], "id long, title string, summary string"))
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9æøå]+") == 1
+    assert [tuple(r) for r in x.collect()] == [(1, 0, "norway raises rates")]
