@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import phrases as P
 from ..functions import scoring as S
+from ..sources.storage import cut
 from ..sources.tables import radar, seconds, table, with_latest
 from . import lists
 from .changes import updated
@@ -35,15 +39,26 @@ def audience_assess(spark: SparkSession, d: str) -> DataFrame:
     return radar(spark, d).select("id", S.audience(_text(), F.col("candidate_type")).alias("a")).select("id", "a.*")
 
 
-def triaged(items: DataFrame) -> DataFrame:
-    """`items` (title, source_name, source_kind, source_domain, published, as_of) with rank, priority and `dropped`."""
-    ranked = items.withColumn("rank", S.triage_rank(F.col("source_kind"), F.col("source_domain")))
+def _rated(counted: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of items that have the counts of S.TRIAGE, with rank, priority and `dropped`."""
+    ranked = counted.withColumn("rank", S.triage_rank(F.col("source_kind"), F.col("source_domain")))
     score, explicit, noise = S.triage(F.col("source_name"), F.col("rank"), F.coalesce(_age(), F.lit(24.0)))
-    counted = P.with_counts(ranked, _text(), S.TRIAGE)
-    scored = counted.select(*[f"`{c}`" for c in ranked.columns], score.alias("priority"), explicit.alias("explicit_finance"), noise.alias("noise"))
+    scored = ranked.select(*[f"`{c}`" for c in columns], "rank", score.alias("priority"), explicit.alias("explicit_finance"), noise.alias("noise"))
     return scored.withColumn("dropped", F.expr("not explicit_finance or (noise > 0 and priority < 45) or priority < 22"))
 
 
+def triaged(items: DataFrame) -> DataFrame:
+    """`items` (title, source_name, source_kind, source_domain, published, as_of) with rank, priority and `dropped`."""
+    return _rated(P.with_counts(items, _text(), S.TRIAGE), items.columns)
+
+
+def _with(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """`rows` with the columns that `other` has for their keys, which may be null."""
+    own = other.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rows.join(own, same, "left").drop(*[f"__{k}" for k in keys])
+
+
 def triage_priority(spark: SparkSession, d: str) -> DataFrame:
     return triaged(with_latest(radar(spark, d), "published")).select("id", "rank", "priority", "explicit_finance", F.col("noise").cast("long").alias("noise"), "dropped")
 
@@ -112,12 +127,13 @@ def clustered(items: DataFrame) -> DataFrame:
     Adds cluster (the place of its first row) and leads (its representative). The result depends on the order, but a row only ever joins
     a row that is at least 0.52 similar to it, so what doesn't hang together by such pairs is folded apart: a task
     holds one component's different sets of words, never a run. Copies of a set follow it; of these, only the first of each worth, if it is
-    worth more than all before, can lead.
+    worth more than all before, can lead. Items may bring the `words` of their titles.
     """
-    words = S.triage_words(F.col("title"))
-    x = items.select("run", "id", "title", "source_domain", "published", "rank", "priority", words.alias("words"), F.coalesce(seconds(F.col("published")), F.lit(0.0)).alias("second"), "place")
+    if "words" not in items.columns:
+        items = _with(items, cut(items.select("title").distinct().withColumn("words", S.triage_words(F.col("title")))), "title")
+    x = items.select("run", "id", "title", "source_domain", "published", "rank", "priority", "words", F.coalesce(seconds(F.col("published")), F.lit(0.0)).alias("second"), "place")
     x = x.withColumn("key", name_of(F.col("words")))
-    sets = x.where("key <> ''").groupBy("run", "key").agg(F.first("words").alias("words")).select("run", "key", F.array_distinct("words").alias("words"))
+    sets = cut(x.where("key <> ''").groupBy("run", "key").agg(F.first("words").alias("words")).select("run", "key", F.array_distinct("words").alias("words")))
     # A similarity of 0.52 by containment is so much of the smaller set; by Jaccard it is 0.52 / 1.35 of both, so of the smaller one at least.
     near = pairs(sets, sets, 0.52 / 1.35).where("a < b")
     roots = components(near)
@@ -126,7 +142,7 @@ def clustered(items: DataFrame) -> DataFrame:
     before = F.max("value").over(Window.partitionBy("run", "key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     leads = first.withColumn("before", before).where("before is null or value > before").drop("before")
     held = leads.join(roots, ["run", "key"], "left").withColumn("root", F.coalesce("root", "key"))
-    found = held.groupBy("run", "root").applyInPandas(_fold, CLUSTERED.format(run=dict(x.dtypes)["run"]))
+    found = cut(held.groupBy("run", "root").applyInPandas(_fold, CLUSTERED.format(run=dict(x.dtypes)["run"])))
     out = x.join(found, ["run", "key"], "left").withColumns({"cluster": F.coalesce("cluster", F.col("place").cast("long")), "leads": F.coalesce(F.col("lead") == F.col("id"), F.lit(True))})
     return out.drop("key", "lead")
 
@@ -134,20 +150,28 @@ def clustered(items: DataFrame) -> DataFrame:
 def labelled(items: DataFrame, most: int | None = 500, keep: int = 45) -> DataFrame:
     """Triage of each run's newest `most` items (all, if that is None): candidate, overflow, duplicate or noise, with the cluster's key, size
     and representative."""
-    newest = Window.partitionBy("run").orderBy(F.desc_nulls_last("published"), F.desc("id"))
-    x = triaged(items.withColumn("place", F.row_number().over(newest)).where(F.lit(True) if most is None else F.col("place") <= most))
+    newest = [F.desc_nulls_last("published"), F.desc("id")]
+    if most is not None:
+        items = items.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy(*newest))).where(F.col("place") <= most)
+    # Each different title is read once; of its rows, only their numbers are joined to it.
+    read = P.with_counts(items.select("title").distinct(), _text(), S.TRIAGE).drop("__text").withColumn("words", S.triage_words(F.col("title")))
+    x = _rated(_with(items, cut(read), "title"), [*items.columns, "words"])
+    if most is None:
+        # Only the order of places counts: rows sorted in ranges are numbered where they lie, so that no task holds a run.
+        x = x.repartitionByRange("run", *newest).sortWithinPartitions("run", *newest).withColumn("place", F.monotonically_increasing_id())
+    x = cut(x)
     noise = x.where("dropped").select("run", "id", F.lit("noise").alias("status"), F.lit(0).cast("long").alias("priority"), F.lit(None).cast("string").alias("event_key"), F.lit(1).cast("long").alias("cluster_size"), F.col("id").alias("representative_id"))
     c = clustered(x.where("not dropped"))
-    whole = Window.partitionBy("run", "cluster")
-    domains = F.size(F.collect_set(F.nullif(S.bare_domain(F.col("source_domain")), F.lit(""))).over(whole))
     key = F.substring(F.sha1(F.concat(F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("unknown")), F.lit("|"), F.array_join(F.slice("words", 1, 10), "-"))), 1, 20)
-    lead = lambda value: F.max(F.when(F.col("leads"), value)).over(whole)
-    n = F.count("*").over(whole)
-    top = F.least(F.lit(100), F.max("priority").over(whole) + F.least(F.lit(16), 3 * (n - 1)) + F.least(F.lit(10), F.greatest(F.lit(0), 2 * (domains - 1))))
-    c = c.withColumns({"cluster_size": n, "top": top, "event_key": lead(key), "representative_id": lead(F.col("id"))})
-    rank = F.dense_rank().over(Window.partitionBy("run").orderBy(F.desc("top"), "cluster"))
-    status = F.when(~F.col("leads"), "duplicate").when(rank <= keep, "candidate").otherwise("overflow")
-    found = c.select("run", "id", status.alias("status"), F.when(F.col("leads"), F.col("top")).otherwise(F.col("priority")).cast("long").alias("priority"), "event_key", "cluster_size", "representative_id")
+    lead = lambda value: F.max(F.when(F.col("leads"), value))
+    domains = F.size(F.collect_set(F.nullif(S.bare_domain(F.col("source_domain")), F.lit(""))))
+    n = F.count("*")
+    top = F.least(F.lit(100), F.max("priority") + F.least(F.lit(16), 3 * (n - 1)) + F.least(F.lit(10), F.greatest(F.lit(0), 2 * (domains - 1))))
+    clusters = cut(c.groupBy("run", "cluster").agg(n.alias("cluster_size"), top.alias("top"), lead(key).alias("event_key"), lead(F.col("id")).alias("representative_id")))
+    best = clusters.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("top"), "cluster"))).where(F.col("rank") <= keep)
+    known = _with(_with(c.select("run", "id", "cluster", "leads", "priority"), clusters, "run", "cluster"), best.select("run", "cluster", F.lit(True).alias("best")), "run", "cluster")
+    status = F.when(~F.col("leads"), "duplicate").when(F.col("best"), "candidate").otherwise("overflow")
+    found = known.select("run", "id", status.alias("status"), F.when(F.col("leads"), F.col("top")).otherwise(F.col("priority")).cast("long").alias("priority"), "event_key", "cluster_size", "representative_id")
     return found.unionByName(noise)
 
 
@@ -166,10 +190,11 @@ def triage_run(items: DataFrame, model: str, most: int | None = 500, keep: int =
     when = F.coalesce("published", "discovered")
     oldest = F.col("as_of") - F.expr(f"INTERVAL {WINDOW_HOURS} HOURS")
     aged = items.withColumn("triage", F.when((F.col("triage") == "candidate") & (when < oldest), "expired").otherwise(F.col("triage")))
-    scan = items.where((when >= oldest) & (F.col("ai_score").isNull() | ~F.col("model").eqNullSafe(model)))
-    scan = scan.select("id", "title", "source_name", "source_kind", "source_domain", "published", "as_of", F.lit(1).alias("run"))
+    due = F.coalesce((when >= oldest) & (F.col("ai_score").isNull() | ~F.col("model").eqNullSafe(model)), F.lit(False))
+    scan = items.where(due).select("id", "title", "source_name", "source_kind", "source_domain", "published", "as_of", F.lit(1).alias("run"))
     found = labelled(scan, most, keep).select("id", *(F.col(v).alias(k) for k, v in TRIAGED.items())).withColumn("priority", F.col("priority").cast("long"))
-    return updated(aged, found, "id", list(TRIAGED), {"attempts": F.lit(0), "retry_after": F.lit(None), "triaged_at": F.col("as_of")})
+    changed = updated(aged.where(due), found, "id", list(TRIAGED), {"attempts": F.lit(0), "retry_after": F.lit(None), "triaged_at": F.col("as_of")})
+    return aged.where(~due).unionByName(changed)
 
 
 def counted(items: DataFrame, most: int | None = 500, keep: int = 45) -> DataFrame:

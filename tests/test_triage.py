@@ -90,6 +90,22 @@ def test_no_limit_and_hot_titles(spark):
         assert {r.id: (r.cluster, r.leads) for r in mine} == want
 
 
+def test_no_window_holds_a_run(spark):
+    """Without a limit of rows, places come from sorted ranges, and only the best clusters of a run meet in one window."""
+    df = items(spark)
+    rows = df.unionByName(df.where("id % 9 = 0").withColumns({"id": F.col("id") + 1000, "published": F.lit(None).cast("timestamp_ntz")}))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = triage.labelled(rows, most=None, keep=5)
+        plan = [x.strip(" :+-") for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+        windows = [i for i, x in enumerate(plan) if x.startswith("Window [")]
+        assert windows and all("WindowGroupLimit" in plan[i + 1] for i in windows)
+        got = sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 201 and got == sorted(map(tuple, triage.labelled(rows, most=10**6, keep=5).collect()))
+
+
 def test_no_rows(spark):
     assert triage.labelled(items(spark).where("false")).count() == 0
 
