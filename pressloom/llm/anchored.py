@@ -62,12 +62,18 @@ def find(units: Callable, window: int, size: int) -> Callable:
     return run
 
 
-def byte_units(data: np.ndarray, at: np.ndarray, size: int):
-    sums = K.prefix(data)
-    start = np.arange(max(0, len(data) - size + 1))
-    gram = np.zeros(len(data), K.U)
-    gram[: len(start)] = K.spans(sums, start, start + size)
-    return gram, at, lambda low, high: K.spans(sums, low, high)
+def units_of(read: Callable) -> Callable:
+    """For find() and dealt(): hashes over the units (bytes, or codes of more) that `read` makes of bytes and offsets."""
+
+    def units(data: np.ndarray, at: np.ndarray, size: int):
+        data, at = read(data, at)
+        sums = K.prefix(data) if data.itemsize == 1 else K.sums_of_words(data.astype(K.U))
+        start = np.arange(max(0, len(data) - size + 1))
+        gram = np.zeros(len(data), K.U)
+        gram[: len(start)] = K.spans(sums, start, start + size)
+        return gram, at, lambda low, high: K.spans(sums, low, high)
+
+    return units
 
 
 def word_units(data: np.ndarray, at: np.ndarray, size: int):
@@ -94,14 +100,14 @@ def united(batch: pa.RecordBatch, some: np.ndarray) -> pa.RecordBatch:
 DEALT = "a long, fh long, doc long, th long, base int, pos int, start int, stop int, n long"
 
 
-def dealt(step: int, window: int, size: int) -> Callable:
+def dealt(units: Callable, step: int, window: int, size: int) -> Callable:
     """For mapInArrow over pieces of texts (doc, th, pos, low, piece, n; `piece` begins at `low`): the windows of each piece
     in runs with the anchor at `step` places, by the hash of what all such windows share. With a step of 1 that is the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in K.blocks(batch.column("piece")):
-                _, _, span = byte_units(data, at, size)
+                _, at, span = units(data, at, size)
                 doc, th, anchor, low, n = (batch.column(c).to_numpy()[first:last] for c in ("doc", "th", "pos", "low", "n"))
                 pos, high = anchor.astype(np.int64) - low, np.diff(at)
                 least, most = np.maximum(0, pos - high + window) // step, pos // step

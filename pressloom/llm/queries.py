@@ -28,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_phrase_dedup": lambda s, d: phrase_dedup.digests(read(s, d, "documents")),
         "op6_decontamination": lambda s, d: decontamination.report(read(s, d, "documents"), read(s, d, "benchmark")),
         "op7_token_counts": lambda s, d: token_counts.histogram(read(s, d, "documents"), tokenizer_path()),
-        "op8_suffix_dedup": lambda s, d: suffix_dedup.digests(read(s, d, "documents")),
+        "op8_suffix_dedup": lambda s, d: suffix_dedup.digests(read(s, d, "documents"), words=suffix_dedup.PASSAGE),
         "op9_packing": lambda s, d: packing.pieces(read(s, d, "documents"), tokenizer_path()),
         "op10_quality_classifier": lambda s, d: quality_classifier.select(read(s, d, "documents"), read(s, d, "labels")),
         "op11_merkle_manifest": lambda s, d: merkle.verified(read(s, d, "documents")),

@@ -11,7 +11,7 @@ whole string, so that no array grows with the corpus.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from . import anchored, kernels as K
 from .tables import alone, settle, width
 
 WINDOW, ANCHOR = 400, 32
-#: Bytes that stand for a word and its next where repeats are looked for by words.
-CODE = 4
+#: Bytes that stand for a word and its next where repeats are looked for by words, and words of a passage that is reported.
+CODE, PASSAGE = 4, 51
 #: Bytes of small groups that share an array, and the most fragments of a group in one array.
 BLOCK, MOST = 1 << 18, 1_000
 
@@ -32,12 +32,12 @@ def suffix_array(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[n
     """Order of all suffixes, and the common prefix of each with the one before it.
 
     A suffix ends with its segment [at[i], at[i+1]); segments of different groups share nothing.
-    Ranks by the first 7 bytes are doubled until no two suffixes tie but by their whole length.
+    Ranks by the first 7 bytes, or the first code of more bytes, are doubled until no two suffixes tie but by their whole length.
     """
-    n, lengths = len(data), np.diff(at)
+    n, lengths, head = len(data), np.diff(at), 7 if data.itemsize == 1 else 1
     left = np.repeat(at[1:], lengths) - np.arange(n)
     key = np.zeros(n, np.uint64)
-    for k in range(7):
+    for k in range(head):
         key <<= K.U(9)
         inside = np.flatnonzero(left > k)
         key[inside] |= data[inside + k].astype(K.U) + K.U(1)
@@ -45,7 +45,7 @@ def suffix_array(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[n
     _, rank = np.unique(np.repeat(group, lengths) * (rank.max() + 1) + rank, return_inverse=True)
     counts = np.bincount(rank)
     rank = (np.cumsum(counts) - counts)[rank]  # from here, the number of suffixes before its class
-    levels, step, live = [rank], 7, np.arange(n)
+    levels, step, live = [rank], head, np.arange(n)
     while True:
         counts = np.bincount(rank, minlength=n)
         live = live[(counts[rank[live]] > 1) & (left[live] > step)]
@@ -66,7 +66,7 @@ def suffix_array(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[n
     one, two, common = order[:-1].copy(), order[1:].copy(), np.zeros(max(0, n - 1), np.int64)
     live = np.ones(len(common), bool)
     for k in range(len(levels) - 1, -1, -1):
-        reach = 7 * 2**k
+        reach = head * 2**k
         spot = np.flatnonzero(live & (one < n) & (two < n))
         same = spot[levels[k][one[spot]] == levels[k][two[spot]]]
         same = same[(left[one[same]] > 0) & (left[two[same]] > 0)]
@@ -76,7 +76,7 @@ def suffix_array(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[n
         one[same] += reach
         two[same] += reach
     tail = np.flatnonzero(live)
-    for _ in range(6):
+    for _ in range(head - 1):
         tail = tail[(one[tail] < n) & (two[tail] < n)]
         ends = np.minimum(left[order[:-1][tail]], left[order[1:][tail]])
         tail = tail[common[tail] < ends]
@@ -121,25 +121,46 @@ def maximal_repeats(data: np.ndarray, at: np.ndarray, group: np.ndarray, least:
 PIECES = "a long, kinds long, n long, doc long, th long, pos int, low int, piece binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of texts (beginning at `base`) that `spans` lists."""
-    for batch in batches:
-        data, at = K.text_bytes(batch.column("text"))
-        rows, found = anchored.lists(batch.column("spans"))
-        text = np.repeat(np.arange(batch.num_rows), np.diff(rows))
-        base = at[text] - batch.column("base").to_numpy()[text]
-        low, high = found.field("start").to_numpy(), found.field("stop").to_numpy()
-        for part in np.array_split(np.arange(len(text)), len(text) // 4096 + 1):
-            own = {c: found.field(c).take(pa.array(part)) for c in ("a", "kinds", "n", "pos")} | {c: batch.column(c).to_numpy()[text[part]] for c in ("doc", "th")}
-            own |= {"low": low[part], "piece": [data[x:y].tobytes() for x, y in zip(base[part] + low[part], base[part] + high[part])]}
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            yield pa.RecordBatch.from_pydict({c: own[c] for c in names})
-
-
-def _segments(table: pa.Table):
-    """From rows by place and length, the bytes, offsets, group and first place of segments: overlapping fragments of one text and anchor are one."""
+def _bytes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return data, at
+
+
+def _codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return data.view("<u4"), at // CODE
+
+
+def _pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each two words in a row of each text: n words repeat where n - 1 codes do."""
+    w = K.Words(data, at)
+    inside = np.ones(len(w.code), bool)
+    inside[w.at[1:][w.counts > 0] - 1] = False
+    return w.grams(2).astype("<u4")[inside], np.concatenate(([0], np.cumsum(np.maximum(w.counts - 1, 0))))
+
+
+def _cut(read: Callable):
+    """The parts of texts (beginning at `base`) that `spans` lists, in the units that `read` makes of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first, last, data, at in K.blocks(whole.column("text")):
+                batch, (data, at) = whole.slice(first, last - first), read(data, at)
+                rows, found = anchored.lists(batch.column("spans"))
+                text = np.repeat(np.arange(batch.num_rows), np.diff(rows))
+                base = at[text] - batch.column("base").to_numpy()[text]
+                low, high = found.field("start").to_numpy(), found.field("stop").to_numpy()
+                for part in np.array_split(np.arange(len(text)), len(text) // 4096 + 1):
+                    own = {c: found.field(c).take(pa.array(part)) for c in ("a", "kinds", "n", "pos")} | {c: batch.column(c).to_numpy()[text[part]] for c in ("doc", "th")}
+                    own |= {"low": low[part], "piece": [data[x:y].tobytes() for x, y in zip(base[part] + low[part], base[part] + high[part])]}
+                    names = [x.split()[0] for x in PIECES.split(", ")]
+                    yield pa.RecordBatch.from_pydict({c: own[c] for c in names})
+
+    return run
+
+
+def _segments(table: pa.Table, read: Callable):
+    """From rows by place and length, the units, offsets, group and first place of segments: overlapping fragments of one text and anchor are one."""
     a, doc, th, low = (table.column(c).to_numpy() for c in ("a", "doc", "th", "low"))
-    data, at = K.text_bytes(table.column("piece"))
+    data, at = read(*K.text_bytes(table.column("piece")))
     high = low + np.diff(at)
     joins = np.zeros(len(a), bool)
     joins[1:] = (a[1:] == a[:-1]) & (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (low[1:] <= high[:-1])
@@ -167,12 +188,12 @@ def _runs_within(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(mask & (~before | edge[:-1])), np.flatnonzero(mask & (~after | edge[1:])) + 1
 
 
-def _repeats(window: int):
+def _repeats(read: Callable, window: int):
     """All occurrences of the maximal repeats within each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in anchored.whole_groups(batches, BLOCK):
-            data, at, group, doc, th, low = _segments(table)
+            data, at, group, doc, th, low = _segments(table, read)
             stop = np.zeros(len(data) + 1, np.int64)
             for length, places in maximal_repeats(data, at, group, window):
                 np.maximum.at(stop, places, places + length)
@@ -203,16 +224,6 @@ def _settled_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield anchored.united(batch, order[np.repeat(count, count) > 1])
 
 
-def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as CODE bytes for each two words in a row: n words repeat where CODE * (n - 1) of these bytes do."""
-    for batch in batches:
-        for first, last, data, at in K.blocks(batch.column("text")):
-            w = K.Words(data, at)
-            code = w.grams(2).astype("<u4")
-            ids = [batch.column(c).slice(first, last - first) for c in ("doc", "th")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array([code[a : max(a, b - 1)].tobytes() for a, b in zip(w.at, w.at[1:])], pa.binary())], ["doc", "th", "text"])
-
-
 def _long_words(window: int, words: int):
     """Texts in which some `window` bytes hold fewer than `words` words whole, besides one at either edge."""
 
@@ -232,20 +243,19 @@ def _long_words(window: int, words: int):
 
 def word_spans(docs: DataFrame, words: int, size: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): spans, counted in words, that repeats of `words` words or more cover; they may overlap."""
-    codes = anchored.keyed(docs).mapInArrow(K.frugal(_word_codes), "doc long, th long, text binary")
-    spans = _spans_in(codes, CODE * (words - 1), size, most)
-    return spans.select("doc", "th", F.ceil(F.col("start") / CODE).cast("int").alias("start"), (F.floor(F.col("stop") / CODE) + 1).cast("int").alias("stop"))
+    texts = anchored.keyed(docs).where(F.octet_length("text") >= 2 * words - 1)
+    return _spans_in(texts, words - 1, size // CODE, most, _pairs, _codes).withColumn("stop", F.col("stop") + 1)
 
 
 def repeat_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): byte spans that repeats of `window` bytes or more cover; they may overlap."""
-    return _spans_in(anchored.keyed(docs), window, size, most)
+    return _spans_in(anchored.keyed(docs).where(F.octet_length("text") >= window), window, size, most)
 
 
-def _spans_in(texts: DataFrame, window: int, size: int, most: int) -> DataFrame:
+def _spans_in(texts: DataFrame, window: int, size: int, most: int, read: Callable = _bytes, again: Callable = _bytes) -> DataFrame:
+    """Spans of repeats of `window` units, which `read` makes of texts, and `again` of pieces cut from these."""
     n, step = width(texts.sparkSession), anchored.half(window, size)
-    texts = texts.where(F.octet_length("text") >= window)
-    find = anchored.find(anchored.byte_units, window, size)
+    find = anchored.find(anchored.units_of(read), window, size)
     found = settle(texts.mapInArrow(K.frugal(lambda batches: _settled_here(find(batches))), anchored.ROWS + ", n long"))
     rows = found.where("a is not null")
     spans = found.where("a is null").select("doc", "th", "start", "stop")
@@ -253,27 +263,31 @@ def _spans_in(texts: DataFrame, window: int, size: int, most: int) -> DataFrame:
     def several(rows: DataFrame, kinds: DataFrame) -> DataFrame:
         return rows.join(kinds.where("n > 1").select("a", "fh"), ["a", "fh"], "left_semi").select("doc", "th", "start", "stop")
 
-    kinds = settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "pos", "start", "stop", "k0", "k1")).alias("one")))
+    def kinds_of(rows: DataFrame, *one: str) -> DataFrame:
+        """The different fragments, their number, and where one of each is: firsts are of one row, as in dropDuplicates()."""
+        return settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in one]))
+
+    kinds = kinds_of(rows, "doc", "th", "pos", "start", "stop", "k0", "k1")
     spans = spans.union(several(rows, kinds))
-    sides = kinds.select("n", "one.*").select("n", "doc", "th", F.lit(0).alias("base"), "pos", F.inline(anchored.halves(window, size))).where("a is not null")
+    sides = kinds.select("n", "doc", "th", F.lit(0).alias("base"), "pos", F.inline(anchored.halves(window, size))).where("a is not null")
     held = texts.select("doc", "th", F.lit(0).alias("base"), "text")
     while True:
         # Where all fragments of a group occur several times, nothing is left to find.
         groups = sides.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("a", "kinds")
         at = ("doc", "th", "base")
         lists = anchored.per_text(sides.join(groups, "a"), "a", "kinds", "n", "pos", "start", "stop", keys=at)
-        pieces = settle(held.join(lists, list(at)).mapInArrow(K.frugal(_cut), PIECES))
+        pieces = settle(held.join(lists, list(at)).mapInArrow(K.frugal(_cut(read)), PIECES))
         small = pieces.where(F.col("kinds") <= most).select("a", "doc", "th", "low", "piece")
-        spans = spans.union(small.repartition(n, "a").sortWithinPartitions("a", "doc", "th", "low", F.length("piece")).mapInArrow(K.frugal(_repeats(window)), SPANS))
+        spans = spans.union(small.repartition(n, "a").sortWithinPartitions("a", "doc", "th", "low", F.length("piece")).mapInArrow(K.frugal(_repeats(again, window)), SPANS))
         large = pieces.where(F.col("kinds") > most)
         if step == 1 or large.isEmpty():
             return spans
         # Only pieces of large groups go on: the texts aren't shuffled again.
-        step = max(1, step // 8)
-        rows = settle(large.mapInArrow(anchored.dealt(step, window, size), anchored.DEALT))
-        kinds = settle(rows.groupBy("a", "fh").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "base", "pos", "start", "stop")).alias("one")))
+        step, read = max(1, step // 8), again
+        rows = settle(large.mapInArrow(anchored.dealt(anchored.units_of(read), step, window, size), anchored.DEALT))
+        kinds = kinds_of(rows, "doc", "th", "base", "pos", "start", "stop")
         spans = spans.union(several(rows, kinds))
-        sides = kinds.select("a", "n", "one.*")
+        sides = kinds.select("a", "n", "doc", "th", "base", "pos", "start", "stop")
         held = large.select("doc", "th", F.col("low").alias("base"), F.col("piece").alias("text"))
 
 
@@ -312,22 +326,31 @@ def _removed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"doc_id": batch.column("row").field("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for data, gone in _removed(batch):
+        for data, gone in _removed(batch.select(["row", "spans"])):
             out["n_bytes"].append(len(data))
             out["n_removed"].append(int(gone.sum()))
             out["n_spans"].append(len(K.runs(gone)[0]))
             out["kept_sha256"].append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
+        if "words" in batch.schema.names:
+            rows, found = anchored.lists(batch.column("words"))
+            start, stop = found.field("start").to_numpy(), found.field("stop").to_numpy()
+            out["n_passage_words"] = [int(K.covered(stop[a:b].max(), start[a:b], stop[a:b]).sum()) if a < b else 0 for a, b in zip(rows, rows[1:])]
         yield pa.RecordBatch.from_pydict(out)
 
 
-def digests(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, most: int = MOST, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row. A null text is empty.
 
     A string of `window` bytes that starts at two places anywhere goes at both; rows that repeat a document
-    count as two documents.
+    count as two documents. With `words`, n_passage_words counts the words of each row in a sequence of so many
+    that starts at two places anywhere, however few bytes it has; these alone remove nothing.
     """
-    found = marked(docs.select("doc_id", "text"), window, size, most)
-    return found.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs, schema = docs.select("doc_id", "text"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if words is None:
+        return marked(docs, window, size, most).mapInArrow(_digests, schema)
+    spark = docs.sparkSession
+    by_bytes, by_words = alone(spark, lambda: repeat_spans(docs, window, size, most)), alone(spark, lambda: word_spans(docs, words, size, most))
+    return with_lists(docs, spans=by_bytes, words=by_words).mapInArrow(K.frugal(_digests), schema + ", n_passage_words long")
 
 
 def _kept_texts(columns: list[str]):

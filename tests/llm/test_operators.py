@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from pressloom.llm import decontamination, near_dedup, packing, phrase_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filter
-from pressloom.llm.queries import tokenizer_path
+from pressloom.llm.queries import queries, tokenizer_path
 
 WORD, TERM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -135,6 +135,28 @@ def test_suffix_dedup(docs, texts, empty):
     assert suffix_dedup.digests(empty).count() == 0
 
 
+def test_suffix_dedup_passages(spark, texts, tmp_path):
+    """Passages of over 50 words that repeat are reported, though they have fewer than the 400 bytes that go."""
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choices("fghijk", k=4)) for _ in range(n))
+    planted = say(51)
+    texts = [*texts, f"{say(70)} {planted} {say(40)}", f"{say(9)}\n" + planted.replace(" ", "\n ") + f" {say(80)}", f"{say(60)} {planted[:-5]} {say(60)}", planted, say(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words, seen = [re.findall(WORD, t or "") for t in texts], {}
+    for w in words:
+        for k in range(len(w) - 50):
+            seen[tuple(w[k : k + 51])] = seen.get(tuple(w[k : k + 51]), 0) + 1
+    want = [len({x for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for x in range(k, k + 51)}) for w in words]
+    assert len(planted) < 400 and want[-5:] == [51, 51, 0, 51, 0] and sum(map(bool, want)) < len(want) - 60
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plain = rows_of(suffix_dedup.digests(docs))
+    for out in (queries()["op8_suffix_dedup"](spark, str(tmp_path)), suffix_dedup.digests(docs, most=3, words=51), suffix_dedup.digests(docs, most=1, words=51)):
+        got = rows_of(out)
+        assert [got[i].n_passage_words for i in range(len(texts))] == want
+        assert [tuple(got[i])[:5] for i in range(len(texts))] == [tuple(plain[i]) for i in range(len(texts))]
+    assert suffix_dedup.digests(docs.limit(0), words=51).count() == 0
+
+
 def test_decontamination(spark, docs, texts, empty):
     w = re.findall(TERM, texts[12].translate(LOWER))
     items = [(1, " ".join(w[3:30])), (2, "One, TWO!"), (3, None), (4, "..."), (10, " ".join(w[8:18])), (5, "not there at all")]
